@@ -7,6 +7,8 @@ from importlib import import_module
 #: query name -> module; each module defines a function of the query's name.
 QUERIES = {
     "op3_bpe": "bpe",
+    "op7_media": "media",
+    "op8_html": "htmltext",
 }
 
 #: modules with an ORACLE_SQL dict
