@@ -7,6 +7,7 @@ from importlib import import_module
 #: query name -> module; each module defines a function of the query's name.
 QUERIES = {
     "op3_bpe": "bpe",
+    "op6_neardup": "neardup",
     "op7_media": "media",
     "op8_html": "htmltext",
 }
