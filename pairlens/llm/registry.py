@@ -10,10 +10,12 @@ QUERIES = {
     "op6_neardup": "neardup",
     "op7_media": "media",
     "op8_html": "htmltext",
+    "op9_secrets": "secrets",
+    "op10_packing": "packing",
 }
 
 #: modules with an ORACLE_SQL dict
-SQL_MODULES: tuple[str, ...] = ()
+SQL_MODULES: tuple[str, ...] = ("secrets",)
 
 
 def queries() -> dict:
