@@ -20,15 +20,16 @@ reach.
    chance neighbours. There depth adapts: their members are put in order of
    all further values, so that the next in order has the longest common prefix,
    and neighbours of different components are compared. What is then still
-   open is settled exactly: members of different components are compared by
-   their sketches inside the task, a region of more than BLOCK members in
-   blocks that meet pairwise in cells of bounded size. Pairs whose sketches
-   agree in AGREE of 128 bytes (a true link misses that with probability below
-   1e-6) are confirmed on full sets, and components are formed again.
+   open is settled inside tasks. In regions of up to CROWD members, those of
+   different components are compared by their sketches; pairs that agree in
+   AGREE of 128 bytes (a true link misses that with probability below 1e-6) are
+   confirmed on full sets. Crowded regions are dealt in blocks, by members and
+   by shingles, which meet pairwise in cells of bounded size; a cell counts the
+   common shingles of members of different components exactly, by blocked matrix
+   products, and gives only the links that join components.
 
-Only step 4's promising pairs and step 3's stars are ever written, never all
-pairs of a group. Sets are made only for documents in such pairs, found through
-a bit map of fixed size.
+Never are all pairs of a group written. Sets are made only for documents in
+regions, found through a bit map of fixed size.
 
 Null and empty texts and texts without words have an empty set: n_shingles 0,
 own component, kept. Rows with a null id take no part in links; their component
@@ -52,7 +53,9 @@ DEPTH = 4
 ORDERS = 32
 VALUES = DEPTH * ORDERS
 AGREE = 78
-BLOCK = 2048
+CROWD = 16
+BLOCK = 1024
+BLOCK_SHINGLES = 1 << 21
 MAP_BITS = 1 << 24
 _SEEDS = mix(np.arange(1, 2 * VALUES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _TIMES, _PLUS = _SEEDS[:VALUES] | np.uint64(1), _SEEDS[VALUES:]
@@ -217,7 +220,7 @@ def components(links: DataFrame, rounds: int = 64) -> DataFrame:
 
 def _open_rows(crowd: DataFrame, settled: DataFrame, classes: DataFrame) -> DataFrame:
     """Members of the regions that hold more than one component, with their component and sketch."""
-    rows = crowd.select("order", "key", "n", "doc_id").join(settled, "doc_id", "left")
+    rows = crowd.select("order", "key", "n", "total", "doc_id").join(settled, "doc_id", "left")
     rows = staged(rows.withColumn("component", F.coalesce("component", "doc_id")), "rows")
     several = rows.groupBy("order", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
     return rows.join(staged(several.select("order", "key"), "several"), ["order", "key"]).join(classes.select("doc_id", "sketch"), "doc_id")
@@ -245,56 +248,109 @@ def _neighbours(rows: DataFrame) -> DataFrame:
     return sorted_rows.mapInArrow(run, "a long, b long")
 
 
+def _joined(links: DataFrame, settled: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links with more links, and their components."""
+    more = staged(more.distinct(), "links")
+    if more.isEmpty():
+        return links, settled
+    links = links.union(more)
+    return links, components(links)
+
+
 def _cells(rows: DataFrame) -> DataFrame:
-    """Deal each region's members to cells: one for a region of up to BLOCK members, else one for each pair of its blocks."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    """Deal each region's members to cells: one where a block holds the region, else one for each pair of its blocks."""
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int")
     spot = F.struct(F.least("x", "block").alias("i"), F.greatest("x", "block").alias("j"), F.when(F.col("x") == F.col("block"), 2).otherwise((F.col("block") > F.col("x")).cast("int")).alias("side"))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return dealt.select(F.xxhash64("order", "key", spot["i"], spot["j"]).alias("cell"), spot["side"].alias("side"), "doc_id", "component", "sketch")
+    return dealt.select(F.xxhash64("order", "key", spot["i"], spot["j"]).alias("cell"), spot["side"].alias("side"), "doc_id", "component", "shingles")
 
 
-def _promising(rows: DataFrame) -> DataFrame:
-    """Pairs of different components within a region whose sketches agree."""
+def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+    """Consecutive rows with the same first column, without it."""
+    cell, held = None, []
+    for batch in batches:
+        for key, *rest in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
+            if key != cell:
+                if held:
+                    yield held
+                cell, held = key, []
+            held.append(rest)
+    if held:
+        yield held
+
+
+def _cell_links(cell: list, percent: int) -> Iterator[tuple[int, int]]:
+    """Links between different components of a cell, a forest of them; rows: side, doc_id, component, shingles.
+
+    Rows of side 2 meet each other; rows of side 0 meet those of side 1 only. The
+    largest component's members aren't compared with each other.
+    """
+    comps = np.array([r[2] for r in cell], np.int64)
+    if (comps == comps[0]).all():
+        return
+    sides, ids = np.array([r[0] for r in cell], np.int8), np.array([r[1] for r in cell], np.int64)
+    sizes = np.array([len(r[3]) // 8 for r in cell], np.int64)
+    names, counts = np.unique(comps, return_counts=True)
+    small = np.flatnonzero(comps != names[counts.argmax()])
+    every = np.frombuffer(b"".join(r[3] for r in cell), np.uint64)
+    owner = np.repeat(np.arange(len(cell)), sizes)
+    _, column, times = np.unique(every, return_inverse=True, return_counts=True)
+    place = np.cumsum(times > 1) - 1  # shingles of one member only can't be common
+    shared = times[column] > 1
+    owner, column = owner[shared], place[column[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common = np.zeros((len(small), len(cell)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+        low, high = np.searchsorted(column, [at, at + 2048])
+        grid = np.zeros((len(cell), 2048), np.float32)
+        grid[owner[low:high], column[low:high] - at] = 1
+        common += grid[small] @ grid.T
+    both = sizes[small][:, None] + sizes[None, :]
+    linked = 100 * common.astype(np.int64) >= percent * (both - common.astype(np.int64))
+    linked &= comps[small][:, None] != comps[None, :]
+    linked &= (sides[small][:, None] == 2) & (sides[None, :] == 2) | (sides[small][:, None] != 2) & (sides[small][:, None] + sides[None, :] == 1)
+    top = {c: c for c in names.tolist()}
+
+    def find(c: int) -> int:
+        while top[c] != c:
+            top[c] = top[top[c]]
+            c = top[c]
+        return c
+
+    for i, row in zip(small.tolist(), linked, strict=True):
+        for j in np.flatnonzero(row).tolist():
+            x, y = find(int(comps[i])), find(int(comps[j]))
+            if x != y:
+                top[x] = y
+                yield max(int(ids[i]), int(ids[j])), min(int(ids[i]), int(ids[j]))
+
+
+def _crowded(rows: DataFrame, percent: int) -> DataFrame:
+    """Links that join components within crowded regions, counted exactly on full sets."""
     rows = _cells(rows)
     rows = rows.repartition("cell").sortWithinPartitions("cell")
-    small_batches(rows.sparkSession)
-
-    def compare(cell: list) -> Iterator[tuple[int, int]]:
-        sides = np.array([r[0] for r in cell], np.int8)
-        ids = np.array([r[1] for r in cell], np.int64)
-        comps = np.array([r[2] for r in cell], np.int64)
-        if (comps == comps[0]).all():
-            return
-        grid = np.frombuffer(b"".join(r[3] for r in cell), np.uint8).reshape(len(cell), VALUES)
-        names, inverse, counts = np.unique(comps, return_inverse=True, return_counts=True)
-        largest = names[counts.argmax()]
-        for i in np.flatnonzero(comps != largest):  # each pair of components has a side that isn't the largest
-            others = np.flatnonzero((comps != comps[i]) & ((sides != sides[i]) | (sides == 2)) & ((comps == largest) | (ids > ids[i])))
-            if len(others):
-                for j in others[(grid[others] == grid[i]).sum(axis=1) >= AGREE]:
-                    yield min(ids[i], ids[j]), max(ids[i], ids[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, held = None, []
-        found: set[tuple[int, int]] = set()
+        for cell in _by_cell(batches):
+            pairs = list(_cell_links(cell, percent))
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-        def out() -> pa.RecordBatch:
-            pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
-            found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 1]), pa.array(pairs[:, 0])], names=["a", "b"])
+    return rows.mapInArrow(run, "a long, b long")
 
-        for batch in batches:
-            for key, *rest in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if key != cell:
-                    if held:
-                        found.update(compare(held))
-                    cell, held = key, []
-                    if len(found) > 100_000:
-                        yield out()
-                held.append(rest)
-        if held:
-            found.update(compare(held))
-        yield out()
+
+def _promising(rows: DataFrame) -> DataFrame:
+    """Pairs of different components within a small region whose sketches agree."""
+    rows = rows.select(F.xxhash64("order", "key").alias("cell"), "doc_id", "component", "sketch")
+    rows = rows.repartition("cell").sortWithinPartitions("cell")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in _by_cell(batches):
+            ids, comps = np.array([r[0] for r in cell]), np.array([r[1] for r in cell])
+            grid = np.frombuffer(b"".join(r[2] for r in cell), np.uint8).reshape(len(cell), VALUES)
+            alike = ((grid[:, None] == grid[None, :]).sum(axis=2) >= AGREE) & (comps[:, None] != comps[None, :]) & (ids[:, None] > ids[None, :])
+            x, y = np.nonzero(alike)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[x], pa.int64()), pa.array(ids[y], pa.int64())], names=["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long")
 
@@ -304,13 +360,13 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = staged(signatures(docs, size), "signatures")
     linkable = signed.filter("n_shingles > 0 and doc_id is not null")
-    first = F.min(F.struct("doc_id", "keys", "sketch"))
-    classes = staged(linkable.groupBy("set_hi", "set_lo").agg(first.alias("m")).select("set_hi", "set_lo", F.col("m.doc_id").alias("doc_id"), F.col("m.keys").alias("keys"), F.col("m.sketch").alias("sketch")), "classes")
+    first = F.min(F.struct("doc_id", "n_shingles", "keys", "sketch"))
+    classes = staged(linkable.groupBy("set_hi", "set_lo").agg(first.alias("m")).select("set_hi", "set_lo", "m.*"), "classes")
 
-    members = classes.select("doc_id", F.posexplode("keys").alias("order", "key"))
-    regions = members.groupBy("order", "key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lead")).filter("n > 1")
+    members = classes.select("doc_id", "n_shingles", F.posexplode("keys").alias("order", "key"))
+    regions = members.groupBy("order", "key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lead"), F.sum("n_shingles").alias("total")).filter("n > 1")
     regions = staged(regions, "regions")
-    crowd = staged(members.join(regions, ["order", "key"]), "crowd")
+    crowd = staged(members.drop("n_shingles").join(regions, ["order", "key"]), "crowd")
 
     stars = staged(crowd.filter("doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b")).distinct(), "stars")
     sets = staged(sets_of(docs, stars.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), size), "sets")
@@ -318,12 +374,12 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     settled = components(links)
 
     # neighbours by longest common prefix, then whatever the regions still leave open
-    for candidates in (_neighbours, _promising):
-        extra = staged(candidates(_open_rows(crowd, settled, classes)).distinct(), "extra")
-        more = staged(confirmed(extra, sets, percent), "links")
-        if not more.isEmpty():
-            links = links.union(more)
-            settled = components(links)
+    near = staged(_neighbours(_open_rows(crowd, settled, classes)).distinct(), "near")
+    links, settled = _joined(links, settled, confirmed(near, sets, percent))
+    left = staged(_open_rows(crowd, settled, classes), "left")
+    few = staged(_promising(left.filter(F.col("n") <= CROWD)).distinct(), "promising")
+    many = _crowded(left.filter(F.col("n") > CROWD).drop("sketch").join(sets, "doc_id"), percent)
+    links, settled = _joined(links, settled, confirmed(few, sets, percent).union(many))
 
     named = staged(classes.select("set_hi", "set_lo", "doc_id").join(settled, "doc_id", "left").select("set_hi", "set_lo", F.coalesce("component", "doc_id").alias("component")), "named")
     linked = signed.select("doc_id", "n_shingles", "set_hi", "set_lo").join(named, ["set_hi", "set_lo"], "left")

@@ -53,9 +53,10 @@ def test_long_rows_are_cut_without_effect(monkeypatch):
     assert [s.tolist() for s in neardup.shingle_sets(pa.array(["q", *texts]).slice(1), 4)] == whole
 
 
-@pytest.mark.parametrize("block", [2048, 8])
+@pytest.mark.parametrize("block", [1024, 3])
 def test_groups_equal_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "CROWD", min(16, block))
     r = random.Random(7)
     vocabulary = [f"w{i}" for i in range(400)]
     docs = []
@@ -63,7 +64,7 @@ def test_groups_equal_brute_force(spark, monkeypatch, block):
         words = [r.choice(vocabulary) for _ in range(r.randint(1, 120))]
         for _ in range(r.choice([1, 2, 5, 40])):
             copy = list(words)
-            for _ in range(r.randint(0, 1 + len(copy) // 25)):
+            for _ in range(r.randint(0, 1 + len(copy) // 16)):
                 copy[r.randrange(len(copy))] = r.choice(vocabulary)
             docs.append(" ".join(copy))
     docs += [None, "", " \t", "Same Text", "same  text", "same text", " "]
