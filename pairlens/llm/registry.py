@@ -6,7 +6,9 @@ from importlib import import_module
 
 #: query name -> module; each module defines a function of the query's name.
 QUERIES = {
+    "op1_toxicity": "toxicity",
     "op3_bpe": "bpe",
+    "op5_quality": "quality",
     "op6_neardup": "neardup",
     "op7_media": "media",
     "op8_html": "htmltext",
