@@ -392,3 +392,13 @@ def op6_neardup(spark, sf_dir: str) -> DataFrame:
     from ._support import table
 
     return near_duplicates(table(spark, sf_dir, "documents"), size=4)
+
+
+def deduplicated(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, whole, but one for each group of near copies: that with the smallest id.
+
+    Of rows with the same id one stays. Rows with a null id stay.
+    """
+    kept = staged(near_duplicates(docs, text_col, id_col, size, percent).filter("kept").select(F.col("doc_id").alias("__kept")).distinct(), "kept")
+    one = docs.join(kept, F.col(id_col).cast("long") == F.col("__kept"), "left_semi").dropDuplicates([id_col])
+    return one.unionByName(docs.filter(F.col(id_col).isNull()))

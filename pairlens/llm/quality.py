@@ -179,21 +179,34 @@ def vote(model: Model, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def _scored(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The columns of ``df`` and __score of each row's text."""
+    small_batches(df.sparkSession)
+    held = df.sparkSession.sparkContext.broadcast(model)
+    schema = T.StructType([*df.schema.fields, T.StructField("__score", T.DoubleType(), False)])
+    names, place = schema.names, df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = vote(held.value, term_counts(batch.column(place)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=names)
+
+    return df.mapInArrow(run, schema)
+
+
 def score(docs: DataFrame, model: Model | None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, score, predicted of every row."""
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if model is None:
         return rows.select("doc_id", F.lit(1.0).alias("score"), F.lit(1).alias("predicted"))
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    return _scored(rows, model).select("doc_id", F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = vote(held.value, term_counts(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
-    out = rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField("score", T.DoubleType(), False)]))
-    return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+def without_junk(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, whole, whose score reaches THRESHOLD. No shuffle."""
+    if model is None:
+        return docs
+    return _scored(docs, model, text_col).filter(F.col("__score") >= THRESHOLD).select(*docs.columns)
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:

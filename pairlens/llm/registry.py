@@ -7,7 +7,9 @@ from importlib import import_module
 #: query name -> module; each module defines a function of the query's name.
 QUERIES = {
     "op1_toxicity": "toxicity",
+    "op2_topk": "topk",
     "op3_bpe": "bpe",
+    "op4_warc": "warc",
     "op5_quality": "quality",
     "op6_neardup": "neardup",
     "op7_media": "media",
@@ -17,7 +19,7 @@ QUERIES = {
 }
 
 #: modules with an ORACLE_SQL dict
-SQL_MODULES: tuple[str, ...] = ("secrets",)
+SQL_MODULES: tuple[str, ...] = ("topk", "warc", "secrets")
 
 
 def queries() -> dict:

@@ -209,20 +209,21 @@ def _segments(model: Model, column: pa.Array) -> Iterator[tuple[float, float, li
         yield _features(segments, int(counts[x]), model.rate)
 
 
-def _scored(df: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns of ``keep``, best, total, passages of each row's ``text``."""
+def _scored(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The columns of ``df`` and __best, __total, __passages of each row's text."""
     small_batches(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(model)
     passage = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("e", pa.float64())]))
+    schema = T.StructType([*df.schema.fields, *T._parse_datatype_string(f"__best double, __total double, __passages array<{PASSAGE}>").fields])
+    names, place = schema.names, df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = list(_segments(held.value, batch.column(len(keep))))
+            out = list(_segments(held.value, batch.column(place)))
             passages = [[dict(zip(("start", "end", "score", "e"), p, strict=True)) for p in x[2]] for x in out]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.float64()), pa.array(passages, passage)], names=[*keep, "best", "total", "passages"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.float64()), pa.array(passages, passage)], names=names)
 
-    schema = T.StructType([*(df.schema[c] for c in keep), *T._parse_datatype_string(f"best double, total double, passages array<{PASSAGE}>").fields])
-    return df.select(*keep, "text").mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> np.ndarray:
@@ -245,23 +246,33 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", sample: int =
     counts = staged(token_counts(texts), "toxicity-counts")
     model = _learn_tokens(counts)
     if model:
-        rows = _scored(texts, model, ["label"]).select("label", "best", "total").toArrow()
-        x = np.column_stack([rows.column("best").to_numpy(), rows.column("total").to_numpy()])
+        rows = _scored(texts.select("label", "text"), model).select("label", "__best", "__total").toArrow()
+        x = np.column_stack([rows.column("__best").to_numpy(), rows.column("__total").to_numpy()])
         model.weights = tuple(logistic(x, (rows.column("label").to_numpy() > 0).astype(float)).tolist())
     return model
 
 
+def _value(model: Model) -> F.Column:
+    a, b, c = model.weights
+    return 1 / (1 + F.exp(-(F.col("__best") * a + F.col("__total") * b + c)))
+
+
 def score(docs: DataFrame, model: Model | None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, score, predicted, passages (token positions, score, expected count by chance) of every row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if model is None:
         return rows.select("doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.array().cast(f"array<{PASSAGE}>").alias("passages"))
-    a, b, c = model.weights
-    value = 1 / (1 + F.exp(-(F.col("best") * a + F.col("total") * b + c)))
-    out = _scored(rows, model, ["doc_id"]).withColumn("score", value)
+    out = _scored(rows, model).select("doc_id", _value(model).alias("score"), F.col("__passages").alias("passages"))
     return out.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "passages")
 
 
+def without_toxic(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, whole, that aren't predicted to be toxic. No shuffle."""
+    if model is None:
+        return docs
+    return _scored(docs, model, text_col).filter(_value(model) < 0.5).select(*docs.columns)
+
+
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
     """The toxicity of every document."""
     from ._support import table
