@@ -156,7 +156,7 @@ def _search(queries: DataFrame, candidates: DataFrame, needs: DataFrame, k: int,
                     now, work = cells[a], _Cell(k, held.value)
                 if sides[a] == 0:
                     work.queries(ids[a:b], v[a:b], bounds[a:b].copy())
-                elif work.ids or work.best is not None:
+                elif len(work.ids):
                     for at in range(a, b, CHUNK):
                         work.candidates(ids[at : min(b, at + CHUNK)], v[at : min(b, at + CHUNK)])
         if work:

@@ -23,6 +23,16 @@ def brute(rows, is_query, k):
     return sorted(out)
 
 
+@pytest.fixture(autouse=True)
+def batches(spark):
+    """Small Arrow batches, so that cells span several."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "64")
+    yield
+    spark.conf.set(key, before)
+
+
 @pytest.mark.parametrize("block, chunk", [(8192, 1024), (16, 5)])
 def test_topk_equals_brute_force(spark, monkeypatch, block, chunk):
     for name, value in (("BLOCK", block), ("CHUNK", chunk), ("QUERY_BLOCK", 7 if block == 16 else 1024)):
@@ -35,6 +45,21 @@ def test_topk_equals_brute_force(spark, monkeypatch, block, chunk):
     assert sorted(map(tuple, got)) == brute(rows, lambda i: i % 6 == 0, 5)
 
 
+def test_topk_over_several_batches(spark):
+    """More rows than an Arrow batch holds in one cell."""
+    r = np.random.default_rng(2)
+    m = r.standard_normal((3000, 6)) * r.uniform(0.2, 3, (3000, 1))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(m.tolist())], "vec_id long, embedding array<double>")
+    got = topk.top_k(topk.quantised(df), F.col("vec_id") % 50 == 0).collect()
+    q = np.floor(256 * m).astype(np.int64)
+    want = []
+    for i in range(0, 3000, 50):
+        s = q @ q[i]
+        order = sorted((-int(s[j]), j) for j in range(3000) if j != i)[:5]
+        want += [(i, k, j, -x) for k, (x, j) in enumerate(order, 1)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_topk_of_few_and_large(spark):
     df = spark.createDataFrame([(0, [1e12, -1e12]), (50, [1e12, 1.0]), (51, [-3e11, 5e11])], "vec_id long, embedding array<double>")
     rows = [(r.vec_id, r.embedding) for r in df.collect()]
