@@ -1,11 +1 @@
-"""Training-data operators. Nothing outside this subpackage imports it.
-
-Functions shipped to executors are pickled by value, so a job works whether
-or not the executors can import this package.
-"""
-
-import sys
-
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+"""Training-data operators. Nothing outside this subpackage imports it."""

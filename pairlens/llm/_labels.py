@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._support import held_out
+from ._support import held_out, small_batches, staged
+from ._words import mix
+from .neardup import shingle_sets
+
+KEYS = 6
+_TURNS = mix(np.arange(1, KEYS + 1, dtype=np.uint64))
 
 
 def labelled_sample(labels: DataFrame, column: str, size: int) -> DataFrame:
@@ -22,3 +31,23 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, column: str, size: int) -
     """(doc_id, text, label) of the documents in the sample; the sample's size bounds what is broadcast."""
     sample = F.broadcast(labelled_sample(labels, column, size))
     return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(sample, "doc_id")
+
+
+def without_copies(texts: DataFrame) -> DataFrame:
+    """The sample's rows but for later copies and near copies, so that a text that was copied hundreds of times has one vote.
+
+    A row goes if one of its KEYS minhashes over three-word shingles is that of a row
+    with a smaller id: a near copy shares one almost surely, an unrelated text none.
+    Rows without words stay. The sample is bounded, and so is this.
+    """
+    small_batches(texts.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [[int(x) for x in mix(s[:, None] ^ _TURNS).min(axis=0).view(np.int64)] if len(s) else [] for s in shingle_sets(batch.column(1), 3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "keys"])
+
+    keyed = staged(texts.select("doc_id", "text").mapInArrow(run, "doc_id long, keys array<long>").select("doc_id", F.posexplode("keys").alias("turn", "key")), "sample-keys")
+    first = keyed.groupBy("turn", "key").agg(F.min("doc_id").alias("first"))
+    copies = keyed.join(first, ["turn", "key"]).filter("doc_id > first").select("doc_id").distinct()
+    return texts.join(copies, "doc_id", "left_anti")

@@ -17,7 +17,7 @@ no labelled rows every score is 1.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -182,13 +182,14 @@ def vote(model: Model, counts: np.ndarray) -> np.ndarray:
 def _scored(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The columns of ``df`` and __score of each row's text."""
     small_batches(df.sparkSession)
-    held = df.sparkSession.sparkContext.broadcast(model)
+    held = df.sparkSession.sparkContext.broadcast(asdict(model))  # executors may not be able to import the class
     schema = T.StructType([*df.schema.fields, T.StructField("__score", T.DoubleType(), False)])
     names, place = schema.names, df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(**held.value)
         for batch in batches:
-            scores = vote(held.value, term_counts(batch.column(place)))
+            scores = vote(model, term_counts(batch.column(place)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=names)
 
     return df.mapInArrow(run, schema)

@@ -2,8 +2,9 @@
 
 Tokens are runs of letters, digits and non-ASCII bytes, A-Z lower-cased. From a
 bounded sample of labelled documents each token gets the log-odds of its rates in
-toxic and other documents under an informative Dirichlet prior, whose mass is
-spread by the tokens' overall rates. Word ends vary, so that the same is done for
+toxic and other documents, counted once a document and copies of a document
+once, under an informative Dirichlet prior, whose mass is spread by the tokens'
+overall rates. Word ends vary, so that the same is done for
 tokens' first six and first four bytes; a token that the sample has hardly seen
 takes the log-odds of its longest known beginning. Tokens without significant
 log-odds score the small negative log-odds that they have as a whole.
@@ -25,7 +26,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._labels import labelled_texts
+from ._labels import labelled_texts, without_copies
 from ._support import held_out, small_batches, staged
 from ._words import chunks, hashes, utf8, words
 
@@ -42,6 +43,8 @@ ENTRIES = 50_000
 PRIOR = 1_000.0
 LEVELS = {"word": 1 << 30, "six": 6, "four": 4}
 SEEN = 3
+#: Millions of tokens are tested, so that chance alone reaches z-scores of 4 and more.
+Z = 5.0
 SIGNIFICANT = 0.05
 K = 0.1
 _SEPARATORS = np.ones(256, bool)
@@ -70,13 +73,18 @@ def _tokens(column: pa.Array) -> Iterator[tuple[np.ndarray, dict[str, np.ndarray
 
 
 def token_counts(sample: DataFrame) -> DataFrame:
-    """word, six, four (hashes), c0, c1 (occurrences in other and in toxic documents) of the sample's tokens."""
+    """word, six, four (hashes), c0, c1 (numbers of other and of toxic documents that hold it) of the sample's tokens.
+
+    A token counts once a document, so that one that repeats a word hundreds of times has one vote.
+    """
     small_batches(sample.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             labels = batch.column(1).to_numpy() > 0
             for rows, found in _tokens(batch.column(0)):
+                once = np.unique(np.column_stack([rows.astype(np.uint64), found["word"]]), axis=0, return_index=True)[1]
+                rows, found = rows[once], {name: x[once] for name, x in found.items()}
                 _, at, inverse = np.unique(found["word"], return_index=True, return_inverse=True)
                 toxic = labels[rows] if len(rows) else np.zeros(0, bool)
                 cols = [found[name][at].view(np.int64) for name in LEVELS] + [np.bincount(inverse[mask], minlength=len(at)).astype(np.int64) for mask in (~toxic, toxic)]
@@ -87,11 +95,11 @@ def token_counts(sample: DataFrame) -> DataFrame:
 
 
 def _log_odds(n0: float, n1: float) -> tuple[F.Column, F.Column]:
-    """Log-odds and z-score under the Dirichlet prior."""
-    prior = (F.col("c0") + F.col("c1")) * (PRIOR / (n0 + n1))
+    """Log-odds under the Dirichlet prior, and how far the toxic count is from chance: a difference of square roots, which has deviation 1."""
+    both = F.col("c0") + F.col("c1")
+    prior = both * (PRIOR / (n0 + n1))
     side = lambda c, n: F.log((F.col(c) + prior) / (n + PRIOR - F.col(c) - prior))
-    odds = side("c1", n1) - side("c0", n0)
-    return odds, odds / F.sqrt(1 / (F.col("c1") + prior) + 1 / (F.col("c0") + prior))
+    return side("c1", n1) - side("c0", n0), 2 * (F.sqrt("c1") - F.sqrt(both * (n1 / (n0 + n1))))
 
 
 def _learn_tokens(counts: DataFrame) -> Model | None:
@@ -103,7 +111,7 @@ def _learn_tokens(counts: DataFrame) -> Model | None:
     scored = {}
     for level, least in (("four", 2.0), ("six", 2.0), ("word", 1.0)):
         sums = counts.groupBy(level).agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")) if level != "word" else counts
-        scored[level] = sums.withColumn("odds", odds).withColumn("z", z).filter((F.col("c0") + F.col("c1") >= SEEN) & (F.col("odds") >= least) & (F.col("z") >= 3))
+        scored[level] = sums.withColumn("odds", odds).withColumn("z", z).filter((F.col("c0") + F.col("c1") >= SEEN) & (F.col("odds") >= least) & (F.col("z") >= Z))
     best = lambda df, *cols: df.orderBy(F.desc("z"), cols[0]).limit(ENTRIES).select(*cols).toArrow()
     levels, kept = {}, {level: best(scored[level], level, "odds", "c0", "c1") for level in ("four", "six")}
     # known words under a toxic beginning keep their own odds
@@ -212,38 +220,55 @@ def _segments(model: Model, column: pa.Array) -> Iterator[tuple[float, float, li
 def _scored(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The columns of ``df`` and __best, __total, __passages of each row's text."""
     small_batches(df.sparkSession)
-    held = df.sparkSession.sparkContext.broadcast(model)
+    held = df.sparkSession.sparkContext.broadcast(asdict(model))  # executors may not be able to import the class
     passage = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("e", pa.float64())]))
     schema = T.StructType([*df.schema.fields, *T._parse_datatype_string(f"__best double, __total double, __passages array<{PASSAGE}>").fields])
     names, place = schema.names, df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(**held.value)
         for batch in batches:
-            out = list(_segments(held.value, batch.column(place)))
+            out = list(_segments(model, batch.column(place)))
             passages = [[dict(zip(("start", "end", "score", "e"), p, strict=True)) for p in x[2]] for x in out]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.float64()), pa.array(passages, passage)], names=names)
 
     return df.mapInArrow(run, schema)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> np.ndarray:
-    """Weights of a logistic regression by Newton steps, the last for the constant."""
-    x = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(x.shape[1])
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 100) -> np.ndarray:
+    """Weights of a ridge logistic regression, the last for the constant.
+
+    Newton steps on standardised features, halved until the loss falls, so that
+    separable classes don't make them run away.
+    """
+    mean, scale = x.mean(axis=0), x.std(axis=0)
+    scale = np.where(scale > 0, scale, 1)
+    z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
+    penalty = ridge * len(y) * np.append(np.ones(x.shape[1]), 1e-3)
+
+    def loss(w: np.ndarray) -> float:
+        t = z @ w
+        return float((np.logaddexp(0, t) - y * t).sum() + (penalty * w * w).sum() / 2)
+
+    w = np.zeros(z.shape[1])
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - y) + ridge * len(y) * w
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * len(y) * np.eye(len(w)), gradient)
-        w -= step
-        if np.abs(step).max() < 1e-9:
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -500, 500)))
+        gradient = z.T @ (p - y) + penalty * w
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty), gradient)
+        size, now = 1.0, loss(w)
+        while size > 1e-6 and loss(w - size * step) > now:
+            size /= 2
+        w = w - size * step
+        if size <= 1e-6 or np.abs(step).max() < 1e-10:
             break
-    return w
+    slope = w[:-1] / scale
+    return np.append(slope, w[-1] - float((slope * mean).sum()))
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", sample: int = SAMPLE) -> Model | None:
     """A model of at most ``sample`` labelled documents, or None where they don't hold both classes."""
     texts = staged(labelled_texts(docs, labels, column, sample), "toxicity-sample")
-    counts = staged(token_counts(texts), "toxicity-counts")
+    counts = staged(token_counts(without_copies(texts)), "toxicity-counts")
     model = _learn_tokens(counts)
     if model:
         rows = _scored(texts.select("label", "text"), model).select("label", "__best", "__total").toArrow()

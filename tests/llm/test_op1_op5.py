@@ -44,6 +44,16 @@ def test_rate_solves_its_equation():
     assert abs((p * np.exp(toxicity._rate(p, s) * s)).sum() - 1) < 1e-6
 
 
+def test_logistic_regression():
+    x = np.linspace(-80, 80, 400)[:, None]
+    for y in (x[:, 0] > 10, x[:, 0] + 30 * np.sin(np.arange(400)) > 10):  # separable and not
+        w = toxicity.logistic(np.column_stack([x, np.log1p(np.maximum(x, 0))]), y.astype(float))
+        said = np.column_stack([x, np.log1p(np.maximum(x, 0)), np.ones(400)]) @ w > 0
+        assert (said == y).mean() > 0.85
+    w = toxicity.logistic(x, (x[:, 0] > 10).astype(float))
+    assert abs(-w[1] / w[0] - 10) < 2
+
+
 def corpus(spark):
     r = random.Random(3)
     plain = [f"{a}{b}" for a in "the of and ra mo li ta".split() for b in ("", "n", "st", "er", "ing")]
