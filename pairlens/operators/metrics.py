@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scoring import flipped, winner_from_margin
+from .windows import exact_quantiles, running_total
 
 
 def share(part: Column, whole: Column) -> Column:
@@ -159,12 +160,12 @@ def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
 def average_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
     """Adds the average rank of a column's values over all rows.
 
-    Ties share their mean rank. Values are counted first and only the distinct ones
-    are ordered, so that the rows themselves never meet in one task.
+    Ties share their mean rank. Values are counted first, and only the distinct ones
+    are ordered, bucket by bucket, so that they never meet in one task.
     """
     counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-    below = F.coalesce(F.sum("_n").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.join(counts.select(column, (below + (F.col("_n") + 1) / 2).alias(name)), column, "left")
+    ranks = running_total(counts, column, "_n", "_below").select(column, (F.col("_below") + (F.col("_n") + 1) / 2).alias(name))
+    return df.join(ranks, column, "left")
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -176,9 +177,9 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def five_numbers(df: DataFrame, column: str) -> DataFrame:
     """Mean, median, quartiles and range with linear interpolation; values that aren't numbers don't count."""
-    x = F.expr(f"try_cast({column} as double)")
-    p = lambda q: F.percentile(x, F.lit(q))
-    return df.agg(F.avg(x).alias("mean"), p(0.5).alias("median"), p(0.25).alias("p25"), p(0.75).alias("p75"), F.min(x).alias("min"), F.max(x).alias("max"))
+    rows = df.select(F.expr(f"try_cast({column} as double)").alias("x"))
+    middle, low, high = (F.lit(q).cast("double") for q in exact_quantiles(rows, "x", [0.5, 0.25, 0.75]))
+    return rows.agg(F.avg("x").alias("mean"), middle.alias("median"), low.alias("p25"), high.alias("p75"), F.min("x").alias("min"), F.max("x").alias("max"))
 
 
 def summary_line(df: DataFrame, column: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .windows import one_value
+
 
 def active_questions(domains: DataFrame, bank: DataFrame, dimensions: DataFrame) -> DataFrame:
     """domain, qid: the questions of a domain's dimensions; the whole bank for a domain without any.
@@ -16,7 +18,8 @@ def active_questions(domains: DataFrame, bank: DataFrame, dimensions: DataFrame)
     questions = bank.select("qid", F.lower("dimension").alias("d"))
     found = domains.select("domain").distinct().join(named, "domain").join(questions, "d").select("domain", "qid")
     rest = domains.select("domain").distinct().join(found.select("domain").distinct(), "domain", "left_anti")
-    return found.unionByName(rest.withColumn("one", F.lit(1)).join(questions.withColumn("one", F.lit(1)), "one").select("domain", "qid"))
+    whole = one_value(bank.agg(F.array_sort(F.collect_list("qid"))))
+    return found.unionByName(rest.select("domain", F.explode(whole).alias("qid")))
 
 
 def expected_count(domains: DataFrame, bank: DataFrame, dimensions: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scoring import flipped
+from .windows import one_value, smallest_hashes
 
 
 def hash_key(*parts: Column | str) -> Column:
@@ -37,20 +38,20 @@ def _smallest(df: DataFrame, keys: list[str], order: Column, n: Column | int) ->
 def group_split(df: DataFrame, group: str, ratio: float, seed: int = 42) -> DataFrame:
     """Adds split: dev for the int(n * ratio) groups with the smallest hashes, train for the others.
 
-    The bound is found by ordering the distinct groups; only their number and one
-    hash go through the driver's plan, as one broadcast row.
+    The bound is the largest hash of the chosen groups, a scalar subquery; groups are
+    put in order in one bucket of their hashes only.
     """
     groups = df.select(group).distinct().select(group, hash_key(F.lit(seed), group).alias("_h"))
     size = int(groups.count() * ratio)
     if not size:
         return df.withColumn("split", F.lit("train"))
-    edge = groups.orderBy("_h", group).limit(size).agg(F.max("_h").alias("_edge"))
-    return df.join(F.broadcast(edge)).withColumn("split", F.when(hash_key(F.lit(seed), group) <= F.col("_edge"), "dev").otherwise("train")).drop("_edge")
+    edge = one_value(smallest_hashes(groups, "_h", size, [group]).agg(F.max("_h")))
+    return df.withColumn("split", F.when(hash_key(F.lit(seed), group) <= edge, "dev").otherwise("train"))
 
 
 def fixed_size(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """The n rows with the smallest hashes of their key; all rows where there are fewer."""
-    return df.withColumn("_h", hash_key(F.lit(seed), key)).orderBy("_h", key).limit(n).drop("_h")
+    return smallest_hashes(df.withColumn("_h", hash_key(F.lit(seed), key)), "_h", n, [key]).drop("_h")
 
 
 def allocation(df: DataFrame, strata: list[str], total: int, least: int = 0) -> DataFrame:

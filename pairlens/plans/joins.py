@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pairlens.functions import parsers as P
@@ -134,8 +135,8 @@ def _(spark, sf):
     pairs = X.slim_pairs(spark, sf).select("pair_id")
     labels = J.keep_first(X.table(spark, sf, "labels").select(F.col("doc_id").alias("pair_id"), "quality"), ["pair_id"], ["quality"])
     counts = pairs.join(labels, "pair_id", "left").groupBy("quality").agg(F.count(F.lit(1)).alias("n_matched"))
-    lost = counts.agg(F.coalesce(F.sum(F.when(F.col("quality").isNull(), F.col("n_matched"))), F.lit(0)).alias("n_lost"))
-    return counts.filter("quality is not null").join(F.broadcast(lost))
+    lost = F.coalesce(F.max(F.when(F.col("quality").isNull(), F.col("n_matched"))).over(Window.partitionBy(F.lit(1))), F.lit(0))  # a row per label
+    return counts.withColumn("n_lost", lost).filter("quality is not null")
 
 
 @query("j9_three_key_join", "select p.pair_id from pairs p join (select pair_id, response_a, response_b from pairs where winner = 'A') q on p.pair_id = q.pair_id and p.response_a = q.response_a and p.response_b = q.response_b")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairlens.operators.windows import one_value
+
 #: The dimensions of the question bank; the second is asked in the code domain only.
 DIMENSIONS = (
     "clarity_and_communication",
@@ -61,8 +63,8 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_context(spark: SparkSession, sf_dir: str, df: DataFrame) -> DataFrame:
     """Add context_turns: conversation pair_id modulo the number of conversations."""
-    count = table(spark, sf_dir, "conversations").agg((F.max("conv_id") + 1).alias("n_conv"))
-    return df.join(F.broadcast(count)).withColumn("conv_id", F.col("pair_id") % F.col("n_conv")).drop("n_conv").join(turns(spark, sf_dir), "conv_id")
+    count = one_value(table(spark, sf_dir, "conversations").agg(F.max("conv_id") + 1))
+    return df.withColumn("conv_id", F.col("pair_id") % count).join(turns(spark, sf_dir), "conv_id")
 
 
 def bank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +79,7 @@ def bank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def domain_dimensions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(ACTIVE), "domain string, dimension string")
+    return spark.sql("select * from values " + ", ".join(map(str, ACTIVE)) + " as t (domain, dimension)")
 
 
 def active_bank(spark: SparkSession, sf_dir: str) -> DataFrame:

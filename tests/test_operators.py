@@ -124,6 +124,25 @@ def test_samples_keep_their_sizes(spark):
     assert {r.id for r in G.fixed_size(df.repartition(7), "id", 13).collect()} == {r.id for r in G.fixed_size(df, "id", 13).collect()}
 
 
+def test_order_statistics_over_buckets(spark):
+    from pairlens.operators import windows as V
+
+    xs = [float((i * 37) % 101) for i in range(300)] + [5.0] * 200
+    df = spark.createDataFrame([(x,) for x in xs] + [(None,), (float("nan"),)], "x double")
+    import numpy as np
+
+    for cuts in (2, 16, 256):
+        assert V.exact_quantiles(df, "x", [0.0, 0.1, 0.5, 0.93, 1.0], cuts) == pytest.approx(list(np.quantile(xs, [0.0, 0.1, 0.5, 0.93, 1.0])))
+        n = spark.createDataFrame([(i, i % 5) for i in range(500)], "k int, v int")
+        got = {r.k: r.t for r in V.running_total(n, "k", "v", "t", cuts).collect()}
+        assert got == {i: sum(j % 5 for j in range(i)) for i in range(500)}
+    assert V.exact_quantiles(df.limit(0), "x", [0.5]) == [None]
+    h = spark.range(3000).select("id", G.hash_key("id").alias("h"))
+    for k in (0, 1, 1234, 3000, 9999):
+        want = {r.id for r in h.orderBy("h").limit(k).collect()}
+        assert {r.id for r in V.smallest_hashes(h, "h", k, ["id"]).collect()} == want
+
+
 def test_leaks_and_repeats_raise(spark):
     a, b = spark.range(5), spark.range(4, 9)
     with pytest.raises(ValueError):
