@@ -9,7 +9,7 @@ from pairlens.operators import scoring as S
 from pairlens.sources import fixtures as X
 
 from . import scoring as Q
-from .registry import query
+from .registry import query, rounded
 
 _LONG = """
 , sides as (select domain, winner, dimension, qid, pair_id, ans_a as answer from gaps union all select domain, winner, dimension, qid, pair_id, ans_b from gaps),
@@ -31,10 +31,10 @@ def _(spark, sf):
 @query(
     "a3_dimension_accuracy",
     ", p as (select pair_id, winner, dimension, count(*) filter (where ans_a = 'yes') as ya, count(*) filter (where ans_b = 'yes') as yb, count(*) filter (where ans_a <> 'na') as na, count(*) filter (where ans_b <> 'na') as nb, count(*) filter (where ans_a = 'na') + count(*) filter (where ans_b = 'na') as nn from gaps group by all), "
-    "s as (select *, ya / na as sa, yb / nb as sb from p where na > 0 and nb > 0) select dimension, count(*) as n_samples, avg(sa) as avg_score_a, avg(sb) as avg_score_b, avg((winner in ('A', 'B') and winner = case when sa > sb then 'A' when sb > sa then 'B' else 'Tie' end)::double) as dimension_accuracy, sum(nn) / sum(na + nb + nn) as avg_na_rate from s group by dimension",
+    "s as (select *, ya / na as sa, yb / nb as sb from p where na > 0 and nb > 0) select dimension, count(*) as n_samples, round(avg(sa), 9) as avg_score_a, round(avg(sb), 9) as avg_score_b, avg((winner in ('A', 'B') and winner = case when sa > sb then 'A' when sb > sa then 'B' else 'Tie' end)::double) as dimension_accuracy, sum(nn) / sum(na + nb + nn) as avg_na_rate from s group by dimension",
 )
 def _(spark, sf):
-    return D.dimension_accuracy(X.with_gaps(X.answers(spark, sf)), ["pair_id"])
+    return rounded(D.dimension_accuracy(X.with_gaps(X.answers(spark, sf)), ["pair_id"]), "avg_score_a", "avg_score_b")
 
 
 _COLLAPSED = _LONG + """
@@ -78,9 +78,9 @@ def _(spark, sf):
     return dropped_rows(spark, sf).select("dimension", "question_text", "drop_reasons", "drop")
 
 
-@query("a34_bank_summary", _COLLAPSED + "select dimension, count(*) as n_before, count(*) filter (where not gone) as n_after, avg(na_rate) as na_before, avg(na_rate) filter (where not gone) as na_after from dd group by dimension")
+@query("a34_bank_summary", _COLLAPSED + "select dimension, count(*) as n_before, count(*) filter (where not gone) as n_after, round(avg(na_rate), 9) as na_before, round(avg(na_rate) filter (where not gone), 9) as na_after from dd group by dimension")
 def _(spark, sf):
-    return D.bank_summary(dropped_rows(spark, sf))
+    return rounded(D.bank_summary(dropped_rows(spark, sf)), "na_before", "na_after")
 
 
 @query("io9_bank_writer", _COLLAPSED + "select b.dimension, b.sub_aspect, coalesce(list(b.question_text order by qid) filter (where not coalesce(gone, false)), []) as questions, count(*) as original_count, count(*) filter (where gone) as removed_count from bank b left join dd using (dimension, question_text) group by all")
@@ -218,13 +218,13 @@ def _(spark, sf):
     return X.answers(spark, sf).groupBy("qid", "winner").agg(F.avg((F.col("ans_a") == label("A")).cast("double")).alias("agree_a"), F.avg((F.col("ans_b") == label("B")).cast("double")).alias("agree_b"))
 
 
-@query("a30_training_balance", "select count(*) as n, count(*) filter (where winner = 'A') / count(*) filter (where winner <> 'Tie') as first_ratio, count(distinct domain) as n_domains, avg(ca - cb) filter (where winner = 'A') as a_longer, quantile_cont(case when winner = 'A' then ca else cb end, 0.5) as chosen_median, quantile_cont(case when winner = 'A' then cb else ca end, 0.5) as rejected_median, stddev_samp(ca) as ca_std from pairs")
+@query("a30_training_balance", "select count(*) as n, count(*) filter (where winner = 'A') / count(*) filter (where winner <> 'Tie') as first_ratio, count(distinct domain) as n_domains, avg(ca - cb) filter (where winner = 'A') as a_longer, quantile_cont(case when winner = 'A' then ca else cb end, 0.5) as chosen_median, quantile_cont(case when winner = 'A' then cb else ca end, 0.5) as rejected_median, round(stddev_samp(ca), 6) as ca_std from pairs")
 def _(spark, sf):
     w, a, b = F.col("winner"), F.col("ca"), F.col("cb")
     chosen, rejected = F.when(w == "A", a).otherwise(b), F.when(w == "A", b).otherwise(a)
     return X.slim_pairs(spark, sf).agg(
         F.count(F.lit(1)).alias("n"), (F.count_if(w == "A") / F.count_if(w != "Tie")).alias("first_ratio"), F.count_distinct("domain").alias("n_domains"), F.avg(F.when(w == "A", a - b)).alias("a_longer"),
-        F.percentile(chosen, F.lit(0.5)).alias("chosen_median"), F.percentile(rejected, F.lit(0.5)).alias("rejected_median"), F.stddev_samp("ca").alias("ca_std"),
+        F.percentile(chosen, F.lit(0.5)).alias("chosen_median"), F.percentile(rejected, F.lit(0.5)).alias("rejected_median"), F.round(F.stddev_samp("ca"), 6).alias("ca_std"),
     )
 
 

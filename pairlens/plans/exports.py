@@ -10,7 +10,7 @@ from pairlens.operators import exports as E
 from pairlens.sources import fixtures as X
 
 from . import scoring as Q
-from .registry import query
+from .registry import query, rounded
 
 
 def _contexts(spark, sf):
@@ -77,9 +77,9 @@ def _(spark, sf):
     return X.slim_pairs(spark, sf).join(ties, "pair_id", "left_semi").select("pair_id", "domain")
 
 
-@query("io11_wide_scalars", "select user_id, avg(value) filter (where event_type = 'click') as click, avg(value) filter (where event_type = 'view') as \"view\", avg(value) filter (where event_type = 'error') as error from events group by user_id")
+@query("io11_wide_scalars", "select user_id, round(avg(value) filter (where event_type = 'click'), 9) as click, round(avg(value) filter (where event_type = 'view'), 9) as \"view\", round(avg(value) filter (where event_type = 'error'), 9) as error from events group by user_id")
 def _(spark, sf):
-    return E.wide(X.table(spark, sf, "events"), ["user_id"], "event_type", "value", ["click", "view", "error"])
+    return rounded(E.wide(X.table(spark, sf, "events"), ["user_id"], "event_type", "value", ["click", "view", "error"]), "click", "view", "error")
 
 
 @query("io14_resume_cache", ", r as (select event_id % 50 as k, substr(sha256(props), 1, 8) as h, event_id from events), c as (select distinct k, h from r where event_id % 3 = 0) select k, h, min(event_id) as first_id from r where not exists (select 1 from c where c.k = r.k and c.h = r.h) group by all")

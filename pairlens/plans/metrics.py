@@ -10,7 +10,7 @@ from pairlens.operators import scoring as S
 from pairlens.sources import fixtures as X
 
 from . import scoring as Q
-from .registry import query
+from .registry import query, rounded
 
 _F1 = "coalesce(2.0 * count(*) filter (where v and winner = '{0}' and predicted_winner = '{0}') / nullif(count(*) filter (where v and winner = '{0}') + count(*) filter (where v and predicted_winner = '{0}'), 0), 0)"
 _CLASSES = f"""
@@ -40,11 +40,12 @@ def _(spark, sf):
     return M.report(Q.judged(spark, sf))
 
 
-@query("a10_score_gaps", Q._COUNTS + ", s as (select pair_id, side, y / (y + o) as score from sides), w as (select a.pair_id, a.score as x, b.score as y, predicted_winner from s a join s b on a.pair_id = b.pair_id and a.side = 'a' and b.side = 'b' join judged j on j.pair_id = a.pair_id) select avg(x) as avg_score_a, avg(y) as avg_score_b, avg(x - y) as avg_score_gap, avg(abs(x - y)) filter (where predicted_winner = 'Tie') as avg_tie_score_gap from w")
+@query("a10_score_gaps", Q._COUNTS + ", s as (select pair_id, side, y / (y + o) as score from sides), w as (select a.pair_id, a.score as x, b.score as y, predicted_winner from s a join s b on a.pair_id = b.pair_id and a.side = 'a' and b.side = 'b' join judged j on j.pair_id = a.pair_id) select round(avg(x), 9) as avg_score_a, round(avg(y), 9) as avg_score_b, round(avg(x - y), 9) as avg_score_gap, round(avg(abs(x - y)) filter (where predicted_winner = 'Tie'), 9) as avg_tie_score_gap from w")
 def _(spark, sf):
     counts = S.side_counts(X.with_gaps(X.answers(spark, sf)), ["pair_id"])
     score = lambda s: F.try_divide(F.col(f"n_yes_{s}"), F.col(f"n_yes_{s}") + F.col(f"n_no_{s}")).alias(f"score_{s}")
-    return M.score_gaps(counts.select("pair_id", score("a"), score("b")).join(Q.judged(spark, sf).select("pair_id", "predicted_winner"), "pair_id"))
+    gaps = M.score_gaps(counts.select("pair_id", score("a"), score("b")).join(Q.judged(spark, sf).select("pair_id", "predicted_winner"), "pair_id"))
+    return rounded(gaps, *gaps.columns)
 
 
 @query("a1_value_counts", "select 'winner' as what, winner as value, count(*) as n from preds group by all union all select 'domain', domain, count(*) from preds group by all union all select 'predicted_winner', predicted_winner, count(*) from preds group by all")
@@ -201,14 +202,14 @@ def _(spark, sf):
     return rows.rollup("domain").agg(F.count(F.lit(1)).alias("n"), hit(said).alias("acc_base"), hit(F.col("p")).alias("acc_tuned"), F.avg(F.when(said.isin("A", "B"), (said == gold).cast("double"))).alias("acc_base_no_ties"), M.share(F.count_if(said.eqNullSafe(F.col("p"))), F.count(F.lit(1))).alias("same"))
 
 
-@query("w21_latency_quantiles", "select event_type, count(*) as n, quantile_cont(value, 0.5) as p50, quantile_cont(value, 0.9) as p90 from events group by event_type")
+@query("w21_latency_quantiles", "select event_type, count(*) as n, round(quantile_cont(value, 0.5), 9) as p50, round(quantile_cont(value, 0.9), 9) as p90 from events group by event_type")
 def _(spark, sf):
-    return X.table(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.percentile("value", F.lit(0.5)).alias("p50"), F.percentile("value", F.lit(0.9)).alias("p90"))
+    return rounded(X.table(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.percentile("value", F.lit(0.5)).alias("p50"), F.percentile("value", F.lit(0.9)).alias("p90")), "p50", "p90")
 
 
-@query("a21_five_numbers", "select avg(margin) as mean, quantile_cont(margin, 0.5) as median, quantile_cont(margin, 0.25) as p25, quantile_cont(margin, 0.75) as p75, min(margin) as min, max(margin) as max from margins")
+@query("a21_five_numbers", "select round(avg(margin), 9) as mean, round(quantile_cont(margin, 0.5), 9) as median, round(quantile_cont(margin, 0.25), 9) as p25, round(quantile_cont(margin, 0.75), 9) as p75, min(margin) as min, max(margin) as max from margins")
 def _(spark, sf):
-    return M.five_numbers(S.margins(X.answers(spark, sf), Q.KEYS), "margin")
+    return rounded(M.five_numbers(S.margins(X.answers(spark, sf), Q.KEYS), "margin"), "mean", "median", "p25", "p75")
 
 
 @query("a22_spearman", ", r as (select m.margin, p.ca - p.cb as d from margins m join pairs p using (pair_id)), k as (select rank() over (order by margin) + (count(*) over (partition by margin) - 1) / 2 as x, rank() over (order by d) + (count(*) over (partition by d) - 1) / 2 as y from r) select count(*) as n, round(corr(x, y), 9) as rho from k")
@@ -223,6 +224,6 @@ def _(spark, sf):
     return M.pearson(rows, "margin", "d").withColumn("r", F.round("r", 9))
 
 
-@query("a24_summary_line", "select count(margin) as n, avg(margin) as mean, stddev_samp(margin) as std, min(margin) as min, max(margin) as max from margins")
+@query("a24_summary_line", "select count(margin) as n, round(avg(margin), 9) as mean, round(stddev_samp(margin), 9) as std, min(margin) as min, max(margin) as max from margins")
 def _(spark, sf):
-    return M.summary_line(S.margins(X.answers(spark, sf), Q.KEYS), "margin")
+    return rounded(M.summary_line(S.margins(X.answers(spark, sf), Q.KEYS), "margin"), "mean", "std")

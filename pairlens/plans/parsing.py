@@ -57,10 +57,10 @@ def _(spark, sf):
     return P.checklist_answers(lines(spark, sf), KEYS)
 
 
-@query("a37_parse_summary", _LINES + "select side % 2 = 0 as is_a, count(*) as n, count(*) filter (where n_yes + n_no = 0) as n_failed, sum(n_na) as n_na, sum(n_duplicates) as n_duplicates, count(*) filter (where n_na > 0) as n_with_na from parsed group by all")
+@query("a37_parse_summary", _LINES + "select side % 2 = 0 as is_a, count(*) as n, count(*) filter (where n_yes + n_no = 0) as n_failed, sum(n_na)::bigint as n_na, sum(n_duplicates)::bigint as n_duplicates, count(*) filter (where n_na > 0) as n_with_na from parsed group by all")
 def _(spark, sf):
     p = P.parsed_checklist(lines(spark, sf), KEYS)
-    return p.groupBy((F.col("side") == 0).alias("is_a")).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("parse_ok")).alias("n_failed"), F.sum("n_na").cast("decimal(38,0)").alias("n_na"), F.sum("n_duplicates").cast("decimal(38,0)").alias("n_duplicates"), F.count_if(F.col("n_na") > 0).alias("n_with_na"))
+    return p.groupBy((F.col("side") == 0).alias("is_a")).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("parse_ok")).alias("n_failed"), F.sum("n_na").alias("n_na"), F.sum("n_duplicates").alias("n_duplicates"), F.count_if(F.col("n_na") > 0).alias("n_with_na"))
 
 
 @query("f9_rows_with_na", "select pair_id, cast(side as integer) as side, len(regexp_extract_all(raw, '(?im)^\\s*q([0-9]+):\\s*n\\s*/?\\s*a\\b')) as n_na from outputs where regexp_matches(raw, '(?im)^\\s*q([0-9]+):\\s*n\\s*/?\\s*a\\b')")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pairlens.sources.fixtures import PRELUDE
 
@@ -31,6 +32,11 @@ def query(name: str, sql: str | None = None, prelude: bool = True) -> Callable[[
     return add
 
 
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    """Sums and means of inexact doubles to nine digits: their last bits depend on the order of the rows."""
+    return df.withColumns({c: F.round(c, 9) for c in columns})
+
+
 def _load() -> None:
     for module in MODULES:
         import_module(f"pairlens.plans.{module}")

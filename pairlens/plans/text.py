@@ -143,10 +143,10 @@ def _(spark, sf):
     return contexts(spark, sf).select("pair_id", F.sha2(F.concat_ws("\n", F.lit("v1"), "context", "response_a", "response_b"), 256).alias("prompt_sha256"))
 
 
-@query("p31_latency_shares", "select event_type, event_id % 50 as stage, avg(value) / count(*) as latency from events group by all")
+@query("p31_latency_shares", "select event_type, event_id % 50 as stage, round(avg(value) / count(*), 9) as latency from events group by all")
 def _(spark, sf):
     e = X.table(spark, sf, "events")
-    return e.groupBy("event_type", (F.col("event_id") % 50).alias("stage")).agg((F.avg("value") / F.count(F.lit(1))).alias("latency"))
+    return e.groupBy("event_type", (F.col("event_id") % 50).alias("stage")).agg(F.round(F.avg("value") / F.count(F.lit(1)), 9).alias("latency"))
 
 
 @query(
