@@ -67,7 +67,7 @@ def _(spark, sf):
 
 @query("f12_review_set", ", y as (select pair_id, winner, count(*) filter (where ans_a = 'yes') as ya, count(*) filter (where ans_b = 'yes') as yb, count(*) as n from gaps group by all) select pair_id from y where winner <> 'Tie' and (case winner when 'A' then ya else yb end) * 2 < n")
 def _(spark, sf):
-    """Pairs whose gold side has few yes answers; the reference asks for none, which these views never have."""
+    """Pairs whose gold side has few yes answers; no answer at all, the usual rule, never occurs in these views."""
     counts = S.side_counts(X.with_gaps(X.answers(spark, sf)), ["pair_id", "winner"])
     gold = F.when(F.col("winner") == "A", F.col("n_yes_a")).otherwise(F.col("n_yes_b"))
     return counts.filter(F.col("winner").isin("A", "B") & (gold * 2 < F.col("expected_n"))).select("pair_id")

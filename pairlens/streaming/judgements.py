@@ -1,6 +1,6 @@
 """Judge outputs as they arrive: scored without state, with repeated requests dropped within a watermark.
 
-An extension: batch plans are the reference here. A stream's micro-batches run the
+An extension of the batch plans. A stream's micro-batches run the
 same expressions, so that each output is parsed and scored once.
 """
 
