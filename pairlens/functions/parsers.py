@@ -8,12 +8,9 @@ from pyspark.sql import functions as F
 from .text import LINE_END, SPACE, strip
 
 #: The line forms of a checklist answer.
-_NUMBER = r"(?i)^Q([0-9]+):"
-_ANSWER = _NUMBER + rf"{SPACE}*(yes|no)$"
-_NA_WORD = rf"(?:N{SPACE}*/{SPACE}*A|NA|not{SPACE}*applicable){SPACE}*[.。]?$"
-_NA = _NUMBER + rf"{SPACE}*" + _NA_WORD
-_BARE = r"(?i)^(yes|no)$"
-_BARE_NA = r"(?i)^" + _NA_WORD
+_NA_WORD = rf"(?:N{SPACE}*/{SPACE}*A|NA|not{SPACE}*applicable){SPACE}*[.。]?"
+#: groups: number, answer; neither where a line has another form
+_LINE = rf"(?i)^(?:Q([0-9]+):{SPACE}*)?(yes|no|{_NA_WORD})$"
 
 
 def checklist_lines(df: DataFrame, keys: list[str], raw: str = "raw", n: str = "n") -> DataFrame:
@@ -25,20 +22,20 @@ def checklist_lines(df: DataFrame, keys: list[str], raw: str = "raw", n: str = "
     """
     rows = df.select(*keys, F.col(n).alias("n"), F.posexplode(F.split(F.coalesce(F.col(raw), F.lit("")), LINE_END, -1)).alias("lineno", "line"))
     rows = rows.withColumn("lineno", F.col("lineno") + 1).withColumn("line", strip(F.col("line")))
-    line = F.col("line")
-    kind = F.when(line == "", "blank").when(line.rlike(_ANSWER), "answer").when(line.rlike(_NA), "na").when(line.rlike(_BARE), "bare").when(line.rlike(_BARE_NA), "bare_na").otherwise("other")
+    rows = rows.withColumn("_said", F.lower(F.regexp_extract("line", _LINE, 2))).withColumn("_number", F.regexp_extract("line", _LINE, 1))
+    named, said = F.col("_number") != "", F.col("_said").isin("yes", "no")
+    kind = F.when(F.col("line") == "", "blank").when(F.col("_said") == "", "other").when(named & said, "answer").when(named, "na").when(said, "bare").otherwise("bare_na")
     rows = rows.withColumn("kind", kind)
     so_far = Window.partitionBy(*keys).orderBy("lineno").rowsBetween(Window.unboundedPreceding, 0)
     match = F.col("kind").isin("answer", "na", "bare", "bare_na")
     rows = rows.withColumn("_m", match).withColumn("_started", F.max("_m").over(so_far)).withColumn("_bad", (F.col("kind") == "other") & F.col("_started"))
     rows = rows.withColumn("_stops", F.count_if(F.col("_bad")).over(so_far)).withColumn("_bare", F.count_if(F.col("kind").startswith("bare")).over(so_far))
-    number = F.expr(f"try_cast(regexp_extract(line, '{_NUMBER}', 1) as bigint)")
-    q = F.when(F.col("kind").isin("answer", "na"), F.coalesce(number, F.lit(0))).when(F.col("_m"), F.col("_bare"))
+    q = F.when(F.col("kind").isin("answer", "na"), F.coalesce(F.col("_number").try_cast("bigint"), F.lit(0))).when(F.col("_m"), F.col("_bare"))
     live = F.col("_m") & (F.col("_stops") == 0)
     rows = rows.withColumn("q", F.when(live, q)).withColumn("_in", F.coalesce(live & (F.col("q") >= 1) & (F.col("n").isNull() | (F.col("q") <= F.col("n"))), F.lit(False)))
     first = F.row_number().over(Window.partitionBy(*keys, "_in", "q").orderBy("lineno"))
     fate = F.when(F.col("_bad") & (F.col("_stops") == 1), "stop").when(~live, "ignored").when(~F.col("_in"), "out_of_range").when(first > 1, "duplicate").otherwise("kept")
-    answer = F.when(F.col("kind").isin("na", "bare_na"), "na").otherwise(F.lower(F.regexp_extract("line", r"(?i)(yes|no)$", 1)))
+    answer = F.when(F.col("kind").isin("na", "bare_na"), "na").otherwise(F.col("_said"))
     return rows.withColumn("fate", fate).select(*keys, "n", "lineno", "line", "kind", "q", F.when(F.col("fate") == "kept", answer).alias("answer"), "fate")
 
 
@@ -58,8 +55,8 @@ def parsed_checklist(lines: DataFrame, keys: list[str]) -> DataFrame:
     kept = F.col("fate") == "kept"
     is_na = F.col("answer") == "na"
     count = lambda c: F.count_if(c)
-    ordered = F.array_sort(F.collect_list(F.when(kept & ~is_na, F.struct(F.col("q").cast("int").alias("q"), "answer"))))
-    nas = F.array_sort(F.collect_list(F.when(kept & is_na, F.col("q").cast("int"))))
+    ordered = F.sort_array(F.collect_list(F.when(kept & ~is_na, F.struct(F.col("q").cast("int").alias("q"), "answer"))))
+    nas = F.sort_array(F.collect_list(F.when(kept & is_na, F.col("q").cast("int"))))
     bad = F.col("fate") == "stop"
     g = lines.groupBy(*keys).agg(
         F.max("n").alias("n"), ordered.alias("answers"), nas.alias("na_qnums"), count(kept & (F.col("answer") == "yes")).alias("n_yes"), count(kept & (F.col("answer") == "no")).alias("n_no"),
@@ -103,7 +100,7 @@ def _by_number(found: Column, last: bool) -> Column:
     """One label per number: the first or the last."""
     rows = F.reverse(found) if last else found
     once = F.transform(F.array_distinct(F.transform(rows, lambda x: x["q"])), lambda q: F.struct(q.alias("q"), F.filter(rows, lambda x: x["q"] == q)[0]["label"].alias("label")))
-    return F.array_sort(once)
+    return F.sort_array(once)
 
 
 def comparative_answers(raw: Column) -> Column:
@@ -203,7 +200,7 @@ def importance(raw: Column) -> Column:
     """array<struct<qid, importance>> of the first JSON block's weights, clamped to 0..5; the last of a question counts."""
     got = F.from_json(F.regexp_extract(raw, r"(?s)(\{.*\})", 1), "struct<weights:array<struct<qid:int,importance:double>>>")["weights"]
     got = F.reverse(F.filter(F.coalesce(got, F.array().cast("array<struct<qid:int,importance:double>>")), lambda x: x["qid"].isNotNull() & x["importance"].isNotNull()))
-    ids = F.array_sort(F.array_distinct(F.transform(got, lambda x: x["qid"])))
+    ids = F.sort_array(F.array_distinct(F.transform(got, lambda x: x["qid"])))
     return F.transform(ids, lambda q: F.struct(q.alias("qid"), F.greatest(F.lit(0.0), F.least(F.lit(5.0), F.filter(got, lambda x: x["qid"] == q)[0]["importance"])).alias("importance")))
 
 
@@ -231,7 +228,7 @@ def prompt_questions(prompt: Column) -> Column:
 
 def answer_differences(a: Column, b: Column, missing: str = "—") -> Column:
     """array<struct<q, a, b>> where two maps of labels differ, a missing side shown as a dash."""
-    numbers = F.array_sort(F.array_union(F.map_keys(a), F.map_keys(b)))
+    numbers = F.sort_array(F.array_union(F.map_keys(a), F.map_keys(b)))
     get = lambda m, q: F.coalesce(F.try_element_at(m, q), F.lit(missing))
     return F.filter(F.transform(numbers, lambda q: F.struct(q.alias("q"), get(a, q).alias("a"), get(b, q).alias("b"))), lambda x: x["a"] != x["b"])
 

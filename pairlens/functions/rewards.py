@@ -23,7 +23,7 @@ def _total(parsed: Column) -> Column:
 def parse_ok(parsed: Column, ab_only: bool = False) -> Column:
     """A whole trace: enough questions and not too many, a verdict for each of 1..n, a winner (A or B where ``ab_only``)."""
     n = parsed["n_questions"]
-    whole = F.array_sort(F.map_keys(parsed["verdicts"])) == F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    whole = F.sort_array(F.map_keys(parsed["verdicts"])) == F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
     winner = parsed["winner"].isin("A", "B") if ab_only else parsed["winner"].isNotNull()
     return F.coalesce((F.size(parsed["checklist"]) > 0) & (_total(parsed) > 0) & winner & parsed["matched"] & n.between(MIN_Q, MAX_Q) & whole, F.lit(False))
 

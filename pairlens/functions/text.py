@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 #: What ends a line, and white space, in Unicode text.
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
+_WHITE = "".join(chr(c) for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 
 
 def strip(c: Column) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+\\z", "")
+    return F.btrim(c, F.lit(_WHITE))
 
 
 def lines(c: Column) -> Column:

@@ -38,7 +38,7 @@ def dimension_accuracy(facts: DataFrame, sample: list[str]) -> DataFrame:
 def collapsed(diagnostics: DataFrame) -> DataFrame:
     """Per (dimension, question_text): sums over domains, the domains seen, rates; null rates where nothing was counted."""
     s = {x: F.sum(f"n_{x}") for x in ("yes", "no", "na")}
-    g = diagnostics.groupBy("dimension", "question_text").agg(*(v.alias(f"n_{x}") for x, v in s.items()), F.array_join(F.array_sort(F.collect_set("domain")), ",").alias("domains_seen"))
+    g = diagnostics.groupBy("dimension", "question_text").agg(*(v.alias(f"n_{x}") for x, v in s.items()), F.array_join(F.sort_array(F.collect_set("domain")), ",").alias("domains_seen"))
     answered = F.col("n_yes") + F.col("n_no")
     return g.withColumn("n_effective_nonna", answered).withColumn("yes_rate_nonna", F.try_divide(F.col("n_yes"), answered)).withColumn("na_rate", F.try_divide(F.col("n_na"), answered + F.col("n_na")))
 

@@ -158,20 +158,19 @@ def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def average_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Adds the average rank of a column's values over all rows.
+    """(column, name): each value's average rank over all rows.
 
     Ties share their mean rank. Values are counted first, and only the distinct ones
     are ordered, bucket by bucket, so that they never meet in one task.
     """
     counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-    ranks = running_total(counts, column, "_n", "_below").select(column, (F.col("_below") + (F.col("_n") + 1) / 2).alias(name))
-    return df.join(ranks, column, "left")
+    return running_total(counts, column, "_n", "_below").select(column, (F.col("_below") + (F.col("_n") + 1) / 2).alias(name))
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Rank correlation with average ranks; null for fewer than two rows or a constant column."""
     both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
-    ranks = average_ranks(average_ranks(both, x, "_rx"), y, "_ry")
+    ranks = both.join(average_ranks(both, x, "_rx"), x).join(average_ranks(both, y, "_ry"), y)
     return ranks.agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= 2, F.corr("_rx", "_ry")).alias("rho"))
 
 

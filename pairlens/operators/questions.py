@@ -18,7 +18,7 @@ def active_questions(domains: DataFrame, bank: DataFrame, dimensions: DataFrame)
     questions = bank.select("qid", F.lower("dimension").alias("d"))
     found = domains.select("domain").distinct().join(named, "domain").join(questions, "d").select("domain", "qid")
     rest = domains.select("domain").distinct().join(found.select("domain").distinct(), "domain", "left_anti")
-    whole = one_value(bank.agg(F.array_sort(F.collect_list("qid"))))
+    whole = one_value(bank.agg(F.sort_array(F.collect_list("qid"))))
     return found.unionByName(rest.select("domain", F.explode(whole).alias("qid")))
 
 

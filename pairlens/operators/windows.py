@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CUTS = 256
+CUTS = 64
 PREFIX = 3  # hex digits: 4,096 buckets
 
 

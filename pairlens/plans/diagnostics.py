@@ -161,7 +161,7 @@ def _(spark, sf):
 
     counts = tagged(spark, sf).select("task", F.explode("tags").alias("tag")).groupBy("task", "tag").agg(F.count(F.lit(1)).alias("n"))
     top = ranked(counts, ["task"], [F.desc("n"), F.col("tag")], "r").filter("r <= 3")
-    return top.groupBy("task").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", F.concat("tag", F.lit(" ("), "n", F.lit(")")).alias("t")))), lambda x: x["t"]), ", ").alias("top_modes"))
+    return top.groupBy("task").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", F.concat("tag", F.lit(" ("), "n", F.lit(")")).alias("t")))), lambda x: x["t"]), ", ").alias("top_modes"))
 
 
 @query("w18_representative_cases", _TAGS + ", e as (select pair_id, nonzero_rate, unnest(tags) as tag from tg), k as (select *, cast(row_number() over (partition by tag order by nonzero_rate, pair_id) as integer) as place from e) select pair_id, nonzero_rate, tag, place from k where place <= 5")
@@ -241,7 +241,7 @@ def _(spark, sf):
 
     d = X.table(spark, sf, "documents").select("lang", "doc_id", F.substring("text", 1, 12).alias("q")).withColumn("k", F.lower("q"))
     rows = keep_first(d, ["lang", "k"], ["doc_id"])
-    return rows.groupBy("lang").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "q"))), lambda x: x["q"]), "\n"), 256).alias("h"), F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("lang").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "q"))), lambda x: x["q"]), "\n"), 256).alias("h"), F.count(F.lit(1)).alias("n"))
 
 
 @query("a33_annotator_statistics", "select pair_id, [pair_id % 7 - 3, pair_id % 3 - 1, 1] as scores, 3 as n, (pair_id % 7 - 3 + pair_id % 3 - 1 + 1) / 3 as mean, len(list_distinct([sign(pair_id % 7 - 3), sign(pair_id % 3 - 1), 1])) = 1 as unanimous from pairs")

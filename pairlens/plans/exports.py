@@ -37,7 +37,7 @@ def _(spark, sf):
 
 @query("d5_generator_rows", ", s as (select domain, dimension, '### ' || dimension || chr(10) || string_agg('- ' || question_text, chr(10) order by qid) as t from active group by domain, dimension), g as (select domain, string_agg(t, chr(10) || chr(10) order by dimension) as t from s group by domain) select pair_id, sha256(context || chr(10) || t) as h from paired join g using (domain)")
 def _(spark, sf):
-    dims = X.active_bank(spark, sf).groupBy("domain", "dimension").agg(F.transform(F.array_sort(F.collect_list(F.struct("qid", "question_text"))), lambda x: x["question_text"]).alias("q"))
+    dims = X.active_bank(spark, sf).groupBy("domain", "dimension").agg(F.transform(F.sort_array(F.collect_list(F.struct("qid", "question_text"))), lambda x: x["question_text"]).alias("q"))
     targets = dims.groupBy("domain").agg(F.map_from_entries(F.collect_list(F.struct("dimension", "q"))).alias("m")).select("domain", T.checklist_text(F.col("m"), X.DIMENSIONS).alias("target"))
     return _contexts(spark, sf).join(F.broadcast(targets), "domain").select("pair_id", F.sha2(F.concat_ws("\n", "context", "target"), 256).alias("h"))
 

@@ -186,7 +186,7 @@ def _(spark, sf):
 @query("s3_s4_set_operations", ", l as (select pair_id, list(qid order by qid) filter (where qid % 2 = 0) as a, list(qid order by qid) filter (where qid % 3 = 0) as b from answers group by pair_id) select pair_id, list_sort(list_intersect(a, b)) as common, list_filter(a, lambda x: not list_contains(b, x)) as remaining from l")
 def _(spark, sf):
     q = F.col("qid")
-    rows = X.answers(spark, sf).groupBy("pair_id").agg(F.array_sort(F.collect_list(F.when(q % 2 == 0, q))).alias("a"), F.array_sort(F.collect_list(F.when(q % 3 == 0, q))).alias("b"))
+    rows = X.answers(spark, sf).groupBy("pair_id").agg(F.sort_array(F.collect_list(F.when(q % 2 == 0, q))).alias("a"), F.sort_array(F.collect_list(F.when(q % 3 == 0, q))).alias("b"))
     return rows.select("pair_id", F.array_intersect("a", "b").alias("common"), F.array_except("a", "b").alias("remaining"))
 
 

@@ -85,7 +85,7 @@ def comparative(spark, sf):
     c = contribution(F.col("ans_a"), F.col("ans_b"))
     label = F.when(c > 0, F.when((F.col("pair_id") + F.col("q")) % 7 == 0, "a").otherwise("A")).when(c < 0, "B").otherwise("Tie")
     rows = X.answers(spark, sf).join(F.broadcast(numbers), ["domain", "qid"]).select("pair_id", "winner", "q", F.concat(F.lit("Q"), F.col("q").cast("string"), F.lit(": "), label).alias("l"))
-    text = rows.groupBy("pair_id", "winner").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("q", "l"))), lambda x: x["l"]), "\n").alias("t"))
+    text = rows.groupBy("pair_id", "winner").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("q", "l"))), lambda x: x["l"]), "\n").alias("t"))
     return text.select("pair_id", "winner", "n", F.concat(F.lit("Q1: Tie\n"), "t", F.when(F.col("pair_id") % 5 == 0, "").otherwise(F.concat(F.lit("\nWinner: "), "winner"))).alias("raw"))
 
 
@@ -139,7 +139,7 @@ def traces(spark, sf):
     q = F.concat(F.lit("Q"), F.col("q").cast("string"), F.lit(": "))
     rows = X.answers(spark, sf).join(F.broadcast(numbers), ["domain", "qid"])
     verdict = F.when((F.col("pair_id") % 9 == 5) & (F.col("q") == 10), "").otherwise(F.concat(q, F.when(c > 0, "A").when(c < 0, "B").otherwise("tie"), F.lit(" (because)")))
-    g = rows.select("pair_id", "winner", "q", F.concat(q, F.lit("question "), F.col("q").cast("string")).alias("t"), verdict.alias("v")).groupBy("pair_id", "winner").agg(F.array_sort(F.collect_list(F.struct("q", "t", "v"))).alias("x"))
+    g = rows.select("pair_id", "winner", "q", F.concat(q, F.lit("question "), F.col("q").cast("string")).alias("t"), verdict.alias("v")).groupBy("pair_id", "winner").agg(F.sort_array(F.collect_list(F.struct("q", "t", "v"))).alias("x"))
     kind = F.col("pair_id") % 9
     raw = F.concat(
         F.lit("<think>\n### Checklist\nQ1: rehearsal\n</think>\n### Checklist\n"), F.array_join(F.col("x.t"), "\n"), F.when(kind == 4, "").otherwise(F.concat(F.lit("\n### Item Verdicts\n"), F.array_join(F.col("x.v"), "\n"))),
@@ -168,9 +168,9 @@ def _(spark, sf):
 @query("x9_generated_checklist", ", s as (select domain, dimension, qid, trim(replace(question_text, chr(10), ' ')) as question from active), o as (select domain, dimension, question, min(qid) as qid from s group by domain, dimension, question) select domain, dimension, lower(question) as question from (select *, row_number() over (partition by domain, dimension, lower(question) order by qid) as r from o) where r = 1 and dimension <> 'relevance_instruction_following'")
 def _(spark, sf):
     """Sections of the bank as one text a domain, each bullet twice in different case; the last dimension isn't known."""
-    rows = X.active_bank(spark, sf).groupBy("domain", "dimension").agg(F.array_sort(F.collect_list(F.struct("qid", "question_text"))).alias("q"))
+    rows = X.active_bank(spark, sf).groupBy("domain", "dimension").agg(F.sort_array(F.collect_list(F.struct("qid", "question_text"))).alias("q"))
     section = F.concat(F.lit("### "), "dimension", F.lit("\n"), F.array_join(F.transform("q", lambda x: F.concat(F.lit("- "), F.translate(x["question_text"], "\n", " "), F.lit("\n* "), F.lower(F.translate(x["question_text"], "\n", " ")))), "\n"))
-    text = rows.groupBy("domain").agg(F.array_join(F.array_sort(F.collect_list(section)), "\n\n").alias("raw"))
+    text = rows.groupBy("domain").agg(F.array_join(F.sort_array(F.collect_list(section)), "\n\n").alias("raw"))
     return P.checklist_questions(text, ["domain"], "raw", X.DIMENSIONS[:4]).select("domain", "dimension", F.lower("question").alias("question"))
 
 
@@ -249,7 +249,7 @@ def _(spark, sf):
 def _(spark, sf):
     from pairlens.functions.text import question_block
 
-    rows = X.active_bank(spark, sf).groupBy("domain").agg(F.transform(F.array_sort(F.collect_list(F.struct("qid", "dimension", F.col("question_text").alias("question")))), lambda x: F.struct(x["dimension"].alias("dimension"), F.translate(x["question"], "\n", " ").alias("question"))).alias("q"))
+    rows = X.active_bank(spark, sf).groupBy("domain").agg(F.transform(F.sort_array(F.collect_list(F.struct("qid", "dimension", F.col("question_text").alias("question")))), lambda x: F.struct(x["dimension"].alias("dimension"), F.translate(x["question"], "\n", " ").alias("question"))).alias("q"))
     found = rows.select("domain", F.explode(P.prompt_questions(question_block(F.col("q")))).alias("x"))
     return found.select("domain", "x.q", "x.text")
 
@@ -279,7 +279,7 @@ def _(spark, sf):
 def _(spark, sf):
     from .selection import ranking
 
-    asked = ranking(spark, sf).filter("rank <= 6").groupBy("pair_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "qid"))), lambda x: x["qid"]).alias("asked"))
+    asked = ranking(spark, sf).filter("rank <= 6").groupBy("pair_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "qid"))), lambda x: x["qid"]).alias("asked"))
     return asked.select("pair_id", P.stage_numbers(F.array(*map(F.lit, (1, 3, 5, 9, 0))), F.col("asked")).alias("qids"))
 
 

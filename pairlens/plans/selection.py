@@ -124,7 +124,7 @@ def _(spark, sf):
 
 @query("p26_softmax", ", s as (select pair_id, qid, exp((w - max(w) over (partition by pair_id)) / 0.5::double) as e from weights) select pair_id, qid, round(e / sum(e) over (partition by pair_id), 9) as p from s")
 def _(spark, sf):
-    rows = X.weights(X.answers(spark, sf)).groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("qid", "w"))).alias("x"))
+    rows = X.weights(X.answers(spark, sf)).groupBy("pair_id").agg(F.sort_array(F.collect_list(F.struct("qid", "w"))).alias("x"))
     rows = rows.select("pair_id", F.explode(F.arrays_zip(F.col("x.qid").alias("qid"), W.softmax(F.col("x.w"), 0.5).alias("p"))).alias("z"))
     return rows.select("pair_id", "z.qid", F.round("z.p", 9).alias("p"))
 

@@ -133,7 +133,7 @@ select domain, sha256(string_agg(t, chr(10) || chr(10) order by first)) as block
 
 @query("p24_question_block", _BLOCK)
 def _(spark, sf):
-    rows = X.active_bank(spark, sf).groupBy("domain").agg(F.transform(F.array_sort(F.collect_list(F.struct("qid", "dimension", F.col("question_text").alias("question")))), lambda x: F.struct(x["dimension"].alias("dimension"), x["question"].alias("question"))).alias("questions"))
+    rows = X.active_bank(spark, sf).groupBy("domain").agg(F.transform(F.sort_array(F.collect_list(F.struct("qid", "dimension", F.col("question_text").alias("question")))), lambda x: F.struct(x["dimension"].alias("dimension"), x["question"].alias("question"))).alias("questions"))
     block = T.question_block(F.col("questions"))
     return rows.select("domain", F.sha2(block, 256).alias("block_hash"), F.length(block).alias("n_chars"))
 
@@ -163,7 +163,7 @@ def _(spark, sf):
 
 @query("p35_checklist_text", ", s as (select domain, dimension, '### ' || dimension || chr(10) || string_agg('- ' || question_text, chr(10) order by qid) as t from active group by domain, dimension) select domain, sha256(string_agg(t, chr(10) || chr(10) order by dimension)) as h from s group by domain")
 def _(spark, sf):
-    dims = X.active_bank(spark, sf).groupBy("domain", "dimension").agg(F.transform(F.array_sort(F.collect_list(F.struct("qid", "question_text"))), lambda x: x["question_text"]).alias("q"))
+    dims = X.active_bank(spark, sf).groupBy("domain", "dimension").agg(F.transform(F.sort_array(F.collect_list(F.struct("qid", "question_text"))), lambda x: x["question_text"]).alias("q"))
     return dims.groupBy("domain").agg(F.map_from_entries(F.collect_list(F.struct("dimension", "q"))).alias("m")).select("domain", F.sha2(T.checklist_text(F.col("m"), X.DIMENSIONS), 256).alias("h"))
 
 

@@ -57,7 +57,7 @@ def slim_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conv_id, context_turns: array<struct<role, content>> in order of turn."""
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
+    ordered = F.sort_array(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(ordered, lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("context_turns"))
 
 
@@ -131,7 +131,7 @@ def raw_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 10, F.concat(F.lit("q"), F.col("q").cast("string"), F.lit(":"), F.upper("x")))
         .otherwise(plain)
     )
-    lines = sides.withColumn("line", line).groupBy("pair_id", "domain", "side").agg(F.transform(F.array_sort(F.collect_list(F.struct("q", "line"))), lambda x: x["line"]).alias("lines"))
+    lines = sides.withColumn("line", line).groupBy("pair_id", "domain", "side").agg(F.transform(F.sort_array(F.collect_list(F.struct("q", "line"))), lambda x: x["line"]).alias("lines"))
     kind = ((F.col("pair_id") + F.col("side")) % 11).cast("int")
     head = F.when(kind == 2, "Q1: no\n").when(kind == 3, "Q999: yes\n").when(kind == 6, "Here are my answers\n").otherwise("")
     body = F.when(kind == 1, F.array_join("lines", "\n\n")).when(kind == 10, F.array_join("lines", "\r\n")).otherwise(F.array_join("lines", "\n"))
