@@ -99,7 +99,7 @@ def spans(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", scope:
     """doc_id, h, spans: array<struct<start, kind, end>> in order, of the rows with any."""
     found = staged(parts(df, text_col, id_col), "parts")
     kept = found.filter(F.col("kind") < BASE).unionByName(linked(found, scope))
-    return kept.groupBy(*ROW).agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"))
+    return kept.groupBy(*ROW).agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"))
 
 
 def _with_spans(rows: DataFrame, found: DataFrame) -> DataFrame:

@@ -54,7 +54,7 @@ def leaves(records: DataFrame) -> DataFrame:
 
 
 def _digest(order: str) -> Column:
-    return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "hash"))), lambda c: F.concat_ws(":", c[order].cast("string"), c["hash"])), "\n"), 256).alias("hash")
+    return F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "hash"))), lambda c: F.concat_ws(":", c[order].cast("string"), c["hash"])), "\n"), 256).alias("hash")
 
 
 def tree(leaf: DataFrame) -> list[DataFrame]:
@@ -92,7 +92,7 @@ def audit(left: DataFrame, right: DataFrame) -> DataFrame:
             x, y = x.join(open_nodes, parent, "left_semi"), y.join(open_nodes, parent, "left_semi")
         last = keys[-1] == "offset"
         if last:  # records at one place are told apart by their hash
-            x, y = (d.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_set("hash")), "+").alias("hash")) for d in (x, y))
+            x, y = (d.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_set("hash")), "+").alias("hash")) for d in (x, y))
         both = x.select(*keys, F.col("hash").alias("left_hash")).join(y.select(*keys, F.col("hash").alias("right_hash")), keys, "full_outer")
         differ = both.filter(~F.col("left_hash").eqNullSafe(F.col("right_hash")))
         if len(roots) == 2 and roots[0] == roots[1]:
