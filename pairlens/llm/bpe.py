@@ -5,7 +5,8 @@ memory is bounded by the chunk and not by the text. A boundary is safe where a
 character that isn't white space is followed by a space or a newline: in the
 split pattern white space only begins a match, no alternative looks back, and
 the one that looks ahead does so from white space, so that no match and no
-lookahead crosses it. A chunk without such a place is extended to the next one.
+lookahead crosses it. A chunk without such a place is extended to the next one; in
+chunks that get longer than LONGEST, matches are encoded one by one.
 
 Null texts encode as empty ones: no ids and no bytes. Rows with the same text
 get the same ids. Empty tables give empty results. Only the id and text columns
@@ -26,6 +27,7 @@ from pyspark.sql import types as T
 from ._support import small_batches, worker_cache
 
 CHUNK_CHARS = 1 << 16
+LONGEST = 1 << 18
 _SAFE = re.compile(r"\S(?=[ \n])")
 
 
@@ -66,11 +68,22 @@ def safe_chunks(text: str, size: int = CHUNK_CHARS) -> Iterator[str]:
     yield text[at:]
 
 
+def encode_chunk(encoding, chunk: str, most: int = LONGEST) -> list[int]:
+    """The ids of a chunk. One that couldn't be cut may hold matches that the library's regular expressions give up on: its matches are found here and encoded one by one."""
+    if len(chunk) <= most:
+        return encoding.encode_ordinary(chunk)
+    import regex
+
+    ids: list[int] = []
+    for match in regex.finditer(encoding._pat_str, chunk):
+        ids += encoding._encode_single_piece(match.group().encode())
+    return ids
+
+
 def encode_text(encoding, text: str, size: int = CHUNK_CHARS) -> np.ndarray:
     """The ids of a whole text as little-endian unsigned 32-bit integers."""
-    if len(text) <= size:
-        return np.asarray(encoding.encode_ordinary(text), dtype="<u4")
-    return np.concatenate([np.asarray(encoding.encode_ordinary(chunk), dtype="<u4") for chunk in safe_chunks(text, size)])
+    parts = [np.asarray(encode_chunk(encoding, chunk), dtype="<u4") for chunk in safe_chunks(text, size)]
+    return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
 def decode_ids(encoding, ids: bytes) -> bytes:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._support import small_batches, staged, worker_cache
-from .bpe import safe_chunks
+from .bpe import encode_chunk, safe_chunks
 
 CAPACITY = 2048
 GROUP = 16384
@@ -69,8 +69,8 @@ def load_encoder(path: str):
     library = Tokenizer.from_file(path)
     library.encode_special_tokens = True
     slow = lambda text: library.encode(text, add_special_tokens=False).ids
-    same = all(encoding.encode_ordinary(p) == slow(p) for p in PROBES)
-    cache["encoder", path] = encoding.encode_ordinary if same else slow
+    same = all(encode_chunk(encoding, p) == encode_chunk(encoding, p, 1) == slow(p) for p in PROBES)
+    cache["encoder", path] = (lambda chunk: encode_chunk(encoding, chunk)) if same else slow
     return cache["encoder", path]
 
 

@@ -16,6 +16,16 @@ def test_chunks_encode_like_the_whole():
             assert bpe.encode_text(encoding, text, size).tolist() == encoding.encode_ordinary(text)
 
 
+def test_long_matches(spark):
+    encoding = bpe.load_encoding(bpe.rank_file())
+    for text in ("a" * 3000, " " * 2000 + "x", "\n" * 500, "it's " * 9 + "!?" * 900, "é" * 700 + "  y"):
+        assert bpe.encode_chunk(encoding, text, 100) == encoding.encode_ordinary(text)
+    huge = [" " * 1_500_000, "\n" * 1_200_000 + "x", "a" * 1_000_000]
+    df = spark.createDataFrame(list(enumerate(huge)), "doc_id long, text string")
+    for r in bpe.encode(df, decoded=True).collect():
+        assert bytes(r.decoded).decode() == huge[r.doc_id]
+
+
 def test_query_round_trips(spark, sf):
     rows = bpe.op3_bpe(spark, sf).collect()
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
