@@ -8,8 +8,9 @@ from collections.abc import Iterator
 #: Elements whose content is never read as markup or text.
 _RAW = "script|style|noscript|template|iframe|svg|canvas|object|textarea|select|title"
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*+>.*?(?:</\1\s*+>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[/!?][^>]*+>|<[a-zA-Z][^<>]*+>",
+    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^<>]*+>.*?(?:</\1\s*+>|\Z)"
+    # nothing outside quotes runs over a tag's start, and quoted values and their number are bounded: the scan stays linear
+    r"|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"(?:data:[^\"]*+|[^\"]{0,4096}+)\"|'(?:data:[^']*+|[^']{0,4096}+)'){0,512}+)>|<[/!?][^<>]*+>|<[a-zA-Z][^<>]*+>",
     re.DOTALL | re.IGNORECASE,
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))")

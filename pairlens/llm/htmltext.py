@@ -16,6 +16,7 @@ text. Nothing is cut or capped. Only the named columns are read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -55,6 +56,7 @@ def blocks(html: str) -> list[tuple[str, int, int, bool, bool]]:
     stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # name, container, boilerplate, article
     parts: list[str] = []
     linked, containers, in_link, in_head = 0, 0, 0, False
+    nested: Counter[str] = Counter()
 
     def flush() -> None:
         nonlocal linked
@@ -101,10 +103,12 @@ def blocks(html: str) -> list[tuple[str, int, int, bool, bool]]:
                     containers += 1
                     container = containers
                 stack.append((name, container, boilerplate, article))
-            else:
-                for at in range(len(stack) - 1, 0, -1):
-                    if stack[at][0] == name:
-                        del stack[at:]
+                nested[name] += 1
+            elif nested[name]:
+                while True:
+                    closed = stack.pop()[0]
+                    nested[closed] -= 1
+                    if closed == name:
                         break
     flush()
     return found

@@ -32,6 +32,17 @@ def test_odd_html():
     assert len(main_text(deep)) == len("word the " * 50000) - 1
 
 
+def test_scan_is_linear():
+    import time
+
+    began = time.time()
+    for odd in ('<a "', "<", "<p title='\"", "<!--", "<script>", "</section>", "<section>", '<a href="data:', "&amp", "<div class=", "<br", '"'):
+        html = "<article><p>kept</p></article>" + odd * 100_000
+        assert main_text(html).startswith("kept")
+        main_text("<section>" * 50_000 + odd * 50_000)
+    assert time.time() - began < 60
+
+
 def test_frames(spark, sf):
     df = spark.createDataFrame([(1, None, "u", "t"), (2, "<article>x</article>", None, "t"), (2, "<article>x</article>", None, "t")], "page_id long, html string, url string, text string")
     assert sorted((r.page_id, r.url, r.text) for r in htmltext.extract(df, keep=("url",)).collect()) == sorted([(1, "u", ""), (2, None, "x"), (2, None, "x")], key=str)
