@@ -29,7 +29,7 @@ reach.
    products, and gives only the links that join components.
 
 Never are all pairs of a group written. Sets are made only for documents in
-regions, found through a bit map of fixed size.
+regions, found through a bit map of bounded size.
 
 Null and empty texts and texts without words have an empty set: n_shingles 0,
 own component, kept. Rows with a null id take no part in links; their component
@@ -56,7 +56,7 @@ AGREE = 78
 CROWD = 16
 BLOCK = 1024
 BLOCK_SHINGLES = 1 << 21
-MAP_BITS = 1 << 24
+MAP_BITS = 1 << 16, 1 << 28
 _SEEDS = mix(np.arange(1, 2 * VALUES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _TIMES, _PLUS = _SEEDS[:VALUES] | np.uint64(1), _SEEDS[VALUES:]
 _STEPS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
@@ -138,19 +138,25 @@ def signatures(df: DataFrame, size: int) -> DataFrame:
     return df.mapInArrow(run, "doc_id long, n_shingles long, set_hi long, set_lo long, keys array<long>, sketch binary")
 
 
-def _bit_map(ids: DataFrame, column: str) -> bytes:
-    """A map of MAP_BITS bits with the hashed ids set; its size doesn't depend on the number of ids."""
-    at = ids.select(F.pmod(F.xxhash64(column), F.lit(MAP_BITS)).alias("at"))
+def _bit_map(ids: DataFrame, column: str) -> tuple[bytes, int]:
+    """A map with the hashed ids set, and its number of bits: sixteen an id, within MAP_BITS, so that it takes 32 MB at most.
+
+    More ids than that fill the map: sets are then made for more documents than needed, never for fewer.
+    """
+    low, high = MAP_BITS
+    bits = min(high, max(low, 1 << (16 * ids.count()).bit_length()))
+    at = ids.select(F.pmod(F.xxhash64(column), F.lit(bits)).alias("at"))
     words = at.selectExpr("cast(at div 64 as int) as word", "shiftleft(1L, cast(at % 64 as int)) as bit").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(MAP_BITS // 64, np.int64)
+    out = np.zeros(bits // 64, np.int64)
     out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    return out.tobytes()
+    return out.tobytes(), bits
 
 
 def sets_of(df: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     """(doc_id, shingles) of the rows whose id is in ``ids``, and of a few others that share a bit with one."""
     small_batches(df.sparkSession)
-    held = df.sparkSession.sparkContext.broadcast(_bit_map(ids, "doc_id"))
+    seen, size_of_map = _bit_map(staged(ids, "needed"), "doc_id")
+    held = df.sparkSession.sparkContext.broadcast(seen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(held.value, np.uint64)
@@ -160,7 +166,7 @@ def sets_of(df: DataFrame, ids: DataFrame, size: int) -> DataFrame:
             sets = [shingles.tobytes() for shingles in shingle_sets(batch.column(1), size)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
 
-    marked = df.filter("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS)).alias("at"))
+    marked = df.filter("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(size_of_map)).alias("at"))
     return marked.mapInArrow(run, "doc_id long, shingles binary").groupBy("doc_id").agg(F.first("shingles").alias("shingles"))
 
 
