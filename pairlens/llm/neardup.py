@@ -408,3 +408,21 @@ def deduplicated(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     kept = staged(near_duplicates(docs, text_col, id_col, size, percent).filter("kept").select(F.col("doc_id").alias("__kept")).distinct(), "kept")
     one = docs.join(kept, F.col(id_col).cast("long") == F.col("__kept"), "left_semi").dropDuplicates([id_col])
     return one.unionByName(docs.filter(F.col(id_col).isNull()))
+
+
+#: The same by a join of all shingles; for tables of a few thousand documents.
+ORACLE_SQL = {
+    "op6_neardup": r"""
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+s as (select doc_id, list_distinct(case when len(ws) = 0 then [] when len(ws) < 4 then [array_to_string(ws, ' ')]
+  else list_transform(range(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3]) end) as g from w),
+u as materialized (select doc_id, len(g) as n, unnest(g) as g from s),
+f as materialized (select u.* from u where g in (select g from u group by g having count(*) > 1)),
+p as (select a.doc_id as x, b.doc_id as y, a.n as nx, b.n as ny, count(*) as c from f a join f b on a.g = b.g and a.doc_id < b.doc_id group by all),
+l as materialized (select x, y from p where 100 * c >= 80 * (nx + ny - c)),
+e as materialized (select x, y from l union all select y, x from l),
+r as (select doc_id as id, doc_id as top from documents union select e.y, r.top from r join e on e.x = r.id),
+m as (select id, min(top) as top from r group by id)
+select s.doc_id, cast(len(g) as bigint) as n_shingles, m.top as component_id, m.top = s.doc_id as kept from s join m on m.id = s.doc_id
+"""
+}

@@ -19,7 +19,7 @@ QUERIES = {
 }
 
 #: modules with an ORACLE_SQL dict
-SQL_MODULES: tuple[str, ...] = ("topk", "warc", "secrets")
+SQL_MODULES: tuple[str, ...] = ("topk", "warc", "neardup", "secrets")
 
 
 def queries() -> dict:

@@ -83,6 +83,11 @@ def test_chain_and_edge_cases(spark):
 
 
 def test_query_on_the_smallest_tables(spark, sf):
+    import duckdb
+
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     out = neardup.op6_neardup(spark, sf).collect()
     assert sorted((x.doc_id, x.n_shingles, x.component_id, x.kept) for x in out) == brute(docs)
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    assert sorted(con.sql(neardup.ORACLE_SQL["op6_neardup"]).fetchall()) == brute(docs)
