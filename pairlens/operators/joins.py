@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-class KeyError_(ValueError):
+class JoinKeyError(ValueError):
     """A join's key is not what it must be."""
 
 
@@ -35,7 +35,7 @@ def one_to_one(df: DataFrame, other: DataFrame, keys: list[str], how: str = "lef
     """A join that raises where a key repeats on either side."""
     for side, name in ((df, "left"), (other, "right")):
         if not repeated_keys(side, keys).isEmpty():
-            raise KeyError_(f"the {name} side repeats {', '.join(keys)}")
+            raise JoinKeyError(f"the {name} side repeats {', '.join(keys)}")
     return df.join(other, keys, how)
 
 
@@ -46,14 +46,14 @@ def missing_keys(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
 
 def require_complete(df: DataFrame, other: DataFrame, keys: list[str], what: str) -> DataFrame:
     if not missing_keys(df, other, keys).isEmpty():
-        raise KeyError_(f"some rows have no {what}")
+        raise JoinKeyError(f"some rows have no {what}")
     return df
 
 
 def require_disjoint(left: DataFrame, right: DataFrame, keys: list[str], what: str) -> DataFrame:
     """The leak guard: raises if a key is on both sides."""
     if not left.join(right.select(*keys).distinct(), keys, "left_semi").isEmpty():
-        raise KeyError_(f"{what} overlap")
+        raise JoinKeyError(f"{what} overlap")
     return left
 
 
@@ -65,7 +65,7 @@ def upserted(base: DataFrame, layers: list[DataFrame], key: str, allow_new: bool
     if not allow_new:
         for layer in layers:
             if not missing_keys(layer, base, [key]).isEmpty():
-                raise KeyError_("a layer has unknown samples")
+                raise JoinKeyError("a layer has unknown samples")
     rows = base.withColumn("_layer", F.lit(0))
     for i, layer in enumerate(layers, 1):
         rows = rows.unionByName(layer.withColumn("_layer", F.lit(i)))

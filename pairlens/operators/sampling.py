@@ -75,7 +75,7 @@ def allocation(df: DataFrame, strata: list[str], total: int, least: int = 0) ->
 
 def stratified(df: DataFrame, strata: list[str], key: str, total: int, seed: int = 42, least: int = 0) -> DataFrame:
     """An exact sample by strata: each stratum's rows with the smallest hashes."""
-    rows = df.join(F.broadcast(allocation(df, strata, total, least)), strata)
+    rows = df.join(allocation(df, strata, total, least), strata)
     return _smallest(rows, strata, hash_key(F.lit(seed), key), F.col("take")).select(*df.columns)
 
 

@@ -68,7 +68,7 @@ def question_priors(rows: DataFrame, min_support: int = 5) -> DataFrame:
 
 def reranked(rows: DataFrame, keys: list[str], priors: DataFrame, a: float = 1.0, b: float = 1.0, eps: float = 0.05) -> DataFrame:
     """Adds score = (1 / rank)^a (eps + prior)^b and new_rank, ties by rank; rows: keys, qid, rank (from 1)."""
-    rows = rows.join(F.broadcast(priors.select("qid", "prior")), "qid", "left").withColumn("prior", F.coalesce("prior", F.lit(0.0)))
+    rows = rows.join(priors.select("qid", "prior"), "qid", "left").withColumn("prior", F.coalesce("prior", F.lit(0.0)))
     rows = rows.withColumn("score", F.pow(1 / F.col("rank"), F.lit(a)) * F.pow(eps + F.col("prior"), F.lit(b)))
     return ranked(rows, keys, [F.desc("score"), F.col("rank")], "new_rank")
 

@@ -1,4 +1,4 @@
-"""Totals and order statistics over whole tables without one task that holds the table."""
+"""Totals and order statistics over whole tables without one task that holds the table, and broadcasts of checked size."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 CUTS = 64
 PREFIX = 3  # hex digits: 4,096 buckets
+SMALL = 100_000
 
 
 def running_total(df: DataFrame, order: str, value: str, name: str, cuts: int = CUTS) -> DataFrame:
@@ -81,3 +82,12 @@ def exact_quantiles(df: DataFrame, column: str, shares: list[float], cuts: int =
 def one_value(df: DataFrame) -> Column:
     """The single value of a one-row table as a scalar subquery: no join, no action."""
     return df.scalar()
+
+
+def small_broadcast(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """A table to broadcast if it has at most ``most`` rows, else as it is, to be shuffled.
+
+    Counting stops at the bound. For banks and other configuration, whose size Spark
+    overestimates behind a join, so that it would shuffle the facts first.
+    """
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pairlens.operators import diagnostics as D
 from pairlens.operators import scoring as S
+from pairlens.operators.windows import small_broadcast
 from pairlens.sources import fixtures as X
 
 from . import scoring as Q
@@ -49,7 +50,7 @@ dd as (select *, list_has_any(reasons, ['saturated_yes', 'saturated_no', 'low_si
 
 def collapsed_rows(spark, sf):
     texts = X.bank(spark, sf).select("qid", "question_text")
-    return D.collapsed(question_rows(spark, sf).join(F.broadcast(texts), "qid"))
+    return D.collapsed(question_rows(spark, sf).join(small_broadcast(texts), "qid"))
 
 
 @query("a4_collapsed_diagnostics", _COLLAPSED + "select * from ce")
@@ -59,7 +60,7 @@ def _(spark, sf):
 
 def correlation_rows(spark, sf):
     texts = X.bank(spark, sf).select("qid", "question_text")
-    return D.label_correlation(X.with_gaps(X.answers(spark, sf)).join(F.broadcast(texts), "qid"), ["dimension", "question_text"])
+    return D.label_correlation(X.with_gaps(X.answers(spark, sf)).join(small_broadcast(texts), "qid"), ["dimension", "question_text"])
 
 
 @query("a5_label_correlation", _COLLAPSED + "select * from lc")

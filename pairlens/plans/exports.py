@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pairlens.functions import parsers as P
 from pairlens.functions import text as T
 from pairlens.operators import exports as E
+from pairlens.operators.windows import small_broadcast
 from pairlens.sources import fixtures as X
 
 from . import scoring as Q
@@ -39,7 +40,7 @@ def _(spark, sf):
 def _(spark, sf):
     dims = X.active_bank(spark, sf).groupBy("domain", "dimension").agg(F.transform(F.sort_array(F.collect_list(F.struct("qid", "question_text"))), lambda x: x["question_text"]).alias("q"))
     targets = dims.groupBy("domain").agg(F.map_from_entries(F.collect_list(F.struct("dimension", "q"))).alias("m")).select("domain", T.checklist_text(F.col("m"), X.DIMENSIONS).alias("target"))
-    return _contexts(spark, sf).join(F.broadcast(targets), "domain").select("pair_id", F.sha2(F.concat_ws("\n", "context", "target"), 256).alias("h"))
+    return _contexts(spark, sf).join(small_broadcast(targets), "domain").select("pair_id", F.sha2(F.concat_ws("\n", "context", "target"), 256).alias("h"))
 
 
 @query("d6_self_checklist_rows", "select pair_id, pair_id % 9 = 6 as no_final from pairs where pair_id % 9 not in (4, 5, 6)")

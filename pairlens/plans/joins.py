@@ -10,6 +10,7 @@ from pairlens.functions import text as T
 from pairlens.operators import exports as E
 from pairlens.operators import joins as J
 from pairlens.operators import scoring as S
+from pairlens.operators.windows import small_broadcast
 from pairlens.sources import fixtures as X
 
 from . import scoring as Q
@@ -43,7 +44,7 @@ def _(spark, sf):
 def _(spark, sf):
     """F5 and J12."""
     some = X.bank(spark, sf).filter(F.col("sub_aspect").isin("aspect_1", "aspect_2")).select("qid")
-    return X.answers(spark, sf).select("pair_id", "qid").join(F.broadcast(some), "qid", "left_semi").select("pair_id", "qid")
+    return X.answers(spark, sf).select("pair_id", "qid").join(small_broadcast(some), "qid", "left_semi").select("pair_id", "qid")
 
 
 @query("f6_exclude_used", "select pair_id from pairs where pair_id not in (select doc_id from labels where toxic = 1)")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pairlens.functions import parsers as P
+from pairlens.operators.windows import small_broadcast
 from pairlens.sources import fixtures as X
 
 from .registry import query
@@ -84,7 +85,7 @@ def comparative(spark, sf):
     numbers = local_numbers(X.active_bank(spark, sf)).select("domain", "qid", "q")
     c = contribution(F.col("ans_a"), F.col("ans_b"))
     label = F.when(c > 0, F.when((F.col("pair_id") + F.col("q")) % 7 == 0, "a").otherwise("A")).when(c < 0, "B").otherwise("Tie")
-    rows = X.answers(spark, sf).join(F.broadcast(numbers), ["domain", "qid"]).select("pair_id", "winner", "q", F.concat(F.lit("Q"), F.col("q").cast("string"), F.lit(": "), label).alias("l"))
+    rows = X.answers(spark, sf).join(small_broadcast(numbers), ["domain", "qid"]).select("pair_id", "winner", "q", F.concat(F.lit("Q"), F.col("q").cast("string"), F.lit(": "), label).alias("l"))
     text = rows.groupBy("pair_id", "winner").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("q", "l"))), lambda x: x["l"]), "\n").alias("t"))
     return text.select("pair_id", "winner", "n", F.concat(F.lit("Q1: Tie\n"), "t", F.when(F.col("pair_id") % 5 == 0, "").otherwise(F.concat(F.lit("\nWinner: "), "winner"))).alias("raw"))
 
@@ -137,7 +138,7 @@ def traces(spark, sf):
     numbers = local_numbers(X.active_bank(spark, sf)).filter("q <= 10").select("domain", "qid", "q")
     c = contribution(F.col("ans_a"), F.col("ans_b"))
     q = F.concat(F.lit("Q"), F.col("q").cast("string"), F.lit(": "))
-    rows = X.answers(spark, sf).join(F.broadcast(numbers), ["domain", "qid"])
+    rows = X.answers(spark, sf).join(small_broadcast(numbers), ["domain", "qid"])
     verdict = F.when((F.col("pair_id") % 9 == 5) & (F.col("q") == 10), "").otherwise(F.concat(q, F.when(c > 0, "A").when(c < 0, "B").otherwise("tie"), F.lit(" (because)")))
     g = rows.select("pair_id", "winner", "q", F.concat(q, F.lit("question "), F.col("q").cast("string")).alias("t"), verdict.alias("v")).groupBy("pair_id", "winner").agg(F.sort_array(F.collect_list(F.struct("q", "t", "v"))).alias("x"))
     kind = F.col("pair_id") % 9
@@ -259,7 +260,7 @@ def _(spark, sf):
     from pairlens.operators.selection import local_numbers
 
     numbers = local_numbers(X.active_bank(spark, sf)).select("domain", "qid", "q")
-    rows = X.answers(spark, sf).join(F.broadcast(numbers), ["domain", "qid"])
+    rows = X.answers(spark, sf).join(small_broadcast(numbers), ["domain", "qid"])
     maps = rows.groupBy("pair_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("q") % 9 != 0, F.struct("q", "ans_a")))).alias("a"), F.map_from_entries(F.collect_list(F.struct("q", "ans_b"))).alias("b"))
     return maps.select("pair_id", F.explode(P.answer_differences(F.col("a"), F.col("b"))).alias("x")).select("pair_id", "x.q", "x.a", "x.b")
 

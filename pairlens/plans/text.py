@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pairlens.functions import text as T
+from pairlens.operators.windows import small_broadcast
 from pairlens.sources import fixtures as X
 
 from .registry import query
@@ -176,7 +177,7 @@ def _(spark, sf):
     from pairlens.operators.selection import local_numbers
 
     numbers = local_numbers(X.active_bank(spark, sf)).select("domain", "qid", "q", F.count(F.lit(1)).over(Window.partitionBy("domain")).cast("int").alias("n"))
-    rows = X.with_gaps(X.answers(spark, sf)).join(F.broadcast(numbers), ["domain", "qid"])
+    rows = X.with_gaps(X.answers(spark, sf)).join(small_broadcast(numbers), ["domain", "qid"])
     return rows.groupBy("pair_id").agg(F.map_from_entries(F.collect_list(F.struct("q", "ans_a"))).alias("m"), F.max("n").alias("n")).select("pair_id", F.sha2(T.binary_target(F.col("m"), F.col("n")), 256).alias("h"))
 
 

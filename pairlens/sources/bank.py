@@ -44,7 +44,7 @@ def read_yaml_bank(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
 
 def without_dropped(rows: DataFrame, dropped: DataFrame) -> DataFrame:
     """dimension, sub_aspect, questions, original_count, removed_count after dropping (dimension, question_text) rows."""
-    flags = rows.join(F.broadcast(dropped.select("dimension", "question_text").distinct().withColumn("gone", F.lit(True))), ["dimension", "question_text"], "left")
+    flags = rows.join(dropped.select("dimension", "question_text").distinct().withColumn("gone", F.lit(True)), ["dimension", "question_text"], "left")
     kept = F.sort_array(F.collect_list(F.when(F.col("gone").isNull(), F.struct("qid", "question_text"))))
     return flags.groupBy("dimension", "sub_aspect").agg(F.transform(kept, lambda x: x["question_text"]).alias("questions"), F.count(F.lit(1)).alias("original_count"), F.count("gone").alias("removed_count"))
 

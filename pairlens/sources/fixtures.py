@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.operators.windows import one_value
+from pairlens.operators.windows import one_value, small_broadcast
 
 #: The dimensions of the question bank; the second is asked in the code domain only.
 DIMENSIONS = (
@@ -97,7 +97,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     The bank is a few hundred rows, whatever the number of pairs: the join
     broadcasts it and keeps the partitioning of the pairs.
     """
-    facts = slim_pairs(spark, sf_dir).join(F.broadcast(active_bank(spark, sf_dir).select("domain", "qid", "dimension", "sub_aspect")), "domain")
+    facts = slim_pairs(spark, sf_dir).join(small_broadcast(active_bank(spark, sf_dir).select("domain", "qid", "dimension", "sub_aspect")), "domain")
     q = F.col("qid").cast("long")
     side = lambda c, square, step, other: (F.col(c) * q + q * q * square + F.col("pair_id") * step) % 97 + F.when(F.col("winner") == other, 12).otherwise(0)
     return facts.select("pair_id", "domain", "winner", "preference_strength", "qid", "dimension", "sub_aspect", _label(side("ca", 13, 7, "B")).alias("ans_a"), _label(side("cb", 17, 11, "A")).alias("ans_b"))
@@ -118,7 +118,7 @@ def raw_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pairlens.operators.selection import local_numbers
 
     numbers = local_numbers(active_bank(spark, sf_dir)).select("domain", "qid", "q")
-    rows = answers(spark, sf_dir).join(F.broadcast(numbers), ["domain", "qid"])
+    rows = answers(spark, sf_dir).join(small_broadcast(numbers), ["domain", "qid"])
     sides = rows.select("pair_id", "domain", "q", F.explode(F.array(*(F.struct(F.lit(i).alias("side"), F.col(f"ans_{s}").alias("x")) for i, s in enumerate("ab")))).alias("s")).select("pair_id", "domain", "q", "s.*")
     kind = ((F.col("pair_id") + F.col("side")) % 11).cast("int")
     no = F.concat(F.lit("Q"), F.col("q").cast("string"), F.lit(": "))
