@@ -43,6 +43,24 @@ def test_scan_is_linear():
     assert time.time() - began < 60
 
 
+def test_tags_of_any_length():
+    import time
+
+    for value in ("x" * 5000, "{&quot;a&quot;: [" + "1, " * 5000 + "]}", '<p class="menu">' + "<b>leak</b> > " * 1000, "data:image/svg+xml,<svg>" * 500):
+        for quote in "'\"":
+            held = quote + value.replace(quote, "") + quote
+            assert main_text(f"<article><p>kept</p><div class=menu data-props={held}>Home</div><p>end</p></article>") == "kept\nend"
+            assert main_text(f"<div class=comments><div data-props={held}>a</div><p>{LONG}</p></div><article><p>kept</p></article>") == "kept"
+            assert main_text(f"<article><p>kept</p><iframe srcdoc={held}>old</iframe></article>") == "kept"
+    many = "".join(f' data-{i}="{i}"' for i in range(2000))
+    assert main_text(f"<article><p>kept</p><nav{many}>Home</nav></article>") == main_text(f"<article><p>kept</p><div{many} id='menu'>Home</div></article>") == "kept"
+    began = time.time()
+    for odd in ("<a b='<' ", "<a \"'\" '\"' ", "<a '<\">\" ", "<a b='<'\"<\"", "<p '<p \"", "<iframe a='<"):
+        main_text("<article><p>kept</p></article>" + odd * 100_000)
+    main_text("<div " + "a" * 1_000_000 + ">x</div>")
+    assert time.time() - began < 60
+
+
 def test_frames(spark, sf):
     df = spark.createDataFrame([(1, None, "u", "t"), (2, "<article>x</article>", None, "t"), (2, "<article>x</article>", None, "t")], "page_id long, html string, url string, text string")
     assert sorted((r.page_id, r.url, r.text) for r in htmltext.extract(df, keep=("url",)).collect()) == sorted([(1, "u", ""), (2, None, "x"), (2, None, "x")], key=str)
