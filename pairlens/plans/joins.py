@@ -103,7 +103,7 @@ def _(spark, sf):
 
 @query("f18_drop_empty", "select doc_id from documents where trim(substr(text, 1, 3)) <> ''")
 def _(spark, sf):
-    return X.table(spark, sf, "documents").filter(T.strip(F.substring("text", 1, 3)) != "").select("doc_id")
+    return X.table(spark, sf, "documents").filter(T.strip(F.col("text")) != "").select("doc_id")
 
 
 @query("j2_reasoning_lookup", "select p.pair_id, coalesce(l.quality, -1) as quality from pairs p left join (select doc_id, max(quality) as quality from labels group by doc_id) l on l.doc_id = p.pair_id")

@@ -222,3 +222,10 @@ def test_schema_guards(spark):
     with pytest.raises(schema.MissingColumns):
         schema.require_columns(df, ["nothing"])
     assert schema.with_defaults(df, {"k": ("int", 3)}).first().k == 3
+
+
+def test_drop_empty_strips_whole_texts(spark, tmp_path):
+    from pairlens.plans import registry
+
+    spark.createDataFrame([(1, "   x"), (2, "\n\n\n\ty "), (3, " \t\n　 "), (4, ""), (5, None), (6, "z")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r.doc_id for r in registry.queries()["f18_drop_empty"](spark, str(tmp_path)).collect()) == [1, 2, 6]
