@@ -1,14 +1,14 @@
 """Media columns: interleaved document sequences with payloads resolved by digest.
 
 HTML is parsed into an ordered array of structs, text or media reference, each
-with its position and caption. Media are stored once per content as lossless
-8-bit grey images (binary PGM, 64 samples a row) and are found by the SHA-256
-digest of their samples, so that a reference resolves by an equi-join on the
-digest and positions and captions stay with their reference.
+with its position and caption. Media are stored as lossless 8-bit grey images
+(binary PGM, 64 samples a row) and are found by the SHA-256 digest of their
+samples, one row of features per digest, so that a reference resolves by an
+equi-join on the digest and positions and captions stay with their reference.
 
 A payload is the UTF-8 text padded with zero bytes to a positive multiple of 64;
-null is stored as empty text. Equal payloads have one digest and one stored
-form. References without a stored payload keep their row with null media
+null is stored as empty text. Equal payloads have one digest and equal stored
+forms. References without a stored payload keep their row with null media
 columns. Rows may repeat and ids may be null: rows are never joined on ids.
 """
 
@@ -176,19 +176,25 @@ def resolve(parsed: DataFrame, media: DataFrame, keep: tuple[str, ...] = ()) ->
 
 
 def document_html(text: F.Column, caption: F.Column) -> F.Column:
-    """A document of a text's first line and a figure that refers to the whole text's payload."""
+    """A document of a whole text and a figure that refers to the text's payload."""
     escaped = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    head = escaped(F.substring(F.substring_index(F.coalesce(text, F.lit("")), "\n", 1), 1, 80))
-    note = escaped(F.coalesce(caption.cast("string"), F.lit("")))
-    return F.concat(F.lit("<article><p>"), head, F.lit(f'</p><figure><img src="{SCHEME}'), F.sha2(padded(text), 256), F.lit('"><figcaption>'), note, F.lit("</figcaption></figure></article>"))
+    body, note = (escaped(F.coalesce(c.cast("string"), F.lit(""))) for c in (text, caption))
+    return F.concat(F.lit("<article><p>"), body, F.lit(f'</p><figure><img src="{SCHEME}'), F.sha2(padded(text), 256), F.lit('"><figcaption>'), note, F.lit("</figcaption></figure></article>"))
 
 
 def op7_media(spark, sf_dir: str) -> DataFrame:
-    """Every document's text as the payload of its figure: stored, read back, and resolved by digest."""
+    """Every document's text as the payload of its figure: stored, read back, and resolved by digest.
+
+    The stored form is written and read again before features are computed. The
+    join on digests carries what was read from a payload; payloads aren't shuffled.
+    """
     from ._support import table
 
     docs = table(spark, sf_dir, "documents")
-    media = staged(media_table(read_media(store_texts(docs), keep=("n_bytes",))), "media")
-    parsed = parse(docs.select("doc_id", document_html(F.col("text"), F.col("source")).alias("html")), keep=("doc_id",))
-    found = resolve(parsed, media, keep=("doc_id",)).filter("kind = 'media'")
+    stored = staged(store_texts(docs).select("media"), "stored")
+    media = staged(media_table(read_media(stored)), "media")
+    # payloads that are equal once padded may come from texts of different lengths: n_bytes stays with the document
+    n_bytes = F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("long")
+    parsed = parse(docs.select("doc_id", n_bytes.alias("n_bytes"), document_html(F.col("text"), F.col("source")).alias("html")), keep=("doc_id", "n_bytes"))
+    found = resolve(parsed, media, keep=("doc_id", "n_bytes")).filter("kind = 'media'")
     return found.select("doc_id", "n_bytes", "payload_bytes", F.col("digest").alias("payload_sha256"), "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")

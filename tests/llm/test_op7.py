@@ -33,3 +33,18 @@ def test_nulls_repeats_and_missing_payloads(spark):
     out = media.resolve(media.parse(parsed, keep=("doc_id",)), media.media_table(stored), keep=("doc_id",)).collect()
     assert sorted((r.position, r.kind, r.payload_bytes) for r in out) == [(0, "media", None), (1, "text", None)]
     assert media.media_table(media.read_media(media.store_texts(df.limit(0)), keep=("n_bytes",))).count() == 0
+
+
+def test_whole_texts_are_stored_and_interleaved(spark, tmp_path, monkeypatch):
+    kept, staged = {}, media.staged
+    monkeypatch.setattr(media, "staged", lambda df, name: kept.setdefault(name, staged(df, name)))
+    long = "A line & <b>more</b>\n\n" * 200 + "the end"
+    texts = ["ab", "ab\x00", "ab\x00\x00", long, "\n late", None]
+    spark.createDataFrame([(i, t, "s<1>") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in media.op7_media(spark, str(tmp_path)).collect()}
+    assert [got[i].n_bytes for i in range(6)] == [len((t or "").encode()) for t in texts]
+    assert [got[i].position for i in range(6)] == [1, 1, 1, 1, 1, 0] and got[0].payload_sha256 == got[2].payload_sha256
+    assert sorted(media.load(bytes(r.media))[2] for r in kept["stored"].collect()) == sorted((t or "").encode().ljust(max(64, -(-len((t or "").encode()) // 64) * 64), b"\0") for t in texts)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    items = {r.doc_id: media.interleaved(r.html) for r in docs.select("doc_id", media.document_html(docs.text, docs.source).alias("html")).collect()}
+    assert items[3][0][2] == " ".join(long.split()) and [x[1] for x in items[3]] == ["text", "media"] and items[3][1][4] == "s<1>"
