@@ -100,3 +100,18 @@ def test_query(spark, sf):
     assert {i: sum(n for *_, n in p) for i, p in seen.items()} == {i: len(ids) for i, ids in docs.items()}
     lengths = np.array([r.length for r in rows])
     assert packing.lower_bound(np.bincount(lengths, minlength=2049)) <= valid(rows, 2048) <= packing.lower_bound(np.bincount(lengths, minlength=2049)) * 1.01 + 1
+
+
+def test_exchange_goes_on_while_it_gains(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    numbers = []
+
+    def fake(rows, number, *rest):
+        numbers.append(number)
+        packed = rows.withColumn("sequence_id", F.col("doc_id") % max(2, 8 - number))
+        return packed.select("*", F.lit(0).cast("long").alias("offset"), F.lit(1).cast("long").alias("room"), F.lit(1).cast("long").alias("spare"))
+
+    monkeypatch.setattr(packing, "_packed", fake)
+    df = spark.range(100).selectExpr("id as doc_id", "1L as length")
+    assert packing.pack(df, 24, 20).select("sequence_id").distinct().count() == 2 and numbers == list(range(8))
