@@ -7,11 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from ._support import worker_cache
-
 CHUNK_BYTES = 1 << 21
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_SEED = np.uint64(0x9E3779B97F4A7C15)
+#: The low 0 to 8 bytes of a lane.
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+LANES = 8
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -25,18 +25,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
-    cache = worker_cache()
-    if "powers" not in cache or len(cache["powers"][0]) < size:
-        tables = []
-        for base in (_BASE, _INVERSE):
-            steps = np.full(max(size, CHUNK_BYTES + 1024), base, np.uint64)
-            steps[0] = 1
-            tables.append(np.multiply.accumulate(steps))
-        cache["powers"] = tuple(tables)
-    return cache["powers"]
-
-
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of a string or binary column; null rows are empty."""
     if column.null_count:
@@ -77,8 +65,8 @@ def chunks(raw: np.ndarray, offsets: np.ndarray, size: int = CHUNK_BYTES) -> Ite
         row += 1
 
 
-def words(raw: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _SPACE, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(codes, starts, ends, row of each word, prefix sums) of one chunk; ``offsets`` are the rows' bounds in ``raw``."""
+def words(raw: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _SPACE, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, starts, ends, row of each word) of one chunk; ``offsets`` are the rows' bounds in ``raw``."""
     codes = _LOWER[raw] if lower else raw
     gap = separators[raw]
     before = np.empty_like(gap)
@@ -92,24 +80,37 @@ def words(raw: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _SPACE,
     after[:-1] = gap[1:]
     after[inner - 1] = True
     ends = np.flatnonzero(~gap & after) + 1
-    rows = np.searchsorted(offsets, starts, side="right") - 1
-    up, _ = _power_tables(len(raw) + 1)
-    sums = np.empty(len(raw) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
-    return codes, starts, ends, rows, sums
+    return codes, starts, ends, np.searchsorted(offsets, starts, side="right") - 1
+
 
+def hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans' bytes, wherever in the chunk they are.
 
-def hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans, wherever in the chunk they are."""
-    _, down = _power_tables(len(sums))
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    Up to LANES lanes of eight bytes are mixed in one after the other, each by a
+    bijection, beginning with the length; longer spans are hashed by XXH3.
+    """
+    import xxhash
+
+    held = np.zeros(len(codes) + 8, np.uint8)
+    held[: len(codes)] = codes
+    lanes = np.ndarray(len(codes) + 1, "<u8", held, strides=(1,))
+    size = ends - starts
+    with np.errstate(over="ignore"):
+        out = mix(size.astype(np.uint64) * _SEED + _SEED)
+        live = np.flatnonzero((size > 0) & (size <= 8 * LANES))
+        for at in range(0, 8 * LANES, 8):
+            out[live] = mix((out[live] ^ (lanes[starts[live] + at] & _MASKS[np.minimum(size[live] - at, 8)])) + _SEED)
+            live = live[size[live] > at + 8]
+            if not len(live):
+                break
+    for i in np.flatnonzero(size > 8 * LANES).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(held[starts[i] : ends[i]].data)
+    return out
 
 
 def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, row of each word, hash of each word) of lower-cased white-space words, chunk by chunk in row order."""
-    with np.errstate(over="ignore"):
-        for first, last, start, end in chunks(raw, offsets):
-            marks = np.clip(offsets[first : last + 1], start, end) - start
-            _, starts, ends, rows, sums = words(raw[start:end], marks)
-            yield first, rows + first, hashes(sums, starts, ends)
+    for first, last, start, end in chunks(raw, offsets):
+        marks = np.clip(offsets[first : last + 1], start, end) - start
+        codes, starts, ends, rows = words(raw[start:end], marks)
+        yield first, rows + first, hashes(codes, starts, ends)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._support import small_batches, worker_cache
+from ._support import sliced, worker_cache
 
 CHUNK_CHARS = 1 << 16
 LONGEST = 1 << 18
@@ -98,12 +98,11 @@ def _columns(df: DataFrame, id_col: str, *more: T.StructField) -> T.StructType:
 def encode(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", ranks: str | None = None, decoded: bool = False) -> DataFrame:
     """doc_id and ``token_ids`` (binary, 4 bytes an id); with ``decoded`` also ``decoded``, the bytes that the ids stand for."""
     path = ranks or rank_file()
-    small_batches(df.sparkSession)
     fields = [T.StructField("token_ids", T.BinaryType(), False)] + [T.StructField("decoded", T.BinaryType(), False)] * decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = load_encoding(path)
-        for batch in batches:
+        for batch in sliced(batches):
             ids = [encode_text(encoding, text or "").tobytes() for text in batch.column(1).to_pylist()]
             out = [batch.column(0), pa.array(ids, pa.binary())]
             if decoded:
@@ -116,11 +115,10 @@ def encode(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", ranks:
 def decode(df: DataFrame, ids_col: str = "token_ids", id_col: str = "doc_id", ranks: str | None = None) -> DataFrame:
     """doc_id and ``decoded``: the bytes of a column of packed ids; null ids decode to no bytes."""
     path = ranks or rank_file()
-    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = load_encoding(path)
-        for batch in batches:
+        for batch in sliced(batches):
             raw = [decode_ids(encoding, ids or b"") for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["doc_id", "decoded"])
 

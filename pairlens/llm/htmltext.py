@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._html import BLOCK, VOID, attributes, scan
-from ._support import small_batches
+from ._support import sliced
 
 #: Frequent function words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
@@ -166,11 +166,10 @@ def main_text(html: str | None) -> str:
 
 def extract(df: DataFrame, html_col: str = "html", id_col: str = "page_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """The id column, the columns of ``keep``, and ``text``: the main text of each row's html. No shuffle."""
-    small_batches(df.sparkSession)
     names = [id_col, *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [main_text(html) for html in batch.column(len(names)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(texts, pa.string())], names=[*names, "text"])
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._html import BLOCK, attributes, scan
-from ._support import small_batches, staged
+from ._support import sliced, staged
 
 WIDTH = 64
 SCHEME = "sha256:"
@@ -67,10 +67,9 @@ def padded(text: F.Column) -> F.Column:
 
 def store_texts(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``media`` (the stored form) and ``n_bytes`` (the unpadded length) of each row's text."""
-    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             raw = [x or b"" for x in batch.column(0).to_pylist()]
             media = [store(x + bytes(-len(x) % WIDTH if x else WIDTH)) for x in raw]
             yield pa.RecordBatch.from_arrays([pa.array(media, pa.binary()), pa.array(map(len, raw), pa.int64())], names=["media", "n_bytes"])
@@ -80,11 +79,10 @@ def store_texts(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 def read_media(df: DataFrame, media_col: str = "media", keep: tuple[str, ...] = ()) -> DataFrame:
     """Read stored media back: digest and checksums of the samples, digest of the stored form, a feature string."""
-    small_batches(df.sparkSession)
     names = list(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for stored in batch.column(len(names)).to_pylist():
                 width, height, samples = load(stored)
@@ -155,13 +153,12 @@ def interleaved(html: str | None) -> list[tuple[int, str, str | None, str | None
 
 def parse(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
     """The columns of ``keep`` and ``items``: the interleaved sequence of each row's html; null html has no items."""
-    small_batches(df.sparkSession)
     names = list(keep)
     item = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())])
     fields = [f.name for f in item]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             items = [[dict(zip(fields, x, strict=True)) for x in interleaved(html)] for html in batch.column(len(names)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(items, pa.list_(item))], names=[*names, "items"])
 

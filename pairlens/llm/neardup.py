@@ -6,47 +6,53 @@ sequence where it has fewer. Documents whose sets have a Jaccard similarity of
 at least ``percent`` / 100 are linked, and each gets the smallest id that links
 reach.
 
-1. One pass over the texts gives each document the size and a 128-bit digest of
-   its set, ORDERS sorted-order prefixes and a sketch of one byte per minhash.
-   Documents with equal sets fall together before anything else, whatever the
-   number of copies.
-2. Each order starts at its own minhash values and runs on through all others.
-   Documents with a common prefix of DEPTH values are a region of an order. Two
-   documents with similarity 0.8 share no region of any order with probability
-   (1 - 0.8 ** 4) ** 32 < 5e-8.
-3. Each member of a region is compared with the region's smallest id, on full
-   sets. Components of these links settle nearly all regions.
-4. Regions that still hold more than one component are crowded ones or hold
-   chance neighbours. There depth adapts: their members are put in order of
-   all further values, so that the next in order has the longest common prefix,
-   and neighbours of different components are compared. What is then still
-   open is settled inside tasks. In regions of up to CROWD members, those of
-   different components are compared by their sketches; pairs that agree in
-   AGREE of 128 bytes (a true link misses that with probability below 1e-6) are
-   confirmed on full sets. Crowded regions are dealt in blocks, by members and
-   by shingles, which meet pairwise in cells of bounded size; a cell counts the
-   common shingles of members of different components exactly, by blocked matrix
-   products, and gives only the links that join components.
-
-Never are all pairs of a group written. Sets are made only for documents in
-regions, found through a bit map of bounded size.
+1. One pass over the texts gives each document the size and a 128-bit digest
+   (BLAKE2b over the sorted shingle hashes) of its set, ORDERS keys and a sketch
+   of one byte per minhash. Documents with equal sets are one class before
+   anything else, whatever the number of copies.
+2. The forest: each of ORDERS sorted orders of the signatures starts at its own
+   minhash values and runs on through the others. Classes with a common prefix of
+   DEPTH values are a region of an order; two with similarity 0.8 share no region
+   of any order with probability (1 - 0.8 ** 4) ** 32 < 5e-8. Rows are put in
+   order, and neighbours with their longest common prefix are candidates. The
+   depth that a prefix needs adapts to its region: one value more for each
+   doubling of the region beyond CROWD members. Each class keeps its neighbour
+   with the longest prefix over all orders, so that no set is copied more than
+   2 * ORDERS times, and these pairs are confirmed on full sets.
+3. Regions that hold more than one component of these links are open. In them,
+   neighbours of different components whose sketches agree in AGREE of 128 bytes
+   (a true link misses that with probability below 1e-6) are the next candidates,
+   the best one for each pair of components.
+4. What is still open is settled inside tasks. In regions of up to CROWD members,
+   members of different components are compared by their sketches; pairs that
+   agree are confirmed on full sets. Crowded regions are dealt in blocks, by
+   members and by shingles, which meet pairwise in cells of bounded size; a cell
+   counts the common shingles of members of different components exactly, by
+   blocked matrix products, and gives only the links that join components.
+
+Never are all pairs of a group written. Sets are made only for classes in
+regions, found through a bit map of bounded size, or by a join where more are
+needed than the map has room for.
 
 Null and empty texts and texts without words have an empty set: n_shingles 0,
 own component, kept. Rows with a null id take no part in links; their component
-is null and kept is false. Repeated rows get equal results. Only the id and text
-columns are read.
+is null and kept is false. Repeated rows get equal results. Rows that share an id
+but not a text are linked each by its own text. Texts of any length count whole;
+an empty table gives no rows. Only the id and text columns are read, so that other
+columns may have any names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._support import small_batches, staged
+from ._support import drop, fresh, lasting, scope, sliced, staged
 from ._words import mix, utf8, word_hashes
 
 DEPTH = 4
@@ -57,6 +63,8 @@ CROWD = 16
 BLOCK = 1024
 BLOCK_SHINGLES = 1 << 21
 MAP_BITS = 1 << 16, 1 << 28
+BITS_AN_ID = 16
+TAIL = 8
 _SEEDS = mix(np.arange(1, 2 * VALUES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _TIMES, _PLUS = _SEEDS[:VALUES] | np.uint64(1), _SEEDS[VALUES:]
 _STEPS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
@@ -115,67 +123,71 @@ def _order_keys(values: np.ndarray) -> np.ndarray:
 
 
 def signatures(df: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, set_hi, set_lo, keys (one per order), sketch of each (doc_id, text) row."""
-    small_batches(df.sparkSession)
+    """doc_id, h, n_shingles, set_hi, set_lo, keys (one per order), sketch of each (doc_id, h, text) row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
-            for batch in batches:
+            for batch in sliced(batches):
                 sizes, hi, lo, keys, sketches = [], [], [], [], []
-                for shingles in shingle_sets(batch.column(1), size):
+                for shingles in shingle_sets(batch.column(2), size):
                     sizes.append(len(shingles))
                     if not len(shingles):
                         hi.append(0), lo.append(0), keys.append(None), sketches.append(None)
                         continue
-                    hi.append(int(mix(shingles).sum().view(np.int64)))
-                    lo.append(int(mix(shingles ^ _STEPS[0]).sum().view(np.int64)))
+                    digest = np.frombuffer(blake2b(shingles.data, digest_size=16).digest(), np.int64)
+                    hi.append(int(digest[0])), lo.append(int(digest[1]))
                     values = minhashes(shingles)
                     keys.append(_order_keys(values).view(np.int64))
                     sketches.append((mix(values) >> np.uint64(56)).astype(np.uint8).tobytes())
-                cols = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "set_hi", "set_lo", "keys", "sketch"])
+                cols = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "h", "n_shingles", "set_hi", "set_lo", "keys", "sketch"])
 
-    return df.mapInArrow(run, "doc_id long, n_shingles long, set_hi long, set_lo long, keys array<long>, sketch binary")
+    return df.select("doc_id", "h", "text").mapInArrow(run, "doc_id long, h long, n_shingles long, set_hi long, set_lo long, keys array<long>, sketch binary")
 
 
-def _bit_map(ids: DataFrame, column: str) -> tuple[bytes, int]:
-    """A map with the hashed ids set, and its number of bits: sixteen an id, within MAP_BITS, so that it takes 32 MB at most.
-
-    More ids than that fill the map: sets are then made for more documents than needed, never for fewer.
-    """
-    low, high = MAP_BITS
-    bits = min(high, max(low, 1 << (16 * ids.count()).bit_length()))
-    at = ids.select(F.pmod(F.xxhash64(column), F.lit(bits)).alias("at"))
+def _bit_map(ids: DataFrame, bits: int) -> bytes:
+    """A map of a number of bits, with those of the hashed rows set."""
+    at = ids.select(F.pmod(F.xxhash64("doc_id", "h"), F.lit(bits)).alias("at"))
     words = at.selectExpr("cast(at div 64 as int) as word", "shiftleft(1L, cast(at % 64 as int)) as bit").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(bits // 64, np.int64)
     out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    return out.tobytes(), bits
+    return out.tobytes()
 
 
-def sets_of(df: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(doc_id, shingles) of the rows whose id is in ``ids``, and of a few others that share a bit with one."""
-    small_batches(df.sparkSession)
-    seen, size_of_map = _bit_map(staged(ids, "needed"), "doc_id")
-    held = df.sparkSession.sparkContext.broadcast(seen)
+def sets_of(df: DataFrame, needed: DataFrame, size: int) -> DataFrame:
+    """(c, shingles) of the rows of ``needed``: c, doc_id, h.
+
+    A broadcast map of BITS_AN_ID bits a row, 32 MB at most, tells which texts to
+    read. Where that isn't enough, texts and needed rows meet in a shuffled join.
+    """
+    needed = staged(needed, "needed")
+    low, high = MAP_BITS
+    wanted = BITS_AN_ID * needed.count()
+    rows = df.filter("doc_id is not null")
+    if wanted > high:
+        marked, held = rows.join(needed.select("doc_id", "h"), ["doc_id", "h"], "left_semi").select("doc_id", "h", "text", F.lit(0).cast("long").alias("at")), None
+    else:
+        bits = max(low, 1 << wanted.bit_length())
+        held = df.sparkSession.sparkContext.broadcast(_bit_map(needed, bits))
+        marked = rows.select("doc_id", "h", "text", F.pmod(F.xxhash64("doc_id", "h"), F.lit(bits)).alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(held.value, np.uint64)
-        for batch in batches:
-            at = batch.column(2).to_numpy()
+        bits = np.frombuffer(held.value, np.uint64) if held else np.full(1, 1, np.uint64)
+        for batch in sliced(batches):
+            at = batch.column(3).to_numpy()
             batch = batch.filter(pa.array((bits[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1) == 1))
-            sets = [shingles.tobytes() for shingles in shingle_sets(batch.column(1), size)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
+            sets = [shingles.tobytes() for shingles in shingle_sets(batch.column(2), size)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["doc_id", "h", "shingles"])
 
-    marked = df.filter("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(size_of_map)).alias("at"))
-    return marked.mapInArrow(run, "doc_id long, shingles binary").groupBy("doc_id").agg(F.first("shingles").alias("shingles"))
+    once = marked.mapInArrow(run, "doc_id long, h long, shingles binary").groupBy("doc_id", "h").agg(F.first("shingles").alias("shingles"))
+    return once.join(needed, ["doc_id", "h"]).select("c", "shingles")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    small_batches(pairs.sparkSession, 256)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 256):
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -189,69 +201,101 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (both - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+    left = sets.select(F.col("c").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("c").alias("b"), F.col("shingles").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame, rounds: int = 64) -> DataFrame:
-    """(doc_id, component): the smallest id that each linked id reaches, by alternating stars.
+def components(links: DataFrame) -> DataFrame:
+    """(c, component): the smallest number that each linked one reaches, by alternating stars.
 
-    A round hangs every node's neighbours from the smallest one. Each round's
-    links are written to the shared folder. Nodes with very many links are safe:
-    minima are pre-aggregated, and joins are between written tables, which Spark
-    can split at a hot key.
+    A round hangs every node's neighbours from the smallest one; rounds go on until
+    nothing changes, which takes about the logarithm of the longest path. Each round's
+    links are written to the shared folder and the ones before removed. Nodes with
+    very many links are safe: minima are pre-aggregated, and joins are between written
+    tables, which Spark can split at a hot key.
     """
-    now = staged(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    before = None
-    for _ in range(rounds):
-        # large star: a node's larger neighbours go to its smallest neighbour
-        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = staged(both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low")), "low")
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        now = staged(large.distinct(), "large")
-        # small star: a node's smaller neighbours, and itself, go to the smallest of them
-        low = staged(now.groupBy("a").agg(F.min("b").alias("low")), "low")
-        small = now.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("l")).select("l.*")
-        now = staged(small.filter("a <> b").distinct(), "small")
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
-    else:
-        raise RuntimeError("components did not settle")
-    ids = now.select(F.col("a").alias("doc_id"), F.col("b").alias("component"))
-    return ids
+    spark = links.sparkSession
+    with scope(spark) as paths:
+        now = staged(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+        before = None
+        while True:
+            old = len(paths)
+            # large star: a node's larger neighbours go to its smallest neighbour
+            both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            low = staged(both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low")), "low")
+            large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+            now = staged(large.distinct(), "large")
+            # small star: a node's smaller neighbours, and itself, go to the smallest of them
+            low = staged(now.groupBy("a").agg(F.min("b").alias("low")), "low")
+            small = now.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("l")).select("l.*")
+            now = staged(small.filter("a <> b").distinct(), "small")
+            drop(spark, paths, old - 1, len(paths) - 1)
+            state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+            if state == before:
+                return lasting(now.select(F.col("a").alias("c"), F.col("b").alias("component")), "components")
+            before = state
+
+
+def _forest(crowd: DataFrame) -> DataFrame:
+    """Each class's neighbour with the longest common prefix over all orders: pairs (a, b), a > b.
+
+    Neighbours that partitions part aren't seen here: they are left to the later steps, which look at all open regions.
+    """
+    place = ["order", "key", "tail", "c"]
+    rows = crowd.repartitionByRange(*place).sortWithinPartitions(*place).select(*place, "n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: pa.RecordBatch | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if last is None else [last, batch])
+            last = batch.slice(batch.num_rows - 1) if batch.num_rows else last
+            order, key, c, n = (table.column(i).to_numpy() for i in (0, 1, 3, 4))
+            grid = np.frombuffer(b"".join(table.column(2).to_pylist()), np.uint8).reshape(len(c), TAIL)
+            prefix = DEPTH + np.cumprod(grid[1:] == grid[:-1], axis=1).sum(axis=1)
+            deep = DEPTH + np.minimum(TAIL, np.floor(np.log2(np.maximum(n[1:] / CROWD, 0.5))).astype(np.int64) + 1)
+            near = (order[1:] == order[:-1]) & (key[1:] == key[:-1]) & (prefix >= deep)
+            x, y, prefix = c[1:][near], c[:-1][near], prefix[near]
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(x, y)), pa.array(np.append(y, x)), pa.array(np.append(prefix, prefix))], names=["a", "b", "prefix"])
+
+    best = rows.mapInArrow(run, "a long, b long, prefix long").groupBy("a").agg(F.max(F.struct("prefix", (-F.col("b")).alias("b"))).alias("m")).select("a", (-F.col("m.b")).alias("b"))
+    return best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def _open_rows(crowd: DataFrame, settled: DataFrame, classes: DataFrame) -> DataFrame:
     """Members of the regions that hold more than one component, with their component and sketch."""
-    rows = crowd.select("order", "key", "n", "total", "doc_id").join(settled, "doc_id", "left")
-    rows = staged(rows.withColumn("component", F.coalesce("component", "doc_id")), "rows")
+    rows = crowd.select("order", "key", "n", "total", "c").join(settled, "c", "left")
+    rows = staged(rows.withColumn("component", F.coalesce("component", "c")), "rows")
     several = rows.groupBy("order", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-    return rows.join(staged(several.select("order", "key"), "several"), ["order", "key"]).join(classes.select("doc_id", "sketch"), "doc_id")
+    return rows.join(staged(several.select("order", "key"), "several"), ["order", "key"]).join(classes.select("c", "sketch"), "c")
+
+
+def _tail(sketch, order, size: int):
+    """The sketch bytes that follow an order's first DEPTH values."""
+    return F.substring(F.concat(sketch, sketch), (F.pmod((order + 1) * DEPTH, F.lit(VALUES)) + 1).cast("int"), F.lit(size))
 
 
 def _neighbours(rows: DataFrame) -> DataFrame:
-    """Pairs of different components that are next to each other in an order and whose sketches agree.
+    """Of each pair of components that are next to each other in an open region: the two members whose sketches agree best, in AGREE bytes or more.
 
-    Pairs that batches or partitions part are left to the second step.
+    Pairs that batches or partitions part are left to the next step.
     """
-    start = F.pmod((F.col("order") + 1) * DEPTH, F.lit(VALUES)) + 1
-    ahead = F.substring(F.concat("sketch", "sketch"), start.cast("int"), F.lit(16))
-    place = ["order", "key", "ahead", "doc_id"]
-    sorted_rows = rows.withColumn("ahead", ahead).repartitionByRange(*place).sortWithinPartitions(*place).select("order", "key", "doc_id", "component", "sketch")
+    place = ["order", "key", "ahead", "c"]
+    ahead = rows.withColumn("ahead", _tail(F.col("sketch"), F.col("order"), 16))
+    sorted_rows = ahead.repartitionByRange(*place).sortWithinPartitions(*place).select("order", "key", "c", "component", "sketch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             order, key, ids, comps = (batch.column(i).to_numpy() for i in range(4))
             grid = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(len(ids), VALUES)
-            same = (order[1:] == order[:-1]) & (key[1:] == key[:-1]) & (comps[1:] != comps[:-1])
-            same &= (grid[1:] == grid[:-1]).sum(axis=1) >= AGREE
-            x, y = ids[1:][same], ids[:-1][same]
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["a", "b"])
+            agree = (grid[1:] == grid[:-1]).sum(axis=1)
+            near = (order[1:] == order[:-1]) & (key[1:] == key[:-1]) & (comps[1:] != comps[:-1]) & (agree >= AGREE)
+            x, y, p, q = ids[1:][near], ids[:-1][near], comps[1:][near], comps[:-1][near]
+            cols = [np.minimum(p, q), np.maximum(p, q), agree[near].astype(np.int64), np.maximum(x, y), np.minimum(x, y)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["p", "q", "agree", "a", "b"])
 
-    return sorted_rows.mapInArrow(run, "a long, b long")
+    found = sorted_rows.mapInArrow(run, "p long, q long, agree long, a long, b long")
+    return found.groupBy("p", "q").agg(F.max(F.struct("agree", "a", "b")).alias("m")).select("m.a", "m.b")
 
 
 def _joined(links: DataFrame, settled: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -267,8 +311,8 @@ def _cells(rows: DataFrame) -> DataFrame:
     """Deal each region's members to cells: one where a block holds the region, else one for each pair of its blocks."""
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int")
     spot = F.struct(F.least("x", "block").alias("i"), F.greatest("x", "block").alias("j"), F.when(F.col("x") == F.col("block"), 2).otherwise((F.col("block") > F.col("x")).cast("int")).alias("side"))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return dealt.select(F.xxhash64("order", "key", spot["i"], spot["j"]).alias("cell"), spot["side"].alias("side"), "doc_id", "component", "shingles")
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("c"), blocks).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return dealt.select(F.xxhash64("order", "key", spot["i"], spot["j"]).alias("cell"), spot["side"].alias("side"), "c", "component", "shingles")
 
 
 def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
@@ -286,7 +330,7 @@ def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
 
 
 def _cell_links(cell: list, percent: int) -> Iterator[tuple[int, int]]:
-    """Links between different components of a cell, a forest of them; rows: side, doc_id, component, shingles.
+    """Links between different components of a cell, a forest of them; rows: side, c, component, shingles.
 
     Rows of side 2 meet each other; rows of side 0 meet those of side 1 only. The
     largest component's members aren't compared with each other.
@@ -347,7 +391,7 @@ def _crowded(rows: DataFrame, percent: int) -> DataFrame:
 
 def _promising(rows: DataFrame) -> DataFrame:
     """Pairs of different components within a small region whose sketches agree."""
-    rows = rows.select(F.xxhash64("order", "key").alias("cell"), "doc_id", "component", "sketch")
+    rows = rows.select(F.xxhash64("order", "key").alias("cell"), "c", "component", "sketch")
     rows = rows.repartition("cell").sortWithinPartitions("cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,36 +405,57 @@ def _promising(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _rows(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """doc_id, h (hash of the text), text; null texts are empty."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+
+
+def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, h, n_shingles, top_id, top_h of every row of ``_rows``: the row of its group with the smallest id and hash; nulls without id."""
+    spark = docs.sparkSession
+    with scope(spark):
+        signed = staged(signatures(docs, size), "signatures")
+        linkable = signed.filter("n_shingles > 0 and doc_id is not null")
+        first = F.min(F.struct("doc_id", "h", "n_shingles", "keys", "sketch"))
+        classes = linkable.groupBy("set_hi", "set_lo").agg(first.alias("m")).select("set_hi", "set_lo", "m.*")
+        classes = staged(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
+
+        members = classes.select("c", "n_shingles", "sketch", F.posexplode("keys").alias("order", "key"))
+        members = members.select("c", "n_shingles", "order", "key", _tail(F.col("sketch"), F.col("order"), TAIL).alias("tail"))
+        regions = members.groupBy("order", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("total")).filter("n > 1")
+        crowd = staged(members.drop("n_shingles").join(staged(regions, "regions"), ["order", "key"]), "crowd")
+
+        needed = crowd.select("c").distinct().join(classes.select("c", "doc_id", "h"), "c")
+        sets = staged(sets_of(docs, needed, size), "sets")
+        links = staged(confirmed(staged(_forest(crowd), "forest"), sets, percent), "links")
+        settled = components(links)
+
+        # neighbours of different components, then whatever the regions still leave open
+        near = staged(_neighbours(_open_rows(crowd, settled, classes)), "near")
+        links, settled = _joined(links, settled, confirmed(near, sets, percent))
+        left = staged(_open_rows(crowd, settled, classes), "left")
+        few = staged(_promising(left.filter(F.col("n") <= CROWD)).distinct(), "promising")
+        many = _crowded(left.filter(F.col("n") > CROWD).drop("sketch").join(sets, "c"), percent)
+        links, settled = _joined(links, settled, confirmed(few, sets, percent).union(many))
+
+        linked = settled.join(classes.select("c", "doc_id", "h"), "c")
+        linked = linked.union(settled.select("component").distinct().join(classes.select(F.col("c").alias("component"), "doc_id", "h"), "component").select(F.col("component").alias("c"), "component", "doc_id", "h"))
+        tops = linked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").alias("top_id"), F.col("h").alias("top_h"))).alias("top"))
+        top = linked.select("c", "component").distinct().join(tops, "component").select("c", "top")
+        named = staged(classes.select("c", "set_hi", "set_lo", "doc_id", "h").join(top, "c", "left").select("set_hi", "set_lo", F.coalesce("top", F.struct(F.col("doc_id").alias("top_id"), F.col("h").alias("top_h"))).alias("top")), "named")
+        found = linkable.join(named, ["set_hi", "set_lo"]).select("doc_id", "h", "n_shingles", "top.*")
+        # rows that link with nothing aren't joined: they all have one digest
+        alone = signed.filter("n_shingles = 0 or doc_id is null")
+        own = lambda c: F.when(F.col("doc_id").isNotNull(), F.col(c))
+        return lasting(found.union(alone.select("doc_id", "h", "n_shingles", own("doc_id").alias("top_id"), own("h").alias("top_h"))), "groups")
+
+
 def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; ids are integers. ``percent`` is at least 80."""
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = staged(signatures(docs, size), "signatures")
-    linkable = signed.filter("n_shingles > 0 and doc_id is not null")
-    first = F.min(F.struct("doc_id", "n_shingles", "keys", "sketch"))
-    classes = staged(linkable.groupBy("set_hi", "set_lo").agg(first.alias("m")).select("set_hi", "set_lo", "m.*"), "classes")
-
-    members = classes.select("doc_id", "n_shingles", F.posexplode("keys").alias("order", "key"))
-    regions = members.groupBy("order", "key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lead"), F.sum("n_shingles").alias("total")).filter("n > 1")
-    regions = staged(regions, "regions")
-    crowd = staged(members.drop("n_shingles").join(regions, ["order", "key"]), "crowd")
-
-    stars = staged(crowd.filter("doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b")).distinct(), "stars")
-    sets = staged(sets_of(docs, stars.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), size), "sets")
-    links = staged(confirmed(stars, sets, percent), "links")
-    settled = components(links)
-
-    # neighbours by longest common prefix, then whatever the regions still leave open
-    near = staged(_neighbours(_open_rows(crowd, settled, classes)).distinct(), "near")
-    links, settled = _joined(links, settled, confirmed(near, sets, percent))
-    left = staged(_open_rows(crowd, settled, classes), "left")
-    few = staged(_promising(left.filter(F.col("n") <= CROWD)).distinct(), "promising")
-    many = _crowded(left.filter(F.col("n") > CROWD).drop("sketch").join(sets, "doc_id"), percent)
-    links, settled = _joined(links, settled, confirmed(few, sets, percent).union(many))
-
-    named = staged(classes.select("set_hi", "set_lo", "doc_id").join(settled, "doc_id", "left").select("set_hi", "set_lo", F.coalesce("component", "doc_id").alias("component")), "named")
-    linked = signed.select("doc_id", "n_shingles", "set_hi", "set_lo").join(named, ["set_hi", "set_lo"], "left")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
-    return linked.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    found = _grouped(_rows(df, text_col, id_col), size, percent)
+    kept = F.coalesce(F.col("doc_id") == F.col("top_id"), F.lit(False))
+    return found.select("doc_id", "n_shingles", F.col("top_id").alias("component_id"), kept.alias("kept"))
 
 
 def op6_neardup(spark, sf_dir: str) -> DataFrame:
@@ -403,11 +468,18 @@ def op6_neardup(spark, sf_dir: str) -> DataFrame:
 def deduplicated(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, whole, but one for each group of near copies: that with the smallest id.
 
-    Of rows with the same id one stays. Rows with a null id stay.
+    Rows that share an id but not a group stay, one each. Of rows with the same id
+    and text one stays, that with the smallest hash of all columns. Rows with a
+    null id stay.
     """
-    kept = staged(near_duplicates(docs, text_col, id_col, size, percent).filter("kept").select(F.col("doc_id").alias("__kept")).distinct(), "kept")
-    one = docs.join(kept, F.col(id_col).cast("long") == F.col("__kept"), "left_semi").dropDuplicates([id_col])
-    return one.unionByName(docs.filter(F.col(id_col).isNull()))
+    rows = _rows(docs, text_col, id_col)
+    kept = staged(_grouped(rows, size, percent).filter("doc_id = top_id and h = top_h").select("doc_id", "h").distinct(), "kept")
+    k, h = fresh(docs, "k"), fresh(docs, "h")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    keyed = docs.withColumns({k: F.col(id_col).cast("long"), h: F.xxhash64(text)})
+    one = keyed.join(kept.select(F.col("doc_id").alias(k), F.col("h").alias(h)), [k, h], "left_semi")
+    one = one.groupBy(k, h).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row"))
+    return one.select("row.*").unionByName(docs.filter(F.col(id_col).isNull()))
 
 
 #: The same by a join of all shingles; for tables of a few thousand documents.

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._support import small_batches, staged, worker_cache
+from ._support import sliced, staged, worker_cache
 from .bpe import encode_chunk, safe_chunks
 
 CAPACITY = 2048
@@ -81,13 +81,12 @@ def ids_of(encode, text: str, closing: int = 0) -> np.ndarray:
 def pieces(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", path: str | None = None, capacity: int = CAPACITY, closing: int = 0, ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each document's pieces; with ``ids`` also the packed ids."""
     path = path or tokenizer_file()
-    small_batches(df.sparkSession)
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "token_ids"][: 6 if ids else 5]
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = load_encoder(path)
-        for batch in batches:
+        for batch in sliced(batches):
             rows, out = [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
                 found = ids_of(encode, text or "", closing)

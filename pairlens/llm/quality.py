@@ -1,17 +1,21 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
-A document's terms are its byte trigrams, hashed to TRIGRAMS places, and a few
-kinds of words (repeats of the word before, capitals only, trailing symbols and
-so on). Counts are damped, weighted by inverse document frequencies over all
-documents, and each of the two parts is scaled to unit length. A truncated singular value
-decomposition of the bounded labelled sample gives the latent axes. The sample's
-vectors are broadcast; every document's cosine with each of them is computed
-exactly, in blocks, and the NEIGHBOURS nearest vote with their label, weighted by
-similarity. The score is the share of the vote for label 1.
-
-Empty and null texts have a zero vector and score the sample's share of label 1.
-Equal texts score equally; ties between neighbours go to the sample's order. With
-no labelled rows every score is 1.
+A document's terms are n-grams of two kinds: its byte trigrams, hashed to TRIGRAMS
+places, and the bigrams of its words' recency, which is how far back the same word
+last stood, in powers of two (0: nowhere before). Counts are damped and weighted
+by inverse document frequencies over all documents; each kind is scaled to unit
+length, recency then to RECENCY_SHARE. A truncated singular value decomposition
+of the bounded labelled sample gives the latent axes. The sample's vectors are
+broadcast; every document's cosine with each of them is computed exactly, in
+blocks, and the NEIGHBOURS nearest vote with their label, weighted by similarity.
+The score is the share of the vote for label 1.
+
+Texts are counted whole, whatever their length. Empty and null texts have a zero
+vector and score the sample's share of label 1. Equal texts and repeated rows
+score equally; cosines are rounded to 2 ** -20, and ties between neighbours go to
+the sample's order, which is that of ids. With no labelled rows every score is 1;
+an empty table gives no rows. Only ids and texts are read of documents, so that
+other columns may have any names.
 """
 
 from __future__ import annotations
@@ -26,17 +30,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._labels import labelled_texts
-from ._support import held_out, small_batches
-from ._words import chunks, hashes, utf8, words
+from ._support import fresh, held_out, sliced
+from ._words import utf8, word_hashes
 
 SAMPLE = 4096
-TRIGRAMS = 1024
-KINDS = 10
-AXES = 32
+TRIGRAMS = 4096
+CLASSES = 16
+WIDTH = TRIGRAMS + CLASSES * CLASSES
+RECENCY_SHARE = 0.5
+AXES = 64
 NEIGHBOURS = 15
 POWER = 4
 THRESHOLD = 0.3
 BLOCK = 256
+PIECE = 1 << 21
 
 
 @dataclass
@@ -48,101 +55,94 @@ class Model:
     share: float
 
 
-_SYMBOL = np.zeros(256, np.int32)
-_SYMBOL[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 1
-_UPPER = np.zeros(256, np.int32)
-_UPPER[65:91] = 1
-_LOWER = np.zeros(256, np.int32)
-_LOWER[97:123] = 1
-_DIGIT = np.zeros(256, np.int32)
-_DIGIT[48:58] = 1
+def _trigrams(raw: np.ndarray, offsets: np.ndarray, out: np.ndarray) -> None:
+    """Add the byte trigrams of each row to ``out``; the pieces that bound memory overlap by two bytes."""
+    bits = np.uint32(32 - (TRIGRAMS.bit_length() - 1))
+    for at in range(0, max(0, len(raw) - 2), PIECE):
+        code = raw[at : at + PIECE + 2].astype(np.uint32)
+        gram = (code[:-2] * np.uint32(0x01000193) ^ code[1:-1]) * np.uint32(0x01000193) ^ code[2:]
+        gram = (gram * np.uint32(0x9E3779B1)) >> bits
+        place = at + np.arange(len(gram))
+        owner = np.searchsorted(offsets, place, side="right") - 1
+        inside = place + 3 <= offsets[owner + 1]
+        first, last = int(owner[0]), int(owner[-1]) + 1
+        flat = (owner[inside] - first) * TRIGRAMS + gram[inside]
+        out[first:last] += np.bincount(flat, minlength=(last - first) * TRIGRAMS).reshape(last - first, TRIGRAMS)
+
+
+def _recency(raw: np.ndarray, offsets: np.ndarray, out: np.ndarray) -> None:
+    """Add the bigrams of each row's recency classes to ``out``."""
+    found = [(rows, keys) for _, rows, keys in word_hashes(raw, offsets)]
+    if not found:
+        return
+    rows, keys = (np.concatenate(x) for x in zip(*found, strict=True))
+    if len(rows) < 2:
+        return
+    order = np.lexsort((keys, rows))  # stable: places of a word ascend
+    again = (rows[order][1:] == rows[order][:-1]) & (keys[order][1:] == keys[order][:-1])
+    kinds = np.zeros(len(rows), np.int64)
+    back = (order[1:] - order[:-1])[again]
+    kinds[order[1:][again]] = np.minimum(CLASSES - 1, 1 + np.ceil(np.log2(back)).astype(np.int64))
+    pairs = rows[1:] == rows[:-1]
+    flat = rows[1:][pairs] * CLASSES * CLASSES + kinds[:-1][pairs] * CLASSES + kinds[1:][pairs]
+    out += np.bincount(flat, minlength=out.size).reshape(out.shape)
 
 
 def term_counts(column: pa.Array) -> np.ndarray:
-    """A row of TRIGRAMS + KINDS counts for each row of a text column."""
+    """A row of WIDTH counts for each row of a text column."""
     raw, offsets = utf8(column)
-    width = TRIGRAMS + KINDS
-    out = np.zeros((len(offsets) - 1, width), np.float32)
-    last_hash, last_row = np.uint64(0), -1
-    with np.errstate(over="ignore"):
-        for first, last, start, end in chunks(raw, offsets):
-            piece = raw[start:end]
-            marks = np.clip(offsets[first : last + 1], start, end) - start
-            _, starts, ends, rows, sums = words(piece, marks, lower=False)
-            n = last - first
-            if len(piece) > 2:
-                code = piece.astype(np.uint32)
-                gram = (code[:-2] * np.uint32(0x01000193) ^ code[1:-1]) * np.uint32(0x01000193) ^ code[2:]
-                gram = (gram * np.uint32(0x9E3779B1)) >> np.uint32(32 - TRIGRAMS.bit_length() + 1)
-                owner = np.repeat(np.arange(n), np.diff(marks))
-                inside = owner[:-2] == owner[2:]
-                flat = owner[:-2][inside] * TRIGRAMS + gram[inside]
-                out[first:last, :TRIGRAMS] += np.bincount(flat, minlength=n * TRIGRAMS).reshape(n, TRIGRAMS)
-            if len(starts):
-                keys = hashes(sums, starts, ends)
-                count = lambda kind: (lambda c: c[ends] - c[starts])(np.append(0, np.cumsum(kind[piece])))
-                symbols, upper, lower, digits = count(_SYMBOL), count(_UPPER), count(_LOWER), count(_DIGIT)
-                length = ends - starts
-                before = np.append(last_hash if rows[0] + first == last_row else np.uint64(0), keys[:-1])
-                same_row = np.append(rows[0] + first == last_row, rows[1:] == rows[:-1])
-                kinds = [
-                    (keys == before) & same_row,
-                    (upper > 1) & (lower == 0),
-                    symbols == length,
-                    (_SYMBOL[piece[ends - 1]] & _SYMBOL[piece[np.maximum(ends - 2, starts)]]).astype(bool) & (symbols < length),
-                    digits > 0,
-                    (symbols > 2) & (symbols < length),
-                    length >= 20,
-                    length == 1,
-                    (upper > 1) & (lower > 0),
-                ]
-                kinds.append(~np.logical_or.reduce(kinds))
-                for i, kind in enumerate(kinds):
-                    out[first:last, TRIGRAMS + i] += np.bincount(rows[kind], minlength=n)
-                last_hash, last_row = keys[-1], int(rows[-1]) + first
+    out = np.zeros((len(offsets) - 1, WIDTH), np.float32)
+    _trigrams(raw, offsets, out[:, :TRIGRAMS])
+    _recency(raw, offsets, out[:, TRIGRAMS:])
     return out
 
 
 def _weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Damped, weighted counts; trigrams and kinds of words each scaled to unit length."""
+    """Damped, weighted counts; each kind of terms scaled to its length."""
     out = np.sqrt(counts) * idf
-    for part in (slice(0, TRIGRAMS), slice(TRIGRAMS, None)):
+    for part, share in ((slice(0, TRIGRAMS), 1), (slice(TRIGRAMS, None), RECENCY_SHARE)):
         size = np.linalg.norm(out[:, part], axis=1, keepdims=True)
-        out[:, part] /= np.where(size > 0, size, 1)
+        out[:, part] *= np.where(size > 0, share / np.where(size > 0, size, 1), 0)
     return out
 
 
 def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
     """The number of documents and, of each term, the number that hold it; over all rows."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, rows = np.zeros(TRIGRAMS + KINDS, np.int64), 0
-        for batch in batches:
-            total += (term_counts(batch.column(0)) > 0).sum(axis=0)
+        total, rows = np.zeros(WIDTH, np.int64), 0
+        for batch in sliced(batches, BLOCK):
+            total += np.count_nonzero(term_counts(batch.column(0)), axis=0)
             rows += batch.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(total)), pa.int32()), pa.array(np.append(rows, total), pa.int64())], names=["term", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, WIDTH), pa.int32()), pa.array(np.append(rows, total), pa.int64())], names=["term", "n"])
 
     sums = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(TRIGRAMS + KINDS + 1, np.int64)
+    out = np.zeros(WIDTH + 1, np.int64)
     out[sums.column("term").to_numpy() + 1] = sums.column("n").to_numpy()
     return int(out[0]), out[1:]
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", sample: int = SAMPLE) -> Model | None:
-    """A model of at most ``sample`` labelled documents and all documents' term frequencies; None without labelled rows."""
-    texts = labelled_texts(docs, labels, column, sample)
+    """A model of at most ``sample`` labelled documents and all documents' term frequencies; None without labelled rows.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [x.tobytes() for x in term_counts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary()), batch.column(2)], names=["doc_id", "counts", "label"])
+    Only the places and counts that aren't zero go to the driver.
+    """
+    texts = labelled_texts(docs, labels, column, sample).select("doc_id", "label", "text")
 
-    small_batches(docs.sparkSession)
-    rows = texts.mapInArrow(run, T.StructType([texts.schema["doc_id"], T.StructField("counts", T.BinaryType()), texts.schema["label"]])).toArrow().sort_by("doc_id")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, BLOCK):
+            counts = term_counts(batch.column(2))
+            terms = [np.flatnonzero(x) for x in counts]
+            held = [pa.array([t.astype(np.uint16).tobytes() for t in terms], pa.binary()), pa.array([x[t].tobytes() for x, t in zip(counts, terms, strict=True)], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *held], names=["doc_id", "label", "terms", "counts"])
+
+    schema = T.StructType([*texts.schema.fields[:2], T.StructField("terms", T.BinaryType()), T.StructField("counts", T.BinaryType())])
+    rows = texts.mapInArrow(run, schema).toArrow().sort_by("doc_id")
     if not rows.num_rows:
         return None
-    counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.float32).reshape(rows.num_rows, -1)
+    counts = np.zeros((rows.num_rows, WIDTH), np.float32)
+    for x, terms, held in zip(counts, rows.column("terms").to_pylist(), rows.column("counts").to_pylist(), strict=True):
+        x[np.frombuffer(terms, np.uint16)] = np.frombuffer(held, np.float32)
     n, frequencies = document_frequencies(docs)
     idf = (np.log((1 + n) / (1 + frequencies)) + 0.1).astype(np.float32)
     return learn(counts, rows.column("label").to_numpy() > 0, idf)
@@ -164,31 +164,40 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (x / np.where(size > 0, size, 1)).astype(np.float32)
 
 
+def _nearest(cosines: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k largest of each row, ties to the smaller place."""
+    nearest = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(cosines, nearest, axis=1).min(axis=1)
+    for i in np.flatnonzero((cosines >= least[:, None]).sum(axis=1) > k).tolist():
+        equal = np.flatnonzero(cosines[i] == least[i])
+        above = np.flatnonzero(cosines[i] > least[i])
+        nearest[i] = np.append(above, equal[: k - len(above)])
+    return np.sort(nearest, axis=1)
+
+
 def vote(model: Model, counts: np.ndarray) -> np.ndarray:
     """The score of each row of term counts."""
     out = np.full(len(counts), model.share)
     for at in range(0, len(counts), BLOCK):
         block = _unit(_weighted(counts[at : at + BLOCK], model.idf) @ model.axes)
-        cosines = block @ model.vectors.T
-        k = min(NEIGHBOURS, cosines.shape[1])
-        nearest = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-        weights = np.maximum(np.take_along_axis(cosines, nearest, axis=1).astype(np.float64), 0) ** POWER
+        cosines = np.round(block @ model.vectors.T * 2**20)
+        nearest = _nearest(cosines, min(NEIGHBOURS, cosines.shape[1]))
+        weights = np.maximum(np.take_along_axis(cosines, nearest, axis=1).astype(np.float64) / 2**20, 0) ** POWER
         total = weights.sum(axis=1)
         share = (weights * model.labels[nearest]).sum(axis=1) / np.where(total > 0, total, 1)
         out[at : at + BLOCK] = np.where(total > 0, np.clip(share, 0, 1), model.share)
     return out
 
 
-def _scored(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The columns of ``df`` and __score of each row's text."""
-    small_batches(df.sparkSession)
+def _scored(df: DataFrame, model: Model, score_col: str, text_col: str = "text") -> DataFrame:
+    """The columns of ``df`` and the score of each row's text."""
     held = df.sparkSession.sparkContext.broadcast(asdict(model))  # executors may not be able to import the class
-    schema = T.StructType([*df.schema.fields, T.StructField("__score", T.DoubleType(), False)])
+    schema = T.StructType([*df.schema.fields, T.StructField(score_col, T.DoubleType(), False)])
     names, place = schema.names, df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(**held.value)
-        for batch in batches:
+        for batch in sliced(batches, BLOCK):
             scores = vote(model, term_counts(batch.column(place)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=names)
 
@@ -200,14 +209,15 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", id_col:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if model is None:
         return rows.select("doc_id", F.lit(1.0).alias("score"), F.lit(1).alias("predicted"))
-    return _scored(rows, model).select("doc_id", F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"))
+    return _scored(rows, model, "score").select("doc_id", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def without_junk(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, whole, whose score reaches THRESHOLD. No shuffle."""
     if model is None:
         return docs
-    return _scored(docs, model, text_col).filter(F.col("__score") >= THRESHOLD).select(*docs.columns)
+    score_col = fresh(docs, "score")
+    return _scored(docs, model, score_col, text_col).filter(F.col(score_col) >= THRESHOLD).select(*docs.columns)
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -53,10 +54,37 @@ def test_long_rows_are_cut_without_effect(monkeypatch):
     assert [s.tolist() for s in neardup.shingle_sets(pa.array(["q", *texts]).slice(1), 4)] == whole
 
 
-@pytest.mark.parametrize("block", [1024, 3])
-def test_groups_equal_brute_force(spark, monkeypatch, block):
+def thue_morse(size):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(size))
+
+
+@pytest.mark.parametrize("size", [16, 1024, 2048, 4096, 8192])
+def test_words_of_structure_have_different_hashes(size):
+    one = thue_morse(size)
+    two = one.translate(str.maketrans("ab", "ba"))
+    a, b = neardup.shingle_sets(pa.array([one, two]), 4)
+    assert len(a) == len(b) == 1 and a[0] != b[0]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.binary(max_size=90), min_size=1, max_size=8), st.integers(0, 20))
+def test_word_hashes_depend_on_the_bytes_only(spans, before):
+    """The same bytes have one hash wherever they stand, others another."""
+    from pairlens.llm import _words
+
+    raw = np.frombuffer(b"x" * before + b"".join(spans), np.uint8)
+    ends = before + np.cumsum([len(x) for x in spans])
+    got = _words.hashes(raw, np.append(before, ends[:-1]), ends)
+    alone = [_words.hashes(np.frombuffer(x, np.uint8), np.array([0]), np.array([len(x)]))[0] for x in spans]
+    assert got.tolist() == [int(x) for x in alone]
+    assert len(set(got.tolist())) == len(set(spans))
+
+
+@pytest.mark.parametrize("block, bits", [(1024, 1 << 28), (3, 1 << 28), (1024, 1)])
+def test_groups_equal_brute_force(spark, monkeypatch, block, bits):
     monkeypatch.setattr(neardup, "BLOCK", block)
     monkeypatch.setattr(neardup, "CROWD", min(16, block))
+    monkeypatch.setattr(neardup, "MAP_BITS", (1 << 16, bits))
     r = random.Random(7)
     vocabulary = [f"w{i}" for i in range(400)]
     docs = []
@@ -82,6 +110,57 @@ def test_chain_and_edge_cases(spark):
     assert neardup.near_duplicates(df.limit(0), size=4).count() == 0
 
 
+def test_rows_that_share_an_id(spark):
+    texts = {1: "one two three four five six seven", 2: "eight nine ten eleven twelve thirteen"}
+    rows = [(7, texts[1], "x"), (7, texts[2], "y"), (7, texts[1], "x"), (8, texts[2], "z"), (9, "", "e"), (9, None, "e"), (None, texts[1], "n"), (None, texts[1], "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, k string")
+    got = sorted((r.doc_id or -1, r.text or "") for r in neardup.deduplicated(df).collect())
+    assert got == [(-1, texts[1]), (-1, texts[1]), (7, texts[2]), (7, texts[1]), (9, "")]
+    assert neardup.deduplicated(df).columns == df.columns
+
+
+def exact_links(docs, percent=80):
+    """All links, by a prefix filter over shingles in order of rarity; independent of sketches."""
+    sets = {i: shingles(t) for i, t in docs}
+    number = {}
+    for s in sets.values():
+        for g in s:
+            number[g] = number.get(g, 0) + 1
+    index, links = {}, []
+    for i, s in sorted(sets.items(), key=lambda x: len(x[1])):
+        ranked = sorted(s, key=lambda g: (number[g], g))
+        seen = set()
+        for g in ranked[: len(s) - -(-len(s) * percent // 100) + 1]:
+            if number[g] > 1:
+                seen.update(index.get(g, ()))
+                index.setdefault(g, []).append(i)
+        links += [(i, j) for j in seen if 100 * len(s & sets[j]) >= percent * len(s | sets[j])]
+    return links
+
+
+def test_recall_over_all_true_links(spark):
+    """Every true link of the bench tables lies within a group, and no group holds more than links reach."""
+    sf = "/root/testdata/sf0.1"
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    links = exact_links(docs)
+    group = {r.doc_id: r.component_id for r in neardup.op6_neardup(spark, sf).collect()}
+    found = sum(group[i] == group[j] for i, j in links)
+    print("links", len(links), "recall", found / len(links))
+    assert links and found >= 0.9 * len(links)
+    top = {i: i for i, _ in docs}
+
+    def find(i):
+        while top[i] != i:
+            top[i] = top[top[i]]
+            i = top[i]
+        return i
+
+    for i, j in links:
+        a, b = sorted((find(i), find(j)))
+        top[b] = a
+    assert all(find(i) <= c and find(c) == find(i) for i, c in group.items())
+
+
 def test_query_on_the_smallest_tables(spark, sf):
     import duckdb
 
