@@ -8,18 +8,20 @@ from pyspark.sql import functions as F
 from pairlens.llm import topk, warc
 
 
+LOW, HIGH = -(2**63), 2**63 - 1
+
+
 def brute(rows, is_query, k):
-    usable = {}
+    """By definition, over rows: ids may repeat; beyond a long, the nearest long."""
+    usable = []
     for i, v in rows:
         if i is None or v is None or any(x is None or not np.isfinite(x) for x in v):
             continue
-        q = tuple(int(np.floor(256 * float(x))) for x in v)
-        usable[i] = min(usable.get(i, q), q)
+        usable.append((i, tuple(min(max(int(np.floor(256 * float(x))), LOW), HIGH) for x in v)))
     out = []
-    for i, q in usable.items():
-        if is_query(i):
-            scores = sorted((-sum(a * b for a, b in zip(q, c)), j) for j, c in usable.items() if j != i)[:k]
-            out += [(i, r, j, -s) for r, (s, j) in enumerate(scores, 1)]
+    for i in sorted({i for i, _ in usable if is_query(i)}):
+        scores = sorted((-min(max(sum(a * b for a, b in zip(q, c)), LOW), HIGH), j) for own, q in usable if own == i for j, c in usable if j != i)[:k]
+        out += [(i, r, j, -s) for r, (s, j) in enumerate(scores, 1)]
     return sorted(out)
 
 
@@ -35,7 +37,7 @@ def batches(spark):
 
 @pytest.mark.parametrize("block, chunk", [(8192, 1024), (16, 5)])
 def test_topk_equals_brute_force(spark, monkeypatch, block, chunk):
-    for name, value in (("BLOCK", block), ("CHUNK", chunk), ("QUERY_BLOCK", 7 if block == 16 else 1024)):
+    for name, value in (("BLOCK", block), ("CHUNK", chunk), ("QUERY_GROUP", 7 if block == 16 else 65536)):
         monkeypatch.setattr(topk, name, value)
     r = random.Random(5)
     rows = [(i, [r.gauss(0, 1) * (1 + i % 9) for _ in range(8)]) for i in range(180)]
@@ -45,6 +47,51 @@ def test_topk_equals_brute_force(spark, monkeypatch, block, chunk):
     assert sorted(map(tuple, got)) == brute(rows, lambda i: i % 6 == 0, 5)
 
 
+@pytest.mark.parametrize("block", [32768, 8])
+def test_topk_of_odd_vectors(spark, monkeypatch, block):
+    monkeypatch.setattr(topk, "BLOCK", block)
+    r = random.Random(9)
+    unit = [(i, [x / 2 for x in r.choice([(1, 1, 1, 1), (1, -1, 1, 1), (2, 0, 0, 0), (0, 0, -2, 0), (1, 1, -1, -1)])]) for i in range(60)]  # one length
+    repeated = [(0, [1.0, 0.0]), (1, [3.0, 0.0]), (1, [5.0, 0.0]), (2, [2.0, 0.0]), (0, [0.5, 0.5]), (50, [1.0, 1.0]), (50, [1.0, 1.0])]
+    large = [(i, [r.uniform(-1, 1) * 10 ** r.randint(5, 9) for _ in range(4)]) for i in range(100, 140)]  # products beyond 2 ** 53 and 2 ** 63
+    close = [(i, [4e7 + i / 256, 1.0]) for i in range(200, 230)]  # scores that doubles can't tell apart
+    beyond = [(300, [1e300, 1.0]), (301, [-1e300, 2.0]), (350, [1e18, 1e18]), (302, [0.0, 0.0])]
+    for rows in (unit, repeated, large, close, beyond, unit + repeated + large + close + beyond):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = topk.top_k(topk.quantised(df), F.col("vec_id") % 50 == 0, 5).collect()
+        assert sorted(map(tuple, got)) == brute(rows, lambda i: i % 50 == 0, 5)
+
+
+def test_topk_of_repeated_rows_equals_sql(spark, tmp_path):
+    rows = [(0, [1.0, 0.0]), (1, [3.0, 0.0]), (1, [5.0, 0.0]), (2, [2.0, 0.0]), (0, [0.5, 0.5]), (50, None), (50, [1.0, -1.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(con.sql(topk.ORACLE_SQL["op2_topk"]).fetchall())
+    assert sorted(map(tuple, topk.op2_topk(spark, str(tmp_path)).collect())) == want == brute(rows, lambda i: i % 50 == 0, 5)
+    assert [x[2:] for x in want if x[0] == 0][:2] == [(1, 327680), (1, 196608)]
+
+
+def test_topk_plans_hold_no_nested_loops(spark, capsys):
+    vectors = topk.quantised(spark.createDataFrame([(i, [float(i), 1.0]) for i in range(100)], "vec_id long, embedding array<double>"))
+    seen = []
+
+    def watched(write):
+        def go(df, name):
+            df.explain()
+            seen.append(name)
+            return write(df, name)
+
+        return go
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(topk, "staged", watched(topk.staged))
+        m.setattr(topk, "lasting", watched(topk.lasting))
+        m.setattr(topk, "BLOCK", 8)
+        topk.top_k(vectors, F.col("vec_id") % 50 == 0).count()
+    assert "topk" in seen and "NestedLoop" not in capsys.readouterr().out
+
+
 def test_topk_over_several_batches(spark):
     """More rows than an Arrow batch holds in one cell."""
     r = np.random.default_rng(2)
