@@ -8,10 +8,14 @@ are joined, so that equal parts are never looked at below their common node. It
 ends with the records that are corrupt, missing or extra.
 
 Groups are bounded: a range holds the records that begin in it, a larger range
-FANOUT ranges, a bucket the files that hash to it; the root has at most BUCKETS
-children. Null payloads are empty ones. Records at the same file and offset are
-ordered by digest; repeated ones count once. Empty replicas have no root and
-everything in the other is missing or extra.
+FANOUT ranges; files are dealt by their hashed names to buckets, these to larger
+buckets, FILES to one, in as many levels as the number of files takes.
+
+Null payloads are empty ones; pages without an id are filed by the digest of their
+record, one file for each of its first NULL_DIGITS digits. Records at the same file
+and offset are ordered by digest; repeated ones count once. Empty replicas have no
+root and everything in the other is missing or extra. Records of any length are
+hashed whole. Only the named columns are read, so that others may have any names.
 """
 
 from __future__ import annotations
@@ -19,12 +23,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._support import staged
+from ._support import lasting, scope, staged
 
 RANGE = 1 << 16
 FANOUT = 16
 LEVELS = 3
-BUCKETS = 256
+#: Hex digits of a file name's hash that tell a level of buckets from the one above, and files of a bucket on the average, at most.
+DIGITS = 2
+FILES = 256
+NULL_DIGITS = 4
 FILE_RECORDS = 256
 #: Of the damaged replica: one record in so many is gone, one in so many has changed bytes.
 MISSING = 211
@@ -43,7 +50,8 @@ def record(target: Column, kind: str, payload: Column) -> Column:
 def archived(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", file_records: int = FILE_RECORDS) -> DataFrame:
     """file, offset, length, record: pages as records of files of ``file_records`` consecutive ids, in order of id."""
     rows = pages.select(F.col(id_col).alias("id"), record(F.col(url_col), "text/html", F.col(html_col)).alias("record"))
-    rows = rows.withColumn("file", F.concat(F.lit("part-"), F.coalesce(F.floor(F.col("id") / file_records).cast("string"), F.lit("none")), F.lit(".warc"))).withColumn("length", F.octet_length("record").cast("long"))
+    unfiled = F.concat(F.lit("none-"), F.substring(F.sha2(F.col("record"), 256), 1, NULL_DIGITS))
+    rows = rows.withColumn("file", F.concat(F.lit("part-"), F.coalesce(F.floor(F.col("id") / file_records).cast("string"), unfiled), F.lit(".warc"))).withColumn("length", F.octet_length("record").cast("long"))
     before = Window.partitionBy("file").orderBy("id", "record").rowsBetween(Window.unboundedPreceding, -1)
     return rows.select("file", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("offset"), "length", "record")
 
@@ -57,16 +65,25 @@ def _digest(order: str) -> Column:
     return F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "hash"))), lambda c: F.concat_ws(":", c[order].cast("string"), c["hash"])), "\n"), 256).alias("hash")
 
 
-def tree(leaf: DataFrame) -> list[DataFrame]:
-    """Levels from the root down: root, buckets, files, ranges from large to small, records.
+def bucket_levels(files: int) -> int:
+    """Levels of buckets above the files, so that the lowest buckets hold FILES files on the average, at most."""
+    levels = 1
+    while files > FILES * 16 ** (DIGITS * levels):
+        levels += 1
+    return levels
+
+
+def tree(leaf: DataFrame, depth: int = 1) -> list[DataFrame]:
+    """Levels from the root down: root, ``depth`` levels of buckets, files, ranges from large to small, records.
 
     Each has its key columns, which start with its parent's, and ``hash``.
     """
     keys = [f"r{i}" for i in range(LEVELS, 0, -1)]
-    bucket = F.pmod(F.xxhash64("file"), F.lit(BUCKETS)).cast("int").alias("bucket")
-    now = leaf.select(bucket, "file", *(F.floor(F.col("offset") / (RANGE * FANOUT ** (i - 1))).alias(f"r{i}") for i in range(LEVELS, 0, -1)), "offset", "length", "hash")
+    buckets = [f"b{i}" for i in range(1, depth + 1)]
+    name = F.sha2(F.col("file"), 256)
+    now = leaf.select(*(F.substring(name, 1, DIGITS * i).alias(f"b{i}") for i in range(1, depth + 1)), "file", *(F.floor(F.col("offset") / (RANGE * FANOUT ** (i - 1))).alias(f"r{i}") for i in range(LEVELS, 0, -1)), "offset", "length", "hash")
     levels = [now]
-    path = ["bucket", "file", *keys, "offset"]
+    path = [*buckets, "file", *keys, "offset"]
     while len(path) > 1:
         child = path.pop()
         if child == "offset":
@@ -76,13 +93,15 @@ def tree(leaf: DataFrame) -> list[DataFrame]:
         if child == "offset":
             now = staged(now, "ranges")
         levels.append(now)
-    root = now.groupBy(F.lit(0).alias("root")).agg(_digest("bucket"))
+    root = now.groupBy(F.lit(0).alias("root")).agg(_digest("b1"))
     return [root, *reversed(levels)]
 
 
 def audit(left: DataFrame, right: DataFrame) -> DataFrame:
     """file, offset, status (corrupt, missing or extra in ``right``), left_hash, right_hash of the records that differ."""
-    a, b = (tree(staged(leaves(x), "leaves")) for x in (left, right))
+    leaf = [staged(leaves(x), "leaves") for x in (left, right)]
+    depth = bucket_levels(max(x.agg(F.count_distinct("file")).first()[0] for x in leaf))
+    a, b = (tree(x, depth) for x in leaf)
     roots = a[0].select("hash").union(b[0].select("hash")).collect()
     open_nodes: DataFrame | None = None
     for x, y in zip(a[1:], b[1:], strict=True):
@@ -115,15 +134,16 @@ def op4_warc(spark, sf_dir: str) -> DataFrame:
     """All pages as WARC records in two replicas, one damaged, and where the damage is."""
     from ._support import table
 
-    records = staged(archived(table(spark, sf_dir, "pages")), "replica")
-    return audit(records, damaged(records))
+    with scope(spark):
+        records = staged(archived(table(spark, sf_dir, "pages")), "replica")
+        return lasting(audit(records, damaged(records)), "audit")
 
 
 ORACLE_SQL = {
     "op4_warc": f"""
 with p as (select page_id as id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) ||
   'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) as record from pages),
-f as (select *, 'part-' || coalesce(cast(id // {FILE_RECORDS} as varchar), 'none') || '.warc' as file, strlen(record) as n from p),
+f as (select *, 'part-' || coalesce(cast(id // {FILE_RECORDS} as varchar), 'none-' || substr(sha256(record), 1, {NULL_DIGITS})) || '.warc' as file, strlen(record) as n from p),
 o as (select file, record, cast(coalesce(sum(n) over (partition by file order by id, record rows between unbounded preceding and 1 preceding), 0) as bigint) as "offset" from f),
 h as (select file, "offset", cast('0x' || substr(sha256(file || ':' || "offset"), 1, 8) as bigint) as place, sha256(record) as left_hash,
   sha256(substr(record, 1, 8) || chr(13) || chr(10) || 'WARC-Typo' || substr(record, 20)) as typo from o)
