@@ -8,8 +8,11 @@ equi-join on the digest and positions and captions stay with their reference.
 
 A payload is the UTF-8 text padded with zero bytes to a positive multiple of 64;
 null is stored as empty text. Equal payloads have one digest and equal stored
-forms. References without a stored payload keep their row with null media
-columns. Rows may repeat and ids may be null: rows are never joined on ids.
+forms. References of any address are items; those without a stored payload keep
+their row with null media columns. Null html has no items. Rows may repeat and ids
+may be null: rows are never joined on ids. Texts and pages of any length are read
+whole; empty tables give no rows. Only the named columns are read, so that others
+may have any names.
 """
 
 from __future__ import annotations
@@ -27,11 +30,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._html import BLOCK, attributes, scan
-from ._support import sliced, staged
+from ._support import fresh, sliced, staged
 
 WIDTH = 64
 SCHEME = "sha256:"
-ITEM = "struct<position:int,kind:string,text:string,digest:string,caption:string>"
+ITEM = "struct<position:int,kind:string,text:string,digest:string,caption:string,src:string>"
 
 
 def store(payload: bytes) -> bytes:
@@ -101,10 +104,12 @@ def media_table(media: DataFrame) -> DataFrame:
     return media.groupBy("digest").agg(F.min(F.struct(*rest)).alias("m")).select("digest", *(F.col(f"m.{c}").alias(c) for c in rest))
 
 
-def interleaved(html: str | None) -> list[tuple[int, str, str | None, str | None, str | None]]:
-    """(position, kind, text, digest, caption) of the text blocks and media references of a document, in order.
+def interleaved(html: str | None) -> list[tuple[int, str, str | None, str | None, str | None, str | None]]:
+    """(position, kind, text, digest, caption, src) of the text blocks and media references of a document, in order.
 
-    A caption is the figcaption of the figure around a reference, else its alt text.
+    A reference's digest is the one that its src names (``sha256:…``), null for any
+    other address. A caption is the figcaption of the figure around a reference,
+    else its alt text.
     """
     items: list[list] = []
     parts: list[str] = []
@@ -124,7 +129,7 @@ def interleaved(html: str | None) -> list[tuple[int, str, str | None, str | None
             else:
                 figure_captions.append(text)
         else:
-            items.append([len(items), "text", text, None, None])
+            items.append([len(items), "text", text, None, None, None])
 
     figure_captions: list[str] = []
     for kind, name, rest in scan(html or ""):
@@ -132,10 +137,12 @@ def interleaved(html: str | None) -> list[tuple[int, str, str | None, str | None
             parts.append(unescape(rest))
         elif name in ("img", "video", "audio", "source", "embed"):
             has = attributes(rest) if kind == "open" else {}
-            if has.get("src", "").startswith(SCHEME):
+            src = has.get("src", "").strip()
+            if src:
                 flush()
                 caption = figure_captions[-1] if figure is not None and figure_captions else has.get("alt") or None
-                items.append([len(items), "media", None, has["src"][len(SCHEME) :].lower(), caption])
+                digest = src[len(SCHEME) :].lower() if src.lower().startswith(SCHEME) else None
+                items.append([len(items), "media", None, digest, caption, src])
                 if figure is not None:
                     figure.append(len(items) - 1)
         elif name == "br":
@@ -154,7 +161,7 @@ def interleaved(html: str | None) -> list[tuple[int, str, str | None, str | None
 def parse(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
     """The columns of ``keep`` and ``items``: the interleaved sequence of each row's html; null html has no items."""
     names = list(keep)
-    item = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())])
+    item = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string()), ("src", pa.string())])
     fields = [f.name for f in item]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +176,10 @@ def parse(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ()) ->
 def resolve(parsed: DataFrame, media: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """A row per item with the media columns of its digest; ``media`` has unique digests. Text items have nulls there."""
     long = parsed.select(*keep, F.explode("items").alias("item")).select(*keep, "item.*")
-    return long.join(media, "digest", "left")
+    # items without a digest match nothing; they are dealt by their contents, not all to one task
+    key = fresh(long.join(media.limit(0), "digest", "left"), "key")
+    long = long.withColumn(key, F.coalesce("digest", F.xxhash64("text", "src").cast("string")))
+    return long.join(media.withColumnRenamed("digest", key), key, "left").drop(key)
 
 
 def document_html(text: F.Column, caption: F.Column) -> F.Column:
@@ -193,5 +203,6 @@ def op7_media(spark, sf_dir: str) -> DataFrame:
     # payloads that are equal once padded may come from texts of different lengths: n_bytes stays with the document
     n_bytes = F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("long")
     parsed = parse(docs.select("doc_id", n_bytes.alias("n_bytes"), document_html(F.col("text"), F.col("source")).alias("html")), keep=("doc_id", "n_bytes"))
-    found = resolve(parsed, media, keep=("doc_id", "n_bytes")).filter("kind = 'media'")
-    return found.select("doc_id", "n_bytes", "payload_bytes", F.col("digest").alias("payload_sha256"), "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    parsed = parsed.withColumn("n_items", F.size("items"))
+    found = resolve(parsed, media, keep=("doc_id", "n_bytes", "n_items")).filter("kind = 'media'")
+    return found.select("doc_id", "n_bytes", "payload_bytes", F.col("digest").alias("payload_sha256"), "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "n_items")

@@ -1,15 +1,109 @@
 import hashlib
+import re
 import zlib
+from html.parser import HTMLParser
 
 from pairlens.llm import media
 
 
 def test_items_stay_in_order_with_their_captions():
     html = '<p>one &amp; two</p><figure><img src="sha256:AB" alt="x"><figcaption>cap <b>A</b></figcaption></figure>mid<img src="sha256:cd" alt="alt text"><figure><figcaption>before</figcaption><img src="sha256:ef"></figure><p>end<img src="http://x/y.png"></p>'
-    assert media.interleaved(html) == [(0, "text", "one & two", None, None), (1, "media", None, "ab", "cap A"), (2, "text", "mid", None, None), (3, "media", None, "cd", "alt text"), (4, "media", None, "ef", "before"), (5, "text", "end", None, None)]
+    assert media.interleaved(html) == [
+        (0, "text", "one & two", None, None, None),
+        (1, "media", None, "ab", "cap A", "sha256:AB"),
+        (2, "text", "mid", None, None, None),
+        (3, "media", None, "cd", "alt text", "sha256:cd"),
+        (4, "media", None, "ef", "before", "sha256:ef"),
+        (5, "text", "end", None, None, None),
+        (6, "media", None, None, None, "http://x/y.png"),
+    ]
     assert media.interleaved(None) == media.interleaved("") == []
 
 
+class Sequence(HTMLParser):
+    """Text blocks and media of a page, written apart from the operator, on the library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.items, self.parts, self.skipped = [], [], []
+
+    def flush(self):
+        text = " ".join("".join(self.parts).split())
+        self.parts = []
+        if text:
+            self.items.append(("text", text))
+
+    def handle_starttag(self, tag, attrs):
+        if self.skipped or tag in SKIPPED:
+            if tag in SKIPPED:
+                self.skipped.append(tag)
+        elif tag in ("img", "video", "audio", "source", "embed"):
+            if dict(attrs).get("src"):
+                self.flush()
+                self.items.append(("media", dict(attrs)["src"]))
+        elif tag == "br":
+            self.parts.append(" ")
+        elif tag in BLOCKS:
+            self.flush()
+
+    def handle_startendtag(self, tag, attrs):
+        if tag not in SKIPPED:
+            self.handle_starttag(tag, attrs)
+
+    def handle_endtag(self, tag):
+        if self.skipped:
+            if tag == self.skipped[-1]:
+                self.skipped.pop()
+        elif tag in BLOCKS:
+            self.flush()
+
+    def handle_data(self, data):
+        if not self.skipped:
+            self.parts.append(data)
+
+
+SKIPPED = "script style noscript template iframe svg canvas object textarea select title".split()
+BLOCKS = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
+
+
+def test_sequences_of_pages_equal_brute_force(spark, sf):
+    """All pages, with media references put in at the ends of paragraphs, some resolvable and some not."""
+    payload = "a picture".encode().ljust(64, b"\0")
+    digest = hashlib.sha256(payload).hexdigest()
+    pages = []
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        refs = iter([f'<img src="https://x.example/{r.page_id}.png" alt="a">', f'<img src="sha256:{digest}" alt="b">', "<svg/>", '<video src="v.mp4"></video>'] * 50)
+        pages.append((r.page_id, re.sub("</p>", lambda m: next(refs, "") + "</p>", r.html)))
+    df = spark.createDataFrame(pages, "page_id long, html string")
+    stored = media.read_media(spark.createDataFrame([(media.store(payload),)], "media binary"), keep=("media",))
+    table = media.media_table(stored)
+    got = {}
+    for r in media.resolve(media.parse(df, keep=("page_id",)), table, keep=("page_id",)).collect():
+        got.setdefault(r.page_id, []).append(r)
+    assert len(got) == len(pages)
+    for i, html in pages:
+        parser = Sequence()
+        parser.feed(html)
+        parser.close()
+        parser.flush()
+        rows = sorted(got[i], key=lambda r: r.position)
+        assert [r.position for r in rows] == list(range(len(rows)))
+        assert [(r.kind, r.text if r.kind == "text" else r.src) for r in rows] == parser.items
+        for r in rows:
+            resolved = r.src == f"sha256:{digest}"
+            assert (r.media is not None) == resolved and (not resolved or media.load(bytes(r.media))[2] == payload and r.caption == "b")
+
+
+def test_long_texts(spark):
+    text = "long & <text> é " * 200_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = media.read_media(media.store_texts(df), keep=("n_bytes",)).collect()[0]
+    raw = text.encode()
+    assert (row.n_bytes, row.digest) == (len(raw), hashlib.sha256(raw.ljust(-(-len(raw) // 64) * 64, b"\0")).hexdigest())
+    html = "<p>" + "word " * 500_000 + '<img src="x.png"></p>'
+    assert [x[1] for x in media.interleaved(html)] == ["text", "media"] and len(media.interleaved(html)[0][2]) == 5 * 500_000 - 1
+
+
 def test_query(spark, sf):
     rows = media.op7_media(spark, sf).collect()
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
