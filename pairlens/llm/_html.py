@@ -9,15 +9,17 @@ from collections.abc import Iterator
 _RAW = "script|style|noscript|template|iframe|svg|canvas|object|textarea|select|title"
 #: Attributes whose quoted values hold neither < nor >: no alternative runs over the next tag's start, so the scan stays linear.
 _PLAIN = r"(?:[^<>\"']++|\"[^\"<>]*+\"|'[^'<>]*+')*+"
+_NAME_ENDS = r"(?=[\s/>])"
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b{_PLAIN}>.*?(?:</\1\s*+>|\Z)"
+    # comments, empty ones too; a drawing that ends at once; elements that aren't read
+    rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<svg{_NAME_ENDS}{_PLAIN}(?<=/)>|<({_RAW}){_NAME_ENDS}{_PLAIN}>.*?(?:</\1{_NAME_ENDS}[^>]*+>|\Z)"
     # the last: the start of a tag whose end is looked for by _tag_end
     rf"|<(/?)([a-zA-Z][^\s/<>]*+)({_PLAIN})>|<[!?][^<>]*+>|</(?![a-zA-Z])[^<>]*+>|<(/?)([a-zA-Z][^\s/<>]*+)",
     re.DOTALL | re.IGNORECASE,
 )
 _SPECIAL = re.compile(r"[<>\"']")
 _NAMELESS = re.compile(r"<[^<>]*+>")
-_RAW_ENDS = {name: re.compile(rf"</{name}\s*+>", re.IGNORECASE) for name in _RAW.split("|")}
+_RAW_ENDS = {name: re.compile(rf"</{name}{_NAME_ENDS}[^>]*+>", re.IGNORECASE) for name in _RAW.split("|")}
 # a name begins where none is under way: long runs without "=" are read once
 _ATTRIBUTE = re.compile(r"(?<![^\s=/\"'<>])([^\s=/\"'<>]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))")
 
@@ -67,6 +69,8 @@ def scan(html: str) -> Iterator[tuple[str, str, str]]:
             end = _tag_end(html, look, ends)
             if end >= 0:
                 rest, look = html[look:end], end + 1
+                if raw and name.lower() == "svg" and rest.endswith("/"):
+                    raw = name = None
             elif nameless := _NAMELESS.match(html, begin):
                 name, look = None, nameless.end()
             else:
@@ -86,4 +90,7 @@ def scan(html: str) -> Iterator[tuple[str, str, str]]:
 def attributes(rest: str) -> dict[str, str]:
     from html import unescape
 
-    return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(rest)}
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(rest):  # of attributes with one name the first counts
+        found.setdefault(m[1].lower(), unescape(m[2] or m[3] or m[4] or ""))
+    return found

@@ -9,8 +9,14 @@ container, ties going to main text; where its container has no decided block,
 blocks of an article or main element are main text, and others take the label
 of the nearest decided block of the page.
 
+Inside an article or main element a header is the article's own head, and only
+class names that mark boilerplate anywhere count; an article element itself is
+boilerplate only where its class says that it is a comment or an advert.
+
 Null or empty html gives an empty text. Rows with the same html get the same
-text. Nothing is cut or capped. Only the named columns are read.
+text. Tags, attributes and texts of any length are read whole, in linear time;
+an empty table gives no rows. Only the named columns are read, so that others may
+have any names, also text and n_chars.
 """
 
 from __future__ import annotations
@@ -42,14 +48,31 @@ STOP_SHARE = 0.15
 
 BOILERPLATE_TAGS = frozenset("nav header footer aside form menu dialog button fieldset search".split())
 CONTAINERS = frozenset("html body article main section div aside nav header footer form menu dialog fieldset table ul ol dl figure details button search blockquote".split())
-_BOILERPLATE_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banners?|breadcrumbs?|comments?|commentlist|consent|cookies?|disclaimer|footer|gdpr|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|"
-    r"notices?|pager|pagination|popup|promo\w*|recommended|related|reply|replies|search|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])",
+#: Parts of class names and ids that mark boilerplate anywhere; such parts that mark it outside articles only, where an article's own head may bear them; whole class names that mark an article as none.
+_STRONG = re.compile(
+    r"(?:^|[\s_-])(?:ads?|advert\w*|breadcrumbs?|comments?|commentlist|consent|cookies?|disclaimer|footer|gdpr|login|menu|modal|nav|navbar|navigation|newsletter|"
+    r"notices?|pager|pagination|popup|promo\w*|recommended|related|reply|replies|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+_WEAK = re.compile(r"(?:^|[\s_-])(?:banners?|header|masthead|search)(?:$|[\s_-])", re.IGNORECASE)
+_NO_ARTICLE = frozenset("ad advert advertisement comment comments promo reply sponsored".split())
 _BOILERPLATE_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 
 
+def _boilerplate(name: str, rest: str, article: bool) -> bool:
+    """Whether a container is boilerplate by its own tag, class, id and role; ``article``: it stands in an article or main element."""
+    if name in BOILERPLATE_TAGS:
+        return not (article and name == "header")
+    if not rest or name in ("html", "body", "main"):
+        return False
+    has = attributes(rest)
+    called = has.get("class", "")
+    if name == "article":
+        return not _NO_ARTICLE.isdisjoint(called.lower().split())
+    names = (called, has.get("id", ""))
+    return any(map(_STRONG.search, names)) or has.get("role", "").strip().lower() in _BOILERPLATE_ROLE or not article and any(map(_WEAK.search, names))
+
+
 def blocks(html: str) -> list[tuple[str, int, int, bool, bool]]:
     """(text, characters in links, container, boilerplate by structure, inside an article) of each block with text."""
     found: list[tuple[str, int, int, bool, bool]] = []
@@ -92,11 +115,7 @@ def blocks(html: str) -> list[tuple[str, int, int, bool, bool]]:
                 continue
             if kind == "open":
                 _, container, boilerplate, article = stack[-1]
-                if not boilerplate:
-                    boilerplate = name in BOILERPLATE_TAGS
-                    if rest and not boilerplate and name not in ("html", "body"):
-                        has = attributes(rest)
-                        boilerplate = bool(_BOILERPLATE_NAME.search(has.get("class", "")) or _BOILERPLATE_NAME.search(has.get("id", "")) or has.get("role", "") in _BOILERPLATE_ROLE)
+                boilerplate = boilerplate or _boilerplate(name, rest, article)
                 if name in ("article", "main"):
                     article = True
                 if boilerplate or name in ("article", "main", "section", "body"):

@@ -1,4 +1,8 @@
+import re
+from html.parser import HTMLParser
+
 import duckdb
+import pytest
 
 from pairlens.llm import htmltext
 from pairlens.llm.htmltext import main_text
@@ -10,6 +14,162 @@ def page(body):
     return f"<!DOCTYPE html><html><head><title>T the of</title><style>p{{}}</style></head><body>{body}</body></html>"
 
 
+class Tree(HTMLParser):
+    """A page as nested lists [tag, attributes, children], written apart from the operator, on the library's parser.
+
+    An end tag closes the nearest open container of its name and what is open in it; other tags only separate.
+    """
+
+    SKIPPED = "script style noscript template iframe svg canvas object textarea select title head".split()
+    CONTAINERS = "html body article main section div aside nav header footer form menu dialog fieldset table ul ol dl figure details button search blockquote".split()
+    BREAKS = "address center dd dt figcaption h1 h2 h3 h4 h5 h6 hr legend li p pre summary tbody td tfoot th thead tr".split()
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.root = ["", {}, []]
+        self.open, self.skipped, self.link = [self.root], [], False
+
+    def handle_starttag(self, tag, attrs):
+        if self.skipped:
+            if tag == self.skipped[-1]:
+                self.skipped.append(tag)
+        elif tag in self.SKIPPED:
+            self.skipped.append(tag)
+        elif tag == "a":
+            self.link = True
+        elif tag in self.CONTAINERS:
+            self.link = False
+            node = [tag, {k: v or "" for k, v in reversed(attrs)}, []]
+            self.open[-1][2].append(node)
+            self.open.append(node)
+        elif tag in self.BREAKS:
+            self.link = False
+            self.open[-1][2].append(None)
+        elif tag == "br":
+            self.handle_data(" ")
+
+    def handle_startendtag(self, tag, attrs):
+        if tag != "svg":
+            self.handle_starttag(tag, attrs)
+
+    def handle_endtag(self, tag):
+        if self.skipped:
+            if tag == self.skipped[-1]:
+                self.skipped.pop()
+        elif tag == "a":
+            self.link = False
+        elif tag in self.CONTAINERS:
+            self.link = False
+            self.open[-1][2].append(None)
+            if any(n[0] == tag for n in self.open):
+                while self.open.pop()[0] != tag:
+                    pass
+                self.open[-1][2].append(None)
+        elif tag in self.BREAKS:
+            self.link = False
+            self.open[-1][2].append(None)
+
+    def handle_data(self, data):
+        if not self.skipped:
+            self.open[-1][2].append((data, self.link))
+
+
+def by_rules(html):
+    """The two passes by definition over the tree."""
+    parser = Tree()
+    parser.feed((html or "").replace("<!-->", "<!-- -->"))  # the library's parser takes these empty comments for text
+    parser.close()
+    found, groups = [], [0]
+
+    def walk(node, container, out, article):
+        tag, attrs, children = node
+        if not out and tag:
+            out = htmltext._boilerplate(tag, " ".join(f'{k}="{v}"' for k, v in attrs.items()), article)
+        article = article or tag in ("article", "main")
+        if tag and (out or tag in ("article", "main", "section", "body")):
+            groups[0] += 1
+            container = groups[0]
+        run = []
+
+        def end():
+            text = " ".join("".join(t for t, _ in run).split())
+            if text:
+                linked = sum(len("".join(t.split())) for t, a in run if a)
+                found.append([text, linked, container, out, article, None])
+            run.clear()
+
+        for child in children:
+            if isinstance(child, tuple):
+                run.append(child)
+            else:
+                end()
+                if child:
+                    walk(child, container, out, article)
+        end()
+
+    walk(parser.root, 0, False, False)
+    for b in found:
+        text, linked, _, out, _, _ = b
+        words = text.lower().split()
+        stops = sum(w.strip(".,;:!?()\"'") in htmltext.STOP_WORDS for w in words) / len(words)
+        if out or linked > len("".join(words)) / 2:
+            b[5] = False
+        elif len(text) >= 70 and (stops >= 0.3 or stops >= 0.15 and len(text) >= 200):
+            b[5] = True
+    kept = []
+    for i, b in enumerate(found):
+        label = b[5]
+        if label is None:
+            for near in ([j for j, c in enumerate(found) if c[5] is not None and c[2] == b[2]], None if b[4] else [j for j, c in enumerate(found) if c[5] is not None]):
+                if near is None:
+                    label = True
+                elif near:
+                    least = min(abs(i - j) for j in near)
+                    label = any(found[j][5] for j in near if abs(i - j) == least)
+                if label is not None:
+                    break
+        if label:
+            kept.append(b[0])
+    return "\n".join(kept)
+
+
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01"])
+def test_all_pages_equal_brute_force(spark, scale):
+    sf = f"/root/testdata/{scale}"
+    got = {r.page_id: r.text for r in htmltext.op8_html(spark, sf).collect()}
+    pages = duckdb.sql(f"select page_id, html from '{sf}/pages.parquet'").fetchall()
+    assert len(got) == len(pages)
+    for i, html in pages:
+        assert got[i] == by_rules(html)
+        # what a page's article holds, and nothing from around it
+        inner = re.sub(r"(?s)<(script|style).*?</\1>|<!--.*?-->", "", html.split("<article>")[1].split("</article>")[0])
+        assert "".join(got[i].split()) == "".join(htmltext.unescape(re.sub(r"<[^>]+>", " ", inner)).split())
+
+
+def test_made_pages_equal_brute_force():
+    parts = [
+        "<title-bar>Bar of the page</title-bar>", "<select-menu>x</select-menu>", "<svg/>", '<svg width="1" />', "<svg><title>t</title><text>no</text></svg>", "<!-->", "<!-- c -->",
+        "<script>var a = '</p>';</script>", f"<p>{LONG}</p>", "<p>short</p>", "<ul><li><a href=x>one</a></li><li>two</li></ul>", "<nav>menu</nav>", '<div class="entry-header"><h2>Head</h2></div>',
+        "<header><h1>Head line</h1></header>", "<footer>foot</footer>", '<div class="share">share</div>', '<article class="post search-result"><p>Found</p></article>', '<article class="comment"><p>me too</p></article>',
+        "<article><header><h1>Own head</h1></header><p>Body of it.</p></article>", "<main class='has-sidebar'><p>Main words</p></main>", '<div role="search">find</div>', "</section>", "<section><p>in a section</p></section>", "plain <b>text</b> &amp; more", "<br>", "</script >", "<style>p{}</style >",
+    ]
+    import random
+
+    r = random.Random(4)
+    for _ in range(1500):
+        body = "".join(r.choice(parts) for _ in range(r.randint(1, 9)))
+        html = r.choice(["<html><body>{}</body></html>", "<article>{}</article>", "<div>{}</div>", "<main>{}</main>"]).format(body)
+        assert main_text(html) == by_rules(html), html
+
+
+def test_articles_keep_their_own_heads():
+    assert main_text(page(f'<article class="post search-result"><header><h1>Head</h1></header><p>{LONG}</p></article>')) == "Head\n" + " ".join(LONG.split())
+    assert main_text(page(f'<article><div class="entry-header"><h1>Head</h1></div><p>{LONG}</p><div class="comments"><p>{LONG}</p></div></article>')) == "Head\n" + " ".join(LONG.split())
+    assert main_text(page(f"<header><h1>Site</h1></header><title-bar>Bar</title-bar><article><svg width='1'/><p>{LONG}</p><!--><p>End.</p></article>")).endswith("\nEnd.")
+    assert main_text(page(f'<article class="comment"><p>{LONG}</p></article><article><p>kept</p></article>')) == "kept"
+    assert main_text('<article><p>kept</p><!---><p>too</p></article>') == "kept\ntoo"
+
+
 def test_article_without_its_surroundings():
     html = page(
         '<nav><ul><li><a href="/a">Home</a></li></ul></nav><div class="ad">Buy the best of it.</div>'
