@@ -5,8 +5,10 @@ memory is bounded by the chunk and not by the text. A boundary is safe where a
 character that isn't white space is followed by a space or a newline: in the
 split pattern white space only begins a match, no alternative looks back, and
 the one that looks ahead does so from white space, so that no match and no
-lookahead crosses it. A chunk without such a place is extended to the next one; in
-chunks that get longer than LONGEST, matches are encoded one by one.
+lookahead crosses it. A chunk without such a place is extended to the next one. The
+library's pattern search overflows on runs of more than about a million white-space
+characters; runs of RUN and more are encoded apart, as the one match that all but
+their last character are (or all, where the text ends).
 
 Null texts encode as empty ones: no ids and no bytes. Rows with the same text
 get the same ids. Empty tables give empty results. Only the id and text columns
@@ -27,8 +29,10 @@ from pyspark.sql import types as T
 from ._support import sliced, worker_cache
 
 CHUNK_CHARS = 1 << 16
-LONGEST = 1 << 18
+RUN = 1 << 17
 _SAFE = re.compile(r"\S(?=[ \n])")
+#: What \s matches in the library's patterns, the Unicode property White_Space.
+_WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def rank_file(name: str = "byte_bpe_multi_50k.tiktoken") -> str:
@@ -68,16 +72,31 @@ def safe_chunks(text: str, size: int = CHUNK_CHARS) -> Iterator[str]:
     yield text[at:]
 
 
-def encode_chunk(encoding, chunk: str, most: int = LONGEST) -> list[int]:
-    """The ids of a chunk. One that couldn't be cut may hold matches that the library's regular expressions give up on: its matches are found here and encoded one by one."""
-    if len(chunk) <= most:
-        return encoding.encode_ordinary(chunk)
-    import regex
+def _as_one_match(encoding, text: str) -> list[int]:
+    """The ids of a text that is one match of the pattern."""
+    import tiktoken
 
+    cache = worker_cache()
+    key = ("whole", encoding.name)
+    if key not in cache:
+        ranks = {encoding.decode_single_token_bytes(i): i for i in range(encoding.n_vocab)}
+        cache[key] = tiktoken.Encoding(f"{encoding.name}-whole", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+    return cache[key].encode_ordinary(text)
+
+
+def encode_chunk(encoding, chunk: str, run: int = RUN) -> list[int]:
+    """The ids of a chunk; ``run``, 2 or more, is the length from which runs of white space are encoded apart."""
+    if len(chunk) < run:
+        return encoding.encode_ordinary(chunk)
     ids: list[int] = []
-    for match in regex.finditer(encoding._pat_str, chunk):
-        ids += encoding._encode_single_piece(match.group().encode())
-    return ids
+    at = 0
+    for found in re.finditer(f"[{_WHITE}]{{{run},}}", chunk):
+        # the last character of a run that text follows belongs to what follows
+        end = found.end() if found.end() == len(chunk) else found.end() - 1
+        ids += encoding.encode_ordinary(chunk[at : found.start()])
+        ids += _as_one_match(encoding, chunk[found.start() : end])
+        at = end
+    return ids + encoding.encode_ordinary(chunk[at:])
 
 
 def encode_text(encoding, text: str, size: int = CHUNK_CHARS) -> np.ndarray:

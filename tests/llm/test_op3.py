@@ -19,8 +19,9 @@ def test_chunks_encode_like_the_whole():
 def test_long_matches(spark):
     encoding = bpe.load_encoding(bpe.rank_file())
     for text in ("a" * 3000, " " * 2000 + "x", "\n" * 500, "it's " * 9 + "!?" * 900, "é" * 700 + "  y"):
-        assert bpe.encode_chunk(encoding, text, 100) == encoding.encode_ordinary(text)
-    huge = [" " * 1_500_000, "\n" * 1_200_000 + "x", "a" * 1_000_000]
+        for run in (2, 3, 100):
+            assert bpe.encode_chunk(encoding, text, run) == encoding.encode_ordinary(text)
+    huge = [" " * 1_500_000, "\n" * 1_200_000 + "x", "a" * 1_000_000, "y\u3000\t" + " \u2003" * 800_000 + "z"]
     df = spark.createDataFrame(list(enumerate(huge)), "doc_id long, text string")
     for r in bpe.encode(df, decoded=True).collect():
         assert bytes(r.decoded).decode() == huge[r.doc_id]
