@@ -115,3 +115,33 @@ def test_exchange_goes_on_while_it_gains(spark, monkeypatch):
     monkeypatch.setattr(packing, "_packed", fake)
     df = spark.range(100).selectExpr("id as doc_id", "1L as length")
     assert packing.pack(df, 24, 20).select("sequence_id").distinct().count() == 2 and numbers == list(range(8))
+
+
+def test_every_character_is_encoded_as_by_the_library():
+    """The shared pattern and the merges give the library's ids for all characters, alone and between others; with runs of white space apart or not."""
+    import json
+
+    from pairlens.llm import bpe
+
+    path = packing.tokenizer_file()
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    assert packing.ids_are_ranks(spec)
+    merges = spec["model"]["merges"]
+    assert not packing.ids_are_ranks(spec | {"model": spec["model"] | {"merges": [merges[1], merges[0], *merges[2:]]}})
+    assert not packing.ids_are_ranks(spec | {"normalizer": {"type": "NFC"}})
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    encode = packing.load_encoder(path)
+    own = bpe.load_encoding(bpe.rank_file())
+    points = [chr(c) for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 4096):
+        text = "".join(f"a{c}b {c}{c}1{c}'s\n{c} " for c in points[at : at + 4096])
+        assert encode(text) == library.encode(text, add_special_tokens=False).ids
+        assert bpe.encode_chunk(own, text, 2) == own.encode_ordinary(text)
+
+
+def test_clashing_names_and_no_rows(spark):
+    df = spark.createDataFrame([(1, "a b", "x"), (None, None, None)], "doc_id long, text string, piece string")
+    assert sorted((r.doc_id or 0, r.length) for r in packing.pack(packing.pieces(df)).collect()) == [(0, 1), (1, 3)]
+    assert packing.pack(packing.pieces(df.limit(0))).count() == 0
