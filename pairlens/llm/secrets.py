@@ -16,8 +16,9 @@ matches in a text doesn't matter. The interval join meets in bins of SCOPE
 characters, which hold a bounded number of parts each.
 
 Null texts count as empty: no spans. Rows are known by id and text hash, so that
-repeated rows and null ids get their own text's spans. Columns other than the
-named ones aren't read.
+repeated rows and null ids get their own text's spans. Texts of any length are
+read whole; an empty table gives no rows. Columns other than the named ones aren't
+read and may have any names.
 """
 
 from __future__ import annotations
@@ -25,9 +26,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._support import staged
+from ._support import fresh, staged
 
 SCOPE = 200
+BLOCK = 4096
 KINDS = ("assign", "access", "hex", "ident", "key", "endpoint")
 BASE = 3
 #: Fixed values. Runs of a class are matched whole, so that a lower bound on the run drops what a later check of its length would.
@@ -47,11 +49,10 @@ def _matches(text: Column, rank: int) -> Column:
     """array<struct<kind, pos, gap, len, ok>> of a kind's matches; empty, after one look, where there is none."""
     kind, pattern = KINDS[rank], F.lit(PATTERNS[KINDS[rank]])
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
-    value = F.regexp_extract_all(text, pattern, F.lit(2 if kind == "assign" else 0))
     gaps = F.transform(F.split(text, PATTERNS[kind], -1), F.char_length)
-    zipped = F.arrays_zip(whole.alias("whole"), value.alias("value"), gaps.alias("gap"))
-    ok = {"assign": lambda v: F.char_length(v) >= ASSIGN_VALUE, "key": lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]")}.get(kind, lambda v: F.lit(True))
-    found = F.transform(zipped, lambda z, i: F.struct(F.lit(rank).alias("kind"), i.alias("pos"), z["gap"].alias("gap"), F.char_length(z["whole"]).alias("len"), ok(z["value"]).alias("ok")))
+    zipped = F.arrays_zip(whole.alias("whole"), gaps.alias("gap"))
+    ok = {"assign": lambda v: F.char_length(F.regexp_extract(v, PATTERNS[kind], 2)) >= ASSIGN_VALUE, "key": lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]")}.get(kind, lambda v: F.lit(True))
+    found = F.transform(zipped, lambda z, i: F.struct(F.lit(rank).alias("kind"), i.alias("pos"), z["gap"].alias("gap"), F.char_length(z["whole"]).alias("len"), ok(z["whole"]).alias("ok")))
     found = F.filter(found, lambda z: z["len"].isNotNull())
     return F.when(text.rlike(PATTERNS[kind]), found).otherwise(F.array().cast(_ARRAY))
 
@@ -113,15 +114,25 @@ def redacted(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", mask
     """The same columns and rows; each text with spans has them masked, overlapping ones together. Null texts stay null."""
     found = spans(df, text_col, id_col)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    right = found.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("spans").alias("__spans"))
-    joined = df.join(right, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__h")), "left")
-    none = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
-    step = lambda acc, s: F.struct(
-        F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mask))).otherwise(acc["out"]).alias("out"),
-        F.greatest(acc["at"], s["end"]).alias("at"),
-    )
-    masked = F.aggregate("__spans", none, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2147483647))))
-    return joined.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(masked)).select(*df.columns)
+    key, h, kept = (fresh(df, c) for c in ("id_", "h_", "spans_"))
+    right = found.select(F.col("doc_id").alias(key), F.col("h").alias(h), F.col("spans").alias(kept))
+    joined = df.join(right, F.col(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(text) == F.col(h)), "left")
+    # positions are sought within blocks, so that the work doesn't grow with the product of spans and length
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    cut = lambda block, low, begin, end: F.substring(block, (begin - low + 1).cast("int"), (end - begin).cast("int"))
+
+    def masked(block: Column, number: Column) -> Column:
+        low = number.cast("long") * BLOCK
+        high = low + F.char_length(block)
+        step = lambda acc, s: F.struct(
+            F.when(s["start"] >= acc["at"], F.concat(acc["out"], cut(block, low, acc["at"], s["start"]), F.lit(mask))).otherwise(acc["out"]).alias("out"),
+            F.least(F.greatest(acc["at"], s["end"]), high).alias("at"),
+        )
+        here = F.filter(kept, lambda s: (s["start"] < high) & (s["end"] > low))
+        return F.aggregate(here, F.struct(F.lit("").alias("out"), low.alias("at")), step, lambda acc: F.concat(acc["out"], cut(block, low, acc["at"], high)))
+
+    whole = F.array_join(F.transform(blocks, masked), "")
+    return joined.withColumn(text_col, F.when(F.col(kept).isNull(), F.col(text_col)).otherwise(whole)).select(*df.columns)
 
 
 def op9_secrets(spark, sf_dir: str) -> DataFrame:

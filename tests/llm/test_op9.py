@@ -78,3 +78,19 @@ def test_query_equals_sql(spark, sf):
     texts = dict(con.sql("select doc_id, text from documents").fetchall())
     for r in rows:
         assert r.base_sha256 == hashlib.sha256(listed(base(texts[r.doc_id])).encode()).hexdigest()
+
+
+def test_masks_of_long_texts(spark, monkeypatch):
+    """Blocks don't show: the same masks as by cutting the whole text."""
+    monkeypatch.setattr(secrets, "BLOCK", 16)
+    texts = ["é😀 token=abcdefghijklmnop 0123456789abcdef0 end", "password: " + "x" * 100 + " " + "a" * 33, "deadbeefdeadbeef" * 9, "token=token=abcdefghijkl " * 40, "", None, "plain " * 50, "x" * 15 + "AKIA" + "A" * 30]
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, spans_ string")
+    spans = {r.doc_id: sorted((s.start, s.end) for s in r.spans) for r in secrets.spans(df).collect()}
+    for r in secrets.redacted(df).collect():
+        out, at, text = "", 0, texts[r.doc_id]
+        for start, end in spans.get(r.doc_id, []):
+            if start >= at:
+                out += text[at:start] + "[REDACTED]"
+            at = max(at, end)
+        assert r.text == (text if text is None else out + text[at:])
+    assert secrets.redacted(df).columns == df.columns
