@@ -10,6 +10,13 @@ last return the columns of documents:
    id stays (five-word shingles, similarity 0.8).
 4. secrets: secrets are masked in the texts, and n_chars follows.
 5. packing: the pieces of every document and their places in sequences.
+
+Null and empty texts are neither toxic nor low-quality by any passage or term of
+their own, are near copies of nothing and pack as one piece. Rows with a null id
+stay in every stage. Rows with the same id and text count once from the third
+stage on; rows that share an id but not a text stay. Ties between near copies go to
+the smallest id. Texts of any length are read whole. An empty table gives no rows.
+Extra columns, whatever their names, pass through to the fourth stage.
 """
 
 from __future__ import annotations
