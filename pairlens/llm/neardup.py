@@ -65,6 +65,7 @@ BLOCK_SHINGLES = 1 << 21
 MAP_BITS = 1 << 16, 1 << 28
 BITS_AN_ID = 16
 TAIL = 8
+PART_LINKS = 1 << 20
 _SEEDS = mix(np.arange(1, 2 * VALUES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _TIMES, _PLUS = _SEEDS[:VALUES] | np.uint64(1), _SEEDS[VALUES:]
 _STEPS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
@@ -206,10 +207,31 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links (node, smallest node of its component) of a partition's links; PART_LINKS bounds them."""
+    top: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := top.setdefault(x, x)) != x:
+            top[x] = top[up]
+            x = up
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = find(a), find(b)
+            if a != b:
+                top[max(a, b)] = min(a, b)
+    nodes = [x for x in top if find(x) != x]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["a", "b"])
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(c, component): the smallest number that each linked one reaches, by alternating stars.
+    """(c, component): the smallest number that each linked one reaches.
 
-    A round hangs every node's neighbours from the smallest one; rounds go on until
+    Links are dealt to partitions of about PART_LINKS, each of which makes stars of
+    its own links' components. Where one partition holds them all, that is the
+    result; else alternating stars join them. A round hangs every node's neighbours from the smallest one; rounds go on until
     nothing changes, which takes about the logarithm of the longest path. Each round's
     links are written to the shared folder and the ones before removed. Nodes with
     very many links are safe: minima are pre-aggregated, and joins are between written
@@ -217,7 +239,13 @@ def components(links: DataFrame) -> DataFrame:
     """
     spark = links.sparkSession
     with scope(spark) as paths:
-        now = staged(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+        links = staged(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "links")
+        parts = max(1, -(-links.count() // PART_LINKS))
+        now = links.repartition(parts).mapInArrow(_stars, "a long, b long")
+        if parts == 1:
+            return lasting(now.select(F.col("a").alias("c"), F.col("b").alias("component")), "components")
+        now = staged(now.distinct(), "stars")
+        drop(spark, paths, 0, 1)
         before = None
         while True:
             old = len(paths)
@@ -298,13 +326,12 @@ def _neighbours(rows: DataFrame) -> DataFrame:
     return found.groupBy("p", "q").agg(F.max(F.struct("agree", "a", "b")).alias("m")).select("m.a", "m.b")
 
 
-def _joined(links: DataFrame, settled: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links with more links, and their components."""
-    more = staged(more.distinct(), "links")
+def _joined(settled: DataFrame, more: DataFrame) -> DataFrame:
+    """The components of settled ones with more links."""
+    more = staged(more, "links")
     if more.isEmpty():
-        return links, settled
-    links = links.union(more)
-    return links, components(links)
+        return settled
+    return components(settled.select(F.col("c").alias("a"), F.col("component").alias("b")).union(more))
 
 
 def _cells(rows: DataFrame) -> DataFrame:
@@ -428,16 +455,15 @@ def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
         needed = crowd.select("c").distinct().join(classes.select("c", "doc_id", "h"), "c")
         sets = staged(sets_of(docs, needed, size), "sets")
-        links = staged(confirmed(staged(_forest(crowd), "forest"), sets, percent), "links")
-        settled = components(links)
+        settled = components(confirmed(staged(_forest(crowd), "forest"), sets, percent))
 
         # neighbours of different components, then whatever the regions still leave open
         near = staged(_neighbours(_open_rows(crowd, settled, classes)), "near")
-        links, settled = _joined(links, settled, confirmed(near, sets, percent))
+        settled = _joined(settled, confirmed(near, sets, percent))
         left = staged(_open_rows(crowd, settled, classes), "left")
         few = staged(_promising(left.filter(F.col("n") <= CROWD)).distinct(), "promising")
         many = _crowded(left.filter(F.col("n") > CROWD).drop("sketch").join(sets, "c"), percent)
-        links, settled = _joined(links, settled, confirmed(few, sets, percent).union(many))
+        settled = _joined(settled, confirmed(few, sets, percent).union(many))
 
         linked = settled.join(classes.select("c", "doc_id", "h"), "c")
         linked = linked.union(settled.select("component").distinct().join(classes.select(F.col("c").alias("component"), "doc_id", "h"), "component").select(F.col("component").alias("c"), "component", "doc_id", "h"))

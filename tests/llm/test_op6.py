@@ -80,8 +80,9 @@ def test_word_hashes_depend_on_the_bytes_only(spans, before):
     assert len(set(got.tolist())) == len(set(spans))
 
 
-@pytest.mark.parametrize("block, bits", [(1024, 1 << 28), (3, 1 << 28), (1024, 1)])
-def test_groups_equal_brute_force(spark, monkeypatch, block, bits):
+@pytest.mark.parametrize("block, bits, part", [(1024, 1 << 28, 1 << 20), (3, 1 << 28, 20), (1024, 1, 1 << 20)])
+def test_groups_equal_brute_force(spark, monkeypatch, block, bits, part):
+    monkeypatch.setattr(neardup, "PART_LINKS", part)
     monkeypatch.setattr(neardup, "BLOCK", block)
     monkeypatch.setattr(neardup, "CROWD", min(16, block))
     monkeypatch.setattr(neardup, "MAP_BITS", (1 << 16, bits))
@@ -103,6 +104,15 @@ def test_groups_equal_brute_force(spark, monkeypatch, block, bits):
     assert sorted((x.doc_id, x.n_shingles, x.component_id, x.kept) for x in out) == brute(rows)
 
 
+def test_components_of_long_paths(spark, monkeypatch):
+    """More links than a partition takes: rounds go on until nothing changes."""
+    monkeypatch.setattr(neardup, "PART_LINKS", 32)
+    path = [(i, i + 1) for i in range(300)] + [(1000 + i, 1000) for i in range(1, 60)] + [(5, 5)]
+    random.Random(1).shuffle(path)
+    got = {r.c: r.component for r in neardup.components(spark.createDataFrame(path, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(1, 301)}, **{1000 + i: 1000 for i in range(1, 60)}}
+
+
 def test_chain_and_edge_cases(spark):
     df = spark.createDataFrame([(5, "a b c d e"), (5, "a b c d e"), (None, "a b c d e"), (3, "A b\tc d e"), (9, None)], "doc_id long, text string")
     out = neardup.near_duplicates(df, size=4).collect()
