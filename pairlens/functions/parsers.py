@@ -263,7 +263,7 @@ def checklist_questions(df: DataFrame, keys: list[str], raw: str, dimensions: tu
 def simple_bullets(raw: Column) -> Column:
     """Lines that begin with "- ", without N/A ones."""
     bullets = F.filter(F.transform(F.split(raw, LINE_END, -1), strip), lambda x: x.startswith("- "))
-    return F.filter(F.transform(bullets, lambda x: strip(F.substring(x, 3, 1_000_000))), lambda x: ~F.upper(x).isin("NA", "N/A", ""))
+    return F.filter(F.transform(bullets, lambda x: strip(F.substr(x, F.lit(3)))), lambda x: ~F.upper(x).isin("NA", "N/A", ""))
 
 
 def extracted_questions(raw: Column, dimensions: tuple[str, ...]) -> Column:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 MIN_Q, MAX_Q, SOFT_MAX_Q = 6, 25, 20
 
+#: Fixed values, here and below: the weights, bounds and scores in the formulas of rewards, which results depend on.
+
 
 def _values(parsed: Column) -> Column:
     return F.map_values(parsed["verdicts"])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scoring import flipped
-from .windows import one_value, smallest_hashes
+from .windows import PREFIX, null_safe_join, one_value, smallest_hashes
 
 
 def hash_key(*parts: Column | str) -> Column:
@@ -31,8 +31,18 @@ def doubled(pairs: DataFrame) -> DataFrame:
 
 
 def _smallest(df: DataFrame, keys: list[str], order: Column, n: Column | int) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    return df.withColumn("_r", rank).filter(F.col("_r") <= n).drop("_r")
+    """The ``n`` rows of each key with the smallest hashes.
+
+    A histogram of the hashes' first digits, of fixed size for a key, tells which
+    buckets can't be among them; only the rest, the sample and a bucket at most, is
+    put in order, whatever the size of a key.
+    """
+    rows = df.withColumns({"_h": order, "_n": n if isinstance(n, Column) else F.lit(n)}).withColumn("_p", F.substring("_h", 1, PREFIX))
+    counts = rows.groupBy(*keys, "_p").agg(F.count(F.lit(1)).alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = null_safe_join(rows, counts.select(*keys, "_p", before.alias("_b")), [*keys, "_p"]).filter(F.col("_b") < F.col("_n"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_h"))
+    return rows.withColumn("_r", rank).filter(F.col("_r") <= F.col("_n")).select(*df.columns)
 
 
 def group_split(df: DataFrame, group: str, ratio: float, seed: int = 42) -> DataFrame:

@@ -10,6 +10,13 @@ PREFIX = 3  # hex digits: 4,096 buckets
 SMALL = 100_000
 
 
+def null_safe_join(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the other columns of ``few``, which has each key once; null keys meet null keys."""
+    right = few.select(*(F.col(k).alias(f"_right_{k}") for k in keys), *(c for c in few.columns if c not in keys))
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return rows.join(right, same).drop(*(f"_right_{k}" for k in keys))
+
+
 def running_total(df: DataFrame, order: str, value: str, name: str, cuts: int = CUTS) -> DataFrame:
     """Adds the sum of ``value`` over all rows with a smaller ``order``.
 
@@ -27,6 +34,21 @@ def running_total(df: DataFrame, order: str, value: str, name: str, cuts: int =
     return rows.join(F.broadcast(starts), "_bucket").withColumn(name, F.col("_start") + F.coalesce(inside, F.lit(0))).drop("_bucket", "_start")
 
 
+def places(df: DataFrame, keys: list[str], order: str, name: str, cuts: int = CUTS) -> DataFrame:
+    """Adds a row's place, from 0, within its key by a numeric column without nulls.
+
+    Buckets lie between approximate quantiles of ``order``; counts give each key's
+    start in each bucket, and a window runs within a key's part of a bucket only.
+    """
+    at = sorted(set(df.approxQuantile(order, [i / cuts for i in range(1, cuts)], 0.25 / cuts)))
+    rows = df.withColumn("_bucket", sum(((F.col(order) > c).cast("int") for c in at), F.lit(0)))
+    counts = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_count"))
+    start = F.coalesce(F.sum("_count").over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(order)) - 1
+    rows = null_safe_join(rows.withColumn("_inside", inside), counts.select(*keys, "_bucket", start.alias("_start")), [*keys, "_bucket"])
+    return rows.withColumn(name, F.col("_start") + F.col("_inside")).drop("_bucket", "_inside", "_start")
+
+
 def smallest_hashes(df: DataFrame, hash_col: str, n: int, ties: list[str]) -> DataFrame:
     """The n rows with the smallest hex hashes, ties by columns; all rows where there are fewer.
 

@@ -236,13 +236,15 @@ def _(spark, sf):
     return duplicates(X.table(spark, sf, "documents").withColumn("h", F.sha2("text", 256)), ["h"], ["lang", "source"])
 
 
-@query("a32_first_questions", ", s as (select lower(substr(text, 1, 12)) as k, substr(text, 1, 12) as q, lang, doc_id from documents), f as (select lang, q, doc_id, row_number() over (partition by lang, k order by doc_id) as r from s) select lang, sha256(string_agg(q, chr(10) order by doc_id)) as h, count(*) as n from f where r = 1 group by lang")
+@query("a32_first_questions", ", f as (select lang, text, row_number() over (partition by lang, sha256(lower(text)) order by doc_id) as r from documents) select lang, sum(cast('0x' || substr(sha256(text), 1, 8) as bigint))::bigint as h, count(*) as n from f where r = 1 and text is not null group by lang")
 def _(spark, sf):
+    """The first of texts that are equal but for their case, whole texts compared by hash; their number and the sum of their digests."""
     from pairlens.operators.joins import keep_first
 
-    d = X.table(spark, sf, "documents").select("lang", "doc_id", F.substring("text", 1, 12).alias("q")).withColumn("k", F.lower("q"))
-    rows = keep_first(d, ["lang", "k"], ["doc_id"])
-    return rows.groupBy("lang").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "q"))), lambda x: x["q"]), "\n"), 256).alias("h"), F.count(F.lit(1)).alias("n"))
+    digest = lambda c: F.sha2(c, 256)
+    d = X.table(spark, sf, "documents").filter("text is not null").select("lang", "doc_id", digest(F.lower("text")).alias("k"), digest(F.col("text")).alias("d"))
+    value = F.conv(F.substring("d", 1, 8), 16, 10).cast("long")
+    return keep_first(d, ["lang", "k"], ["doc_id"]).groupBy("lang").agg(F.sum(value).alias("h"), F.count(F.lit(1)).alias("n"))
 
 
 @query("a33_annotator_statistics", "select pair_id, [pair_id % 7 - 3, pair_id % 3 - 1, 1] as scores, 3 as n, (pair_id % 7 - 3 + pair_id % 3 - 1 + 1) / 3 as mean, len(list_distinct([sign(pair_id % 7 - 3), sign(pair_id % 3 - 1), 1])) = 1 as unanimous from pairs")

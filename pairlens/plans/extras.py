@@ -96,8 +96,10 @@ def _(spark, sf):
 @query("w19_prompt_chunks", ", c as (select domain, (row_number() over (partition by domain order by pair_id) - 1) // 64 as chunk from pairs) select domain, chunk, count(*) as n from c group by all")
 def _(spark, sf):
     """Requests of a domain in chunks of 64."""
-    place = F.row_number().over(Window.partitionBy("domain").orderBy("pair_id")) - 1
-    return X.slim_pairs(spark, sf).select("domain", F.floor(place / 64).alias("chunk")).groupBy("domain", "chunk").agg(F.count(F.lit(1)).alias("n"))
+    from pairlens.operators.windows import places
+
+    rows = places(X.slim_pairs(spark, sf).select("domain", "pair_id"), ["domain"], "pair_id", "place")
+    return rows.select("domain", F.floor(F.col("place") / 64).alias("chunk")).groupBy("domain", "chunk").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("io2_projected_scan", "select doc_id, n_chars from documents where n_chars > 1000")

@@ -63,12 +63,12 @@ def _(spark, sf):
     return s.select("pair_id", F.sha2("response_a", 256).alias("a_hash"), F.sha2("response_b", 256).alias("b_hash"), "winner")
 
 
-_REF = "'I prefer @Response A over response b; response 2 and RESPONSE 1, not responses. ' || substr(text, 1, 40)"
+_REF = "'I prefer @Response A over response b; response 2 and RESPONSE 1, not responses. ' || text"
 
 
 @query("p10_p11_references", f"select doc_id, replace(replace(replace(t, 'Response A', chr(1)), 'Response B', 'Response A'), chr(1), 'Response B') as swapped, regexp_replace(regexp_replace(t, '@?\\bresponse\\s*[1a]\\b', 'Response A', 'gi'), '@?\\bresponse\\s*[2b]\\b', 'Response B', 'gi') as standard from (select doc_id, {_REF} as t from documents)")
 def _(spark, sf):
-    t = F.concat(F.lit("I prefer @Response A over response b; response 2 and RESPONSE 1, not responses. "), F.substring("text", 1, 40))
+    t = F.concat(F.lit("I prefer @Response A over response b; response 2 and RESPONSE 1, not responses. "), F.col("text"))
     d = X.table(spark, sf, "documents").select("doc_id", t.alias("t"))
     return d.select("doc_id", T.swap_references(F.col("t")).alias("swapped"), T.standard_references(F.col("t")).alias("standard"))
 

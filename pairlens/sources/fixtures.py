@@ -74,7 +74,7 @@ def bank(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("item_id") + 1).cast("int").alias("qid"),
         _pick(F.col("item_id") % 5, DIMENSIONS).alias("dimension"),
         F.concat(F.lit("aspect_"), (F.col("item_id") % 7).cast("string")).alias("sub_aspect"),
-        F.substring("text", 1, 60).alias("question_text"),
+        F.col("text").alias("question_text"),
     )
 
 
@@ -146,7 +146,7 @@ pairs as (select a.doc_id // 2 as pair_id, (['general', 'stem', 'code'])[(a.doc_
   from pd a join pd b on a.doc_id % 2 = 0 and b.doc_id = a.doc_id + 1),
 contexts as (select conv_id, string_agg('[' || role || ']' || chr(10) || text, chr(10) || chr(10) order by turn) as context from conversations group by conv_id),
 paired as (select p.*, c.context from pairs p join contexts c on c.conv_id = p.pair_id % (select max(conv_id) + 1 from conversations)),
-bank as (select cast(item_id + 1 as integer) as qid, ({list(DIMENSIONS)})[item_id % 5 + 1] as dimension, 'aspect_' || (item_id % 7) as sub_aspect, substr(text, 1, 60) as question_text from benchmark),
+bank as (select cast(item_id + 1 as integer) as qid, ({list(DIMENSIONS)})[item_id % 5 + 1] as dimension, 'aspect_' || (item_id % 7) as sub_aspect, text as question_text from benchmark),
 domains as (select unnest(['general', 'stem', 'code']) as domain),
 active as (select d.domain, b.* from bank b join domains d on b.dimension <> '{DIMENSIONS[1]}' or d.domain = 'code'),
 xs as (select p.pair_id, p.domain, p.winner, p.preference_strength, a.qid, a.dimension, a.sub_aspect,

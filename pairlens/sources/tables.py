@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlens.schema import require_columns
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path for a file that is written and read again: in spark.checkpoint.dir, or a temporary folder on a local master. It goes when the application ends."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="pairlens-")
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
 class MissingSplit(FileNotFoundError):
     """There is no such split or tier."""
 
@@ -54,11 +71,12 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).csv(path)
+    """A table with a header; quoted values may hold quotes, doubled, and line ends."""
+    return spark.read.schema(schema).options(header=True, multiLine=True, escape='"').csv(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
