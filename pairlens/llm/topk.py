@@ -228,7 +228,9 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = 5) -> DataFrame:
         bounded = queries.join(bounds, "row", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
         reach = F.when(F.col("bound") <= 0, F.lit(0.0)).otherwise((F.col("bound") - 1) / F.greatest("length", F.lit(1e-300)) * (1 - 1e-9))
         bounded = staged(bounded.withColumn("reach", reach), "queries")
-        steps = sorted(set(bounded.approxQuantile("reach", [i / CLASSES for i in range(1, CLASSES)], 0.02)))
+        # classes cost candidates a copy each, so that there are no more than groups
+        classes = min(CLASSES, deal)
+        steps = sorted(set(bounded.approxQuantile("reach", [i / classes for i in range(1, classes)], 0.02))) if classes > 1 else []
         kind = sum((F.col("reach") >= x).cast("int") for x in steps) if steps else F.lit(0)
         classed = bounded.withColumn("kind", kind)
         kinds = classed.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("reach").alias("least")).collect()  # at most CLASSES rows
