@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,58 +13,100 @@ from .text import LINE_END, SPACE, strip
 _NA_WORD = rf"(?:N{SPACE}*/{SPACE}*A|NA|not{SPACE}*applicable){SPACE}*[.。]?"
 #: groups: number, answer; neither where a line has another form
 _LINE = rf"(?i)^(?:Q([0-9]+):{SPACE}*)?(yes|no|{_NA_WORD})$"
+_MATCHES = ("answer", "na", "bare", "bare_na")
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once."""
+    return F.transform(F.array(value), use)[0]
 
 
-def checklist_lines(df: DataFrame, keys: list[str], raw: str = "raw", n: str = "n") -> DataFrame:
-    """A row per line of each output: keys, n, lineno, line, kind, q, answer and its fate.
+def checklist_states(raw: Column, n: Column) -> Column:
+    """array<struct<lineno, line, kind, q, answer, fate>>: what becomes of each line of one output.
 
     kind: answer, na (with a number), bare, bare_na (the next number of a counter
     that only bare lines move), blank, other. The first other line after a match
     stops the output. fate: kept, duplicate, out_of_range, stop, or ignored.
+
+    An output is read within its row: nothing is shuffled, and each step is one pass
+    over its lines or one sort of them.
     """
-    rows = df.select(*keys, F.col(n).alias("n"), F.posexplode(F.split(F.coalesce(F.col(raw), F.lit("")), LINE_END, -1)).alias("lineno", "line"))
-    rows = rows.withColumn("lineno", F.col("lineno") + 1).withColumn("line", strip(F.col("line")))
-    rows = rows.withColumn("_said", F.lower(F.regexp_extract("line", _LINE, 2))).withColumn("_number", F.regexp_extract("line", _LINE, 1))
-    named, said = F.col("_number") != "", F.col("_said").isin("yes", "no")
-    kind = F.when(F.col("line") == "", "blank").when(F.col("_said") == "", "other").when(named & said, "answer").when(named, "na").when(said, "bare").otherwise("bare_na")
-    rows = rows.withColumn("kind", kind)
-    so_far = Window.partitionBy(*keys).orderBy("lineno").rowsBetween(Window.unboundedPreceding, 0)
-    match = F.col("kind").isin("answer", "na", "bare", "bare_na")
-    rows = rows.withColumn("_m", match).withColumn("_started", F.max("_m").over(so_far)).withColumn("_bad", (F.col("kind") == "other") & F.col("_started"))
-    rows = rows.withColumn("_stops", F.count_if(F.col("_bad")).over(so_far)).withColumn("_bare", F.count_if(F.col("kind").startswith("bare")).over(so_far))
-    q = F.when(F.col("kind").isin("answer", "na"), F.coalesce(F.col("_number").try_cast("bigint"), F.lit(0))).when(F.col("_m"), F.col("_bare"))
-    live = F.col("_m") & (F.col("_stops") == 0)
-    rows = rows.withColumn("q", F.when(live, q)).withColumn("_in", F.coalesce(live & (F.col("q") >= 1) & (F.col("n").isNull() | (F.col("q") <= F.col("n"))), F.lit(False)))
-    first = F.row_number().over(Window.partitionBy(*keys, "_in", "q").orderBy("lineno"))
-    fate = F.when(F.col("_bad") & (F.col("_stops") == 1), "stop").when(~live, "ignored").when(~F.col("_in"), "out_of_range").when(first > 1, "duplicate").otherwise("kept")
-    answer = F.when(F.col("kind").isin("na", "bare_na"), "na").otherwise(F.col("_said"))
-    return rows.withColumn("fate", fate).select(*keys, "n", "lineno", "line", "kind", "q", F.when(F.col("fate") == "kept", answer).alias("answer"), "fate")
-
-
-def checklist_answers(lines: DataFrame, keys: list[str]) -> DataFrame:
+
+    def typed(x: Column) -> Column:
+        said, number = x["said"], x["number"]
+        yes_no = said.isin("yes", "no")
+        kind = F.when(x["line"] == "", "blank").when(said == "", "other").when(number != "", F.when(yes_no, "answer").otherwise("na")).otherwise(F.when(yes_no, "bare").otherwise("bare_na"))
+        return F.struct(x["lineno"].alias("lineno"), x["line"].alias("line"), said.alias("said"), number.alias("number"), kind.alias("kind"))
+
+    lines = F.transform(F.split(F.coalesce(raw, F.lit("")), LINE_END, -1), lambda x, i: F.struct((i + 1).alias("lineno"), strip(x).alias("line")))
+    groups = F.transform(lines, lambda x: F.struct(x["lineno"].alias("lineno"), x["line"].alias("line"), F.lower(F.regexp_extract(x["line"], _LINE, 2)).alias("said"), F.regexp_extract(x["line"], _LINE, 1).alias("number")))
+    match = lambda x: x["kind"].isin(*_MATCHES)
+    lineno = lambda rows: F.transform(rows, lambda x: x["lineno"])
+
+    def fates(rows: Column, stop: Column) -> Column:
+        live = lambda x: match(x) & (stop.isNull() | (x["lineno"] < stop))
+        place = lambda x, q: F.struct(q.cast("bigint").alias("q"), x["lineno"].alias("lineno"), x["line"].alias("line"), x["kind"].alias("kind"), x["said"].alias("said"))
+        named = F.transform(F.filter(rows, lambda x: live(x) & (x["number"] != "")), lambda x: place(x, F.coalesce(x["number"].try_cast("bigint"), F.lit(0))))
+        bare = F.transform(F.filter(rows, lambda x: live(x) & (x["number"] == "")), lambda x, i: place(x, i + 1))
+        rest = F.transform(
+            F.filter(rows, lambda x: ~live(x)),
+            lambda x: F.struct(x["lineno"].alias("lineno"), x["line"].alias("line"), x["kind"].alias("kind"), F.lit(None).cast("bigint").alias("q"), F.lit(None).cast("string").alias("answer"), F.when(x["lineno"] == stop, "stop").otherwise("ignored").alias("fate")),
+        )
+
+        def judged(found: Column) -> Column:
+            def one(x: Column, i: Column) -> Column:
+                inside = (x["q"] >= 1) & (n.isNull() | (x["q"] <= n))
+                repeats = F.coalesce(F.get(found, i - 1)["q"] == x["q"], F.lit(False))
+                fate = F.when(~inside, "out_of_range").when(repeats, "duplicate").otherwise("kept")
+                answer = F.when(x["said"].isin("yes", "no"), x["said"]).otherwise("na")
+                return F.struct(x["lineno"].alias("lineno"), x["line"].alias("line"), x["kind"].alias("kind"), x["q"].alias("q"), F.when(inside & ~repeats, answer).alias("answer"), fate.alias("fate"))
+
+            return F.transform(found, one)
+
+        return F.sort_array(F.concat(rest, _let(F.sort_array(F.concat(named, bare)), judged)))
+
+    def stopped(rows: Column, first: Column) -> Column:
+        bad = F.array_min(lineno(F.filter(rows, lambda x: (x["kind"] == "other") & (x["lineno"] > first))))
+        return _let(bad, lambda stop: fates(rows, stop))
+
+    return _let(F.transform(groups, typed), lambda rows: _let(F.array_min(lineno(F.filter(rows, match))), lambda first: stopped(rows, first)))
+
+
+def _states(outputs: DataFrame, keys: list[str], raw: str, n: str) -> DataFrame:
+    """keys, n, states of each output; a generator between keeps the optimiser from copying the machine into every use."""
+    rows = outputs.select(*keys, F.col(n).alias("n"), F.col(raw).alias("raw"))
+    return rows.withColumn("states", F.explode(F.array(checklist_states(F.col("raw"), F.col("n"))))).drop("raw")
+
+
+def checklist_lines(outputs: DataFrame, keys: list[str], raw: str = "raw", n: str = "n") -> DataFrame:
+    """A row per line of each output: keys, n and the fields of ``checklist_states``."""
+    return _states(outputs, keys, raw, n).select(*keys, "n", F.inline("states"))
+
+
+def checklist_answers(outputs: DataFrame, keys: list[str], raw: str = "raw", n: str = "n") -> DataFrame:
     """keys, q, answer of the outputs with at least one yes or no; others are fallbacks and give nothing."""
-    any_answer = F.max(F.col("answer").isin("yes", "no")).over(Window.partitionBy(*keys))
-    kept = lines.filter("fate = 'kept'").withColumn("_ok", any_answer)
-    return kept.filter("_ok").select(*keys, F.col("q").cast("int").alias("q"), "answer")
+    rows = _states(outputs, keys, raw, n).filter(F.exists("states", lambda x: x["answer"].isin("yes", "no")))
+    kept = F.transform(F.filter("states", lambda x: x["fate"] == "kept"), lambda x: F.struct(x["q"].cast("int").alias("q"), x["answer"].alias("answer")))
+    return rows.select(*keys, F.inline(kept))
 
 
-def parsed_checklist(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """The parsed form of each output, one row per key: counts, score, completeness, why it stopped.
+def parsed_checklist(outputs: DataFrame, keys: list[str], raw: str = "raw", n: str = "n") -> DataFrame:
+    """The parsed form of each output, one row each: counts, score, completeness, why it stopped.
 
     parse_ok is false for a fallback: no yes or no answer. Its score is 0 and its
     flags are false; numbers of its na answers are kept.
     """
-    kept = F.col("fate") == "kept"
-    is_na = F.col("answer") == "na"
-    count = lambda c: F.count_if(c)
-    ordered = F.sort_array(F.collect_list(F.when(kept & ~is_na, F.struct(F.col("q").cast("int").alias("q"), "answer"))))
-    nas = F.sort_array(F.collect_list(F.when(kept & is_na, F.col("q").cast("int"))))
-    bad = F.col("fate") == "stop"
-    g = lines.groupBy(*keys).agg(
-        F.max("n").alias("n"), ordered.alias("answers"), nas.alias("na_qnums"), count(kept & (F.col("answer") == "yes")).alias("n_yes"), count(kept & (F.col("answer") == "no")).alias("n_no"),
-        count(kept & is_na).alias("n_na"), count(F.col("fate") == "duplicate").alias("n_duplicates"), count(F.col("fate") == "out_of_range").alias("n_out_of_range"),
-        F.max(F.when(bad, F.col("line"))).alias("first_bad_line"), F.max(F.when(bad, F.col("lineno"))).alias("first_bad_lineno"),
-        F.max(F.col("kind").isin("na", "bare_na") & F.col("fate").isin("kept", "duplicate", "out_of_range")).alias("hit_na"),
+    where = lambda cond: F.filter("states", cond)
+    count = lambda cond: F.size(where(cond)).cast("bigint")
+    bad = F.get(where(lambda x: x["fate"] == "stop"), F.lit(0))
+    g = _states(outputs, keys, raw, n).select(
+        *keys, "n",
+        F.sort_array(F.transform(where(lambda x: x["answer"].isin("yes", "no")), lambda x: F.struct(x["q"].cast("int").alias("q"), x["answer"].alias("answer")))).alias("answers"),
+        F.sort_array(F.transform(where(lambda x: x["answer"] == "na"), lambda x: x["q"].cast("int"))).alias("na_qnums"),
+        count(lambda x: x["answer"] == "yes").alias("n_yes"), count(lambda x: x["answer"] == "no").alias("n_no"), count(lambda x: x["answer"] == "na").alias("n_na"),
+        count(lambda x: x["fate"] == "duplicate").alias("n_duplicates"), count(lambda x: x["fate"] == "out_of_range").alias("n_out_of_range"),
+        bad["line"].alias("first_bad_line"), bad["lineno"].alias("first_bad_lineno"),
+        F.exists("states", lambda x: x["kind"].isin("na", "bare_na") & x["q"].isNotNull()).alias("hit_na"),
     )
     parsed = F.col("n_yes") + F.col("n_no")
     ok = parsed > 0
@@ -79,15 +123,18 @@ def parsed_checklist(lines: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def strict_lines(lines: DataFrame, keys: list[str]) -> DataFrame:
+def strict_lines(outputs: DataFrame, keys: list[str], raw: str = "raw", n: str = "n") -> DataFrame:
     """A stricter look at the same lines: every match counts, repeated or not; flags what follows the block.
 
     rationale_after: another line after the first match; more_after: a match after that line.
     """
-    match = F.col("kind").isin("answer", "na", "bare", "bare_na")
-    first = F.min(F.when(F.col("fate") == "stop", F.col("lineno"))).over(Window.partitionBy(*keys))
-    rows = lines.withColumn("_s", first)
-    return rows.groupBy(*keys).agg(F.count_if(match & (F.col("_s").isNull() | (F.col("lineno") < F.col("_s")))).alias("n_matches"), F.bool_or(F.col("_s").isNotNull()).alias("rationale_after"), F.coalesce(F.bool_or(match & (F.col("lineno") > F.col("_s"))), F.lit(False)).alias("more_after"))
+    match = lambda x: x["kind"].isin(*_MATCHES)
+    return _states(outputs, keys, raw, n).select(
+        *keys,
+        F.size(F.filter("states", lambda x: x["q"].isNotNull())).cast("bigint").alias("n_matches"),
+        F.exists("states", lambda x: x["fate"] == "stop").alias("rationale_after"),
+        F.exists("states", lambda x: match(x) & x["q"].isNull()).alias("more_after"),
+    )
 
 
 def _numbered(raw: Column, pattern: str) -> Column:

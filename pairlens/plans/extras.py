@@ -13,7 +13,7 @@ from pairlens.sources import fixtures as X
 
 from . import scoring as Q
 from .metrics import DELTAS
-from .parsing import _LINES, KEYS, lines
+from .parsing import _LINES, KEYS
 from .registry import query
 
 _KEYS = ("reasoning", "rationale", "explanation", "summary")
@@ -57,7 +57,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     """Stored counts against a strict reading of the same outputs, overall and by domain."""
-    rows = lines(spark, sf)
+    rows = X.raw_outputs(spark, sf)
     strict = P.strict_lines(rows, KEYS)
     stored = P.parsed_checklist(rows, KEYS)
     both = stored.join(strict, KEYS).withColumn("kept", F.col("n_questions_parsed") + F.col("n_na"))

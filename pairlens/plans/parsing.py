@@ -29,13 +29,9 @@ parsed as (select pair_id, side, any_value(n) as n, count(*) filter (where fate
 """
 
 
-def lines(spark, sf):
-    return P.checklist_lines(X.raw_outputs(spark, sf), KEYS)
-
-
 @query("x1_checklist_lines", _LINES + "select pair_id, cast(side as integer) as side, cast(lineno as integer) as lineno, kind, case when live then q0 end as q, case when fate = 'kept' then a end as answer, fate from l6")
 def _(spark, sf):
-    return lines(spark, sf).select("pair_id", "side", "lineno", "kind", "q", "answer", "fate")
+    return P.checklist_lines(X.raw_outputs(spark, sf), KEYS).select("pair_id", "side", "lineno", "kind", "q", "answer", "fate")
 
 
 @query(
@@ -45,22 +41,22 @@ def _(spark, sf):
     "first_bad_line, cast(first_bad_lineno as integer) as first_bad_lineno, n_duplicates, n_out_of_range from parsed",
 )
 def _(spark, sf):
-    return P.parsed_checklist(lines(spark, sf), KEYS).drop("answers", "na_qnums")
+    return P.parsed_checklist(X.raw_outputs(spark, sf), KEYS).drop("answers", "na_qnums")
 
 
 @query("x2_strict_lines", _LINES + ", f as (select *, min(case when fate = 'stop' then lineno end) over (partition by pair_id, side) as s, kind in ('answer', 'na', 'bare', 'bare_na') as m from l6) select pair_id, cast(side as integer) as side, count(*) filter (where m and (s is null or lineno < s)) as n_matches, bool_or(s is not null) as rationale_after, coalesce(bool_or(m and lineno > s), false) as more_after from f group by pair_id, side")
 def _(spark, sf):
-    return P.strict_lines(lines(spark, sf), KEYS)
+    return P.strict_lines(X.raw_outputs(spark, sf), KEYS)
 
 
 @query("p9_label_map", _LINES + ", k as (select *, bool_or(fate = 'kept' and a in ('yes', 'no')) over (partition by pair_id, side) as good from l6) select pair_id, cast(side as integer) as side, cast(q0 as integer) as q, a as answer from k where fate = 'kept' and good")
 def _(spark, sf):
-    return P.checklist_answers(lines(spark, sf), KEYS)
+    return P.checklist_answers(X.raw_outputs(spark, sf), KEYS)
 
 
 @query("a37_parse_summary", _LINES + "select side % 2 = 0 as is_a, count(*) as n, count(*) filter (where n_yes + n_no = 0) as n_failed, sum(n_na)::bigint as n_na, sum(n_duplicates)::bigint as n_duplicates, count(*) filter (where n_na > 0) as n_with_na from parsed group by all")
 def _(spark, sf):
-    p = P.parsed_checklist(lines(spark, sf), KEYS)
+    p = P.parsed_checklist(X.raw_outputs(spark, sf), KEYS)
     return p.groupBy((F.col("side") == 0).alias("is_a")).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("parse_ok")).alias("n_failed"), F.sum("n_na").alias("n_na"), F.sum("n_duplicates").alias("n_duplicates"), F.count_if(F.col("n_na") > 0).alias("n_with_na"))
 
 
@@ -288,7 +284,7 @@ def _(spark, sf):
 def _(spark, sf):
     from pairlens.operators.scoring import na_score
 
-    p = P.parsed_checklist(lines(spark, sf), KEYS)
+    p = P.parsed_checklist(X.raw_outputs(spark, sf), KEYS)
     c = F.col
     score = lambda policy: F.when(c("parse_ok"), na_score(policy, c("n_yes"), c("n_questions_parsed"), c("n_na"), c("n_questions_parsed"), c("complete"), c("complete_with_na"))).alias(policy)
     return p.select("pair_id", "side", score("strict"), score("skip"))

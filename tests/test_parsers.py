@@ -62,7 +62,7 @@ ENDS = st.sampled_from(["\n", "\r\n", "\r", " ", "\x0b", "\x85"])
 @given(st.lists(st.tuples(st.lists(st.tuples(LINES, ENDS), max_size=9).map(lambda x: "".join(a + b for a, b in x)), st.integers(1, 5)), min_size=10, max_size=30))
 def test_checklist_state_machine(spark, cases):
     df = spark.createDataFrame([(i, raw, n) for i, (raw, n) in enumerate(cases)], "id long, raw string, n int")
-    out = {r.id: r for r in P.parsed_checklist(P.checklist_lines(df, ["id"]), ["id"]).collect()}
+    out = {r.id: r for r in P.parsed_checklist(df, ["id"]).collect()}
     assert len(out) == len(cases)
     for i, (raw, n) in enumerate(cases):
         yes_no, nas, why, bad, dup, oor = restated(raw, n)
@@ -77,7 +77,7 @@ def test_checklist_state_machine(spark, cases):
 
 def test_stop_after_a_note(spark):
     df = spark.createDataFrame([(1, "Q1: yes\nQ2: N/A\nNote\nQ3: no", 3), (2, None, 3)], "id long, raw string, n int")
-    r, none = P.parsed_checklist(P.checklist_lines(df, ["id"]), ["id"]).orderBy("id").collect()
+    r, none = P.parsed_checklist(df, ["id"]).orderBy("id").collect()
     assert [(a.q, a.answer) for a in r.answers] == [(1, "yes")] and r.na_qnums == [2]
     assert (r.stop_reason, r.complete, r.complete_with_na, r.first_bad_line) == ("unrecognized_line_after_started", False, False, "Note")
     assert (none.parse_ok, none.stop_reason, none.score) == (False, "empty_output", 0.0)
