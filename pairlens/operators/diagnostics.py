@@ -70,11 +70,12 @@ def bank_summary(df: DataFrame) -> DataFrame:
     return df.groupBy("dimension").agg(F.count(F.lit(1)).alias("n_before"), F.count_if(~F.col("drop")).alias("n_after"), F.avg("na_rate").alias("na_before"), F.avg(F.when(~F.col("drop"), F.col("na_rate"))).alias("na_after"))
 
 
-def sample_statistics(facts: DataFrame, keys: list[str], margin: bool = False) -> DataFrame:
+def sample_statistics(facts: DataFrame, keys: list[str], *more: Column) -> DataFrame:
     """Per sample: how its questions were answered and what they contributed.
 
     facts: keys, qid, ans_a, ans_b, w (null where a question has no weight), generic. A
-    question is nonzero if one side says yes, the other no, and it has a weight.
+    question is nonzero if one side says yes, the other no, and it has a weight. ``more``
+    aggregates come from the same pass.
     """
     a, b, w = F.col("ans_a"), F.col("ans_b"), F.col("w")
     differ = a.isin("yes", "no") & b.isin("yes", "no") & (a != b)
@@ -85,7 +86,7 @@ def sample_statistics(facts: DataFrame, keys: list[str], margin: bool = False) -
     out = facts.groupBy(*keys).agg(
         n.alias("n_selected"), F.count_if((a == "yes") & (b == "yes")).alias("n_yes_yes"), F.count_if((a == "no") & (b == "no")).alias("n_no_no"), F.count_if((a == "na") | (b == "na")).alias("n_any_na"), F.count_if(differ).alias("n_diff"),
         F.count_if(nonzero).alias("n_nonzero"), (F.count_if(nonzero) / n).alias("nonzero_rate"), F.coalesce(F.sum(F.when(c > 0, c)), F.lit(0.0)).alias("support_a"), F.coalesce(F.sum(F.when(c < 0, -c)), F.lit(0.0)).alias("support_b"),
-        F.count_if("generic").alias("n_generic"), F.count_if(F.col("generic") & (a == "yes") & (b == "yes")).alias("n_yes_yes_generic"), F.coalesce(F.max(F.when(nonzero, w)), F.lit(0.0)).alias("max_nonzero_weight"), biggest.alias("_b"),
+        F.count_if("generic").alias("n_generic"), F.count_if(F.col("generic") & (a == "yes") & (b == "yes")).alias("n_yes_yes_generic"), F.coalesce(F.max(F.when(nonzero, w)), F.lit(0.0)).alias("max_nonzero_weight"), biggest.alias("_b"), *more,
     )
     return out.withColumn("max_qid", (-F.col("_b.first")).cast("int")).withColumn("max_contribution", F.col("_b.c")).drop("_b")
 

@@ -131,12 +131,10 @@ tg as (select pair_id, domain, task, nonzero_rate, list_filter([
 
 
 def tagged(spark, sf):
-    facts = sample_facts(spark, sf)
-    stats = D.sample_statistics(facts, ["pair_id", "domain", "winner"])
-    dims = facts.groupBy("pair_id").agg(F.collect_set("dimension").alias("dimensions"))
+    stats = D.sample_statistics(sample_facts(spark, sf), ["pair_id", "domain", "winner"], F.collect_set("dimension").alias("dimensions"))
     said = Q.predictions(spark, sf).select("pair_id", "margin", "predicted_winner")
     p = F.col("pair_id")
-    rows = stats.join(dims, "pair_id").join(said, "pair_id").withColumn("task", F.when(p % 5 == 0, "creative").when(p % 5 == 1, "coding").otherwise("other"))
+    rows = stats.join(said, "pair_id").withColumn("task", F.when(p % 5 == 0, "creative").when(p % 5 == 1, "coding").otherwise("other"))
     rows = rows.withColumn("scores", F.array(p % 3 - 1, p % 2, F.lit(1).cast("long"))).withColumn("weak_reason", p % 10 == 7)
     return rows.withColumn("tags", D.failure_modes()).select("pair_id", "domain", "task", "nonzero_rate", "tags")
 
