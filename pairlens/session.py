@@ -19,7 +19,7 @@ def session(app: str = "pairlens", master: str | None = None, shuffle_partitions
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16k",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "4k",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     } | conf
