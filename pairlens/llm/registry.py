@@ -16,10 +16,11 @@ QUERIES = {
     "op8_html": "htmltext",
     "op9_secrets": "secrets",
     "op10_packing": "packing",
+    "op12_centroids": "centroids",
 }
 
 #: modules with an ORACLE_SQL dict
-SQL_MODULES: tuple[str, ...] = ("topk", "warc", "neardup", "secrets")
+SQL_MODULES: tuple[str, ...] = ("topk", "warc", "neardup", "secrets", "centroids")
 
 
 def queries() -> dict:
