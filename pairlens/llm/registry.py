@@ -16,6 +16,7 @@ QUERIES = {
     "op8_html": "htmltext",
     "op9_secrets": "secrets",
     "op10_packing": "packing",
+    "op11_runs": "runs",
     "op12_centroids": "centroids",
 }
 
