@@ -18,6 +18,7 @@ QUERIES = {
     "op10_packing": "packing",
     "op11_runs": "runs",
     "op12_centroids": "centroids",
+    "op13_simhash": "simhash",
 }
 
 #: modules with an ORACLE_SQL dict
