@@ -188,7 +188,7 @@ def _links(homes: np.ndarray, visitors: np.ndarray, bits: int) -> Iterator[tuple
     at, of = np.searchsorted(every, homes), np.searchsorted(every, visitors)
     for start in range(0, len(homes), CHUNK):
         near = np.bitwise_count(homes[start : start + CHUNK, None] ^ visitors[None, :]) <= bits
-        for i in np.flatnonzero(near.sum(axis=1) > 1).tolist():  # every home visits itself
+        for i in np.flatnonzero(near.any(axis=1)).tolist():
             mine, held = at[start + i], of[near[i]]
             labels, first = np.unique(label[held], return_index=True)
             other = labels != label[mine]
