@@ -9,8 +9,17 @@ container, ties going to main text; where its container has no decided block,
 blocks of an article or main element are main text, and others take the label
 of the nearest decided block of the page.
 
+Class names and ids count as whole names, or by their first or last part where the
+parts don't tell a state of the page: "sidebar", "sidebar-left" and "site-sidebar" are
+boilerplate, "has-sidebar", "no-comments", "social-enabled", "content-sidebar-wrap" and
+"elementor-widget" aren't. A name alone never makes all of a page boilerplate: where a
+container that is boilerplate by its name holds a main element, or more than half of the
+text outside menus, forms, comments and the like with no other article beside it, the name
+is taken for that of a layout. Names of comments are exempt from this, since comments can
+be longer than articles.
+
 Inside an article or main element a header is the article's own head, and only
-class names that mark boilerplate anywhere count; an article element itself is
+names that mark boilerplate anywhere count; an article element itself is
 boilerplate only where its class says that it is a comment or an advert.
 
 Null or empty html gives an empty text. Rows with the same html get the same
@@ -48,46 +57,65 @@ STOP_SHARE = 0.15
 
 BOILERPLATE_TAGS = frozenset("nav header footer aside form menu dialog button fieldset search".split())
 CONTAINERS = frozenset("html body article main section div aside nav header footer form menu dialog fieldset table ul ol dl figure details button search blockquote".split())
-#: Parts of class names and ids that mark boilerplate anywhere; such parts that mark it outside articles only, where an article's own head may bear them; whole class names that mark an article as none.
-_STRONG = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|breadcrumbs?|comments?|commentlist|consent|cookies?|disclaimer|footer|gdpr|login|menu|modal|nav|navbar|navigation|newsletter|"
-    r"notices?|pager|pagination|popup|promo\w*|recommended|related|reply|replies|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])",
-    re.IGNORECASE,
+#: Words of class names and ids that mark boilerplate as the whole name or its first part; as its last part; those of comments; those that mark it outside articles only, where an article's own head may bear them; parts that tell a state; words that mark an article as none.
+_FIRST = frozenset(
+    "ad ads advert adverts advertisement advertising breadcrumb breadcrumbs consent cookie cookies disclaimer footer gdpr login menu modal nav navbar navigation newsletter notice notices pager pagination "
+    "popup promo promos promotion recommended related share sharing sidebar signup social sponsor sponsored sponsors subscribe subscription toolbar widget widgets".split()
 )
-_WEAK = re.compile(r"(?:^|[\s_-])(?:banners?|header|masthead|search)(?:$|[\s_-])", re.IGNORECASE)
+_LAST = frozenset("ad ads advert advertisement breadcrumb breadcrumbs disclaimer footer menu modal nav navbar navigation newsletter notice pager pagination popup promo sharing sidebar signup subscribe toolbar".split())
+_COMMENT = frozenset("comment comments commentlist disqus reply replies respond".split())
+_WEAK = frozenset("banner banners header masthead search".split())
+_STATE = frozenset("has no not with without is hide show enabled disabled open closed active inactive status free".split())
 _NO_ARTICLE = frozenset("ad advert advertisement comment comments promo reply sponsored".split())
 _BOILERPLATE_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
+_HARD, _SOFT = 2, 1
 
 
-def _boilerplate(name: str, rest: str, article: bool) -> bool:
-    """Whether a container is boilerplate by its own tag, class, id and role; ``article``: it stands in an article or main element."""
+def _boilerplate(name: str, rest: str, article: bool) -> int:
+    """Whether a container is boilerplate by its own tag, role or a comment's name (_HARD), by its class or id (_SOFT), or not (0); ``article``: it stands in an article or main element."""
     if name in BOILERPLATE_TAGS:
-        return not (article and name == "header")
+        return 0 if article and name == "header" else _HARD
     if not rest or name in ("html", "body", "main"):
-        return False
+        return 0
     has = attributes(rest)
-    called = has.get("class", "")
-    if name == "article":
-        return not _NO_ARTICLE.isdisjoint(called.lower().split())
-    names = (called, has.get("id", ""))
-    return any(map(_STRONG.search, names)) or has.get("role", "").strip().lower() in _BOILERPLATE_ROLE or not article and any(map(_WEAK.search, names))
+    called = has.get("class", "").lower().split()
+    kind = 0
+    if name != "article":
+        if has.get("role", "").strip().lower() in _BOILERPLATE_ROLE:
+            return _HARD
+        called += has.get("id", "").lower().split()
+    for token in called:
+        parts = token.replace("_", "-").strip("-").split("-")
+        first, last = parts[0], parts[-1]
+        if not _STATE.isdisjoint(parts):
+            continue
+        if name == "article":
+            if first in _NO_ARTICLE:
+                return _HARD
+        elif first in _COMMENT or last in _COMMENT:
+            return _HARD
+        elif first in _FIRST or last in _LAST or not article and (first in _WEAK or last in _WEAK):
+            kind = _SOFT
+    return kind
 
 
 def blocks(html: str) -> list[tuple[str, int, int, bool, bool]]:
     """(text, characters in links, container, boilerplate by structure, inside an article) of each block with text."""
-    found: list[tuple[str, int, int, bool, bool]] = []
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # name, container, boilerplate, article
+    found: list[tuple[str, int, int, bool, bool, int]] = []
+    stack: list[tuple[str, int, bool, bool, int]] = [("", 0, False, False, 0)]  # name, container, boilerplate, article, named container
     parts: list[str] = []
     linked, containers, in_link, in_head = 0, 0, 0, False
     nested: Counter[str] = Counter()
+    parents, layouts, articles, around = [0], [True], [0], [0]  # of containers that are boilerplate by their name
+    open_articles = 0
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                _, container, boilerplate, article = stack[-1]
-                found.append((text, linked, container, boilerplate, article))
+                _, container, boilerplate, article, named = stack[-1]
+                found.append((text, linked, container, boilerplate, article, named))
             parts.clear()
         linked = 0
 
@@ -114,23 +142,46 @@ def blocks(html: str) -> list[tuple[str, int, int, bool, bool]]:
             if name not in CONTAINERS or name in VOID:
                 continue
             if kind == "open":
-                _, container, boilerplate, article = stack[-1]
-                boilerplate = boilerplate or _boilerplate(name, rest, article)
+                _, container, boilerplate, article, named = stack[-1]
+                by = 0 if boilerplate else _boilerplate(name, rest, article)
+                boilerplate = boilerplate or by == _HARD
+                if by == _SOFT:
+                    parents.append(named)
+                    layouts.append(False)
+                    articles.append(0)
+                    around.append(open_articles)
+                    named = len(parents) - 1
                 if name in ("article", "main"):
                     article = True
-                if boilerplate or name in ("article", "main", "section", "body"):
+                if name in ("article", "main") and not boilerplate:
+                    articles[named] += 1
+                    open_articles += 1
+                    layouts[named] |= name == "main"
+                if boilerplate or by or name in ("article", "main", "section", "body"):
                     containers += 1
                     container = containers
-                stack.append((name, container, boilerplate, article))
+                stack.append((name, container, boilerplate, article, named))
                 nested[name] += 1
             elif nested[name]:
                 while True:
-                    closed = stack.pop()[0]
+                    closed, _, boilerplate, _, _ = stack.pop()
                     nested[closed] -= 1
+                    open_articles -= closed in ("article", "main") and not boilerplate
                     if closed == name:
                         break
     flush()
-    return found
+    # names of containers that hold most of the page are those of a layout; inner ones come after outer ones
+    held = [0] * len(parents)
+    for text, _, _, boilerplate, _, named in found:
+        held[named] += 0 if boilerplate else len(text)
+    for i in range(len(parents) - 1, 0, -1):
+        held[parents[i]] += held[i]
+        layouts[parents[i]] |= layouts[i]
+        articles[parents[i]] += articles[i]
+    out = [False] * len(parents)
+    for i in range(1, len(parents)):
+        out[i] = out[parents[i]] or not (layouts[i] or articles[i] + around[i] == articles[0] and 2 * held[i] > held[0])
+    return [(text, linked, container, boilerplate or out[named], article) for text, linked, container, boilerplate, article, named in found]
 
 
 def _first_pass(block: tuple[str, int, int, bool, bool]) -> bool | None:

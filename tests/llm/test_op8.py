@@ -74,19 +74,58 @@ class Tree(HTMLParser):
             self.open[-1][2].append((data, self.link))
 
 
+STOP = set("""a an and are as at be by for from has have he in is it its of on or that the this to was were which with
+das dem den der des die ein eine einer es für im ist mit nicht sich sie und von zu auf auch an als bei
+au aux ce dans de des du elle en est et il la le les ne par pas pour que qui se sur un une
+al con del el es la las lo los más no para pero por que se su sus un una y""".split())
+ANY = r"ads?|adverts?|advertisement|advertising|breadcrumbs?|consent|cookies?|disclaimer|footer|gdpr|login|menu|modal|nav|navbar|navigation|newsletter|notices?|pager|pagination|popup|promos?|promotion|recommended|related|share|sharing|sidebar|signup|social|sponsor|sponsored|sponsors|subscribe|subscription|toolbar|widgets?"
+END = r"ads?|advert|advertisement|breadcrumbs?|disclaimer|footer|menu|modal|nav|navbar|navigation|newsletter|notice|pager|pagination|popup|promo|sharing|sidebar|signup|subscribe|toolbar"
+TALK, HEAD = r"comments?|commentlist|disqus|reply|replies|respond", r"banners?|header|masthead|search"
+
+
+def kind_of(tag, attrs, article):
+    """Rules of names, by regular expressions: "hard", "soft" or None."""
+    if tag in ("nav", "footer", "aside", "form", "menu", "dialog", "button", "fieldset", "search") or tag == "header" and not article:
+        return "hard"
+    if tag in ("header", "html", "body", "main"):
+        return None
+    names = re.split(r"\s+", attrs.get("class", "").lower())
+    stated = r"(?:^|[-_])(?:has|no|not|with|without|is|hide|show|enabled|disabled|open|closed|active|inactive|status|free)(?:$|[-_])"
+    if tag == "article":
+        return "hard" if any(re.match(r"[-_]*(?:ad|advert|advertisement|comments?|promo|reply|sponsored)(?:$|[-_])", n) and not re.search(stated, n) for n in names) else None
+    if re.fullmatch(r"(?i)\s*(?:navigation|banner|contentinfo|complementary|search|form|dialog|alert|menu)\s*", attrs.get("role", "")):
+        return "hard"
+    names = [n for n in names + re.split(r"\s+", attrs.get("id", "").lower()) if not re.search(stated, n)]
+    edge = lambda first, last: any(re.match(rf"[-_]*(?:{first})(?:$|[-_])", n) or re.search(rf"(?:^|[-_])(?:{last})[-_]*$", n) for n in names)
+    return "hard" if edge(TALK, TALK) else "soft" if edge(ANY, END) or not article and edge(HEAD, HEAD) else None
+
+
 def by_rules(html):
-    """The two passes by definition over the tree."""
+    """The two passes by definition over the tree, with rules of names of their own."""
     parser = Tree()
     parser.feed((html or "").replace("<!-->", "<!-- -->"))  # the library's parser takes these empty comments for text
     parser.close()
     found, groups = [], [0]
 
-    def walk(node, container, out, article):
+    within = {}  # the articles around each named container
+    heads = []  # the named containers around each article
+    soft = {}  # number of a container that is boilerplate by its name -> whether it holds a main element
+
+    def walk(node, container, out, article, named=(), inside=()):
         tag, attrs, children = node
-        if not out and tag:
-            out = htmltext._boilerplate(tag, " ".join(f'{k}="{v}"' for k, v in attrs.items()), article)
+        kind = kind_of(tag, attrs, article) if tag and not out else None
+        out = out or kind == "hard"
+        if kind == "soft":
+            named = (*named, len(soft))
+            within[len(soft)] = inside
+            soft[len(soft)] = False
         article = article or tag in ("article", "main")
-        if tag and (out or tag in ("article", "main", "section", "body")):
+        if tag in ("article", "main") and not out:
+            inside = (*inside, len(heads))
+            heads.append(named)
+            if tag == "main":
+                soft.update(dict.fromkeys(named, True))
+        if tag and (out or kind or tag in ("article", "main", "section", "body")):
             groups[0] += 1
             container = groups[0]
         run = []
@@ -95,7 +134,7 @@ def by_rules(html):
             text = " ".join("".join(t for t, _ in run).split())
             if text:
                 linked = sum(len("".join(t.split())) for t, a in run if a)
-                found.append([text, linked, container, out, article, None])
+                found.append([text, linked, container, out, article, None, named])
             run.clear()
 
         for child in children:
@@ -104,14 +143,23 @@ def by_rules(html):
             else:
                 end()
                 if child:
-                    walk(child, container, out, article)
+                    walk(child, container, out, article, named, inside)
         end()
 
     walk(parser.root, 0, False, False)
+    count = lambda text: sum(w.strip(".,;:!?()\"'") in STOP for w in text.lower().split())
+    total = sum(len(b[0]) for b in found if not b[3])
+    for k, main in soft.items():
+        inside = [b for b in found if k in b[6]]
+        if not main and (2 * sum(len(b[0]) for b in inside if not b[3]) <= total or any(k not in h and i not in within[k] for i, h in enumerate(heads))):
+            for b in inside:
+                b.append("boilerplate")
     for b in found:
-        text, linked, _, out, _, _ = b
+        b[3] = b[3] or "boilerplate" in b[7:]
+    for b in found:
+        text, linked, out = b[0], b[1], b[3]
         words = text.lower().split()
-        stops = sum(w.strip(".,;:!?()\"'") in htmltext.STOP_WORDS for w in words) / len(words)
+        stops = count(text) / len(words)
         if out or linked > len("".join(words)) / 2:
             b[5] = False
         elif len(text) >= 70 and (stops >= 0.3 or stops >= 0.15 and len(text) >= 200):
@@ -151,7 +199,7 @@ def test_made_pages_equal_brute_force():
         "<title-bar>Bar of the page</title-bar>", "<select-menu>x</select-menu>", "<svg/>", '<svg width="1" />', "<svg><title>t</title><text>no</text></svg>", "<!-->", "<!-- c -->",
         "<script>var a = '</p>';</script>", f"<p>{LONG}</p>", "<p>short</p>", "<ul><li><a href=x>one</a></li><li>two</li></ul>", "<nav>menu</nav>", '<div class="entry-header"><h2>Head</h2></div>',
         "<header><h1>Head line</h1></header>", "<footer>foot</footer>", '<div class="share">share</div>', '<article class="post search-result"><p>Found</p></article>', '<article class="comment"><p>me too</p></article>',
-        "<article><header><h1>Own head</h1></header><p>Body of it.</p></article>", "<main class='has-sidebar'><p>Main words</p></main>", '<div role="search">find</div>', "</section>", "<section><p>in a section</p></section>", "plain <b>text</b> &amp; more", "<br>", "</script >", "<style>p{}</style >",
+        "<article><header><h1>Own head</h1></header><p>Body of it.</p></article>", "<main class='has-sidebar'><p>Main words</p></main>", '<div role="search">find</div>', "</section>", "<section><p>in a section</p></section>", f'<div class="content-area right-sidebar"><p>{LONG}</p></div>', '<div class="ad-slot widget"><main><p>inner</p></main></div>', f'<div class="related-posts"><p>{LONG}</p><div class="sidebar">', "</div>", f'<ol class="comment-list"><li><article class="comment-body"><p>{LONG}</p></article></ol>', "plain <b>text</b> &amp; more", "<br>", "</script >", "<style>p{}</style >",
     ]
     import random
 
@@ -231,3 +279,36 @@ def test_frames(spark, sf):
     for r in rows:
         inner = pages[r.page_id].split("<article>")[1].split("</article>")[0]
         assert r.text == main_text(f"<article>{inner}</article>") and r.n_chars == len(r.text) > 0
+
+
+LAYOUTS = """has-sidebar no-comments|page social-enabled|content-sidebar-wrap|elementor-widget elementor-widget-text|post comments-open has-post-thumbnail|right-sidebar|sidebar-left content|site has-nav
+single-post no-sidebar|widget-text-wrap elementor-widget-container|layout with-footer|ad-free-page is-active|sharing-enabled|newsletter-closed|main-content show-related|l-sidebar|header-layout|search-result""".replace("\n", "|").split("|")
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_layout_names_keep_the_article(name):
+    text = " ".join(LONG.split())
+    around = '<nav>Home</nav><div class="comments"><p>' + LONG * 3 + '</p></div><div class="ad">Buy of the best.</div><footer>the end of it</footer>'
+    for attribute in (f'class="{name}"', f'class="x {name.upper()}" id="a"', f'id="{name.split()[0]}"'):
+        for held in (f"<div {attribute}><p>{LONG}</p></div>", f"<div {attribute}><article><p>{LONG}</p></article></div>", f"<div {attribute}><main><p>{LONG}</p></main></div>", f"<article><div {attribute}><p>{LONG}</p></div></article>", f"<main><section {attribute}><p>{LONG}</p></section></main>", f"<article {attribute}><p>{LONG}</p></article>"):
+            assert main_text(page(held + around)) == text == by_rules(page(held + around)), held[:90]
+
+
+@pytest.mark.parametrize("name", "sidebar|sidebar-left|site_footer|main-nav|cookie-banner|widget widget_text|ad-slot|newsletter-signup|related-posts|share-buttons|social-links|post-sharing|BREADCRUMBS|comments-area|comment-list|commentlist|reply".split("|"))
+def test_boilerplate_names(name):
+    for attribute in (f'class="{name}"', f'class="x {name}"', f'id="{name.split()[0]}"'):
+        html = page(f"<article><p>{LONG}</p><p>{LONG}</p><p>Kept.</p></article><div {attribute}><p>{LONG}</p></div>")
+        assert main_text(html) == "\n".join([" ".join(LONG.split())] * 2 + ["Kept."]) == by_rules(html)
+
+
+def test_comments_longer_than_the_article():
+    html = page(f'<article><p>{LONG}</p></article><ol class="comment-list"><li><article class="comment-body"><p>{LONG * 5}</p></article></ol>')
+    assert main_text(html) == " ".join(LONG.split())
+
+
+def test_names_in_deep_nests_are_linear():
+    import time
+
+    began = time.time()
+    assert main_text('<div class="sidebar">' * 50_000 + f"<p>{LONG}</p>" * 200).count("\n") == 199
+    assert time.time() - began < 20
