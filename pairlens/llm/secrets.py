@@ -70,7 +70,8 @@ def parts(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Data
     """doc_id, h, kind (its place in KINDS), start, end of every match, weak ones too."""
     found = _keyed(df, text_col, id_col).select(*ROW, *(_matches(F.col("text"), rank).alias(kind) for rank, kind in enumerate(KINDS)))
     rows = found.select(*ROW, F.explode(F.flatten(F.array(*KINDS))).alias("m")).select(*ROW, "m.*")
-    once = rows.repartition(*ROW).dropDuplicates([*ROW, "kind", "pos"])
+    # repeated rows go before the shuffle, within their partitions
+    once = rows.dropDuplicates([*ROW, "kind", "pos"])
     before = Window.partitionBy(*ROW, "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap").cast("long") + F.col("len")).over(before)
     return once.withColumn("end", end).filter("ok").select(*ROW, "kind", (F.col("end") - F.col("len")).alias("start"), "end")
