@@ -17,7 +17,9 @@ REASON_KEYS = ("reasoning", "rationale", "explanation", "summary", "text", "cont
 
 
 def _walk(raw: str | None, step: Callable[[dict], tuple[object, bool] | None], plain: bool) -> list[str]:
-    """Texts of JSON of any nesting, in order; an explicit stack, so that depth doesn't matter.
+    """Texts of JSON of any nesting, in order; an explicit stack, so that the depth of what is read doesn't matter.
+
+    A cell that nests deeper than the JSON library reads is a plain string.
 
     ``step`` tells what of an object is looked at, and whether a string there is a
     text as it stands. With ``plain``, other strings and scalars are texts too.
@@ -35,7 +37,7 @@ def _walk(raw: str | None, step: Callable[[dict], tuple[object, bool] | None], p
         elif isinstance(value, str) and not whole and value.strip()[:1] in ("[", "{"):
             try:
                 todo.append((json.loads(value.strip()), False))
-            except ValueError:
+            except (ValueError, RecursionError):
                 if plain:
                     found.append(value)
         elif value is not None and (whole or plain):

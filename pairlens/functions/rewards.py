@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import strip
+
 MIN_Q, MAX_Q, SOFT_MAX_Q = 6, 25, 20
 
 #: Fixed values, here and below: the weights, bounds and scores in the formulas of rewards, which results depend on.
@@ -154,9 +156,44 @@ def trace_score(parsed: Column, pseudo: Column, diversity_score: Column) -> Colu
     )
 
 
-def numeric_answer(text: Column, answer: Column) -> Column:
-    """1 if the last boxed number, else the last after ####, of the final 500 characters equals the answer within 1e-5, else 0."""
+#: The forms of an answer, the digits that only count where there is no box, and how a number is written.
+BOXED, HASHED, HASHED_FORM = r"\\boxed\{([^}]+)\}", r"####\s*([-\d,.\s]+)", r"####\s*[-\d,.]+"
+NUMBER = r"^[-+]?(?:(?:[0-9](?:_?[0-9])*)(?:\.(?:[0-9](?:_?[0-9])*)?)?|\.[0-9](?:_?[0-9])*)(?:[eE][-+]?[0-9](?:_?[0-9])*)?$|^(?i:[-+]?(?:inf|infinity|nan))$"
+
+
+def stated_answer(text: Column) -> Column:
+    """What the last box of the final 500 characters holds, whatever it is, else what follows the last ####, without commas and spaces; empty if there is neither."""
     tail = F.substring(text, -500, 500)
     last = lambda pattern: F.try_element_at(F.regexp_extract_all(tail, F.lit(pattern), F.lit(1)), F.lit(-1))
-    number = F.coalesce(last(r"\\boxed\{\s*([-+]?[0-9][0-9,]*\.?[0-9]*)\s*\}"), last(r"####\s*([-+]?[0-9][0-9,]*\.?[0-9]*)"))
-    return F.coalesce((F.abs(F.replace(number, F.lit(","), F.lit("")).try_cast("double") - answer) < 1e-5).cast("double"), F.lit(0.0))
+    return F.coalesce(strip(F.translate(F.coalesce(last(BOXED), last(HASHED)), ", ", "")), F.lit(""))
+
+
+def numeric_answer(text: Column, solution: Column) -> Column:
+    """1 if both state an answer and these are numbers within 1e-5 of each other, or, where one isn't a number, equal strings; else 0."""
+    said, gold = stated_answer(text), stated_answer(solution)
+    number = lambda c: F.when(c.rlike(NUMBER), F.translate(c, "_", "").cast("double"))
+    apart = F.abs(number(said) - number(gold))
+    same = F.when(apart.isNull(), said == gold).otherwise((apart < 1e-5) & ~F.isnan(apart))
+    return ((said != "") & (gold != "") & same).cast("double")
+
+
+def answer_format(text: Column) -> Column:
+    """1 if an answer is boxed or follows ####, else 0."""
+    return F.coalesce((text.rlike(BOXED) | text.rlike(HASHED_FORM)).cast("double"), F.lit(0.0))
+
+
+def diversity(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """Per key: 1 - the mean cosine of two different vectors, within 0 and 1; 1 for a single vector.
+
+    A zero vector has no direction: its cosine with any other counts as 0. Null
+    vectors and vectors with null components don't count. The sum of the unit
+    vectors is enough, gathered component by component: no pairs are made.
+    """
+    e = F.col(vector).cast("array<double>")
+    norm = F.sqrt(F.aggregate(e, F.lit(0.0), lambda s, x: s + x * x))
+    rows = df.select(F.col(key).alias("k"), F.coalesce(F.transform(e, lambda x: F.try_divide(x, norm)), F.lit(None)).alias("v"), norm.alias("norm")).filter("norm is not null")
+    unit = rows.select("k", "norm", F.posexplode_outer(F.when(F.col("norm") > 0, F.col("v")).otherwise(F.array(F.lit(0.0)))).alias("i", "x"))
+    parts = unit.groupBy("k", "i").agg(F.sum("x").alias("s"), F.count_if(F.col("i") == 0).alias("n"), F.count_if((F.col("i") == 0) & (F.col("norm") > 0)).alias("m"))
+    total = parts.groupBy("k").agg(F.sum(F.col("s") * F.col("s")).alias("q"), F.sum("n").alias("n"), F.sum("m").alias("m"))
+    mean = F.try_divide(F.col("q") - F.col("m"), F.col("n") * (F.col("n") - 1))
+    return total.select(F.col("k").alias(key), F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.coalesce(mean, F.lit(0.0)))).alias("diversity"))

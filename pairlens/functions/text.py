@@ -72,7 +72,8 @@ def normal_domain(c: Column) -> Column:
 
 def swap_references(c: Column) -> Column:
     """Response A and Response B exchanged."""
-    return F.replace(F.replace(F.replace(c, F.lit("Response A"), F.lit("\x00A\x00")), F.lit("Response B"), F.lit("Response A")), F.lit("\x00A\x00"), F.lit("Response B"))
+    parts = F.transform(F.split(c, "Response A", -1), lambda x: F.replace(x, F.lit("Response B"), F.lit("Response A")))
+    return F.array_join(parts, "Response B")
 
 
 def standard_references(c: Column) -> Column:
@@ -122,7 +123,7 @@ def comparative(question: Column, known: Column | None = None) -> Column:
     """A question about one response asked about two; a known rewrite goes first."""
     rewritten = F.concat(F.lit("Comparing the two responses: "), question)
     for begin, other in reversed(COMPARATIVE):
-        rewritten = F.when(question.startswith(begin), F.concat(F.lit(other), F.substring(question, len(begin) + 1, 10_000))).otherwise(rewritten)
+        rewritten = F.when(question.startswith(begin), F.concat(F.lit(other), F.substr(question, F.lit(len(begin) + 1)))).otherwise(rewritten)
     return rewritten if known is None else F.coalesce(known, rewritten)
 
 

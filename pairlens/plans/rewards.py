@@ -39,20 +39,17 @@ def _(spark, sf):
     return parsed(spark, sf).select("pair_id", R.format_score(t, F.col("raw")).alias("format_score"), R.discriminative(t).alias("discriminative"), R.item_margin(t, gold).alias("item_margin"), R.dominance(t).alias("dominance"), R.winner_score(t, gold).alias("winner_score"))
 
 
-_UNIT = "e as (select vec_id, label, list_transform(embedding::double[], lambda x: x / sqrt(list_inner_product(embedding::double[], embedding::double[]))) as v from embeddings)"
+#: vectors of documents, some zero, one label with a single vector
+_UNIT = "e as (select vec_id, case when vec_id % 97 = 3 then -1 else label end as label, case when vec_id % 7 = 0 then list_transform(embedding::double[], lambda x: 0.0::double) else embedding::double[] end as e from embeddings where vec_id % 97 <> 3 or vec_id = 3), u as (select vec_id, label, sqrt(list_inner_product(e, e)) as norm, case when norm > 0 then list_transform(e, lambda x: x / norm) else e end as v from e)"
 
 
-@query("r6_diversity", ", " + _UNIT + ", p as (select x.label, count(*) as n, sum(list_inner_product(x.v, y.v)) as s from e x join e y on x.label = y.label group by x.label) select label, round(greatest(0, least(1, 1 - (s - sqrt(n)) / (n - sqrt(n)))), 6) as diversity from p", prelude=True)
+@query("r6_diversity", ", " + _UNIT + ", p as (select x.label, count(distinct x.vec_id) as n, coalesce(sum(list_inner_product(x.v, y.v)) filter (where x.vec_id <> y.vec_id), 0) as s from u x join u y on x.label = y.label group by x.label) select label, round(greatest(0, least(1, 1 - coalesce(s / nullif(n * (n - 1), 0), 0))), 6) as diversity from p", prelude=True)
 def _(spark, sf):
     """The diversity of the vectors of each label."""
+    i = F.col("vec_id")
     e = F.col("embedding").cast("array<double>")
-    norm = F.sqrt(F.aggregate(e, F.lit(0.0), lambda s, x: s + x * x))
-    rows = X.table(spark, sf, "embeddings").select("label", F.transform(e, lambda x: x / norm).alias("v"))
-    # the sum of unit vectors is enough: it is gathered component by component
-    parts = rows.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
-    total = parts.groupBy("label").agg(F.sum(F.col("s") * F.col("s")).alias("q"), F.max("n").alias("n"))
-    mean = (F.col("q") - F.col("n")) / (F.col("n") * (F.col("n") - 1))
-    return total.select("label", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - mean)), 6).alias("diversity"))
+    rows = X.table(spark, sf, "embeddings").filter((i % 97 != 3) | (i == 3)).select(F.when(i % 97 == 3, -1).otherwise(F.col("label")).alias("label"), F.when(i % 7 == 0, F.transform(e, lambda x: F.lit(0.0))).otherwise(e).alias("v"))
+    return R.diversity(rows, "label", "v").withColumn("diversity", F.round("diversity", 6))
 
 
 @query("r8_combined_rewards", _T + "select pair_id, round(0.85 * (case when said is null then -1 else win end) + 0.15 * fmt, 9) as combined, round(0.10 * ok::integer + 0.60 * win + ok::integer * (0.15 * 0.5 + 0.15 * disc), 9) as quality, round(0.55 * (case when win > 0 then win * fmt else win end) + 0.20 * im * fmt + 0.25 * fmt + dom, 9) as margin from ts")
@@ -175,11 +172,31 @@ def _(spark, sf):
     return O.kept_for_training(rows, 0.5)
 
 
-@query("r14_numeric_answer", "select doc_id, (doc_id % 4 in (0, 1))::double as reward from documents")
+#: what stands at the end of completions, in SQL; solutions end in a number, or in a box that holds none
+_SAID = (
+    r"'\boxed{' || (doc_id + 1) || '} then \boxed{' || doc_id || '}'", r"'#### 3' || chr(10) || '#### ' || doc_id || '.0'", "'#### ' || (doc_id + 1)", "'none'", r"'\boxed{5} then \boxed{x}'",
+    r"'#### ' || doc_id || chr(10) || '\boxed{\$' || doc_id || '}'", r"'\boxed{ ' || (doc_id // 10) || ' ' || (doc_id % 10) || ' }'", r"'\boxed{} #### ' || doc_id || ', .'", r"'\boxed{,}'",
+    r"'\boxed{' || doc_id || 'e0}'", "'#### -' || doc_id", r"'\boxed{x' || doc_id || '}'", "'#### ' || doc_id || '.000001'", "'so #### then'",
+)
+_SAID_CASE = f"case doc_id % {len(_SAID)} " + " ".join(f"when {i} then {x}" for i, x in enumerate(_SAID)) + " end"
+_ANSWERS = f", c as (select doc_id, text || ' ' || {_SAID_CASE} as said, case when doc_id % {len(_SAID)} in (4, 11) then 'It is \\boxed{{x' || doc_id || '}}' else text || ' #### ' || doc_id end as gold from documents)"
+_STATED = r"translate(coalesce(regexp_extract_all(right({0}, 500), '\\boxed\{{([^}}]+)\}}', 1)[-1], regexp_extract_all(right({0}, 500), '####\s*([-0-9,.\s]+)', 1)[-1], ''), ', ' || chr(10) || chr(9) || chr(13), '')"
+
+
+def answers(spark, sf):
+    i, text = F.col("doc_id"), F.col("text")
+    said = F.expr(_SAID_CASE.replace("//", "div").replace("\\", "\\\\"))
+    gold = F.when((i % len(_SAID)).isin(4, 11), F.concat(F.lit("It is \\boxed{x"), i, F.lit("}"))).otherwise(F.concat(text, F.lit(" #### "), i))
+    return X.table(spark, sf, "documents").select("doc_id", F.concat(text, F.lit(" "), said).alias("said"), gold.alias("gold"))
+
+
+@query(
+    "r14_numeric_answer",
+    _ANSWERS + f", s as (select *, {_STATED.format('said')} as a, {_STATED.format('gold')} as b from c), n as (select *, try_cast(a as double) as x, try_cast(b as double) as y from s) "
+    + r"select doc_id, coalesce(a <> '' and b <> '' and case when x is null or y is null then a = b else abs(x - y) < 1e-5 end, false)::integer::double as reward, (regexp_matches(said, '\\boxed\{[^}]+\}') or regexp_matches(said, '####\s*[-0-9,.]+'))::integer::double as format from n",
+)
 def _(spark, sf):
-    i = F.col("doc_id").cast("string")
-    text = F.element_at(F.array(F.concat(F.lit("so 7 \\boxed{1} then \\boxed{"), i, F.lit("}")), F.concat(F.lit("#### 3\n#### "), i, F.lit(".0")), F.concat(F.lit("#### "), F.col("doc_id") + 1), F.lit("none")), (F.col("doc_id") % 4 + 1).cast("int"))
-    return X.table(spark, sf, "documents").select("doc_id", R.numeric_answer(text, F.col("doc_id").cast("double")).alias("reward"))
+    return answers(spark, sf).select("doc_id", R.numeric_answer(F.col("said"), F.col("gold")).alias("reward"), R.answer_format(F.col("said")).alias("format"))
 
 
 @query("p38_rollout_variants", _TRACES + "select pair_id, length(raw) + 8 as n_format, length(raw) * 2 + 1 as n_length, length(raw) // 2 as n_damage from traces")
