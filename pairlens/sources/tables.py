@@ -25,6 +25,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """A table written to the shared folder and read again: lineage ends here. It goes when the application ends."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class MissingSplit(FileNotFoundError):
     """There is no such split or tier."""
 
