@@ -25,8 +25,11 @@ reach.
    the best one for each pair of components.
 4. What is still open is settled inside tasks. In regions of up to CROWD members,
    members of different components are compared by their sketches; pairs that
-   agree are confirmed on full sets. Crowded regions are dealt in blocks, by
-   members and by shingles, which meet pairwise in cells of bounded size; a cell
+   agree are confirmed on full sets. Of a crowded region, the members of its largest
+   component are dealt to blocks, by members and by shingles, and the others to
+   blocks of their own. Blocks of others meet pairwise, and each block of the
+   largest component meets each block of others, in cells of bounded size; where
+   few are outside the largest component, its members are copied once. A cell
    counts the common shingles of members of different components exactly, by
    blocked matrix products, and gives only the links that join components.
 
@@ -295,7 +298,7 @@ def _open_rows(crowd: DataFrame, settled: DataFrame, classes: DataFrame) -> Data
     rows = crowd.select("order", "key", "n", "total", "c").join(settled, "c", "left")
     rows = staged(rows.withColumn("component", F.coalesce("component", "c")), "rows")
     several = rows.groupBy("order", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-    return rows.join(staged(several.select("order", "key"), "several"), ["order", "key"]).join(classes.select("c", "sketch"), "c")
+    return rows.join(staged(several.select("order", "key"), "several"), ["order", "key"]).join(classes.select("c", "sketch", "n_shingles"), "c")
 
 
 def _tail(sketch, order, size: int):
@@ -335,11 +338,22 @@ def _joined(settled: DataFrame, more: DataFrame) -> DataFrame:
 
 
 def _cells(rows: DataFrame) -> DataFrame:
-    """Deal each region's members to cells: one where a block holds the region, else one for each pair of its blocks."""
-    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int")
-    spot = F.struct(F.least("x", "block").alias("i"), F.greatest("x", "block").alias("j"), F.when(F.col("x") == F.col("block"), 2).otherwise((F.col("block") > F.col("x")).cast("int")).alias("side"))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("c"), blocks).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return dealt.select(F.xxhash64("order", "key", spot["i"], spot["j"]).alias("cell"), spot["side"].alias("side"), "c", "component", "shingles")
+    """cell, side, and the columns of each member of (order, key, c, component, n_shingles) rows, for each cell it goes to.
+
+    Members of a region's largest component meet the others only; these meet each other too.
+    """
+    parts = rows.groupBy("order", "key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("t"))
+    regions = parts.groupBy("order", "key").agg(F.max(F.struct("n", "t", "component")).alias("top"), F.sum("n").alias("n"), F.sum("t").alias("t"))
+    dealt = rows.join(staged(regions.filter("n > top.n"), "crowded"), ["order", "key"])
+    blocks = lambda n, t: F.ceil(F.greatest(n / BLOCK, t / BLOCK_SHINGLES)).cast("int")
+    most, rest = blocks(F.col("top.n"), F.col("top.t")), blocks(F.col("n") - F.col("top.n"), F.col("t") - F.col("top.t"))
+    own = lambda count: F.pmod(F.xxhash64("c"), count).cast("int")
+    spot = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+    major = F.transform(F.sequence(F.lit(0), rest - 1), lambda x: spot(0, own(most), x, F.lit(1)))
+    to_major = F.transform(F.sequence(F.lit(0), most - 1), lambda x: spot(0, x, own(rest), F.lit(0)))
+    among = F.transform(F.sequence(F.lit(0), rest - 1), lambda x: spot(1, F.least(x, own(rest)), F.greatest(x, own(rest)), F.when(x == own(rest), 2).otherwise((own(rest) > x).cast("int"))))
+    placed = dealt.select("order", "key", "c", "component", F.explode(F.when(F.col("component") == F.col("top.component"), major).otherwise(F.concat(to_major, among))).alias("s"))
+    return placed.select(F.xxhash64("order", "key", "s.kind", "s.i", "s.j").alias("cell"), F.col("s.side").alias("side"), "c", "component")
 
 
 def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
@@ -403,9 +417,9 @@ def _cell_links(cell: list, percent: int) -> Iterator[tuple[int, int]]:
                 yield max(int(ids[i]), int(ids[j])), min(int(ids[i]), int(ids[j]))
 
 
-def _crowded(rows: DataFrame, percent: int) -> DataFrame:
+def _crowded(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links that join components within crowded regions, counted exactly on full sets."""
-    rows = _cells(rows)
+    rows = _cells(rows).join(sets, "c").select("cell", "side", "c", "component", "shingles")
     rows = rows.repartition("cell").sortWithinPartitions("cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -462,7 +476,7 @@ def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
         settled = _joined(settled, confirmed(near, sets, percent))
         left = staged(_open_rows(crowd, settled, classes), "left")
         few = staged(_promising(left.filter(F.col("n") <= CROWD)).distinct(), "promising")
-        many = _crowded(left.filter(F.col("n") > CROWD).drop("sketch").join(sets, "c"), percent)
+        many = _crowded(left.filter(F.col("n") > CROWD).select("order", "key", "c", "component", "n_shingles"), sets, percent)
         settled = _joined(settled, confirmed(few, sets, percent).union(many))
 
         linked = settled.join(classes.select("c", "doc_id", "h"), "c")

@@ -180,3 +180,22 @@ def test_query_on_the_smallest_tables(spark, sf):
     con = duckdb.connect()
     con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
     assert sorted(con.sql(neardup.ORACLE_SQL["op6_neardup"]).fetchall()) == brute(docs)
+
+
+@pytest.mark.parametrize("outside, components", [(1, 1), (30, 30), (30, 1), (0, 0)])
+def test_members_of_the_largest_component_are_copied_once(spark, monkeypatch, outside, components):
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    rows = [(0, 7, i, 0, 100) for i in range(800)] + [(0, 7, 1000 + i, 1 + i % max(1, components), 100) for i in range(outside)] + [(1, 7, i, i % 2, 100) for i in range(20)]
+    cells = neardup._cells(spark.createDataFrame(rows, "order int, key long, c long, component long, n_shingles long")).collect()
+    own = [r for r in cells if r.c < 800]
+    blocks = -(-outside // 16)
+    assert len(own) <= 800 * max(1, blocks) + 20 * 4 and max(sum(1 for r in cells if r.cell == k) for k in {r.cell for r in cells}) < 16 * 6
+    # every pair of different components, but those within the largest one, meets in a cell
+    met = set()
+    by_cell = {}
+    for r in cells:
+        by_cell.setdefault(r.cell, []).append(r)
+    for held in by_cell.values():
+        met |= {frozenset((x.c, y.c)) for x in held for y in held if x.component != y.component and ((x.side == 2 and y.side == 2) or {x.side, y.side} == {0, 1})}
+    members = [r[2:4] for r in rows if r[0] == 0]
+    assert all(frozenset((a, b)) in met for a, p in members for b, q in members if p != q and a < b)
