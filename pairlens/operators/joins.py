@@ -73,13 +73,6 @@ def upserted(base: DataFrame, layers: list[DataFrame], key: str, allow_new: bool
     return rows.withColumn("_top", top).filter("_layer = _top").drop("_layer", "_top")
 
 
-def ordered_pairs(df: DataFrame, group: str, item: str, columns: list[str]) -> DataFrame:
-    """The pairs of a group's items, each once: for rollouts, of which a group has a few by construction."""
-    left = df.select(group, *(F.col(c).alias(f"{c}_1") for c in [item, *columns]))
-    right = df.select(group, *(F.col(c).alias(f"{c}_2") for c in [item, *columns]))
-    return left.join(right, group).filter(F.col(f"{item}_1") < F.col(f"{item}_2"))
-
-
 def human_relevance(annotations: DataFrame, keys: list[str]) -> DataFrame:
     """keys, qid, h, n_annotators: the share of usable annotators that mention a question; rows: keys, qids, ok."""
     usable = F.col("ok") & F.col("qids").isNotNull()

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairlens.sources.tables import staged
+
 from .scoring import flipped, winner_from_margin
-from .windows import exact_quantiles, running_total
+from .windows import CUTS, cut_points, exact_quantiles
 
 
 def share(part: Column, whole: Column) -> Column:
@@ -139,10 +143,43 @@ def threshold_sweep(margins: DataFrame, deltas: list[float]) -> DataFrame:
     return rows.groupBy("tie_delta").agg(n.alias("n_total"), n_valid.alias("n_valid"), share(n - n_valid, n).alias("tie_rate"), share(right, n_valid).alias("valid_accuracy"), share(right, n).alias("effective_accuracy"))
 
 
-def pareto(df: DataFrame, cost: str, value: str) -> DataFrame:
-    """Rows that no cheaper row beats: by cost, then value descending, those that reach the best value so far. For summaries of runs."""
-    before = Window.orderBy(F.col(cost), F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("_best", F.coalesce(F.max(value).over(before), F.lit(-1.0))).filter(F.col(value) >= F.col("_best")).drop("_best")
+def _local_frontier(df: DataFrame, cost: str, value: str) -> DataFrame:
+    """Without rows that another row of their partition beats. Frontiers are merged batch by batch."""
+
+    def run(batches):
+        best = np.zeros((2, 0))  # costs and values of the frontier so far, both ascending
+        for batch in batches:
+            c = np.nan_to_num(batch.column(0).to_numpy(zero_copy_only=False).astype(float), nan=-np.inf)
+            v = np.nan_to_num(batch.column(1).to_numpy(zero_copy_only=False).astype(float), nan=-np.inf)
+            every = np.concatenate([best, [c, v]], axis=1)
+            every = every[:, np.lexsort((-every[1], every[0]))]
+            top = np.maximum.accumulate(every[1])
+            best = np.unique(every[:, every[1] >= top], axis=1)
+            best = best[:, np.argsort(best[0], kind="stable")]
+            at = np.searchsorted(best[0], c, side="right") - 1
+            kept = batch.filter(pa.array(v >= best[1][np.maximum(at, 0)]))
+            yield pa.RecordBatch.from_arrays(kept.columns[2:], names=kept.schema.names[2:])
+
+    longest = "_" * max(map(len, df.columns))  # before the names, so that they clash with none
+    return df.select(F.col(cost).cast("double").alias(f"{longest}c"), F.col(value).cast("double").alias(f"{longest}v"), *df.columns).mapInArrow(run, df.schema)
+
+
+def pareto(df: DataFrame, cost: str, value: str, cuts: int = CUTS) -> DataFrame:
+    """Rows that no row of the same or a lower cost beats in value; null values are dropped, null costs are the lowest.
+
+    Each partition first drops what its own rows beat, so that little is shuffled.
+    The rest falls into buckets by approximate quantiles of the cost; the best values
+    of the buckets below give each bucket its start, and a window runs within a
+    bucket only. Where the cuts lie doesn't change the result.
+    """
+    rows = staged(_local_frontier(df, cost, value), "frontier")
+    at = cut_points(rows.select(F.col(cost).cast("double").alias("c")), "c", cuts)
+    rows = rows.withColumn("_bucket", F.coalesce(sum(((F.col(cost) > c).cast("int") for c in at), F.lit(0)), F.lit(0)))
+    below = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # over the buckets, at most ``cuts``
+    starts = rows.groupBy("_bucket").agg(F.max(value).alias("_top")).select("_bucket", F.max("_top").over(below).alias("_start"))
+    before = Window.partitionBy("_bucket").orderBy(F.col(cost), F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
+    best = F.coalesce(F.greatest("_start", F.max(value).over(before)), F.lit(-1.0))
+    return rows.join(F.broadcast(starts), "_bucket").withColumn("_best", best).filter(F.col(value) >= F.col("_best")).drop("_bucket", "_start", "_best")
 
 
 def guarded_leaderboard(runs: DataFrame, name: str = "run") -> DataFrame:
@@ -153,25 +190,43 @@ def guarded_leaderboard(runs: DataFrame, name: str = "run") -> DataFrame:
     return runs.withColumn("comparable", same).withColumn("place", rank)
 
 
+def _correlation(x: str, y: str) -> Column:
+    """Null where a column is constant; the built-in one raises there in ANSI mode."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    x, y = (F.when(both, F.col(c).cast("double")) for c in (x, y))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
-    return df.agg(F.count_if(F.col(x).isNotNull() & F.col(y).isNotNull()).alias("n"), F.corr(x, y).alias("r"))
+    """n and r over rows with both values; r is null without rows and NaN where a column is constant."""
+    n = F.count_if(F.col(x).isNotNull() & F.col(y).isNotNull())
+    return df.agg(n.alias("n"), F.when(n > 0, F.coalesce(_correlation(x, y), F.lit(float("nan")))).alias("r"))
 
 
-def average_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
-    """(column, name): each value's average rank over all rows.
+def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, value, rank): the average rank of each value of each column over all rows; nulls have none.
 
-    Ties share their mean rank. Values are counted first, and only the distinct ones
-    are ordered, bucket by bucket, so that they never meet in one task.
+    All columns go through one long table. Their values are counted first, so that a
+    frequent value is one row, and the counts are put in order by one range exchange;
+    the sums of its partitions, a row each, give each its start.
     """
-    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-    return running_total(counts, column, "_n", "_below").select(column, (F.col("_below") + (F.col("_n") + 1) / 2).alias(name))
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns))).alias("x")).select("x.*").filter("value is not null")
+    counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")).repartitionByRange("column", "value").sortWithinPartitions("column", "value")
+    ordered = staged(counts.select(F.spark_partition_id().alias("part"), "column", "value", "n"), "counts")
+    before = Window.partitionBy("column").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over partitions
+    starts = ordered.groupBy("column", "part").agg(F.sum("n").alias("s")).select("column", "part", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("start"))
+    inside = F.sum("n").over(Window.partitionBy("column", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1))
+    below = F.col("start") + F.coalesce(inside, F.lit(0))
+    return ordered.join(F.broadcast(starts), ["column", "part"]).select("column", "value", (below + (F.col("n") + 1) / 2).alias("rank"))
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Rank correlation with average ranks; null for fewer than two rows or a constant column."""
-    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
-    ranks = both.join(average_ranks(both, x, "_rx"), x).join(average_ranks(both, y, "_ry"), y)
-    return ranks.agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= 2, F.corr("_rx", "_ry")).alias("rho"))
+    """Rank correlation with average ranks; null for fewer than two rows or a constant column. The source is read once."""
+    both = staged(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")), "both")
+    ranks = staged(average_ranks(both, ["x", "y"]), "ranks")
+    of = lambda c: ranks.filter(F.col("column") == c).select(F.col("value").alias(c), F.col("rank").alias(f"r{c}"))
+    ranked = both.join(of("x"), "x").join(of("y"), "y")
+    return ranked.agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= 2, _correlation("rx", "ry")).alias("rho"))
 
 
 def five_numbers(df: DataFrame, column: str) -> DataFrame:

@@ -35,6 +35,8 @@ from pyspark.sql import types as T
 
 from pairlens.sources.tables import staged
 
+from .windows import segments
+
 _EDGE = "job long, part int, kind int, at long, limits array<long>, from_part int, from_at long, exit long, shards long"
 
 
@@ -62,30 +64,6 @@ def _exits(after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(exits, np.int64), np.array(counts, np.int64)
 
 
-def _segments(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """Consecutive rows with equal first ``keys`` columns."""
-    held: list[pa.RecordBatch] = []
-    now = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        marks = [batch.column(i) for i in range(keys)]
-        change = np.zeros(batch.num_rows, bool)
-        for c in marks:
-            x = c.to_numpy(zero_copy_only=False)
-            change[1:] |= x[1:] != x[:-1]
-        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            key = tuple(c[a].as_py() for c in marks)
-            if held and key != now:
-                yield pa.Table.from_batches(held)
-                held = []
-            now = key
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _sums(table: pa.Table, first: int, count: int) -> np.ndarray:
     out = np.zeros((count, table.num_rows + 1), np.int64)
     for i in range(count):
@@ -102,11 +80,11 @@ def _edges(placed: DataFrame, spans: dict[int, list[tuple]], budgets: list[int])
     count = len(budgets)
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _segments(batches, 2):
+        for table in segments(batches, 2):
             part, job = table.column(0)[0].as_py(), table.column(1)[0].as_py()
-            segments = held.value[job]
-            place = next(i for i, s in enumerate(segments) if s[0] == part)
-            base = np.array(segments[place][1])[:, None]
+            mine = held.value[job]
+            place = next(i for i, s in enumerate(mine) if s[0] == part)
+            base = np.array(mine[place][1])[:, None]
             sums = _sums(table, 2, count)
             n = table.num_rows
             after = _next_starts(sums, budgets)
@@ -117,13 +95,13 @@ def _edges(placed: DataFrame, spans: dict[int, list[tuple]], budgets: list[int])
                 rows.append((job, part, 1, None, [-1] * count, -1, -1, None, None))
             for i in np.flatnonzero(after == n):
                 limits = (base[:, 0] + sums[:, i] + budgets).tolist()
-                target = next((s[0] for s in segments[place + 1 :] if any(e > x for e, x in zip(s[2], limits, strict=True))), None)
+                target = next((s[0] for s in mine[place + 1 :] if any(e > x for e, x in zip(s[2], limits, strict=True))), None)
                 if target is not None:
                     rows.append((job, target, 1, None, limits, part, int(i), None, None))
             yield pa.RecordBatch.from_pylist([dict(zip(("job", "part", "kind", "at", "limits", "from_part", "from_at", "exit", "shards"), r, strict=True)) for r in rows], schema=_ARROW)
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _segments(batches, 2):
+        for table in segments(batches, 2):
             rows = table.to_pylist()
             into = [r for r in rows if r["kind"] == 0]
             ends = np.array([r["limits"] for r in into], np.int64).reshape(-1, count)
@@ -143,12 +121,12 @@ _ARROW = pa.schema(
 )
 
 
-def _chain(edges: DataFrame, segments: int) -> DataFrame:
+def _chain(edges: DataFrame, count: int) -> DataFrame:
     """The edges on the way from each job's start, by doubling."""
     edges = staged(edges, "edges")
     jump = edges.select("job", "from_part", "from_at", F.col("part").alias("to_part"), F.col("exit").alias("to_at"))
     seen = edges.filter("from_part = -1").select("job", "from_part", "from_at")
-    for _ in range(max(1, math.ceil(math.log2(segments + 1)))):
+    for _ in range(max(1, math.ceil(math.log2(count + 1)))):
         step = seen.join(jump, ["job", "from_part", "from_at"]).select("job", F.col("to_part").alias("from_part"), F.col("to_at").alias("from_at"))
         seen = staged(seen.union(step).distinct(), "seen")
         far = jump.select("job", F.col("from_part").alias("to_part"), F.col("from_at").alias("to_at"), F.col("to_part").alias("far_part"), F.col("to_at").alias("far_at"))
@@ -188,9 +166,9 @@ def packed(df: DataFrame, key: str, order: list[str], budgets: dict[str, int]) -
         inside = F.col("_job").isin([*spans])
         edges = _edges(dealt.filter(inside).select("_part", "_job", *sizes), spans, limits)
         into = {(r["job"], r["part"]): r for r in _chain(edges, max(map(len, spans.values()))).collect()}  # an edge for each segment at most
-        for job, segments in spans.items():
+        for job, held in spans.items():
             shards = 0
-            for part, _, _ in segments:
+            for part, _, _ in held:
                 r = into.get((job, part))
                 starts[job, part] = (r["at"] if r else 1 << 62, shards)
                 shards += r["shards"] if r else 0
@@ -199,7 +177,7 @@ def packed(df: DataFrame, key: str, order: list[str], budgets: dict[str, int]) -
     at = 2 + len(place) - len(sizes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _segments(batches, 2):
+        for table in segments(batches, 2):
             part, job = table.column(0)[0].as_py(), table.column(1)[0].as_py()
             entry, before = begin.value.get((job, part), (0, 0))
             after = _next_starts(_sums(table, at, len(sizes)), limits)

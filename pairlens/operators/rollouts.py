@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .joins import keep_first, ordered_pairs
+from .inversions import concordant
+from .joins import keep_first
 
 
 def primary(df: DataFrame) -> DataFrame:
@@ -35,11 +36,17 @@ def stability(df: DataFrame) -> DataFrame:
 
 
 def ranking_accuracy(df: DataFrame) -> DataFrame:
-    """Over pairs within groups with different (correct, abs_delta, coverage): the share that rewards order the same; equal rewards count as wrong."""
-    gold = F.struct("winner_correct", "abs_delta", "coverage")
-    pairs = ordered_pairs(df.withColumn("gold", gold), "group_id", "completion_id", ["gold", "reward_total"]).filter("gold_1 <> gold_2")
-    same = ((F.col("gold_1") > F.col("gold_2")) & (F.col("reward_total_1") > F.col("reward_total_2"))) | ((F.col("gold_1") < F.col("gold_2")) & (F.col("reward_total_1") < F.col("reward_total_2")))
-    return pairs.agg(F.count(F.lit(1)).alias("n_pairs"), F.avg(same.cast("double")).alias("accuracy"))
+    """Over pairs within groups with different (correct, abs_delta, coverage): the share that rewards order the same; equal rewards count as wrong.
+
+    Pairs are counted, never made: all of a group but those with equal gold, and the
+    concordant ones among them. Rows without a reward are in pairs, but never right.
+    """
+    gold = ["winner_correct", "abs_delta", "coverage"]
+    twos = lambda n: n * (n - 1) / 2
+    ties = df.filter("group_id is not null").groupBy("group_id", *gold).agg(F.count(F.lit(1)).alias("n"))
+    pairs = ties.groupBy("group_id").agg(F.sum("n").alias("n"), F.sum(twos(F.col("n"))).alias("tied")).agg(F.coalesce(F.sum(twos(F.col("n")) - F.col("tied")), F.lit(0.0)).cast("long").alias("n_pairs"))
+    right = concordant(df.filter("group_id is not null"), "group_id", gold, "reward_total", "completion_id").agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("right"))
+    return pairs.crossJoin(right).select("n_pairs", F.try_divide(F.col("right"), F.col("n_pairs")).alias("accuracy"))  # a row each
 
 
 def perturbation_deltas(df: DataFrame, tolerance: float = 0.05) -> DataFrame:
@@ -57,40 +64,3 @@ def kept_for_training(df: DataFrame, floor: float = 0.0) -> DataFrame:
     g = df.groupBy("group_id").agg(F.max(F.col("pseudo_winner").isNotNull()).alias("_p"), F.max(F.when(ok, F.col("reward_total"))).alias("best_reward"), F.max_by("completion_id", F.when(ok, place)).alias("best_id"))
     status = F.when(~F.col("_p"), "no_pseudo").when(F.col("best_reward").isNull(), "none_parsed").when(F.col("best_reward") < floor, "low_reward").otherwise("kept")
     return g.select("group_id", status.alias("status"), F.when(status == "kept", F.col("best_id")).alias("best_id"))
-
-
-def packed(df: DataFrame, key: str, order: list[str], size: str, budget: int) -> DataFrame:
-    """Adds shard: rows of a job in order go to a new shard when the next would exceed the budget.
-
-    The running sum restarts at each overflow, which no window does. A job's rows
-    stream through one task in order and nothing but the sum is held; the rows are
-    request sizes, not requests. Raises where one row alone exceeds the budget.
-    """
-    import pyarrow as pa
-    from pyspark.sql import types as T
-
-    rows = df.select(key, *order, size).repartition(key).sortWithinPartitions(key, *order)
-    schema = T.StructType([*rows.schema.fields, T.StructField("shard", T.IntegerType())])
-    at = len(order) + 1
-
-    def run(batches):
-        now, total, shard = object(), 0, 0
-        for batch in batches:
-            out = []
-            for job, n in zip(batch.column(0).to_pylist(), batch.column(at).to_pylist(), strict=True):
-                if n > budget:
-                    raise ValueError(f"an item of {n} exceeds the budget of {budget}")
-                if job != now:
-                    now, total, shard = job, 0, 0
-                if total and total + n > budget:
-                    total, shard = 0, shard + 1
-                total += n
-                out.append(shard)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], names=schema.names)
-
-    return rows.mapInArrow(run, schema)
-
-
-def running_best(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """Adds the best value so far in an order."""
-    return df.withColumn("best", F.max(value).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))

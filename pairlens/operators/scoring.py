@@ -51,6 +51,12 @@ def margins(facts: DataFrame, keys: list[str], expected: Column | None = None) -
     return facts.groupBy(*keys).agg((F.sum(contribution(a, b)) / F.nullif(n, F.lit(0))).alias("margin"), F.count_if(aligned(a, b)).alias("n_aligned"), n.alias("n_questions"))
 
 
+def with_margin(facts: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds each key's margin to its facts; over facts that are partitioned by the keys, no shuffle."""
+    whole = Window.partitionBy(*keys)
+    return facts.withColumn("margin", F.sum(contribution(F.col("ans_a"), F.col("ans_b"))).over(whole) / F.count(F.lit(1)).over(whole))
+
+
 def weighted_margins(facts: DataFrame, weights: DataFrame, keys: list[str], on: list[str], delta: float = TIE_DELTA) -> DataFrame:
     """sum(w c) / sum(w) over questions that have a weight; a tie where there is none or the sum isn't positive."""
     rows = facts.withColumn("c", contribution(F.col("ans_a"), F.col("ans_b"))).join(weights, on, "left")

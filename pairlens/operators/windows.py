@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +14,12 @@ PREFIX = 3  # hex digits: 4,096 buckets
 SMALL = 100_000
 
 
+def cut_points(df: DataFrame, column: str, cuts: int) -> list[float]:
+    """Approximate quantiles of a column that cut its rows into about ``cuts`` parts; none where there are no values."""
+    shares = [i / cuts for i in range(1, cuts)]
+    return sorted(set(df.approxQuantile(column, shares, 0.25 / cuts))) if shares else []
+
+
 def null_safe_join(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
     """Rows with the other columns of ``few``, which has each key once; null keys meet null keys."""
     right = few.select(*(F.col(k).alias(f"_right_{k}") for k in keys), *(c for c in few.columns if c not in keys))
@@ -17,30 +27,13 @@ def null_safe_join(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFram
     return rows.join(right, same).drop(*(f"_right_{k}" for k in keys))
 
 
-def running_total(df: DataFrame, order: str, value: str, name: str, cuts: int = CUTS) -> DataFrame:
-    """Adds the sum of ``value`` over all rows with a smaller ``order``.
-
-    Rows fall into at most ``cuts`` + 1 buckets at approximate quantiles. Sums of the
-    buckets give each its start, and a window runs within a bucket only, so that no
-    task needs more than a bucket. ``order`` is numeric, unique and not null: where the
-    cuts lie doesn't change the result.
-    """
-    at = sorted(set(df.approxQuantile(order, [i / cuts for i in range(1, cuts)], 0.25 / cuts)))
-    bucket = sum(((F.col(order) > c).cast("int") for c in at), F.lit(0))
-    rows = df.withColumn("_bucket", bucket)
-    sums = rows.groupBy("_bucket").agg(F.sum(value).alias("_sum"))
-    starts = sums.select("_bucket", F.coalesce(F.sum("_sum").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    inside = F.sum(value).over(Window.partitionBy("_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    return rows.join(F.broadcast(starts), "_bucket").withColumn(name, F.col("_start") + F.coalesce(inside, F.lit(0))).drop("_bucket", "_start")
-
-
 def places(df: DataFrame, keys: list[str], order: str, name: str, cuts: int = CUTS) -> DataFrame:
     """Adds a row's place, from 0, within its key by a numeric column without nulls.
 
     Buckets lie between approximate quantiles of ``order``; counts give each key's
     start in each bucket, and a window runs within a key's part of a bucket only.
     """
-    at = sorted(set(df.approxQuantile(order, [i / cuts for i in range(1, cuts)], 0.25 / cuts)))
+    at = cut_points(df, order, cuts)
     rows = df.withColumn("_bucket", sum(((F.col(order) > c).cast("int") for c in at), F.lit(0)))
     counts = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_count"))
     start = F.coalesce(F.sum("_count").over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -70,6 +63,30 @@ def smallest_hashes(df: DataFrame, hash_col: str, n: int, ties: list[str]) -> Da
     return below.unionByName(df.filter(prefix == edge).withColumn("_r", rank).filter(F.col("_r") <= n - before).drop("_r"))
 
 
+def segments(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Consecutive rows with equal first ``keys`` columns."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        marks = [batch.column(i) for i in range(keys)]
+        change = np.zeros(batch.num_rows, bool)
+        for c in marks:
+            x = c.to_numpy(zero_copy_only=False)
+            change[1:] |= x[1:] != x[:-1]
+        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            key = tuple(c[a].as_py() for c in marks)
+            if held and key != now:
+                yield pa.Table.from_batches(held)
+                held = []
+            now = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def exact_quantiles(df: DataFrame, column: str, shares: list[float], cuts: int = CUTS) -> list[float | None]:
     """Exact quantiles with linear interpolation over a whole table; nulls don't count.
 
@@ -77,7 +94,7 @@ def exact_quantiles(df: DataFrame, column: str, shares: list[float], cuts: int =
     in which of them the wanted ranks lie, and only those buckets are put in order.
     """
     rows = df.select(F.col(column).cast("double").alias("_x")).filter("_x is not null and not isnan(_x)")
-    at = sorted(set(rows.approxQuantile("_x", [i / cuts for i in range(1, cuts)], 0.25 / cuts)))
+    at = cut_points(rows, "_x", cuts)
     rows = rows.withColumn("_bucket", sum(((F.col("_x") > c).cast("int") for c in at), F.lit(0)))
     counts = sorted((r["_bucket"], r["n"]) for r in rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n")).collect())
     n = sum(c for _, c in counts)

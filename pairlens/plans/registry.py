@@ -12,7 +12,7 @@ from pairlens.sources.fixtures import PRELUDE
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("scoring", "metrics", "selection", "diagnostics", "text", "parsing", "sampling", "joins", "rewards", "exports", "extras", "files")
+MODULES = ("scoring", "metrics", "selection", "diagnostics", "text", "parsing", "sampling", "joins", "rewards", "exports", "extras", "files", "jobs")
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 

@@ -205,13 +205,3 @@ def _(spark, sf):
     raw = F.col("raw")
     framed, longer, damaged = F.concat(F.lit("```\n"), raw, F.lit("\n```")), F.concat(raw, F.lit("\n"), raw), F.substring(raw, F.lit(1), F.floor(F.length(raw) / 2).cast("int"))
     return traces(spark, sf).select("pair_id", F.length(framed).cast("long").alias("n_format"), F.length(longer).cast("long").alias("n_length"), F.length(damaged).cast("long").alias("n_damage"))
-
-
-_PACK = ", it as (select domain, pair_id, (ca + cb) as s, row_number() over (partition by domain order by pair_id) as i from pairs), fold as (select domain, pair_id, i, s, 0 as shard, s as total from it where i = 1 union all select n.domain, n.pair_id, n.i, n.s, case when f.total + n.s > 100000 then f.shard + 1 else f.shard end, case when f.total + n.s > 100000 then n.s else f.total + n.s end from fold f join it n on n.domain = f.domain and n.i = f.i + 1)\n"
-
-
-@query("w20_shard_packing", _PACK + "select domain, pair_id, shard from fold")
-def _(spark, sf):
-    """IO16's packing of requests into shards of a byte budget, a fold per job."""
-    rows = X.slim_pairs(spark, sf).select("domain", "pair_id", (F.col("ca") + F.col("cb")).alias("s"))
-    return O.packed(rows, "domain", ["pair_id"], "s", 100_000).select("domain", "pair_id", "shard")

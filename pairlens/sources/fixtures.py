@@ -103,9 +103,14 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.select("pair_id", "domain", "winner", "preference_strength", "qid", "dimension", "sub_aspect", _label(side("ca", 13, 7, "B")).alias("ans_a"), _label(side("cb", 17, 11, "A")).alias("ans_b"))
 
 
+def weight() -> Column:
+    """The weight of a fact: exact binary fractions; every sixth question has none."""
+    return F.when(F.col("qid") % 6 != 0, (1 + (F.col("pair_id") + F.col("qid")) % 5) / 8)
+
+
 def weights(facts: DataFrame) -> DataFrame:
-    """pair_id, qid, w of facts: exact binary fractions; every sixth question has none."""
-    return facts.filter(F.col("qid") % 6 != 0).select("pair_id", "qid", ((1 + (F.col("pair_id") + F.col("qid")) % 5) / 8).alias("w"))
+    """pair_id, qid, w of facts that have a weight."""
+    return facts.select("pair_id", "qid", weight().alias("w")).filter("w is not null")
 
 
 def with_gaps(facts: DataFrame) -> DataFrame:
