@@ -62,6 +62,13 @@ def wide(df: DataFrame, index: list[str], tag: str, value: str, tags: list[str])
     return df.groupBy(*index).pivot(tag, tags).agg(F.avg(value))
 
 
+def latest_wide(df: DataFrame, tags: list[str]) -> DataFrame:
+    """step, wall_time (its latest), and for each tag the value that was written last in the step, of equally late ones the first in its file; one pass."""
+    late = F.struct(-F.col("wall_time"), F.col("file"), F.col("record"))
+    of = lambda t: F.min_by("value", F.when(F.col("tag") == t, late)).alias(t)
+    return df.groupBy("step").agg(F.max("wall_time").alias("wall_time"), *map(of, tags))
+
+
 def json_lines(df: DataFrame, column: str = "line") -> DataFrame:
     """Each row as a JSON object."""
     return df.select(F.to_json(F.struct(*df.columns)).alias(column))

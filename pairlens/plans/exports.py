@@ -83,6 +83,24 @@ def _(spark, sf):
     return rounded(E.wide(X.table(spark, sf, "events"), ["user_id"], "event_type", "value", ["click", "view", "error"]), "click", "view", "error")
 
 
+@query(
+    "io11_event_files",
+    "select event_id as step, epoch_us(ts) / 1e6 as wall_time, " + ", ".join(f"case when event_type = '{t}' then value::float end as {t}" for t in ("click", "error", "purchase", "signup")) + ", case when event_type = 'view' then value::float end as \"view\" from events",
+    prelude=False,
+)
+def _(spark, sf):
+    """Events as scalars in event files, read back and spread by tag: the latest of a step and tag."""
+    from pairlens.sources.eventfiles import EventFiles
+    from pairlens.sources.tables import scratch
+
+    spark.dataSource.register(EventFiles)
+    path = scratch(spark, "event-files")
+    rows = X.table(spark, sf, "events").select(F.col("event_type").alias("tag"), F.col("event_id").alias("step"), "value", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("wall_time"))
+    rows.repartition(4, "step").write.format("event_files").mode("append").save(path)
+    found = spark.read.format("event_files").load(path).filter("broken is null")
+    return E.latest_wide(found, ["click", "error", "purchase", "signup", "view"])
+
+
 @query("io14_resume_cache", ", r as (select event_id % 50 as k, substr(sha256(props), 1, 8) as h, event_id from events), c as (select distinct k, h from r where event_id % 3 = 0) select k, h, min(event_id) as first_id from r where not exists (select 1 from c where c.k = r.k and c.h = r.h) group by all")
 def _(spark, sf):
     """Requests that the cache doesn't answer, once each."""

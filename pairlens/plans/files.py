@@ -94,3 +94,16 @@ def _(spark, sf):
 @query("io17_peek", "select '{\"doc_id\":' || doc_id || ',\"lang\":\"' || lang || '\"}' as row from documents order by doc_id limit 5")
 def _(spark, sf):
     return spark.createDataFrame([(x,) for x in T.peek(X.table(spark, sf, "documents").select("doc_id", "lang").orderBy("doc_id"))], "row string")
+
+
+@query("io10_hub_splits", "select doc_id, text, lang, case when doc_id % 5 = 0 then 'validation' else 'train' end as split from documents where doc_id % 5 <> 1 and lang <> 'xx'", prelude=False)
+def _(spark, sf):
+    """Two of three splits of a dataset in a hub's cache: the files of the third stay unread."""
+    from pairlens.sources.hubcache import HubCache
+
+    spark.dataSource.register(HubCache)
+    path = T.scratch(spark, "hub-cache")
+    docs = X.table(spark, sf, "documents").select("doc_id", "text", "lang")
+    for split, rest in (("train", F.col("doc_id") % 5 > 1), ("validation", F.col("doc_id") % 5 == 0), ("test", F.col("doc_id") % 5 == 1)):
+        docs.filter(rest).repartition(3, "doc_id").write.format("hub_cache").options(split=split, name="documents").mode("append").save(path)
+    return spark.read.format("hub_cache").option("splits", "train,validation").load(path).filter("lang <> 'xx'")

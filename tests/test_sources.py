@@ -70,3 +70,41 @@ def test_stream_scores_each_request_once(spark, tmp_path):
     assert (got["k1"].predicted_winner, got["k1"].parse_ok, got["k1"].format_score) == ("A", True, 1.0)
     assert got["k2"].predicted_winner == "B" and got["k3"].predicted_winner is None
     assert judgements.rates(spark.table("scores")).agg(F.sum("n")).first()[0] == 3
+
+
+def test_tasks_share_the_interval(spark):
+    """Calls over four tasks, some of them repeated after a failure, never come closer than the interval."""
+    import time
+
+    from pairlens.sources import connector
+
+    requests = spark.range(24).selectExpr("cast(id as string) as request_key", "'s' as signature", "cast(id as string) as prompt")
+    seen = {}
+
+    def judge(prompt):
+        now = time.time()
+        seen.setdefault(prompt, []).append(now)
+        if int(prompt) % 6 == 0 and len(seen[prompt]) < 2:
+            raise TimeoutError
+        return ",".join(map(repr, seen[prompt]))
+
+    for tasks in (1, 4):
+        seen.clear()
+        got = connector.called(requests, judge, min_interval=0.05, sleep=lambda s: None, tasks=tasks)
+        assert got.rdd.getNumPartitions() == tasks
+        times = sorted(float(t) for r in got.collect() for t in r.response.split(","))
+        assert len(times) == 28 and min(b - a for a, b in zip(times, times[1:])) > 0.045
+
+
+def test_slots():
+    from pairlens.sources.connector import Slots
+
+    clock = [100.0]
+    slots = [Slots(100.0, i, 3, 0.5, lambda s: clock.__setitem__(0, clock[0] + s), lambda: clock[0]) for i in range(3)]
+    starts = []
+    for i in (0, 1, 2, 0, 2, 2, 1):
+        slots[i].wait()
+        starts.append(clock[0])
+        if len(starts) == 4:
+            clock[0] += 5  # a long call
+    assert all(b - a >= 0.5 - 1e-9 for a, b in zip(starts, starts[1:])) and starts[:4] == [100.0, 100.5, 101.0, 101.5]
