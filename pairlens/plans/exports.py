@@ -110,6 +110,21 @@ def _(spark, sf):
     return pending(r, r.filter("event_id % 3 = 0"), ["k", "h"]).groupBy("k", "h").agg(F.min("event_id").alias("first_id"))
 
 
+@query("io14_streamed_requests", "select cast(event_id % 50 as varchar) as request_key, sha256(props) as prompt_sha256, 'said ' || props as response, 1 as n_answers from events group by all", prelude=False)
+def _(spark, sf):
+    """Requests that come in two parts, each worked off in batches; the second run starts from the first one's state. How often each was answered, and the answer."""
+    from pairlens.sources.tables import scratch
+    from pairlens.streaming import requests as Q14
+
+    path, out, state = (scratch(spark, f"streamed-{x}") for x in ("in", "out", "state"))
+    rows = X.table(spark, sf, "events").select((F.col("event_id") % 50).cast("string").alias("request_key"), F.lit("s").alias("signature"), F.col("props").alias("prompt"), "event_id")
+    for part in (0, 1):
+        rows.filter(F.col("event_id") % 2 == part).drop("event_id").repartition(3).write.mode("append").parquet(path)
+        Q14.run_available(Q14.answered(Q14.read_requests(spark, path, 2), lambda prompt: f"said {prompt}"), out, state)
+    found = spark.read.parquet(out)
+    return found.groupBy("request_key", "prompt_sha256").agg(F.max("response").alias("response"), F.count(F.lit(1)).alias("n_answers"))
+
+
 @query("io18_provenance_hash", "select doc_id, sha256(text) as h from documents")
 def _(spark, sf):
     return X.table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
