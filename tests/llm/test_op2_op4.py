@@ -140,7 +140,44 @@ def test_audit_finds_each_kind_of_damage(spark):
 
 
 def test_archives_of_odd_pages(spark):
-    pages = spark.createDataFrame([(1, None, None), (2, "u", "é"), (2, "u", "é"), (None, "v", "x")], "page_id long, url string, html string").withColumn("file", F.lit(1))
+    pages = spark.createDataFrame([(1, None, None), (2, "u", "é"), (2, "u", "é"), (None, "v", "x")], "page_id long, url string, html string").withColumn("file", F.lit(1)).withColumn("hash", F.lit("x"))
     rows = warc.archived(pages).collect()
     assert len(rows) == 4 and all(len(r.record.encode()) == r.length for r in rows)
     assert warc.archived(pages.limit(0)).count() == 0
+    by_file = {}
+    for r in rows:
+        by_file.setdefault(r.file, []).append((r.offset, r.length))
+    for held in by_file.values():  # gapless from 0
+        at = 0
+        for offset, length in sorted(held):
+            assert offset == at
+            at += length
+    assert warc.audit(warc.archived(pages), warc.placed(pages)).count() == 0
+
+
+def test_files_of_one_id_are_cut(spark, tmp_path):
+    """3,000 different pages with one id, 2,000 equal ones, and pages without id."""
+    rows = [(7, f"u{i}", f"page {i}") for i in range(3000)] + [(300, "u", "same")] * 2000 + [(None, "n", f"page {i % 50}") for i in range(300)] + [(i, "u", "x") for i in range(1000, 1400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    placed = warc.placed(pages).collect()
+    assert len(placed) == len(rows) == len({(r.file, r.offset) for r in placed})
+    counts = {}
+    for r in placed:
+        if r.id == 7:
+            counts[r.file] = counts.get(r.file, 0) + 1
+    assert len(counts) > 8 and max(counts.values()) <= warc.FILE_RECORDS
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = sorted(con.sql(warc.ORACLE_SQL["op4_warc"]).fetchall(), key=str)
+    assert sorted(map(tuple, warc.op4_warc(spark, str(tmp_path)).collect()), key=str) == want and len(want) > 20
+
+
+@pytest.mark.parametrize("files, levels", [(3, 1), (40, 2), (600, 3)])
+def test_levels_of_buckets(spark, monkeypatch, files, levels):
+    monkeypatch.setattr(warc, "FILES", 2)
+    monkeypatch.setattr(warc, "DIGITS", 1)
+    assert warc.bucket_levels(files) == levels
+    left = spark.createDataFrame([(f"f{i}", 0, 9, f"r{i}", "x") for i in range(files)], "file string, offset long, length long, record string, b1 string")
+    right = left.filter("file <> 'f1'").withColumn("record", F.when(F.col("file") == "f2", "bad").otherwise(F.col("record")))
+    assert sorted((r.file, r.status) for r in warc.audit(left, right).collect()) == [("f1", "missing"), ("f2", "corrupt")]
