@@ -6,6 +6,12 @@ with its position and caption. Media are stored as lossless 8-bit grey images
 samples, one row of features per digest, so that a reference resolves by an
 equi-join on the digest and positions and captions stay with their reference.
 
+References are those of images, videos, their posters, audio, sources and embedded
+files, of any address: ``src``, or what pages that load late put into ``data-src`` and
+its like or into ``srcset``, of which the largest candidate counts. The sources of one
+picture are forms of one image and one item, the image's own address first. Objects,
+frames and drawings aren't read.
+
 A payload is the UTF-8 text padded with zero bytes to a positive multiple of 64;
 null is stored as empty text. Equal payloads have one digest and equal stored
 forms. References of any address are items; those without a stored payload keep
@@ -19,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 import zlib
 from collections.abc import Iterator
 from html import unescape
@@ -104,10 +111,40 @@ def media_table(media: DataFrame) -> DataFrame:
     return media.groupBy("digest").agg(F.min(F.struct(*rest)).alias("m")).select("digest", *(F.col(f"m.{c}").alias(c) for c in rest))
 
 
+#: Where pages that load late keep an address.
+LATE = ("data-src", "data-original", "data-lazy-src", "data-url")
+_CANDIDATE = re.compile(r"[\s,]*(\S+)([^,]*)")
+_SIZE = re.compile(r"\s*([0-9]+(?:\.[0-9]+)?)[wx]\s*")
+
+
+def largest(srcset: str) -> str:
+    """The address of the largest candidate of a srcset, of equal ones the first."""
+    best, most, at = "", -1.0, 0
+    while found := _CANDIDATE.match(srcset, at):
+        at = found.end()
+        address, size = found[1], 1.0
+        if address.endswith(","):  # no size follows
+            address, at = address.rstrip(","), found.end(1)
+        elif told := _SIZE.fullmatch(found[2]):
+            size = float(told[1])
+        if address and size > most:
+            best, most = address, size
+    return best
+
+
+def address(has: dict[str, str]) -> str:
+    """The address of a reference's attributes; one that holds the data itself, a placeholder, only where there is no other."""
+    own = has.get("src", "").strip()
+    if own and not own.lower().startswith("data:"):
+        return own
+    late = next((has[x].strip() for x in LATE if has.get(x, "").strip()), "")
+    return late or largest(has.get("srcset", "")) or largest(has.get("data-srcset", "")) or own
+
+
 def interleaved(html: str | None) -> list[tuple[int, str, str | None, str | None, str | None, str | None]]:
     """(position, kind, text, digest, caption, src) of the text blocks and media references of a document, in order.
 
-    A reference's digest is the one that its src names (``sha256:…``), null for any
+    A reference's digest is the one that its address names (``sha256:…``), null for any
     other address. A caption is the figcaption of the figure around a reference,
     else its alt text.
     """
@@ -132,19 +169,35 @@ def interleaved(html: str | None) -> list[tuple[int, str, str | None, str | None
             items.append([len(items), "text", text, None, None, None])
 
     figure_captions: list[str] = []
+    picture: str | None = None  # the first source's address of the picture around
+
+    def refer(src: str, alt: str | None) -> None:
+        flush()
+        caption = figure_captions[-1] if figure is not None and figure_captions else alt or None
+        digest = src[len(SCHEME) :].lower() if src.lower().startswith(SCHEME) else None
+        items.append([len(items), "media", None, digest, caption, src])
+        if figure is not None:
+            figure.append(len(items) - 1)
+
     for kind, name, rest in scan(html or ""):
         if kind == "text":
             parts.append(unescape(rest))
         elif name in ("img", "video", "audio", "source", "embed"):
             has = attributes(rest) if kind == "open" else {}
-            src = has.get("src", "").strip()
+            if name == "video" and has.get("poster", "").strip():
+                refer(has["poster"].strip(), None)
+            src = address(has)
+            if name == "source" and picture is not None:
+                picture = picture or src
+                continue
+            if name == "img":
+                src, picture = src or picture or "", None if picture is None else ""
             if src:
-                flush()
-                caption = figure_captions[-1] if figure is not None and figure_captions else has.get("alt") or None
-                digest = src[len(SCHEME) :].lower() if src.lower().startswith(SCHEME) else None
-                items.append([len(items), "media", None, digest, caption, src])
-                if figure is not None:
-                    figure.append(len(items) - 1)
+                refer(src, has.get("alt"))
+        elif name == "picture":
+            if kind == "close" and picture:
+                refer(picture, None)
+            picture = "" if kind == "open" else None
         elif name == "br":
             parts.append("\n")
         elif name in BLOCK:

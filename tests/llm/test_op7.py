@@ -142,3 +142,30 @@ def test_whole_texts_are_stored_and_interleaved(spark, tmp_path, monkeypatch):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     items = {r.doc_id: media.interleaved(r.html) for r in docs.select("doc_id", media.document_html(docs.text, docs.source).alias("html")).collect()}
     assert items[3][0][2] == " ".join(long.split()) and [x[1] for x in items[3]] == ["text", "media"] and items[3][1][4] == "s<1>"
+
+
+def test_references_of_pages_that_load_late():
+    src = lambda html: [x[5] for x in media.interleaved(html) if x[1] == "media"]
+    assert src('<picture><source srcset="a.webp 1x, b.webp 2x"><source srcset="c.avif"><img data-src="d.jpg" srcset="e.jpg 100w, f.jpg 900w, g.jpg 50w" alt="x"></picture>') == ["d.jpg"]
+    assert src('<picture><source srcset="a.webp 1x, b.webp 2x"><img alt="x"></picture>') == ["b.webp"]
+    assert src('<picture><source srcset="a.webp"></picture><img srcset="e.jpg 100w, f,1.jpg 900w,g.jpg 50w">') == ["a.webp", "f,1.jpg"]
+    assert src('<img src="data:image/gif;base64,R0==" data-src=" real.png "><img src="data:image/gif;base64,R0=="><img>') == ["real.png", "data:image/gif;base64,R0=="]
+    assert src('<img srcset="data:image/png;base64,AAA= 1x, sha256:AB 3x"><img data-srcset="a.png, b.png 2x">') == ["sha256:AB", "b.png"]
+    assert src('<video poster="p.jpg"><source src="v.webm"><source src="v.mp4"></video><video src="w.mp4"></video><audio src="a.ogg"><embed src="e.pdf">') == ["p.jpg", "v.webm", "v.mp4", "w.mp4", "a.ogg", "e.pdf"]
+    assert src('<figure><picture><source srcset="a.webp"><img src="b.jpg"></picture><figcaption>both</figcaption></figure>') == ["b.jpg"]
+    assert media.interleaved('<figure><picture><source srcset="a.webp"></picture><figcaption>both</figcaption></figure>')[0][4] == "both"
+    assert media.largest("") == media.largest(" , ,") == "" and media.largest("a 1w bad, b 0.5x, c") == "a"
+
+
+def test_feature_by_definition():
+    import math
+    import random
+
+    r = random.Random(1)
+    for raw in (bytes(64), bytes(range(256)), bytes([7]) * 640, bytes(r.choice(b"ab \xff") for _ in range(64 * 9))):
+        n = len(raw)
+        mean = sum(raw) / n
+        deviation = math.sqrt(sum((x - mean) ** 2 for x in raw) / n)
+        shares = [raw.count(bytes([v])) / n for v in set(raw)]
+        entropy = abs(sum(p * math.log2(p) for p in shares))
+        assert media.feature(64, n // 64, raw) == f"64x{n // 64} mean={mean:.4f} dev={deviation:.4f} entropy={entropy:.4f}"
