@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.functions.text import with_think_block
+from pairlens.functions.parsers import answer_differences
+from pairlens.functions.text import int_list, with_think_block
 
 
 def target_validity(target: Column, n: Column) -> Column:
@@ -62,6 +63,28 @@ def wide(df: DataFrame, index: list[str], tag: str, value: str, tags: list[str])
     return df.groupBy(*index).pivot(tag, tags).agg(F.avg(value))
 
 
+#: What a reviewer can choose to see.
+SHOWN = ("All", "Wrong predictions", "Correct predictions")
+
+
+def review(results: DataFrame, show: str = "All", domain: str | None = None) -> DataFrame:
+    """The rows of a results table that a reviewer asks for, with ``differences``: array<struct<q, a, b>> of the selected questions that the two sides answer differently.
+
+    results: domain, winner, predicted_winner, answers_a and answers_b (maps from
+    question to label), selected_qids (an array, or its text in a cell; all questions
+    where it is null). A prediction that is null is a wrong one.
+    """
+    if show not in SHOWN:
+        raise ValueError(f"{show} is none of {', '.join(SHOWN)}")
+    right = F.coalesce(F.col("winner") == F.col("predicted_winner"), F.lit(False))
+    rows = results if domain is None else results.filter(F.col("domain") == domain)
+    rows = rows if show == "All" else rows.filter(right if show == "Correct predictions" else ~right)
+    cell = F.col("selected_qids")
+    chosen = int_list(cell) if rows.schema["selected_qids"].dataType.typeName() == "string" else cell
+    kept = F.filter(answer_differences(F.col("answers_a"), F.col("answers_b")), lambda d: cell.isNull() | F.array_contains(chosen, d["q"]))
+    return rows.withColumn("differences", kept)
+
+
 def latest_wide(df: DataFrame, tags: list[str]) -> DataFrame:
     """step, wall_time (its latest), and for each tag the value that was written last in the step, of equally late ones the first in its file; one pass."""
     late = F.struct(-F.col("wall_time"), F.col("file"), F.col("record"))

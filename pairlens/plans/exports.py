@@ -101,6 +101,18 @@ def _(spark, sf):
     return E.latest_wide(found, ["click", "error", "purchase", "signup", "view"])
 
 
+@query("io13_review", "select a.pair_id, a.winner, p.predicted_winner, a.qid as q, ans_a as a, ans_b as b from answers a join judged p using (pair_id) where a.domain = 'stem' and p.predicted_winner is distinct from a.winner and ans_a <> ans_b and (a.pair_id % 4 = 0 or a.qid % 3 = a.pair_id % 3)")
+def _(spark, sf):
+    """What a reviewer sees of one domain's wrong predictions: the selected questions on which the two sides differ."""
+    entries = F.sort_array(F.collect_list(F.struct("qid", "ans_a", "ans_b")))
+    side = lambda c: F.map_from_entries(F.transform(F.col("e"), lambda x: F.struct(x["qid"], x[c])))
+    chosen = F.to_json(F.filter(F.transform("e", lambda x: x["qid"]), lambda q: q % 3 == F.col("pair_id") % 3))
+    rows = X.answers(spark, sf).groupBy("pair_id").agg(entries.alias("e")).select("pair_id", side("ans_a").alias("answers_a"), side("ans_b").alias("answers_b"), F.when(F.col("pair_id") % 4 != 0, chosen).alias("selected_qids"))
+    results = Q.judged(spark, sf).select("pair_id", "domain", "winner", "predicted_winner").join(rows, "pair_id")
+    seen = E.review(results, "Wrong predictions", "stem")
+    return seen.select("pair_id", "winner", "predicted_winner", F.explode("differences").alias("d")).select("pair_id", "winner", "predicted_winner", "d.*")
+
+
 @query("io14_resume_cache", ", r as (select event_id % 50 as k, substr(sha256(props), 1, 8) as h, event_id from events), c as (select distinct k, h from r where event_id % 3 = 0) select k, h, min(event_id) as first_id from r where not exists (select 1 from c where c.k = r.k and c.h = r.h) group by all")
 def _(spark, sf):
     """Requests that the cache doesn't answer, once each."""

@@ -226,3 +226,17 @@ def test_drop_empty_strips_whole_texts(spark, tmp_path):
 
     spark.createDataFrame([(1, "   x"), (2, "\n\n\n\ty "), (3, " \t\n　 "), (4, ""), (5, None), (6, "z")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(r.doc_id for r in registry.queries()["f18_drop_empty"](spark, str(tmp_path)).collect()) == [1, 2, 6]
+
+
+def test_review_rows(spark):
+    from pairlens.operators import exports as E
+
+    rows = [("x", "A", "A", {1: "yes", 2: "no"}, {1: "no", 2: "no"}, "[1, 2]"), ("x", "A", None, {1: "yes", 2: "no"}, {1: "no", 3: "na"}, "[2]"), ("y", "B", "A", {1: "yes"}, {1: "no"}, None), ("y", "B", "Tie", {}, {4: "yes"}, "unreadable")]
+    df = spark.createDataFrame(rows, "domain string, winner string, predicted_winner string, answers_a map<int,string>, answers_b map<int,string>, selected_qids string")
+    seen = lambda *a: sorted((r.domain, r.predicted_winner or "", [tuple(d) for d in r.differences]) for r in E.review(df, *a).collect())
+    assert seen() == [("x", "", [(2, "no", "—")]), ("x", "A", [(1, "yes", "no")]), ("y", "A", [(1, "yes", "no")]), ("y", "Tie", [])]
+    assert [x[:2] for x in seen("Wrong predictions")] == [("x", ""), ("y", "A"), ("y", "Tie")] and [x[:2] for x in seen("Correct predictions", "x")] == [("x", "A")] and seen("All", "z") == []
+    with pytest.raises(ValueError):
+        E.review(df, "some")
+    lists = df.withColumn("selected_qids", F.array(F.lit(1)))
+    assert sum(len(r.differences) for r in E.review(lists).collect()) == 3
