@@ -78,6 +78,5 @@ def feedback(raw: Column, key: str) -> Column:
 
 
 def geval_total(scores: Column) -> Column:
-    """The sum of a map of dimension scores; nulls don't count, and nothing gives null."""
-    values = F.filter(F.map_values(scores), lambda v: v.isNotNull())
-    return F.when(F.size(values) > 0, F.aggregate(values, F.lit(0).cast("int"), lambda s, v: s + v.cast("int")))
+    """The sum of a map of dimension scores; nulls count as 0, also where there is nothing else."""
+    return F.aggregate(F.map_values(scores), F.lit(0).cast("int"), lambda s, v: s + F.coalesce(v, F.lit(0)).cast("int"))

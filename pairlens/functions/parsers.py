@@ -252,8 +252,9 @@ def importance(raw: Column) -> Column:
 
 
 def likert(raw: Column) -> Column:
-    """1 to 5; null for N/A or anything else."""
-    return F.when(~raw.rlike(r"(?i)\bN/?A\b"), F.regexp_extract(raw, r"\b([1-5])\b", 1).try_cast("int"))
+    """The digit after the first "Score:", if it is 1 to 5; null for N/A, another digit or no score."""
+    digit = F.regexp_extract(raw, r"(?i)Score:\s*(N/?A|[0-9])", 1).try_cast("int")
+    return F.when(digit.between(1, 5), digit)
 
 
 def verifier(raw: Column, default: str = "yes") -> Column:

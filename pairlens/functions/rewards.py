@@ -182,7 +182,7 @@ def answer_format(text: Column) -> Column:
     return F.coalesce((text.rlike(BOXED) | text.rlike(HASHED_FORM)).cast("double"), F.lit(0.0))
 
 
-def diversity(df: DataFrame, key: str, vector: str) -> DataFrame:
+def diversity_per_key(df: DataFrame, key: str, vector: str) -> DataFrame:
     """Per key: 1 - the mean cosine of two different vectors, within 0 and 1; 1 for a single vector.
 
     A zero vector has no direction: its cosine with any other counts as 0. Null

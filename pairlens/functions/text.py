@@ -107,8 +107,10 @@ def shortened(c: Column, n: int) -> Column:
 
 
 def int_list(c: Column) -> Column:
-    """A stringified list of integers as an array; null or unreadable cells as an empty one."""
-    return F.coalesce(F.from_json(strip(c), "array<int>"), F.array().cast("array<int>"))
+    """A stringified list or tuple of integers as an array, numbers cut to integers; null, empty, None and unreadable cells as an empty one."""
+    literal = F.regexp_replace(F.regexp_replace(strip(c), r"^\((.*)\)$", "[$1]"), r",\s*\]$", "]")
+    cells = F.transform(F.from_json(literal, "array<string>"), lambda x: x.try_cast("double").try_cast("int"))
+    return F.coalesce(F.when(~F.exists(cells, lambda x: x.isNull()), cells), F.array().cast("array<int>"))
 
 
 #: Beginnings of a question and what its comparative form begins with, in order of precedence.

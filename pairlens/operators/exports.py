@@ -6,19 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.functions.parsers import answer_differences
-from pairlens.functions.text import int_list, with_think_block
+from pairlens.functions.text import int_list, lines, strip, with_think_block
 
 
 def target_validity(target: Column, n: Column) -> Column:
-    """ok, or why a target isn't exactly the lines Q1..Qn with yes or no."""
-    lines = F.split(F.trim(target), "\n", -1)
-    numbered = F.transform(lines, lambda x, i: x.rlike(r"^Q[0-9]+:") & (F.regexp_extract(x, r"^Q([0-9]+):", 1) == (i + 1).cast("string")))
-    return (
-        F.when(F.size(lines) != n, "wrong_count")
-        .when(~F.forall(numbered, lambda x: x), "wrong_order")
-        .when(~F.forall(lines, lambda x: x.rlike(r"^Q[0-9]+: (yes|no)$")), "bad_answer")
-        .otherwise("ok")
-    )
+    """ok, or why a target's lines, blank ones aside, aren't exactly Q1..Qn in order with yes or no: the first reason that holds."""
+    held = F.filter(lines(target), lambda x: strip(x) != "")
+    number = lambda x: F.regexp_extract(x, r"(?i)^\s*Q([0-9]+):", 1)
+
+    def wrong(x: Column, i: Column) -> Column:
+        given = F.coalesce(number(x).try_cast("long").cast("string"), number(x))
+        bad = ~x.rlike(r"(?i)^\s*Q[0-9]+:\s*(yes|no)\s*$")
+        return F.when(bad, F.concat(F.lit("bad_line:'"), F.substring(x, 1, 60), F.lit("'"))).when(given != (i + 1).cast("string"), F.concat(F.lit("out_of_order(expected Q"), i + 1, F.lit(" got Q"), given, F.lit(")")))
+
+    first = F.get(F.filter(F.transform(held, wrong), lambda x: x.isNotNull()), F.lit(0))
+    count = F.concat(F.lit("line_count_mismatch("), F.size(held), F.lit("!="), n, F.lit(")"))
+    return F.when(F.coalesce(strip(target), F.lit("")) == "", "empty_target").when(F.size(held) != n, count).otherwise(F.coalesce(first, F.lit("ok")))
 
 
 def preference_triples(pairs: DataFrame, key: str, prompt: Column) -> DataFrame:

@@ -251,11 +251,36 @@ def _(spark, sf):
     return rows.select("pair_id", "scores", F.size("scores").alias("n"), (total / F.size("scores")).alias("mean"), (F.size(F.array_distinct(F.transform("scores", lambda x: F.signum(x.cast("double"))))) == 1).alias("unanimous"))
 
 
-@query("f8_sft_validity", ", l as (select doc_id, case when doc_id % 4 = 0 then 'Q1: yes' || chr(10) || 'Q2: no' when doc_id % 4 = 1 then 'Q1: yes' when doc_id % 4 = 2 then 'Q2: yes' || chr(10) || 'Q1: no' else 'Q1: yes' || chr(10) || 'Q2: N/A' end as t from documents) select doc_id, (['ok', 'wrong_count', 'wrong_order', 'bad_answer'])[doc_id % 4 + 1] as reason from l")
-def _(spark, sf):
-    from pairlens.operators.exports import target_validity
+_TARGETS = r"""
+, six as (select a.pair_id, n.q::integer as q, ans_a as x from answers a join numbered n on n.domain = a.domain and n.qid = a.qid where n.q <= 6),
+tl as (select pair_id, q, case pair_id % 8 when 0 then 'Q' || q || ': ' || x when 1 then ' q' || q || ':' || case x when 'na' then 'NO' else upper(x) end || ' ' when 5 then 'Q0' || q || ': yes' when 6 then case when q = 3 then 'Q3: yes, no' else 'Q' || q || ': yes' end
+  else 'Q' || q || ': ' || case x when 'na' then 'no' else x end end as line from six),
+ta as (select pair_id, case pair_id % 8 when 2 then string_agg(line, chr(10) order by q) filter (where q > 1) when 3 then string_agg(line, chr(10) order by -q) when 4 then chr(10) || string_agg(line, chr(10) || ' ' || chr(10) order by q) || chr(10) when 7 then '  ' else string_agg(line, chr(10) order by q) end as t from tl group by pair_id),
+tb as (select pair_id, t, list_filter(string_split(t, chr(10)), lambda l: trim(l) <> '') as ls from ta),
+tc as (select pair_id, generate_subscripts(ls, 1) as i, unnest(ls) as l from tb where len(ls) > 0),
+te as (select pair_id, i, case when not regexp_full_match(l, '\s*[Qq]\d+:\s*([Yy][Ee][Ss]|[Nn][Oo])\s*') then 'bad_line:' || chr(39) || substr(l, 1, 60) || chr(39) when regexp_extract(l, '[Qq](\d+):', 1)::integer <> i then 'out_of_order(expected Q' || i || ' got Q' || regexp_extract(l, '[Qq](\d+):', 1)::integer || ')' end as wrong from tc),
+td as (select pair_id, arg_min(wrong, i) as wrong from te where wrong is not null group by pair_id)
+"""
+
 
-    t = F.element_at(F.array(*map(F.lit, ("Q1: yes\nQ2: no", "Q1: yes", "Q2: yes\nQ1: no", "Q1: yes\nQ2: N/A"))), (F.col("doc_id") % 4 + 1).cast("int"))
-    return X.table(spark, sf, "documents").select("doc_id", target_validity(t, F.lit(2)).alias("reason"))
+def sft_targets(spark, sf):
+    """Targets of the first six questions: as answered, in odd forms, without a line, backwards, with blank lines, with wrong lines, blank."""
+    from pairlens.operators.selection import local_numbers
 
+    numbers = local_numbers(X.active_bank(spark, sf)).select("domain", "qid", "q").filter("q <= 6")
+    rows = X.answers(spark, sf).join(small_broadcast(numbers), ["domain", "qid"])
+    p, q, x = F.col("pair_id") % 8, F.col("q").cast("string"), F.col("ans_a")
+    plain = F.when(x == "na", "no").otherwise(x)
+    line = F.when(p == 0, F.concat(F.lit("Q"), q, F.lit(": "), x)).when(p == 1, F.concat(F.lit(" q"), q, F.lit(":"), F.upper(plain), F.lit(" "))).when(p == 5, F.concat(F.lit("Q0"), q, F.lit(": yes")))
+    line = line.when(p == 6, F.when(F.col("q") == 3, "Q3: yes, no").otherwise(F.concat(F.lit("Q"), q, F.lit(": yes")))).otherwise(F.concat(F.lit("Q"), q, F.lit(": "), plain))
+    listed = rows.groupBy("pair_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("q", line.alias("l")))), lambda s: s["l"]).alias("ls"))
+    joined = lambda ls, by="\n": F.array_join(ls, by)
+    text = F.when(p == 2, joined(F.slice("ls", 2, 9))).when(p == 3, joined(F.reverse("ls"))).when(p == 4, F.concat(F.lit("\n"), joined(F.col("ls"), "\n \n"), F.lit("\n"))).when(p == 7, "  ").otherwise(joined(F.col("ls")))
+    return listed.select("pair_id", text.alias("t"))
+
+
+@query("f8_sft_validity", _TARGETS + "select b.pair_id, case when trim(b.t) = '' then 'empty_target' when len(b.ls) <> 6 then 'line_count_mismatch(' || len(b.ls) || '!=6)' else coalesce(w.wrong, 'ok') end as reason from tb b left join td w using (pair_id)")
+def _(spark, sf):
+    from pairlens.operators.exports import target_validity
 
+    return sft_targets(spark, sf).select("pair_id", target_validity(F.col("t"), F.lit(6)).alias("reason"))

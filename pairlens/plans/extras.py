@@ -66,18 +66,23 @@ def _(spark, sf):
     return both.rollup("domain").agg(F.count(F.lit(1)).alias("n"), F.count_if(repeated).alias("n_repeated"), F.count_if("rationale_after").alias("n_with_rationale"), F.avg((F.col("kept") == 0).cast("int")).alias("failed_rate"))
 
 
+#: what a judge says of a dimension, by what the answer to a question is: a score, none, or one that doesn't count
+_SAYS = "case when x = 'yes' then 'Reason: 3 of 9. Score: ' || (qid % 5 + 1) when x = 'no' then (['score:' || (qid % 7), 'Score: N/A', 'Score: 45', 'I give 4', 'SCORE: na, Score: 3'])[(pair_id + qid) % 5 + 1] else 'Score:  ' || (qid % 3) end"
+
+
 @query(
     "c26_geval_totals",
-    "select pair_id, pair_id % 5 + 1 + case when pair_id % 3 = 0 then 0 else 3 end as total_a, (pair_id // 5) % 5 + 1 + 2 as total_b, case when pair_id % 5 + 1 + case when pair_id % 3 = 0 then 0 else 3 end > (pair_id // 5) % 5 + 3 then 'A' when pair_id % 5 + 1 + case when pair_id % 3 = 0 then 0 else 3 end < (pair_id // 5) % 5 + 3 then 'B' else 'Tie' end as winner from pairs",
+    r", g as (select pair_id, side, dimension, max_by(x, qid) as x, max(qid) as qid from (select pair_id, qid, dimension, 'a' as side, ans_a as x from answers union all select pair_id, qid, dimension, 'b', ans_b from answers) group by all), s as (select pair_id, side, regexp_extract({0}, 'score:\s*(n/?a|[0-9])', 1, 'i') as d from g), ".replace("{0}", _SAYS)
+    + "t as (select pair_id, coalesce(sum(try_cast(d as bigint)) filter (where side = 'a' and d in ('1', '2', '3', '4', '5')), 0)::bigint as total_a, coalesce(sum(try_cast(d as bigint)) filter (where side = 'b' and d in ('1', '2', '3', '4', '5')), 0)::bigint as total_b from s group by pair_id) "
+    "select pair_id, total_a, total_b, case when total_a > total_b then 'A' when total_a < total_b then 'B' else 'Tie' end as winner from t",
 )
 def _(spark, sf):
-    """Scores of two dimensions a side, one of them now and then N/A."""
-    p = F.col("pair_id")
-    score = lambda x: P.likert(F.concat(F.lit("Score: "), x.cast("string")))
-    a = F.create_map(F.lit("clear"), score(p % 5 + 1), F.lit("right"), P.likert(F.when(p % 3 == 0, "N/A").otherwise("3")))
-    b = F.create_map(F.lit("clear"), score(F.expr("pair_id div 5") % 5 + 1), F.lit("right"), score(F.lit(2)))
-    rows = X.slim_pairs(spark, sf).select("pair_id", N.geval_total(a).cast("long").alias("total_a"), N.geval_total(b).cast("long").alias("total_b"))
-    return rows.withColumn("winner", F.when(F.col("total_a") > F.col("total_b"), "A").when(F.col("total_a") < F.col("total_b"), "B").otherwise("Tie"))
+    """Scores of a side's dimensions as a judge writes them, one for the last question of each."""
+    long = X.answers(spark, sf).select("pair_id", "qid", "dimension", F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"ans_{s}").alias("x")) for s in "ab"))).alias("e")).select("pair_id", "qid", "dimension", "e.*")
+    last = long.groupBy("pair_id", "side", "dimension").agg(F.max_by("x", "qid").alias("x"), F.max("qid").alias("qid"))
+    said = F.expr(_SAYS.replace("(['", "element_at(array('").replace("'])[(pair_id + qid) % 5 + 1]", "'), cast((pair_id + qid) % 5 + 1 as int))"))
+    maps = last.withColumn("score", P.likert(said)).groupBy("pair_id").agg(*(N.geval_total(F.map_from_entries(F.collect_list(F.when(F.col("side") == s, F.struct("dimension", "score"))))).cast("long").alias(f"total_{s}") for s in "ab"))
+    return maps.withColumn("winner", F.when(F.col("total_a") > F.col("total_b"), "A").when(F.col("total_a") < F.col("total_b"), "B").otherwise("Tie"))
 
 
 @query(

@@ -230,10 +230,12 @@ def _(spark, sf):
     return rows.select("pair_id", "x.qid", "x.importance")
 
 
-@query("x14_likert", "select pair_id, case when pair_id % 4 = 3 then null else cast(pair_id % 5 + 1 as integer) end as score from pairs")
+@query("x14_likert", "select pair_id, case pair_id % 6 when 0 then 4 when 1 then pair_id % 5 + 1 when 5 then case when pair_id % 10 between 1 and 5 then pair_id % 10 end end::integer as score from pairs")
 def _(spark, sf):
-    raw = F.when(F.col("pair_id") % 4 == 3, "N/A because 4").otherwise(F.concat(F.lit("Score: "), F.col("pair_id") % 5 + 1, F.lit(" of 9")))
-    return X.slim_pairs(spark, sf).select("pair_id", P.likert(raw).alias("score"))
+    """The first score counts, by one digit; N/A, other digits and numbers without the word are none."""
+    p = F.col("pair_id")
+    forms = F.array(F.lit("Score: 45, Score: 2"), F.concat(F.lit("2 of 9 hold. SCORE:\n"), p % 5 + 1, F.lit(" of 9")), F.lit("Score: N/A because Score: 4"), F.lit("I give 4"), F.lit("score:na"), F.concat(F.lit("Score:"), p % 10))
+    return X.slim_pairs(spark, sf).select("pair_id", P.likert(F.element_at(forms, (p % 6 + 1).cast("int"))).alias("score"))
 
 
 @query("x15_verifier", "select pair_id, (['no', 'yes', 'yes', 'yes'])[pair_id % 4 + 1] as verdict from pairs")

@@ -49,7 +49,7 @@ def _(spark, sf):
     i = F.col("vec_id")
     e = F.col("embedding").cast("array<double>")
     rows = X.table(spark, sf, "embeddings").filter((i % 97 != 3) | (i == 3)).select(F.when(i % 97 == 3, -1).otherwise(F.col("label")).alias("label"), F.when(i % 7 == 0, F.transform(e, lambda x: F.lit(0.0))).otherwise(e).alias("v"))
-    return R.diversity(rows, "label", "v").withColumn("diversity", F.round("diversity", 6))
+    return R.diversity_per_key(rows, "label", "v").withColumn("diversity", F.round("diversity", 6))
 
 
 @query("r8_combined_rewards", _T + "select pair_id, round(0.85 * (case when said is null then -1 else win end) + 0.15 * fmt, 9) as combined, round(0.10 * ok::integer + 0.60 * win + ok::integer * (0.15 * 0.5 + 0.15 * disc), 9) as quality, round(0.55 * (case when win > 0 then win * fmt else win end) + 0.20 * im * fmt + 0.25 * fmt + dom, 9) as margin from ts")

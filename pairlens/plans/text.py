@@ -96,10 +96,15 @@ def _(spark, sf):
     return X.table(spark, sf, "documents").select("doc_id", T.shortened(F.col("text"), 50).alias("head"))
 
 
-@query("p20_int_lists", "select pair_id, [pair_id % 7, pair_id % 11, 3]::int[] as qids from pairs")
+#: cells that hold a pair's question numbers in some form, or none
+_CELLS = ("' [' || ids || ']'", "'(' || ids || ')'", "'(' || pair_id || ',)'", "'[]'", "''", "'None'", "'[' || replace(ids, ', ', ',') || ',]'", "'[' || pair_id || '.9, -' || pair_id || '.9]'", "'questions ' || ids", "null", "'[' || pair_id || ', \"' || pair_id || '\"]'")
+_CELL = f"case pair_id % {len(_CELLS)} " + " ".join(f"when {i} then {x}" for i, x in enumerate(_CELLS)) + " end"
+
+
+@query("p20_int_lists", f", i as (select pair_id, list(qid order by qid) as q from answers where ans_a <> ans_b group by pair_id) select pair_id, case when pair_id % {len(_CELLS)} in (0, 1, 6) then q when pair_id % {len(_CELLS)} = 2 then [pair_id::integer] when pair_id % {len(_CELLS)} = 7 then [pair_id::integer, -pair_id::integer] when pair_id % {len(_CELLS)} = 10 then [pair_id::integer, pair_id::integer] else []::integer[] end as qids from i")
 def _(spark, sf):
-    p = X.slim_pairs(spark, sf)
-    return p.select("pair_id", T.int_list(F.concat(F.lit(" ["), F.col("pair_id") % 7, F.lit(", "), F.col("pair_id") % 11, F.lit(", 3]"))).alias("qids"))
+    rows = X.answers(spark, sf).filter("ans_a <> ans_b").groupBy("pair_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("qid")), lambda q: q.cast("string")), ", ").alias("ids"))
+    return rows.select("pair_id", T.int_list(F.expr(_CELL)).alias("qids"))
 
 
 @query("p21_comparative_question", "select qid, case when question_text like 'Does the response%' then 'Which response better' || substr(question_text, 18) when question_text like 'Is the response%' then 'Which response is more' || substr(question_text, 16) when question_text like 'Are %' then 'In which response are there better ' || substr(question_text, 5) else 'Comparing the two responses: ' || question_text end as question from (select qid, (['Does the response ', 'Is the response ', 'Are ', ''])[qid % 4 + 1] || question_text as question_text from bank)")

@@ -191,6 +191,7 @@ def test_text_functions(spark):
     assert f(T.standard_references(c), "@response 1 beats RESPONSE b; responses a") == "Response A beats Response B; responses a"
     assert f(T.swap_references(c), "Response A, Response B") == "Response B, Response A"
     assert f(T.int_list(c), " [1, 2]") == [1, 2] and f(T.int_list(c), None) == [] and f(T.int_list(c), "x") == []
+    assert f(T.int_list(c), "(3,)") == [3] and f(T.int_list(c), "(1, 2)") == [1, 2] and f(T.int_list(c), "[1.9, -1.9, '4']") == [1, -1, 4] and f(T.int_list(c), "[1, null]") == f(T.int_list(c), "None") == f(T.int_list(c), "[1, 'a']") == []
     assert f(T.lines(c), "a\r\nb c\x85") == ["a", "b", "c"] == "a\r\nb c\x85".splitlines()
     assert f(T.word_count(c), " a  b\n") == 2 and f(T.byte_tokens(c), "") == 1
     assert f(T.with_think_block(c), "plan\n### Final\nWinner: A") == "<think>\nplan\n</think>\n\n### Final\nWinner: A"
@@ -240,3 +241,14 @@ def test_review_rows(spark):
         E.review(df, "some")
     lists = df.withColumn("selected_qids", F.array(F.lit(1)))
     assert sum(len(r.differences) for r in E.review(lists).collect()) == 3
+
+
+def test_target_validity_gives_the_first_reason(spark):
+    from pairlens.operators.exports import target_validity
+
+    cases = {
+        "Q1: yes\nQ2: no": "ok", "\n q1:YES \n\nQ2: No\r\n": "ok", "": "empty_target", " \n": "empty_target", None: "empty_target", "Q1: yes": "line_count_mismatch(1!=2)", "Q2: yes\nQ1: no": "out_of_order(expected Q1 got Q2)",
+        "Q1: yes\nQ1: no": "out_of_order(expected Q2 got Q1)", "Q01: yes\nQ2: N/A": "bad_line:'Q2: N/A'", "x" * 70 + "\nQ2: no": "bad_line:'" + "x" * 60 + "'", "Q3: no\nbad": "out_of_order(expected Q1 got Q3)", "Q99999999999999999999: no\nQ2: no": "out_of_order(expected Q1 got Q99999999999999999999)",
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    assert {r.t: r.why for r in df.select("t", target_validity(F.col("t"), F.lit(2)).alias("why")).collect()} == cases

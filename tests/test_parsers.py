@@ -133,7 +133,7 @@ def test_trace(spark):
 
 
 def test_small_parsers(spark):
-    assert one(spark, P.likert, "I give 4") == 4 and one(spark, P.likert, "N/A") is None and one(spark, P.likert, "9") is None
+    assert one(spark, P.likert, "I give 4") is None and one(spark, P.likert, "Score: N/A, Score: 4") is None and one(spark, P.likert, "score:9") is None and one(spark, P.likert, "so Score:\n45") == 4
     assert one(spark, P.verifier, " No, same") == "no" and one(spark, P.verifier, "hmm") == "yes"
     assert one(spark, P.na_numbers, "Q1: yes\n Q2: N/A\nq3: na") == [2, 3]
     assert [(x.q, x.label) for x in one(spark, P.comparative_answers, "Q1: A Q2: tie\nQ1: b")] == [(1, "b"), (2, "Tie")]

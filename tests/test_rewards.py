@@ -48,7 +48,7 @@ def test_numeric_answer_of_nulls(spark):
 def test_diversity_by_definition(spark):
     r = random.Random(1)
     rows = [(k, [r.gauss(0, 1) for _ in range(4)]) for k in (1, 2) for _ in range(9)] + [(2, [0.0] * 4), (3, [0.0] * 4), (3, [0.0] * 4), (4, [1.0, 0.0, 0.0, 0.0]), (5, None), (6, [1.0, None, 0.0, 0.0]), (7, [1.0] * 4), (7, [2.0] * 4), (1, None)]
-    got = dict(map(tuple, rewards.diversity(spark.createDataFrame(rows, "k int, v array<double>"), "k", "v").collect()))
+    got = dict(map(tuple, rewards.diversity_per_key(spark.createDataFrame(rows, "k int, v array<double>"), "k", "v").collect()))
 
     def cosine(x, y):
         n = math.sqrt(sum(a * a for a in x) * sum(b * b for b in y))
