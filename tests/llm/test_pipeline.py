@@ -69,7 +69,7 @@ def test_stages_take_odd_rows(spark, sf, place):
 
 def test_registry_is_whole():
     names = registry.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert set(registry.oracle_sql()) <= set(names)
     for sql in registry.oracle_sql().values():
         duckdb.extract_statements(sql)
