@@ -21,12 +21,12 @@ def _fold(name: str, rows: str, max_bytes: int, max_tokens: int) -> str:
   select n.job, n.id, n.i, case when {full} then n.b else f.b + n.b end, case when {full} then n.t else f.t + n.t end, case when {full} then f.shard + 1 else f.shard end from {name} f join {name}_i n on n.job = f.job and n.i = f.i + 1)"""
 
 
-@query("w20_shard_packing", "," + _fold("fold", "select domain as job, pair_id as id, ca + cb as b, ca // 4 + cb // 4 + 1024 + pair_id % 512 as t from pairs", 100_000, 40_000) + " select job as domain, id as pair_id, cast(shard as bigint) as shard from fold")
+@query("w20_shard_packing", "," + _fold("fold", "select domain as job, pair_id as id, ca + cb as b, ca // 4 + cb // 4 + 1024 + pair_id % 512 as t from pairs", 400_000, 130_000) + " select job as domain, id as pair_id, cast(shard as bigint) as shard from fold")
 def _(spark, sf):
     """Requests of both responses, packed by bytes and by tokens with the output's allowance."""
     ca, cb = F.col("ca"), F.col("cb")
     rows = X.slim_pairs(spark, sf).select("domain", "pair_id", (ca + cb).alias("bytes"), (F.floor(ca / 4) + F.floor(cb / 4) + 1024 + F.col("pair_id") % 512).alias("tokens"))
-    return packing.packed(rows, "domain", ["pair_id"], {"bytes": 100_000, "tokens": 40_000}).select("domain", "pair_id", "shard")
+    return packing.packed(rows, "domain", ["pair_id"], {"bytes": 400_000, "tokens": 130_000}).select("domain", "pair_id", "shard")
 
 
 #: A job for each type of event; the budget of tokens shrinks from round to round.
