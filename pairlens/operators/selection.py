@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairlens.functions.text import let
+
 
 def ranked(rows: DataFrame, keys: list[str], order: list[Column], name: str = "rank") -> DataFrame:
     """Adds a rank from 1 within keys."""
@@ -83,9 +85,10 @@ def softmax(values: Column, temperature: float = 1.0) -> Column:
     """Softmax of an array, shifted by its maximum; uniform where the sum isn't positive."""
     if temperature <= 0:
         raise ValueError("the temperature must be positive")
-    powers = F.transform(values, lambda x: F.exp((x - F.array_max(values)) / temperature))
-    total = F.aggregate(powers, F.lit(0.0), lambda s, x: s + x)
-    return F.when(total > 0, F.transform(powers, lambda p: p / total)).otherwise(F.transform(values, lambda x: 1 / F.size(values)))
+    total = lambda powers: F.aggregate(powers, F.lit(0.0), lambda s, x: s + x)
+    shares = lambda powers: let(total(powers), lambda t: F.transform(powers, lambda p: F.when(t > 0, p / t).otherwise(1 / F.size(powers))))
+    powers = let(values, lambda xs: let(F.array_max(xs), lambda top: F.transform(xs, lambda x: F.exp((x - top) / temperature))))
+    return let(powers, shares)
 
 
 def clamped(importance: Column, low: float = 0.0, high: float = 5.0, missing: float = 0.0) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 CUTS = 64
 PREFIX = 3  # hex digits: 4,096 buckets
 SMALL = 100_000
+TASK_ROWS = 1 << 17
 
 
 def cut_points(df: DataFrame, column: str, cuts: int) -> list[float]:
@@ -130,3 +131,12 @@ def small_broadcast(df: DataFrame, most: int = SMALL) -> DataFrame:
     overestimates behind a join, so that it would shuffle the facts first.
     """
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def dealt(df: DataFrame, keys: list[str], rows: int, most: int = TASK_ROWS) -> DataFrame:
+    """Rows dealt by keys to as many partitions as it takes for ``most`` of the ``rows`` that a join will make of them.
+
+    The bytes of a few narrow rows say nothing of what they grow to, and adaptive
+    coalescing goes by them; a number of partitions that is asked for stays.
+    """
+    return df.repartition(max(1, -(-rows // most)), *keys)

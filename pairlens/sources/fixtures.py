@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.operators.windows import one_value, small_broadcast
+from pairlens.operators.windows import dealt, one_value, small_broadcast
 
 #: The dimensions of the question bank; the second is asked in the code domain only.
 DIMENSIONS = (
@@ -95,9 +95,11 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pair_id, domain, winner, preference_strength, qid, dimension, sub_aspect, ans_a, ans_b: pairs by their active questions.
 
     The bank is a few hundred rows, whatever the number of pairs: the join
-    broadcasts it and keeps the partitioning of the pairs.
+    broadcasts it and keeps the partitioning of the pairs, which are dealt so that
+    the facts of a task, not its pairs, have a bound.
     """
-    facts = slim_pairs(spark, sf_dir).join(small_broadcast(active_bank(spark, sf_dir).select("domain", "qid", "dimension", "sub_aspect")), "domain")
+    facts = table(spark, sf_dir, "documents").count() // 2 * table(spark, sf_dir, "benchmark").count()
+    facts = dealt(slim_pairs(spark, sf_dir), ["pair_id"], facts).join(small_broadcast(active_bank(spark, sf_dir).select("domain", "qid", "dimension", "sub_aspect")), "domain")
     q = F.col("qid").cast("long")
     side = lambda c, square, step, other: (F.col(c) * q + q * q * square + F.col("pair_id") * step) % 97 + F.when(F.col("winner") == other, 12).otherwise(0)
     return facts.select("pair_id", "domain", "winner", "preference_strength", "qid", "dimension", "sub_aspect", _label(side("ca", 13, 7, "B")).alias("ans_a"), _label(side("cb", 17, 11, "A")).alias("ans_b"))
