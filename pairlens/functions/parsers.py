@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import LINE_END, SPACE, strip
+from .text import LINE_END, SPACE, let, strip
 
 #: The line forms of a checklist answer.
 _NA_WORD = rf"(?:N{SPACE}*/{SPACE}*A|NA|not{SPACE}*applicable){SPACE}*[.。]?"
@@ -16,11 +14,6 @@ _LINE = rf"(?i)^(?:Q([0-9]+):{SPACE}*)?(yes|no|{_NA_WORD})$"
 _MATCHES = ("answer", "na", "bare", "bare_na")
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is evaluated once."""
-    return F.transform(F.array(value), use)[0]
-
-
 def checklist_states(raw: Column, n: Column) -> Column:
     """array<struct<lineno, line, kind, q, answer, fate>>: what becomes of each line of one output.
 
@@ -63,13 +56,13 @@ def checklist_states(raw: Column, n: Column) -> Column:
 
             return F.transform(found, one)
 
-        return F.sort_array(F.concat(rest, _let(F.sort_array(F.concat(named, bare)), judged)))
+        return F.sort_array(F.concat(rest, let(F.sort_array(F.concat(named, bare)), judged)))
 
     def stopped(rows: Column, first: Column) -> Column:
         bad = F.array_min(lineno(F.filter(rows, lambda x: (x["kind"] == "other") & (x["lineno"] > first))))
-        return _let(bad, lambda stop: fates(rows, stop))
+        return let(bad, lambda stop: fates(rows, stop))
 
-    return _let(F.transform(groups, typed), lambda rows: _let(F.array_min(lineno(F.filter(rows, match))), lambda first: stopped(rows, first)))
+    return let(F.transform(groups, typed), lambda rows: let(F.array_min(lineno(F.filter(rows, match))), lambda first: stopped(rows, first)))
 
 
 def _states(outputs: DataFrame, keys: list[str], raw: str, n: str) -> DataFrame:
@@ -145,9 +138,9 @@ def _numbered(raw: Column, pattern: str) -> Column:
 
 def _by_number(found: Column, last: bool) -> Column:
     """One label per number: the first or the last."""
-    rows = F.reverse(found) if last else found
-    once = F.transform(F.array_distinct(F.transform(rows, lambda x: x["q"])), lambda q: F.struct(q.alias("q"), F.filter(rows, lambda x: x["q"] == q)[0]["label"].alias("label")))
-    return F.sort_array(once)
+    placed = F.transform(found, lambda x, i: F.struct(x["q"].alias("q"), (-i if last else i).alias("place"), x["label"].alias("label")))
+    once = let(F.sort_array(placed), lambda rows: F.filter(rows, lambda x, i: F.coalesce(F.get(rows, i - 1)["q"] != x["q"], F.lit(True))))
+    return F.transform(once, lambda x: F.struct(x["q"].alias("q"), x["label"].alias("label")))
 
 
 def comparative_answers(raw: Column) -> Column:

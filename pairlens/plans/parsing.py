@@ -88,8 +88,9 @@ def comparative(spark, sf):
 
 @query("x3_comparative_last", _COMPARATIVE + "select pair_id, cast(q as integer) as q, l as label, true as ok from ab")
 def _(spark, sf):
-    rows = comparative(spark, sf).withColumn("a", P.comparative_answers(F.col("raw")))
-    return rows.select("pair_id", P.comparative_ok(F.col("a"), F.col("n")).alias("ok"), F.explode("a").alias("x")).select("pair_id", "x.q", "x.label", "ok")
+    rows = comparative(spark, sf).select("pair_id", "n", P.comparative_answers(F.col("raw")).alias("a"))
+    rows = rows.select("pair_id", P.comparative_ok(F.col("a"), F.col("n")).alias("ok"), "a")
+    return rows.select("pair_id", "ok", F.explode("a").alias("x")).select("pair_id", "x.q", "x.label", "ok")
 
 
 @query("x4_comparative_first", _COMPARATIVE + "select pair_id, cast(q as integer) as q, case when q = 1 then 'Tie' when l = 'a' then 'A' else l end as label from ab")

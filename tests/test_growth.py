@@ -33,6 +33,11 @@ def test_softmax_of_a_long_array(spark):
     assert got[0].s == pytest.approx(1)
 
 
+def test_comparative_last_of_a_long_output(spark):
+    a = within(8, texts(spark).select(P.comparative_answers(F.col("raw")).alias("a")))[0].a
+    assert len(a) == N and [tuple(x) for x in a[:2]] == [(1, "B"), (2, "A")]
+
+
 def test_a_task_holds_a_bounded_number_of_facts(spark):
     """Pairs are few bytes, which would all meet in one partition; the facts made of them are many."""
     from pairlens.operators.windows import TASK_ROWS
