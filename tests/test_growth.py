@@ -38,6 +38,11 @@ def test_comparative_last_of_a_long_output(spark):
     assert len(a) == N and [tuple(x) for x in a[:2]] == [(1, "B"), (2, "A")]
 
 
+def test_comparative_first_of_a_long_output(spark):
+    a = within(8, texts(spark).select(P.comparative_answers_strict(F.col("raw"), F.col("n")).alias("a")))[0].a
+    assert len(a) == N and [tuple(x) for x in a[:2]] == [(1, "A"), (2, "A")]
+
+
 def test_a_task_holds_a_bounded_number_of_facts(spark):
     """Pairs are few bytes, which would all meet in one partition; the facts made of them are many."""
     from pairlens.operators.windows import TASK_ROWS
