@@ -168,14 +168,18 @@ def label_name(c: Column) -> Column:
 
 def trailing_winner(raw: Column) -> Column:
     """The first line that ends with "Winner: A", B or Tie."""
-    return label_name(F.regexp_extract(raw, r"(?im)Winner:\s*(A|B|Tie)\s*$", 1))
+    return let(F.regexp_extract(raw, r"(?im)Winner:\s*(A|B|Tie)\s*$", 1), label_name)
 
 
 def comparative_winner(answers: Column, final: Column, delta: float = 0.05) -> Column:
     """A final A or B, else the margin of the labels, else null."""
-    count = lambda x: F.size(F.filter(answers, lambda a: a["label"] == x))
-    margin = F.try_divide(count("A") - count("B"), F.size(answers))
-    return F.when(final.isin("A", "B"), final).when(F.size(answers) == 0, F.lit(None)).when(margin > delta, "A").when(margin < -delta, "B").otherwise("Tie")
+
+    def by_margin(labels: Column) -> Column:
+        count = lambda x: F.size(F.filter(labels, lambda a: a["label"] == x))
+        margin = F.try_divide(count("A") - count("B"), F.size(labels))
+        return let(margin, lambda m: F.when(F.size(labels) == 0, F.lit(None)).when(m > delta, "A").when(m < -delta, "B").otherwise("Tie"))
+
+    return let(final, lambda stated: F.when(stated.isin("A", "B"), stated).otherwise(let(answers, by_margin)))
 
 
 def vanilla_winner(raw: Column) -> Column:

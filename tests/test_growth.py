@@ -43,6 +43,12 @@ def test_comparative_first_of_a_long_output(spark):
     assert len(a) == N and [tuple(x) for x in a[:2]] == [(1, "A"), (2, "A")]
 
 
+def test_comparative_winner_of_a_long_output(spark):
+    a = P.comparative_answers_strict(F.col("raw"), F.col("n"))
+    rows = within(8, texts(spark, "b").select(P.comparative_winner(a, P.trailing_winner(F.col("raw"))).alias("w"), P.comparative_winner(F.array().cast("array<struct<q:int,label:string>>"), F.lit(None)).alias("none"), P.comparative_winner(a, F.lit("A")).alias("stated")))
+    assert [tuple(r) for r in rows] == [("B", None, "A")]
+
+
 def test_a_task_holds_a_bounded_number_of_facts(spark):
     """Pairs are few bytes, which would all meet in one partition; the facts made of them are many."""
     from pairlens.operators.windows import TASK_ROWS
