@@ -55,3 +55,17 @@ def test_a_task_holds_a_bounded_number_of_facts(spark):
 
     parts = X.answers(spark, "/root/testdata/sf0.1").groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("pair_id").alias("k")).collect()
     assert max(r.n for r in parts) < 1.5 * TASK_ROWS and sum(r.k for r in parts) == 5000
+
+
+#: queries that put facts in order, whose memory grew with the pairs of a task
+ORDERED = (
+    "w4_topk_quota",
+)
+
+
+@pytest.mark.parametrize("name", ORDERED)
+def test_ordered_facts_are_of_dealt_pairs(spark, sf, name):
+    from pairlens.plans import registry
+
+    plan = registry.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [pair_id" in plan
