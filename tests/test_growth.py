@@ -61,6 +61,7 @@ def test_a_task_holds_a_bounded_number_of_facts(spark):
 ORDERED = (
     "w4_topk_quota",
     "w5_sub_aspect_cap",
+    "a14_generic_overuse",
 )
 
 
