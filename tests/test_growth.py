@@ -62,6 +62,7 @@ ORDERED = (
     "w4_topk_quota",
     "w5_sub_aspect_cap",
     "a14_generic_overuse",
+    "w18_representative_cases",
 )
 
 
