@@ -63,6 +63,7 @@ ORDERED = (
     "w5_sub_aspect_cap",
     "a14_generic_overuse",
     "w18_representative_cases",
+    "a15_mode_cooccurrence",
 )
 
 
