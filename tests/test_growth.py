@@ -64,6 +64,7 @@ ORDERED = (
     "a14_generic_overuse",
     "w18_representative_cases",
     "a15_mode_cooccurrence",
+    "a15_mode_counts",
 )
 
 
