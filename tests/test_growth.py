@@ -65,6 +65,7 @@ ORDERED = (
     "w18_representative_cases",
     "a15_mode_cooccurrence",
     "a15_mode_counts",
+    "a16_task_statistics",
 )
 
 
