@@ -66,6 +66,7 @@ ORDERED = (
     "a15_mode_cooccurrence",
     "a15_mode_counts",
     "a16_task_statistics",
+    "c24_failure_modes",
 )
 
 
