@@ -67,6 +67,7 @@ ORDERED = (
     "a15_mode_counts",
     "a16_task_statistics",
     "c24_failure_modes",
+    "a13_dimension_failures",
 )
 
 
