@@ -68,6 +68,7 @@ ORDERED = (
     "a16_task_statistics",
     "c24_failure_modes",
     "a13_dimension_failures",
+    "s16_negative_samples",
 )
 
 
