@@ -69,6 +69,7 @@ ORDERED = (
     "c24_failure_modes",
     "a13_dimension_failures",
     "s16_negative_samples",
+    "w8_stable_shuffle",
 )
 
 
