@@ -70,6 +70,7 @@ ORDERED = (
     "a13_dimension_failures",
     "s16_negative_samples",
     "w8_stable_shuffle",
+    "a12_question_frequencies",
 )
 
 
