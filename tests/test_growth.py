@@ -71,6 +71,7 @@ ORDERED = (
     "s16_negative_samples",
     "w8_stable_shuffle",
     "a12_question_frequencies",
+    "c21_leaderboard",
 )
 
 
