@@ -72,6 +72,7 @@ ORDERED = (
     "w8_stable_shuffle",
     "a12_question_frequencies",
     "c21_leaderboard",
+    "c22_condition_comparison",
 )
 
 
