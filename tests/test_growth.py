@@ -82,3 +82,10 @@ def test_ordered_facts_are_of_dealt_pairs(spark, sf, name):
 
     plan = registry.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [pair_id" in plan
+
+
+def test_run_records_are_of_dealt_pairs(spark, sf):
+    """The frontier stages its rows, so that its own plan doesn't show it."""
+    from pairlens.plans import metrics
+
+    assert "RepartitionByExpression [pair_id" in metrics.runs(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
