@@ -273,9 +273,20 @@ def prompt_questions(prompt: Column) -> Column:
 
 def answer_differences(a: Column, b: Column, missing: str = "—") -> Column:
     """array<struct<q, a, b>> where two maps of labels differ, a missing side shown as a dash."""
-    numbers = F.sort_array(F.array_union(F.map_keys(a), F.map_keys(b)))
-    get = lambda m, q: F.coalesce(F.try_element_at(m, q), F.lit(missing))
-    return F.filter(F.transform(numbers, lambda q: F.struct(q.alias("q"), get(a, q).alias("a"), get(b, q).alias("b"))), lambda x: x["a"] != x["b"])
+    side = lambda m, i: F.transform(F.map_entries(m), lambda e: F.struct(e["key"].alias("q"), F.lit(i).alias("side"), F.coalesce(e["value"], F.lit(missing)).alias("label")))
+    label = lambda cond, x: F.when(cond, x["label"]).otherwise(missing)
+
+    def met(rows: Column) -> Column:
+        """A number's labels stand side by side; its first row holds both."""
+
+        def one(x: Column, i: Column) -> Column:
+            before, after = F.get(rows, i - 1), F.get(rows, i + 1)
+            first, both = F.coalesce(before["q"] != x["q"], F.lit(True)), F.coalesce(after["q"] == x["q"], F.lit(False))
+            return F.when(first, F.struct(x["q"].alias("q"), label(x["side"] == 0, x).alias("a"), F.when(both, after["label"]).otherwise(label(x["side"] == 1, x)).alias("b")))
+
+        return F.transform(rows, one)
+
+    return F.filter(let(F.sort_array(F.concat(side(a, 0), side(b, 1))), met), lambda x: x["a"] != x["b"])
 
 
 def answer_map(json: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.functions.parsers import answer_differences
-from pairlens.functions.text import int_list, lines, strip, with_think_block
+from pairlens.functions.text import int_list, let, lines, strip, with_think_block
 
 
 def target_validity(target: Column, n: Column) -> Column:
@@ -84,7 +84,8 @@ def review(results: DataFrame, show: str = "All", domain: str | None = None) ->
     rows = rows if show == "All" else rows.filter(right if show == "Correct predictions" else ~right)
     cell = F.col("selected_qids")
     chosen = int_list(cell) if rows.schema["selected_qids"].dataType.typeName() == "string" else cell
-    kept = F.filter(answer_differences(F.col("answers_a"), F.col("answers_b")), lambda d: cell.isNull() | F.array_contains(chosen, d["q"]))
+    found = answer_differences(F.col("answers_a"), F.col("answers_b"))
+    kept = let(chosen, lambda ids: F.filter(found, lambda d: cell.isNull() | F.array_contains(ids, d["q"])))
     return rows.withColumn("differences", kept)
 
 

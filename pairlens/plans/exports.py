@@ -107,7 +107,7 @@ def _(spark, sf):
     entries = F.sort_array(F.collect_list(F.struct("qid", "ans_a", "ans_b")))
     side = lambda c: F.map_from_entries(F.transform(F.col("e"), lambda x: F.struct(x["qid"], x[c])))
     chosen = F.to_json(F.filter(F.transform("e", lambda x: x["qid"]), lambda q: q % 3 == F.col("pair_id") % 3))
-    rows = X.answers(spark, sf).groupBy("pair_id").agg(entries.alias("e")).select("pair_id", side("ans_a").alias("answers_a"), side("ans_b").alias("answers_b"), F.when(F.col("pair_id") % 4 != 0, chosen).alias("selected_qids"))
+    rows = X.answers(spark, sf).filter("domain = 'stem'").groupBy("pair_id").agg(entries.alias("e")).select("pair_id", side("ans_a").alias("answers_a"), side("ans_b").alias("answers_b"), F.when(F.col("pair_id") % 4 != 0, chosen).alias("selected_qids"))
     results = Q.judged(spark, sf).select("pair_id", "domain", "winner", "predicted_winner").join(rows, "pair_id")
     seen = E.review(results, "Wrong predictions", "stem")
     return seen.select("pair_id", "winner", "predicted_winner", F.explode("differences").alias("d")).select("pair_id", "winner", "predicted_winner", "d.*")

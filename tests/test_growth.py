@@ -89,3 +89,18 @@ def test_run_records_are_of_dealt_pairs(spark, sf):
     from pairlens.plans import metrics
 
     assert "RepartitionByExpression [pair_id" in metrics.runs(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_review_of_many_answers(spark):
+    n = N // 2
+    side = lambda label: F.map_from_entries(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.struct(i, F.when(i % 2 == 0, "no").otherwise(label))))
+    rows = spark.range(1).repartition(1).select(F.lit("stem").alias("domain"), F.lit("A").alias("winner"), F.lit("B").alias("predicted_winner"), side("yes").alias("answers_a"), side("na").alias("answers_b"), F.to_json(F.sequence(F.lit(1), F.lit(n))).alias("selected_qids"))
+    d = within(8, E.review(rows).select("differences"))[0].differences
+    assert len(d) == n // 2 and tuple(d[1]) == (3, "yes", "na")
+
+
+def test_differences_of_missing_sides_and_values(spark):
+    a = F.map_from_arrays(F.array(*map(F.lit, (3, 1, 2, 5))), F.array(F.lit("yes"), F.lit("no"), F.lit(None), F.lit("na")))
+    b = F.map_from_arrays(F.array(*map(F.lit, (2, 3, 4))), F.array(F.lit("no"), F.lit("yes"), F.lit(None).cast("string")))
+    r = spark.range(1).select(P.answer_differences(a, b).alias("d"), P.answer_differences(a, F.lit(None).cast("map<int,string>")).alias("none")).first()
+    assert [tuple(x) for x in r.d] == [(1, "no", "—"), (2, "—", "no"), (5, "na", "—")] and r.none is None
