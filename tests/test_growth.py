@@ -57,7 +57,7 @@ def test_a_task_holds_a_bounded_number_of_facts(spark):
     assert max(r.n for r in parts) < 1.5 * TASK_ROWS and sum(r.k for r in parts) == 5000
 
 
-#: queries that put facts in order, whose memory grew with the pairs of a task
+#: queries of many facts, all of which were one task's
 ORDERED = (
     "w4_topk_quota",
     "w5_sub_aspect_cap",
@@ -73,6 +73,7 @@ ORDERED = (
     "a12_question_frequencies",
     "c21_leaderboard",
     "c22_condition_comparison",
+    "x2_strict_lines",
 )
 
 
