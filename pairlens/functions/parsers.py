@@ -83,12 +83,14 @@ def checklist_answers(outputs: DataFrame, keys: list[str], raw: str = "raw", n:
     return rows.select(*keys, F.inline(kept))
 
 
-def parsed_checklist(outputs: DataFrame, keys: list[str], raw: str = "raw", n: str = "n") -> DataFrame:
+def parsed_checklist(outputs: DataFrame, keys: list[str], raw: str = "raw", n: str = "n", more: dict[str, Column] | None = None) -> DataFrame:
     """The parsed form of each output, one row each: counts, score, completeness, why it stopped.
 
     parse_ok is false for a fallback: no yes or no answer. Its score is 0 and its
-    flags are false; numbers of its na answers are kept.
+    flags are false; numbers of its na answers are kept. ``more`` columns over the
+    states come from the same reading.
     """
+    more = more or {}
     where = lambda cond: F.filter("states", cond)
     count = lambda cond: F.size(where(cond)).cast("bigint")
     bad = F.get(where(lambda x: x["fate"] == "stop"), F.lit(0))
@@ -99,7 +101,7 @@ def parsed_checklist(outputs: DataFrame, keys: list[str], raw: str = "raw", n: s
         count(lambda x: x["answer"] == "yes").alias("n_yes"), count(lambda x: x["answer"] == "no").alias("n_no"), count(lambda x: x["answer"] == "na").alias("n_na"),
         count(lambda x: x["fate"] == "duplicate").alias("n_duplicates"), count(lambda x: x["fate"] == "out_of_range").alias("n_out_of_range"),
         bad["line"].alias("first_bad_line"), bad["lineno"].alias("first_bad_lineno"),
-        F.exists("states", lambda x: x["kind"].isin("na", "bare_na") & x["q"].isNotNull()).alias("hit_na"),
+        F.exists("states", lambda x: x["kind"].isin("na", "bare_na") & x["q"].isNotNull()).alias("hit_na"), *(c.alias(name) for name, c in more.items()),
     )
     parsed = F.col("n_yes") + F.col("n_no")
     ok = parsed > 0
@@ -112,22 +114,26 @@ def parsed_checklist(outputs: DataFrame, keys: list[str], raw: str = "raw", n: s
     return g.select(
         *keys, ok.alias("parse_ok"), F.when(ok, F.col("answers")).alias("answers"), "na_qnums", parsed.alias("n_questions_parsed"), "n_yes", F.when(ok, F.col("n_no")).alias("n_no"), "n_na",
         F.coalesce(F.try_divide(F.col("n_yes"), parsed), F.lit(0.0)).alias("score"), F.coalesce(ok & (parsed == F.col("n")), F.lit(False)).alias("complete"), F.coalesce(ok & (parsed + F.col("n_na") == F.col("n")), F.lit(False)).alias("complete_with_na"),
-        stop.alias("stop_reason"), "first_bad_line", "first_bad_lineno", "n_duplicates", "n_out_of_range",
+        stop.alias("stop_reason"), "first_bad_line", "first_bad_lineno", "n_duplicates", "n_out_of_range", *more,
     )
 
 
-def strict_lines(outputs: DataFrame, keys: list[str], raw: str = "raw", n: str = "n") -> DataFrame:
-    """A stricter look at the same lines: every match counts, repeated or not; flags what follows the block.
+def strict_reading() -> dict[str, Column]:
+    """A stricter look at the same lines, over their states: every match counts, repeated or not; flags what follows the block.
 
     rationale_after: another line after the first match; more_after: a match after that line.
     """
     match = lambda x: x["kind"].isin(*_MATCHES)
-    return _states(outputs, keys, raw, n).select(
-        *keys,
-        F.size(F.filter("states", lambda x: x["q"].isNotNull())).cast("bigint").alias("n_matches"),
-        F.exists("states", lambda x: x["fate"] == "stop").alias("rationale_after"),
-        F.exists("states", lambda x: match(x) & x["q"].isNull()).alias("more_after"),
-    )
+    return {
+        "n_matches": F.size(F.filter("states", lambda x: x["q"].isNotNull())).cast("bigint"),
+        "rationale_after": F.exists("states", lambda x: x["fate"] == "stop"),
+        "more_after": F.exists("states", lambda x: match(x) & x["q"].isNull()),
+    }
+
+
+def strict_lines(outputs: DataFrame, keys: list[str], raw: str = "raw", n: str = "n") -> DataFrame:
+    """The strict reading of each output, one row each."""
+    return _states(outputs, keys, raw, n).select(*keys, *(c.alias(name) for name, c in strict_reading().items()))
 
 
 def _numbered(raw: Column, pattern: str) -> Column:

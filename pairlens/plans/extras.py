@@ -57,10 +57,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     """Stored counts against a strict reading of the same outputs, overall and by domain."""
-    rows = X.raw_outputs(spark, sf)
-    strict = P.strict_lines(rows, KEYS)
-    stored = P.parsed_checklist(rows, KEYS)
-    both = stored.join(strict, KEYS).withColumn("kept", F.col("n_questions_parsed") + F.col("n_na"))
+    both = P.parsed_checklist(X.raw_outputs(spark, sf), KEYS, more=P.strict_reading()).withColumn("kept", F.col("n_questions_parsed") + F.col("n_na"))
     both = both.withColumn("domain", F.element_at(F.array(*map(F.lit, X.DOMAINS)), (F.col("pair_id") % 3 + 1).cast("int")))
     repeated = F.col("n_matches") > F.col("kept") + F.col("n_out_of_range")
     return both.rollup("domain").agg(F.count(F.lit(1)).alias("n"), F.count_if(repeated).alias("n_repeated"), F.count_if("rationale_after").alias("n_with_rationale"), F.avg((F.col("kept") == 0).cast("int")).alias("failed_rate"))

@@ -105,3 +105,10 @@ def test_differences_of_missing_sides_and_values(spark):
     b = F.map_from_arrays(F.array(*map(F.lit, (2, 3, 4))), F.array(F.lit("no"), F.lit("yes"), F.lit(None).cast("string")))
     r = spark.range(1).select(P.answer_differences(a, b).alias("d"), P.answer_differences(a, F.lit(None).cast("map<int,string>")).alias("none")).first()
     assert [tuple(x) for x in r.d] == [(1, "no", "—"), (2, "—", "no"), (5, "na", "—")] and r.none is None
+
+
+def test_reaudited_counts_read_each_output_once(spark, sf):
+    from pairlens.plans import registry
+
+    plan = registry.queries()["a28_reaudited_counts"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [doc_id") == 2  # documents and labels
