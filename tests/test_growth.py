@@ -74,6 +74,7 @@ ORDERED = (
     "c21_leaderboard",
     "c22_condition_comparison",
     "x2_strict_lines",
+    "p9_label_map",
 )
 
 
