@@ -75,6 +75,7 @@ ORDERED = (
     "c22_condition_comparison",
     "x2_strict_lines",
     "p9_label_map",
+    "a37_parse_summary",
 )
 
 
