@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pairlens.operators import scoring as S
 from pairlens.operators import selection as W
-from pairlens.operators.windows import one_value, small_broadcast
+from pairlens.operators.windows import dealt, one_value, small_broadcast
 from pairlens.sources import fixtures as X
 
 from . import scoring as Q
@@ -112,12 +112,15 @@ def _(spark, sf):
     "select pair_id, qid, cast(row_number() over (partition by pair_id order by round(score, 6) desc, qid) as integer) as rank from s",
 )
 def _(spark, sf):
-    """Pairs and questions take their vectors in turn from the embeddings; questions' vectors are broadcast with the bank."""
+    """Pairs and questions take their vectors in turn from the embeddings; questions' vectors are broadcast with the bank.
+
+    Pairs are dealt with their vectors, before they grow to facts.
+    """
     v = X.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
     count = one_value(v.agg(F.count(F.lit(1))))
     questions = X.bank(spark, sf).select("qid", ((100 + F.col("qid")) % count).alias("vec_id")).join(v, "vec_id").select("qid", F.col("e").alias("y"))
     facts = X.slim_pairs(spark, sf).withColumn("vec_id", F.col("pair_id") % count).join(v, "vec_id").select("pair_id", "domain", F.col("e").alias("x"))
-    rows = facts.join(small_broadcast(X.active_bank(spark, sf).select("domain", "qid")), "domain").join(small_broadcast(questions), "qid")
+    rows = dealt(facts, ["pair_id"], X.most_facts(spark, sf)).join(small_broadcast(X.active_bank(spark, sf).select("domain", "qid")), "domain").join(small_broadcast(questions), "qid")
     score = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda s, p: s + p)
     return W.ranked(rows.select("pair_id", "qid", F.round(score, 6).alias("s")), ["pair_id"], [F.desc("s"), F.col("qid")]).select("pair_id", "qid", "rank")
 

@@ -91,6 +91,11 @@ def _label(x: Column) -> Column:
     return F.when(x < 55, "yes").when(x < 88, "no").otherwise("na")
 
 
+def most_facts(spark: SparkSession, sf_dir: str) -> int:
+    """Pairs by questions, active or not: a bound on the facts, by which pairs are dealt."""
+    return table(spark, sf_dir, "documents").count() // 2 * table(spark, sf_dir, "benchmark").count()
+
+
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pair_id, domain, winner, preference_strength, qid, dimension, sub_aspect, ans_a, ans_b: pairs by their active questions.
 
@@ -98,8 +103,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     broadcasts it and keeps the partitioning of the pairs, which are dealt so that
     the facts of a task, not its pairs, have a bound.
     """
-    facts = table(spark, sf_dir, "documents").count() // 2 * table(spark, sf_dir, "benchmark").count()
-    facts = dealt(slim_pairs(spark, sf_dir), ["pair_id"], facts).join(small_broadcast(active_bank(spark, sf_dir).select("domain", "qid", "dimension", "sub_aspect")), "domain")
+    facts = dealt(slim_pairs(spark, sf_dir), ["pair_id"], most_facts(spark, sf_dir)).join(small_broadcast(active_bank(spark, sf_dir).select("domain", "qid", "dimension", "sub_aspect")), "domain")
     q = F.col("qid").cast("long")
     side = lambda c, square, step, other: (F.col(c) * q + q * q * square + F.col("pair_id") * step) % 97 + F.when(F.col("winner") == other, 12).otherwise(0)
     return facts.select("pair_id", "domain", "winner", "preference_strength", "qid", "dimension", "sub_aspect", _label(side("ca", 13, 7, "B")).alias("ans_a"), _label(side("cb", 17, 11, "A")).alias("ans_b"))

@@ -114,3 +114,10 @@ def test_reaudited_counts_read_each_output_once(spark, sf):
 
     plan = registry.queries()["a28_reaudited_counts"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [doc_id") == 2  # documents and labels
+
+
+def test_pairs_with_vectors_are_dealt(spark, sf):
+    from pairlens.plans import registry
+
+    plan = registry.queries()["w7_rank_by_embedding_score"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [pair_id" in plan
