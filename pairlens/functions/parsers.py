@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,11 +11,38 @@ from .text import LINE_END, SPACE, let, strip
 
 #: The line forms of a checklist answer.
 _NA_WORD = rf"(?:N{SPACE}*/{SPACE}*A|NA|not{SPACE}*applicable){SPACE}*[.。]?"
-#: groups: number, answer; neither where a line has another form
+#: the second group: the answer; no match where a line has another form
 _LINE = rf"(?i)^(?:Q([0-9]+):{SPACE}*)?(yes|no|{_NA_WORD})$"
 _MATCHES = ("answer", "na", "bare", "bare_na")
 
 
+def _read_lines(raw: Column) -> Column:
+    """array<struct<lineno, line, said>> of an output: its lines without white space at their ends; said: the answer of a match in lower case, else empty."""
+    lines = F.transform(F.split(F.coalesce(raw, F.lit("")), LINE_END, -1), strip)
+    return F.transform(lines, lambda x, i: F.struct((i + 1).alias("lineno"), x.alias("line"), F.lower(F.regexp_extract(x, _LINE, 2)).alias("said")))
+
+
+def _is_match(x: Column) -> Column:
+    return x["said"] != ""
+
+
+def _has_number(match: Column) -> Column:
+    """Of the forms of a match, only those with a number have a colon."""
+    return match["line"].contains(":")
+
+
+def _kind(x: Column) -> Column:
+    yes_no = x["said"].isin("yes", "no")
+    named, bare = F.when(yes_no, "answer").otherwise("na"), F.when(yes_no, "bare").otherwise("bare_na")
+    return F.when(x["line"] == "", "blank").when(~_is_match(x), "other").when(_has_number(x), named).otherwise(bare)
+
+
+def _stopped(rows: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of the number of the line that stops an output: the first other line after a match; null where there is none."""
+    first = lambda cond: F.get(F.filter(rows, cond), F.lit(0))["lineno"]
+    return let(first(_is_match), lambda began: let(first(lambda x: ~_is_match(x) & (x["line"] != "") & (x["lineno"] > began)), use))
+
+
 def checklist_states(raw: Column, n: Column) -> Column:
     """array<struct<lineno, line, kind, q, answer, fate>>: what becomes of each line of one output.
 
@@ -21,29 +50,19 @@ def checklist_states(raw: Column, n: Column) -> Column:
     that only bare lines move), blank, other. The first other line after a match
     stops the output. fate: kept, duplicate, out_of_range, stop, or ignored.
 
-    An output is read within its row: nothing is shuffled, and each step is one pass
-    over its lines or one sort of them.
+    An output is read within its row: nothing is shuffled, each step is one pass over
+    its lines or one sort of them, and each line meets the pattern once.
     """
 
-    def typed(x: Column) -> Column:
-        said, number = x["said"], x["number"]
-        yes_no = said.isin("yes", "no")
-        kind = F.when(x["line"] == "", "blank").when(said == "", "other").when(number != "", F.when(yes_no, "answer").otherwise("na")).otherwise(F.when(yes_no, "bare").otherwise("bare_na"))
-        return F.struct(x["lineno"].alias("lineno"), x["line"].alias("line"), said.alias("said"), number.alias("number"), kind.alias("kind"))
-
-    lines = F.transform(F.split(F.coalesce(raw, F.lit("")), LINE_END, -1), lambda x, i: F.struct((i + 1).alias("lineno"), strip(x).alias("line")))
-    groups = F.transform(lines, lambda x: F.struct(x["lineno"].alias("lineno"), x["line"].alias("line"), F.lower(F.regexp_extract(x["line"], _LINE, 2)).alias("said"), F.regexp_extract(x["line"], _LINE, 1).alias("number")))
-    match = lambda x: x["kind"].isin(*_MATCHES)
-    lineno = lambda rows: F.transform(rows, lambda x: x["lineno"])
-
     def fates(rows: Column, stop: Column) -> Column:
-        live = lambda x: match(x) & (stop.isNull() | (x["lineno"] < stop))
-        place = lambda x, q: F.struct(q.cast("bigint").alias("q"), x["lineno"].alias("lineno"), x["line"].alias("line"), x["kind"].alias("kind"), x["said"].alias("said"))
-        named = F.transform(F.filter(rows, lambda x: live(x) & (x["number"] != "")), lambda x: place(x, F.coalesce(x["number"].try_cast("bigint"), F.lit(0))))
-        bare = F.transform(F.filter(rows, lambda x: live(x) & (x["number"] == "")), lambda x, i: place(x, i + 1))
+        live = lambda x: _is_match(x) & (stop.isNull() | (x["lineno"] < stop))
+        number = lambda x: F.substring(F.substring_index(x["line"], ":", 1), 2, (1 << 31) - 1)
+        place = lambda x, q: F.struct(q.cast("bigint").alias("q"), x["lineno"].alias("lineno"), x["line"].alias("line"), x["said"].alias("said"))
+        named = F.transform(F.filter(rows, lambda x: live(x) & _has_number(x)), lambda x: place(x, F.coalesce(number(x).try_cast("bigint"), F.lit(0))))
+        bare = F.transform(F.filter(rows, lambda x: live(x) & ~_has_number(x)), lambda x, i: place(x, i + 1))
         rest = F.transform(
             F.filter(rows, lambda x: ~live(x)),
-            lambda x: F.struct(x["lineno"].alias("lineno"), x["line"].alias("line"), x["kind"].alias("kind"), F.lit(None).cast("bigint").alias("q"), F.lit(None).cast("string").alias("answer"), F.when(x["lineno"] == stop, "stop").otherwise("ignored").alias("fate")),
+            lambda x: F.struct(x["lineno"].alias("lineno"), x["line"].alias("line"), _kind(x).alias("kind"), F.lit(None).cast("bigint").alias("q"), F.lit(None).cast("string").alias("answer"), F.when(x["lineno"] == stop, "stop").otherwise("ignored").alias("fate")),
         )
 
         def judged(found: Column) -> Column:
@@ -52,17 +71,13 @@ def checklist_states(raw: Column, n: Column) -> Column:
                 repeats = F.coalesce(F.get(found, i - 1)["q"] == x["q"], F.lit(False))
                 fate = F.when(~inside, "out_of_range").when(repeats, "duplicate").otherwise("kept")
                 answer = F.when(x["said"].isin("yes", "no"), x["said"]).otherwise("na")
-                return F.struct(x["lineno"].alias("lineno"), x["line"].alias("line"), x["kind"].alias("kind"), x["q"].alias("q"), F.when(inside & ~repeats, answer).alias("answer"), fate.alias("fate"))
+                return F.struct(x["lineno"].alias("lineno"), x["line"].alias("line"), _kind(x).alias("kind"), x["q"].alias("q"), F.when(inside & ~repeats, answer).alias("answer"), fate.alias("fate"))
 
             return F.transform(found, one)
 
         return F.sort_array(F.concat(rest, let(F.sort_array(F.concat(named, bare)), judged)))
 
-    def stopped(rows: Column, first: Column) -> Column:
-        bad = F.array_min(lineno(F.filter(rows, lambda x: (x["kind"] == "other") & (x["lineno"] > first))))
-        return let(bad, lambda stop: fates(rows, stop))
-
-    return let(F.transform(groups, typed), lambda rows: let(F.array_min(lineno(F.filter(rows, match))), lambda first: stopped(rows, first)))
+    return let(_read_lines(raw), lambda rows: _stopped(rows, lambda stop: fates(rows, stop)))
 
 
 def _states(outputs: DataFrame, keys: list[str], raw: str, n: str) -> DataFrame:

@@ -121,3 +121,15 @@ def test_pairs_with_vectors_are_dealt(spark, sf):
 
     plan = registry.queries()["w7_rank_by_embedding_score"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [pair_id" in plan
+
+
+def outputs_of(spark):
+    """Outputs of odd lines in many orders."""
+    forms = ("Q1: yes", "q2:NO ", "Q2: N / A。", "Q4: not applicable", "yes", "na.", "", "　", "Note: yes", "Q9: yes", "Q99999999999999999999: no", "Q١: yes", "Q3: yes.", " Q3: no")
+    texts = spark.range(400).repartition(1).select("id", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.element_at(F.array(*map(F.lit, forms)), (F.pmod(F.xxhash64("id", i), F.lit(len(forms))) + 1).cast("int"))), "\r\n").alias("raw"), F.lit(5).alias("n"))
+    return texts.unionByName(spark.createDataFrame([(400, None, 5), (401, "", 5)], "id long, raw string, n int"))
+
+
+def test_answers_meet_the_pattern_once_a_line(spark):
+    plan = P.checklist_answers(outputs_of(spark), ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract") == 1
