@@ -133,3 +133,8 @@ def outputs_of(spark):
 def test_answers_meet_the_pattern_once_a_line(spark):
     plan = P.checklist_answers(outputs_of(spark), ["id"])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract") == 1
+
+
+def test_parsed_outputs_meet_the_pattern_once_a_line(spark):
+    plan = P.parsed_checklist(outputs_of(spark), ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract") == 1
