@@ -147,8 +147,15 @@ def strict_reading() -> dict[str, Column]:
 
 
 def strict_lines(outputs: DataFrame, keys: list[str], raw: str = "raw", n: str = "n") -> DataFrame:
-    """The strict reading of each output, one row each."""
-    return _states(outputs, keys, raw, n).select(*keys, *(c.alias(name) for name, c in strict_reading().items()))
+    """The strict reading of each output, one row each. It asks for no fate, so that its lines are neither numbered nor sorted; ``n`` plays no part."""
+
+    def read(rows: Column, stop: Column) -> Column:
+        before = F.size(F.filter(rows, lambda x: _is_match(x) & (stop.isNull() | (x["lineno"] < stop)))).cast("bigint")
+        after = F.coalesce(F.exists(rows, lambda x: _is_match(x) & (x["lineno"] > stop)), F.lit(False))
+        return F.struct(before.alias("n_matches"), stop.isNotNull().alias("rationale_after"), after.alias("more_after"))
+
+    said = let(_read_lines(F.col(raw)), lambda rows: _stopped(rows, lambda stop: read(rows, stop)))
+    return outputs.select(*keys, F.inline(F.array(said)))
 
 
 def _numbered(raw: Column, pattern: str) -> Column:

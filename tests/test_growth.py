@@ -138,3 +138,16 @@ def test_answers_meet_the_pattern_once_a_line(spark):
 def test_parsed_outputs_meet_the_pattern_once_a_line(spark):
     plan = P.parsed_checklist(outputs_of(spark), ["id"])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract") == 1
+
+
+def test_strict_lines_are_those_of_the_fates(spark):
+    """The short way to the strict reading, and the long one over what becomes of each line."""
+    found = {r.id: tuple(r)[1:] for r in P.strict_lines(outputs_of(spark), ["id"]).collect()}
+    by_fate = P.parsed_checklist(outputs_of(spark), ["id"], more=P.strict_reading()).select("id", *P.strict_reading())
+    assert len(found) == 402 and found == {r.id: tuple(r)[1:] for r in by_fate.collect()}
+    assert {r[1:] for r in found.values()} == {(False, False), (True, False), (True, True)} and found[400] == (0, False, False)
+
+
+def test_strict_lines_sort_nothing(spark):
+    plan = P.strict_lines(outputs_of(spark), ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort" not in plan.lower()
