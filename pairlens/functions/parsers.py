@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +11,6 @@ from .text import LINE_END, SPACE, let, strip
 _NA_WORD = rf"(?:N{SPACE}*/{SPACE}*A|NA|not{SPACE}*applicable){SPACE}*[.。]?"
 #: the second group: the answer; no match where a line has another form
 _LINE = rf"(?i)^(?:Q([0-9]+):{SPACE}*)?(yes|no|{_NA_WORD})$"
-_MATCHES = ("answer", "na", "bare", "bare_na")
 
 
 def _read_lines(raw: Column) -> Column:
@@ -37,10 +34,33 @@ def _kind(x: Column) -> Column:
     return F.when(x["line"] == "", "blank").when(~_is_match(x), "other").when(_has_number(x), named).otherwise(bare)
 
 
-def _stopped(rows: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of the number of the line that stops an output: the first other line after a match; null where there is none."""
+def _stopped(rows: Column) -> Column:
+    """The number of the line that stops an output: the first other line after a match; null where there is none."""
     first = lambda cond: F.get(F.filter(rows, cond), F.lit(0))["lineno"]
-    return let(first(_is_match), lambda began: let(first(lambda x: ~_is_match(x) & (x["line"] != "") & (x["lineno"] > began)), use))
+    return let(first(_is_match), lambda began: first(lambda x: ~_is_match(x) & (x["line"] != "") & (x["lineno"] > began)))
+
+
+def _found(rows: Column, stop: Column) -> Column:
+    """array<struct<q, lineno, yes>> of the matches before the stop, by number and line; yes: false for a no, null for na."""
+    live = lambda x: _is_match(x) & (stop.isNull() | (x["lineno"] < stop))
+    number = lambda x: F.substring(F.substring_index(x["line"], ":", 1), 2, (1 << 31) - 1)
+    yes = lambda x: F.when(x["said"].isin("yes", "no"), x["said"] == "yes")
+    place = lambda x, q: F.struct(q.cast("bigint").alias("q"), x["lineno"].alias("lineno"), yes(x).alias("yes"))
+    named = F.transform(F.filter(rows, lambda x: live(x) & _has_number(x)), lambda x: place(x, F.coalesce(number(x).try_cast("bigint"), F.lit(0))))
+    bare = F.transform(F.filter(rows, lambda x: live(x) & ~_has_number(x)), lambda x, i: place(x, i + 1))
+    return F.sort_array(F.concat(named, bare))
+
+
+def _inside(x: Column, n: Column) -> Column:
+    return (x["q"] >= 1) & (n.isNull() | (x["q"] <= n))
+
+
+def _repeats(x: Column, i: Column, found: Column) -> Column:
+    return F.coalesce(F.get(found, i - 1)["q"] == x["q"], F.lit(False))
+
+
+def _answer(x: Column) -> Column:
+    return F.when(x["yes"], "yes").when(~x["yes"], "no").otherwise("na")
 
 
 def checklist_states(raw: Column, n: Column) -> Column:
@@ -54,69 +74,76 @@ def checklist_states(raw: Column, n: Column) -> Column:
     its lines or one sort of them, and each line meets the pattern once.
     """
 
+    def state(x: Column, q: Column, answer: Column, fate: Column) -> Column:
+        return F.struct(x["lineno"].alias("lineno"), x["line"].alias("line"), _kind(x).alias("kind"), q.cast("bigint").alias("q"), answer.cast("string").alias("answer"), fate.alias("fate"))
+
     def fates(rows: Column, stop: Column) -> Column:
-        live = lambda x: _is_match(x) & (stop.isNull() | (x["lineno"] < stop))
-        number = lambda x: F.substring(F.substring_index(x["line"], ":", 1), 2, (1 << 31) - 1)
-        place = lambda x, q: F.struct(q.cast("bigint").alias("q"), x["lineno"].alias("lineno"), x["line"].alias("line"), x["said"].alias("said"))
-        named = F.transform(F.filter(rows, lambda x: live(x) & _has_number(x)), lambda x: place(x, F.coalesce(number(x).try_cast("bigint"), F.lit(0))))
-        bare = F.transform(F.filter(rows, lambda x: live(x) & ~_has_number(x)), lambda x, i: place(x, i + 1))
-        rest = F.transform(
-            F.filter(rows, lambda x: ~live(x)),
-            lambda x: F.struct(x["lineno"].alias("lineno"), x["line"].alias("line"), _kind(x).alias("kind"), F.lit(None).cast("bigint").alias("q"), F.lit(None).cast("string").alias("answer"), F.when(x["lineno"] == stop, "stop").otherwise("ignored").alias("fate")),
-        )
+        rest = F.filter(rows, lambda x: ~_is_match(x) | F.coalesce(x["lineno"] >= stop, F.lit(False)))
+        rest = F.transform(rest, lambda x: state(x, F.lit(None), F.lit(None), F.when(x["lineno"] == stop, "stop").otherwise("ignored")))
 
         def judged(found: Column) -> Column:
-            def one(x: Column, i: Column) -> Column:
-                inside = (x["q"] >= 1) & (n.isNull() | (x["q"] <= n))
-                repeats = F.coalesce(F.get(found, i - 1)["q"] == x["q"], F.lit(False))
+            def one(m: Column, i: Column) -> Column:
+                inside, repeats = _inside(m, n), _repeats(m, i, found)
                 fate = F.when(~inside, "out_of_range").when(repeats, "duplicate").otherwise("kept")
-                answer = F.when(x["said"].isin("yes", "no"), x["said"]).otherwise("na")
-                return F.struct(x["lineno"].alias("lineno"), x["line"].alias("line"), _kind(x).alias("kind"), x["q"].alias("q"), F.when(inside & ~repeats, answer).alias("answer"), fate.alias("fate"))
+                return let(F.get(rows, m["lineno"] - 1), lambda x: state(x, m["q"], F.when(inside & ~repeats, _answer(m)), fate))
 
             return F.transform(found, one)
 
-        return F.sort_array(F.concat(rest, let(F.sort_array(F.concat(named, bare)), judged)))
+        return F.sort_array(F.concat(rest, let(_found(rows, stop), judged)))
 
-    return let(_read_lines(raw), lambda rows: _stopped(rows, lambda stop: fates(rows, stop)))
+    return let(_read_lines(raw), lambda rows: let(_stopped(rows), lambda stop: fates(rows, stop)))
 
 
-def _states(outputs: DataFrame, keys: list[str], raw: str, n: str) -> DataFrame:
-    """keys, n, states of each output; a generator between keeps the optimiser from copying the machine into every use."""
-    rows = outputs.select(*keys, F.col(n).alias("n"), F.col(raw).alias("raw"))
-    return rows.withColumn("states", F.explode(F.array(checklist_states(F.col("raw"), F.col("n"))))).drop("raw")
+def _readings(outputs: DataFrame, keys: list[str], raw: str, n: str) -> DataFrame:
+    """A row per output: keys, n, kept (array<struct<q, lineno, yes>>, by number), n_matches, n_out_of_range, hit_na, first_bad_line, first_bad_lineno, more_after.
+
+    Lines have no states here, which is most of what ``checklist_states`` takes: the
+    values of a lambda are copied, so that a match is two numbers and a flag, without
+    texts. The generator keeps the optimiser from copying the reading into every use.
+    """
+
+    def reading(rows: Column, stop: Column, found: Column) -> Column:
+        kept = F.filter(found, lambda x, i: _inside(x, F.col("n")) & ~_repeats(x, i, found))
+        outside = F.size(F.filter(found, lambda x: ~_inside(x, F.col("n"))))
+        after = F.coalesce(F.when(stop.isNotNull(), F.exists(rows, lambda x: _is_match(x) & (x["lineno"] > stop))), F.lit(False))
+        return F.struct(
+            kept.alias("kept"), F.size(found).cast("bigint").alias("n_matches"), outside.cast("bigint").alias("n_out_of_range"), F.exists(found, lambda x: x["yes"].isNull()).alias("hit_na"),
+            F.get(rows, stop - 1)["line"].alias("first_bad_line"), stop.alias("first_bad_lineno"), after.alias("more_after"),
+        )
+
+    read = let(_read_lines(F.col("raw")), lambda rows: let(_stopped(rows), lambda stop: let(_found(rows, stop), lambda found: reading(rows, stop, found))))
+    return outputs.select(*keys, F.col(n).alias("n"), F.col(raw).alias("raw")).select(*keys, "n", F.inline(F.array(read)))
 
 
 def checklist_lines(outputs: DataFrame, keys: list[str], raw: str = "raw", n: str = "n") -> DataFrame:
     """A row per line of each output: keys, n and the fields of ``checklist_states``."""
-    return _states(outputs, keys, raw, n).select(*keys, "n", F.inline("states"))
+    rows = outputs.select(*keys, F.col(n).alias("n"), F.col(raw).alias("raw"))
+    return rows.select(*keys, "n", F.inline(checklist_states(F.col("raw"), F.col("n"))))
 
 
 def checklist_answers(outputs: DataFrame, keys: list[str], raw: str = "raw", n: str = "n") -> DataFrame:
     """keys, q, answer of the outputs with at least one yes or no; others are fallbacks and give nothing."""
-    rows = _states(outputs, keys, raw, n).filter(F.exists("states", lambda x: x["answer"].isin("yes", "no")))
-    kept = F.transform(F.filter("states", lambda x: x["fate"] == "kept"), lambda x: F.struct(x["q"].cast("int").alias("q"), x["answer"].alias("answer")))
-    return rows.select(*keys, F.inline(kept))
+    rows = _readings(outputs, keys, raw, n).filter(F.exists("kept", lambda x: x["yes"].isNotNull()))
+    return rows.select(*keys, F.inline("kept")).select(*keys, F.col("q").cast("int").alias("q"), F.when(F.col("yes"), "yes").when(~F.col("yes"), "no").otherwise("na").alias("answer"))
 
 
 def parsed_checklist(outputs: DataFrame, keys: list[str], raw: str = "raw", n: str = "n", more: dict[str, Column] | None = None) -> DataFrame:
     """The parsed form of each output, one row each: counts, score, completeness, why it stopped.
 
     parse_ok is false for a fallback: no yes or no answer. Its score is 0 and its
-    flags are false; numbers of its na answers are kept. ``more`` columns over the
-    states come from the same reading.
+    flags are false; numbers of its na answers are kept. ``more`` columns come from
+    the same reading (``_readings``).
     """
     more = more or {}
-    where = lambda cond: F.filter("states", cond)
+    where = lambda cond: F.filter("kept", cond)
     count = lambda cond: F.size(where(cond)).cast("bigint")
-    bad = F.get(where(lambda x: x["fate"] == "stop"), F.lit(0))
-    g = _states(outputs, keys, raw, n).select(
+    n_kept = F.size("kept").cast("bigint")
+    g = _readings(outputs, keys, raw, n).select(
         *keys, "n",
-        F.sort_array(F.transform(where(lambda x: x["answer"].isin("yes", "no")), lambda x: F.struct(x["q"].cast("int").alias("q"), x["answer"].alias("answer")))).alias("answers"),
-        F.sort_array(F.transform(where(lambda x: x["answer"] == "na"), lambda x: x["q"].cast("int"))).alias("na_qnums"),
-        count(lambda x: x["answer"] == "yes").alias("n_yes"), count(lambda x: x["answer"] == "no").alias("n_no"), count(lambda x: x["answer"] == "na").alias("n_na"),
-        count(lambda x: x["fate"] == "duplicate").alias("n_duplicates"), count(lambda x: x["fate"] == "out_of_range").alias("n_out_of_range"),
-        bad["line"].alias("first_bad_line"), bad["lineno"].alias("first_bad_lineno"),
-        F.exists("states", lambda x: x["kind"].isin("na", "bare_na") & x["q"].isNotNull()).alias("hit_na"), *(c.alias(name) for name, c in more.items()),
+        F.transform(where(lambda x: x["yes"].isNotNull()), lambda x: F.struct(x["q"].cast("int").alias("q"), _answer(x).alias("answer"))).alias("answers"),
+        F.transform(where(lambda x: x["yes"].isNull()), lambda x: x["q"].cast("int")).alias("na_qnums"),
+        count(lambda x: x["yes"]).alias("n_yes"), count(lambda x: ~x["yes"]).alias("n_no"), count(lambda x: x["yes"].isNull()).alias("n_na"),
+        (F.col("n_matches") - F.col("n_out_of_range") - n_kept).alias("n_duplicates"), "n_out_of_range", "first_bad_line", "first_bad_lineno", "hit_na", *(c.alias(name) for name, c in more.items()),
     )
     parsed = F.col("n_yes") + F.col("n_no")
     ok = parsed > 0
@@ -134,16 +161,11 @@ def parsed_checklist(outputs: DataFrame, keys: list[str], raw: str = "raw", n: s
 
 
 def strict_reading() -> dict[str, Column]:
-    """A stricter look at the same lines, over their states: every match counts, repeated or not; flags what follows the block.
+    """A stricter look at the same reading: every match counts, repeated or not; flags what follows the block.
 
     rationale_after: another line after the first match; more_after: a match after that line.
     """
-    match = lambda x: x["kind"].isin(*_MATCHES)
-    return {
-        "n_matches": F.size(F.filter("states", lambda x: x["q"].isNotNull())).cast("bigint"),
-        "rationale_after": F.exists("states", lambda x: x["fate"] == "stop"),
-        "more_after": F.exists("states", lambda x: match(x) & x["q"].isNull()),
-    }
+    return {"n_matches": F.col("n_matches"), "rationale_after": F.col("first_bad_lineno").isNotNull(), "more_after": F.col("more_after")}
 
 
 def strict_lines(outputs: DataFrame, keys: list[str], raw: str = "raw", n: str = "n") -> DataFrame:
@@ -154,7 +176,7 @@ def strict_lines(outputs: DataFrame, keys: list[str], raw: str = "raw", n: str =
         after = F.coalesce(F.exists(rows, lambda x: _is_match(x) & (x["lineno"] > stop)), F.lit(False))
         return F.struct(before.alias("n_matches"), stop.isNotNull().alias("rationale_after"), after.alias("more_after"))
 
-    said = let(_read_lines(F.col(raw)), lambda rows: _stopped(rows, lambda stop: read(rows, stop)))
+    said = let(_read_lines(F.col(raw)), lambda rows: let(_stopped(rows), lambda stop: read(rows, stop)))
     return outputs.select(*keys, F.inline(F.array(said)))
 
 

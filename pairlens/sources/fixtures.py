@@ -125,28 +125,37 @@ def with_gaps(facts: DataFrame) -> DataFrame:
 
 
 def raw_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pair_id, domain, side (0, 1), n, raw: answers as a judge's text in local question order, with eleven kinds of defects."""
+    """pair_id, domain, side (0, 1), n, raw: answers as a judge's text in local question order, with eleven kinds of defects.
+
+    A pair's facts are gathered and put in order once for both of its sides.
+    """
     from pairlens.operators.selection import local_numbers
 
     numbers = local_numbers(active_bank(spark, sf_dir)).select("domain", "qid", "q")
     rows = answers(spark, sf_dir).join(small_broadcast(numbers), ["domain", "qid"])
-    sides = rows.select("pair_id", "domain", "q", F.explode(F.array(*(F.struct(F.lit(i).alias("side"), F.col(f"ans_{s}").alias("x")) for i, s in enumerate("ab")))).alias("s")).select("pair_id", "domain", "q", "s.*")
-    kind = ((F.col("pair_id") + F.col("side")) % 11).cast("int")
+    kind_of = lambda side: ((F.col("pair_id") + side) % 11).cast("int")
     no = F.concat(F.lit("Q"), F.col("q").cast("string"), F.lit(": "))
-    plain = F.concat(no, F.when(F.col("x") == "na", "N/A").otherwise(F.col("x")))
-    line = (
-        F.when(kind == 4, F.when(F.col("x") == "na", "N/A").otherwise(F.col("x")))
-        .when(kind == 5, F.concat(no, F.when(F.col("x") == "na", "not applicable.").otherwise(F.col("x"))))
-        .when((kind == 7) & (F.col("q") == 4), "Let me explain this one.")
-        .when(kind == 9, F.concat(no, F.lit("NA")))
-        .when(kind == 10, F.concat(F.lit("q"), F.col("q").cast("string"), F.lit(":"), F.upper("x")))
-        .otherwise(plain)
-    )
-    lines = sides.withColumn("line", line).groupBy("pair_id", "domain", "side").agg(F.transform(F.sort_array(F.collect_list(F.struct("q", "line"))), lambda x: x["line"]).alias("lines"))
-    kind = ((F.col("pair_id") + F.col("side")) % 11).cast("int")
-    head = F.when(kind == 2, "Q1: no\n").when(kind == 3, "Q999: yes\n").when(kind == 6, "Here are my answers\n").otherwise("")
-    body = F.when(kind == 1, F.array_join("lines", "\n\n")).when(kind == 10, F.array_join("lines", "\r\n")).otherwise(F.array_join("lines", "\n"))
-    return lines.select("pair_id", "domain", "side", F.size("lines").alias("n"), F.when(kind == 8, "").otherwise(F.concat(head, body)).alias("raw"))
+
+    def line(x: Column, kind: Column) -> Column:
+        plain = F.concat(no, F.when(x == "na", "N/A").otherwise(x))
+        return (
+            F.when(kind == 4, F.when(x == "na", "N/A").otherwise(x))
+            .when(kind == 5, F.concat(no, F.when(x == "na", "not applicable.").otherwise(x)))
+            .when((kind == 7) & (F.col("q") == 4), "Let me explain this one.")
+            .when(kind == 9, F.concat(no, F.lit("NA")))
+            .when(kind == 10, F.concat(F.lit("q"), F.col("q").cast("string"), F.lit(":"), F.upper(x)))
+            .otherwise(plain)
+        )
+
+    def output(side: int, lines: Column) -> Column:
+        kind = kind_of(side)
+        head = F.when(kind == 2, "Q1: no\n").when(kind == 3, "Q999: yes\n").when(kind == 6, "Here are my answers\n").otherwise("")
+        body = F.when(kind == 1, F.array_join(lines, "\n\n")).when(kind == 10, F.array_join(lines, "\r\n")).otherwise(F.array_join(lines, "\n"))
+        return F.struct(F.lit(side).alias("side"), F.size(lines).alias("n"), F.when(kind == 8, "").otherwise(F.concat(head, body)).alias("raw"))
+
+    sides = [line(F.col(f"ans_{s}"), kind_of(i)).alias(s) for i, s in enumerate("ab")]
+    lines = rows.select("pair_id", "domain", F.struct("q", *sides).alias("line")).groupBy("pair_id", "domain").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    return lines.select("pair_id", "domain", F.inline(F.array(*(output(i, F.col("lines")[s]) for i, s in enumerate("ab")))))
 
 
 PRELUDE = f"""

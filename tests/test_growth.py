@@ -151,3 +151,25 @@ def test_strict_lines_are_those_of_the_fates(spark):
 def test_strict_lines_sort_nothing(spark):
     plan = P.strict_lines(outputs_of(spark), ["id"])._jdf.queryExecution().optimizedPlan().toString()
     assert "sort" not in plan.lower()
+
+
+def test_parsed_outputs_sort_their_matches_once(spark):
+    """Numbers and flags of matches are sorted; lines without a match have no state to be put in order."""
+    plan = P.parsed_checklist(outputs_of(spark), ["id"]).select("id", "parse_ok", "n_na", "n_duplicates")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sort_array(concat(") == 1 and plan.count("sort_array") == 1
+
+
+def test_parsed_outputs_are_those_of_the_fates(spark):
+    """The short way to the counts, and the long one over what becomes of each line."""
+    fate = lambda name: F.count_if(F.col("fate") == name)
+    kept = lambda *answers: F.count_if((F.col("fate") == "kept") & F.col("answer").isin(*answers))
+    by_line = P.checklist_lines(outputs_of(spark), ["id"]).groupBy("id").agg(kept("yes"), kept("yes", "no"), kept("na"), fate("duplicate"), fate("out_of_range"), F.max(F.when(F.col("fate") == "stop", F.col("lineno"))))
+    parsed = P.parsed_checklist(outputs_of(spark), ["id"]).select("id", "n_yes", "n_questions_parsed", "n_na", "n_duplicates", "n_out_of_range", "first_bad_lineno")
+    found = {r.id: tuple(r) for r in parsed.collect()}
+    assert len(found) == 402 and found == {r.id: tuple(r) for r in by_line.collect()}
+    assert all(any(r[i] for r in found.values()) for i in range(1, 7))
+
+
+def test_outputs_gather_the_facts_of_a_pair_once(spark, sf):
+    plan = X.raw_outputs(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list") == 1 and "Aggregate [pair_id#" in plan and "Generate explode" not in plan
