@@ -136,16 +136,15 @@ def parsed_checklist(outputs: DataFrame, keys: list[str], raw: str = "raw", n: s
     """
     more = more or {}
     where = lambda cond: F.filter("kept", cond)
-    count = lambda cond: F.size(where(cond)).cast("bigint")
-    n_kept = F.size("kept").cast("bigint")
+    count = lambda of: F.size(of).cast("bigint")
     g = _readings(outputs, keys, raw, n).select(
         *keys, "n",
         F.transform(where(lambda x: x["yes"].isNotNull()), lambda x: F.struct(x["q"].cast("int").alias("q"), _answer(x).alias("answer"))).alias("answers"),
         F.transform(where(lambda x: x["yes"].isNull()), lambda x: x["q"].cast("int")).alias("na_qnums"),
-        count(lambda x: x["yes"]).alias("n_yes"), count(lambda x: ~x["yes"]).alias("n_no"), count(lambda x: x["yes"].isNull()).alias("n_na"),
-        (F.col("n_matches") - F.col("n_out_of_range") - n_kept).alias("n_duplicates"), "n_out_of_range", "first_bad_line", "first_bad_lineno", "hit_na", *(c.alias(name) for name, c in more.items()),
+        count("kept").alias("n_kept"), count(where(lambda x: x["yes"])).alias("n_yes"), count(where(lambda x: x["yes"].isNull())).alias("n_na"),
+        (F.col("n_matches") - F.col("n_out_of_range") - F.size("kept")).alias("n_duplicates"), "n_out_of_range", "first_bad_line", "first_bad_lineno", "hit_na", *(c.alias(name) for name, c in more.items()),
     )
-    parsed = F.col("n_yes") + F.col("n_no")
+    parsed = F.col("n_kept") - F.col("n_na")
     ok = parsed > 0
     stop = (
         F.when(F.col("first_bad_lineno").isNotNull(), "unrecognized_line_after_started")
@@ -154,7 +153,7 @@ def parsed_checklist(outputs: DataFrame, keys: list[str], raw: str = "raw", n: s
         .otherwise("completed")
     )
     return g.select(
-        *keys, ok.alias("parse_ok"), F.when(ok, F.col("answers")).alias("answers"), "na_qnums", parsed.alias("n_questions_parsed"), "n_yes", F.when(ok, F.col("n_no")).alias("n_no"), "n_na",
+        *keys, ok.alias("parse_ok"), F.when(ok, F.col("answers")).alias("answers"), "na_qnums", parsed.alias("n_questions_parsed"), "n_yes", F.when(ok, parsed - F.col("n_yes")).alias("n_no"), "n_na",
         F.coalesce(F.try_divide(F.col("n_yes"), parsed), F.lit(0.0)).alias("score"), F.coalesce(ok & (parsed == F.col("n")), F.lit(False)).alias("complete"), F.coalesce(ok & (parsed + F.col("n_na") == F.col("n")), F.lit(False)).alias("complete_with_na"),
         stop.alias("stop_reason"), "first_bad_line", "first_bad_lineno", "n_duplicates", "n_out_of_range", *more,
     )
